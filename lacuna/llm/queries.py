@@ -8,12 +8,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import bpe
+from lacuna.llm import bpe, secrets
 from lacuna.llm.common import table
+from lacuna.llm.spans import count, hex_digest, joined
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    options = secrets.Entropy()
+    kinds = secrets.kinds(options)
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), options=options)
+    base = F.col("secrets")
+    return found.select(
+        "doc_id",
+        *[count(base, rank).alias(f"n_{name}") for rank, name in enumerate(secrets.BASE)],
+        hex_digest(joined(base, kinds)).alias("base_sha256"),
+        joined(F.array_sort(F.concat(base, "entropy_secrets")), kinds).alias("spans"),
+    )
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
     decoded = bpe.decode(encoded, RANKS)
@@ -21,7 +35,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_byte_bpe,)}
+    return {f.__name__: f for f in (op1_secrets, op5_byte_bpe,)}
 
 
 def oracle_sql() -> dict[str, str]:
