@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import bpe, secrets
+from lacuna.llm import bpe, pii, secrets
 from lacuna.llm.common import table
 from lacuna.llm.spans import count, hex_digest, joined
 
@@ -28,6 +28,18 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    base = F.col("pii")
+    by_rank = F.transform(F.array_sort(F.transform(F.concat(base, "context_pii"), lambda s: F.struct(s["rank"], s["start"], s["end"]))), lambda s: F.struct(s["start"], s["rank"], s["end"]))
+    return found.select(
+        "doc_id",
+        *[count(base, rank).alias(f"n_{name}") for rank, name in enumerate(pii.BASE)],
+        hex_digest(joined(base, pii.KINDS)).alias("base_sha256"),
+        joined(by_rank, pii.KINDS).alias("spans"),
+    )
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
     decoded = bpe.decode(encoded, RANKS)
@@ -35,7 +47,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op5_byte_bpe,)}
+    return {f.__name__: f for f in (op1_secrets, op2_pii, op5_byte_bpe,)}
 
 
 def oracle_sql() -> dict[str, str]:
