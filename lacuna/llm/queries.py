@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import bpe, pii, secrets
-from lacuna.llm.common import table
+from lacuna.llm import bpe, pii, secrets, warc
+from lacuna.llm.common import shared_folder, staged, table
 from lacuna.llm.spans import count, hex_digest, joined
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -40,6 +41,16 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    pages = table(spark, sf_dir, "pages")
+    manifest = staged(warc.write(pages, folder), "warc-manifest")
+    files = max(1, manifest.count())
+    records = warc.read(manifest.repartition(min(files, 4 * spark.sparkContext.defaultParallelism)), folder)
+    kind = pages.schema["page_id"].dataType
+    return records.select(F.col("record_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
     decoded = bpe.decode(encoded, RANKS)
@@ -47,7 +58,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_pii, op5_byte_bpe,)}
+    return {f.__name__: f for f in (op1_secrets, op2_pii, op4_warc, op5_byte_bpe,)}
 
 
 def oracle_sql() -> dict[str, str]:
