@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import bpe, decontaminate, jaccard, pii, secrets, topk, warc
+from lacuna.llm import bpe, decontaminate, jaccard, langid, pii, secrets, topk, warc
 from lacuna.llm.common import shared_folder, staged, table
 from lacuna.llm.spans import count, hex_digest, joined
 
@@ -61,6 +61,14 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    documents = documents.withColumn("held_out", held_out)
+    model = langid.train(documents.where(~F.col("held_out") & F.col("doc_id").isNotNull()), "text", "lang", F.xxhash64("doc_id"))
+    return langid.predict(documents, model, keep=("doc_id", "held_out"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
