@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import bpe, decontaminate, jaccard, langid, pii, secrets, topk, warc
+from lacuna.llm import bpe, decontaminate, jaccard, langid, pii, quality, secrets, topk, warc
 from lacuna.llm.common import shared_folder, staged, table
 from lacuna.llm.spans import count, hex_digest, joined
 
@@ -79,6 +79,16 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(F.col("query").alias("query_id"), "rank", F.col("key").alias("vec_id"), "score")
 
 
+#: A document is kept from this probability of good quality on.
+QUALITY_KEPT = 0.5
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality.train(documents, table(spark, sf_dir, "labels"))
+    return quality.score(documents, model, keep=["doc_id"]).withColumn("keep", F.col("quality_score") >= QUALITY_KEPT)
+
+
 OP9_SQL = """
     WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec FROM embeddings
                WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -90,7 +100,8 @@ OP9_SQL = """
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_pii, op4_warc, op5_byte_bpe,)}
+    every = (op1_secrets, op2_pii, op4_warc, op5_byte_bpe, op6_decontaminate, op7_language, op8_jaccard_join, op9_topk, op10_quality)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
