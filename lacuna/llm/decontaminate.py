@@ -222,3 +222,10 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
         .where(F.col("coverage") >= rule.coverage)
         .select(F.col("key").alias(key), F.col("item").alias(item_key), "coverage", "consistency")
     )
+
+
+def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", rule: Rule = Rule()) -> DataFrame:
+    """docs without those that matches() finds."""
+    found = matches(docs, items, key, text, item_key, item_text, rule).select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("__key")).distinct()
+    found = staged(found, "contaminated")
+    return docs.withColumn("__key", F.coalesce(F.col(key).cast("string"), F.lit(""))).join(found, "__key", "left_anti").select(*docs.columns)

@@ -222,3 +222,15 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", forest: Fores
         sketched.where("size > 0").join(answers, "content").select(F.col("key").alias(key), "class_id", "n_links", "n_copies")
         .unionByName(sketched.where("size = 0").select(F.col("key").alias(key), F.col("key").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_copies")))
     )
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", forest: Forest = Forest()) -> DataFrame:
+    """docs without all but one document of each class of join(): the one of the class's key, a repeated row once.
+
+    Texts without words all stay, but for repeated rows. Different texts with the same key stay or go by their own classes.
+    """
+    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    answers = join(docs, key, text, forest)
+    stay = staged(answers.where(F.col(key).eqNullSafe(F.col("class_id"))).select(name.alias("__key")).distinct(), "jaccard-stay")
+    named = docs.withColumn("__key", name).withColumn("__same", F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
+    return named.join(stay, "__key", "left_semi").dropDuplicates(["__key", "__same"]).select(*docs.columns)
