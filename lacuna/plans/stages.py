@@ -303,7 +303,7 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT doc_id, round(sum(1 - pow(0.5, hits)), 6) AS rank FROM (SELECT doc_id, w, count(*) AS hits FROM (SELECT doc_id, regexp_replace(unnest(string_split_regex(lower(text), '[^a-z0-9]+')),
-        '^(.*?[a-z]{3})(?:ational|ements?|ations?|ingly|ities|ments?|ings?|edly|ions?|ies|ive|ed|ly|es|s|e|y)$', '\\1') AS w FROM documents) WHERE w IN ('thon', 'thre') GROUP BY 1, 2) GROUP BY 1 HAVING count(*) = 2
+        '^(.*?[a-z]{3})(?:ational|ements?|ations?|ingly|ities|ments?|ings?|edly|ions?|ies|ive|ed|ly|es|s|e|y)$', '\\1') AS w FROM documents) WHERE w IN ('thon', 'thr') GROUP BY 1, 2) GROUP BY 1 HAVING count(*) = 2
 """)
 def search_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lacuna.operators import search
