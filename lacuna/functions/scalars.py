@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lacuna.functions import constants as K
 
@@ -127,7 +128,7 @@ def quoted_title(title: Column) -> Column:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def python_round4(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Half-even on the exact binary value, to 4 digits: built-in rounding looks at the decimal rendering."""
     for series in values:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lacuna.functions.scalars import squash
 from lacuna.operators.matching import assign_one_to_one
@@ -16,7 +17,7 @@ MIN_OVERLAP = 40
 GAPS = ["missing", "no_record"]
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def longest_common(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Length of the longest common substring; there is no built-in function."""
     for a, b in pairs:
@@ -75,7 +76,7 @@ def with_scores(counts: DataFrame) -> DataFrame:
 
 
 def by_type(outcome_rows: DataFrame) -> DataFrame:
-    return outcome_rows.groupBy("type").pivot("outcome", ["tp", "fp", "fn"]).agg(F.count("*")).na.fill(0)
+    return outcome_rows.groupBy("type").pivot("outcome", ["tp", "fp", "fn"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def gap_confusion(outcome_rows: DataFrame) -> DataFrame:

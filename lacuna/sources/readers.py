@@ -8,14 +8,13 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-PAPER = T._parse_datatype_string("inspire_id long, arxiv_id string, title string, collaborations array<string>, earliest_date string, inspire_links_hepdata boolean")
-CANDIDATES = T._parse_datatype_string(
+PAPER = "inspire_id long, arxiv_id string, title string, collaborations array<string>, earliest_date string, inspire_links_hepdata boolean"
+CANDIDATES = (
     "inspire_id long, arxiv_id string, status string, filter_version string, detail string, main_file string, body_tokens int, candidate_tokens int, reduction_ratio double, "
     "missing_inputs array<string>, candidates array<struct<section_name:string,kind:string,text:string>>"
 )
-GOLD = T._parse_datatype_string(
+GOLD = (
     "inspire_id long, arxiv_id string, labeled_by string, reviewed_by_human boolean, revision int, revision_note string, "
     "items array<struct<id:string,product_type:string,accept_types:array<string>,description:string,evidence:array<string>,on_hepdata:boolean,hepdata_table:string>>"
 )
@@ -48,12 +47,12 @@ def read_config(text: str) -> Corpus:
     return Corpus(**tomllib.loads(text)["corpus"])
 
 
-def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """One JSON object a line. A missing path and a line that does not fit are errors; blank lines are skipped."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_documents(spark: SparkSession, path: str, schema: T.StructType, only: list[int] | None = None, limit: int | None = None) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, schema: str, only: list[int] | None = None, limit: int | None = None) -> DataFrame:
     """A folder of one JSON document a file, in order of file name; names that begin with _ are skipped by Spark. modified: the file's time."""
     rows = spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path).withColumns({"file": F.col("_metadata.file_name"), "modified": F.col("_metadata.file_modification_time")})
     rows = rows.where(F.col("inspire_id").isin(*only)) if only else rows
