@@ -18,13 +18,14 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Characters after which a block ends. A block is what one task holds at a time; a longer text is a block of its own.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 16_000_000
 PIECES_AT_ONCE = 200_000
 
 PACKED = "bucket int, block long, docs binary, numbers binary, words binary"
@@ -38,39 +39,43 @@ class Numbering(dict):
         return value
 
 
-def pack(parts: list[bytes]) -> bytes:
-    lengths = np.fromiter(map(len, parts), np.uint32, len(parts))
-    return zlib.compress(np.uint32(len(parts)).tobytes() + lengths.tobytes() + b"".join(parts), 1)
+def _squeeze(numbers: np.ndarray) -> bytes:
+    """Whole numbers below 2^32 as four planes of bytes: the high planes of small numbers take next to nothing."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.compress(planes.tobytes(), 3)
 
 
-def unpack(packed: bytes) -> pa.Array:
-    raw = zlib.decompress(packed)
-    n = int(np.frombuffer(raw, np.uint32, 1)[0])
-    offsets = np.zeros(n + 1, np.int32)
-    np.cumsum(np.frombuffer(raw, np.uint32, n, 4), out=offsets[1:])
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(raw[4 + 4 * n :])])
+def _expand(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
 
 
-def pack_numbers(numbers: np.ndarray) -> bytes:
-    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zlib.compress(np.ascontiguousarray(planes).tobytes(), 1)
+def pack_numbers(*arrays: np.ndarray) -> bytes:
+    packed = [_squeeze(a) for a in arrays]
+    return np.array([len(packed), *map(len, packed)], "<u8").tobytes() + b"".join(packed)
 
 
-def unpack_numbers(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
+def unpack_numbers(packed: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(packed, "<u8", 1)[0])
+    ends = 8 + 8 * n + np.concatenate([[0], np.cumsum(np.frombuffer(packed, "<u8", n, 8))]).astype(int)
+    return [_expand(packed[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
 
+def pack_words(words: list[bytes]) -> bytes:
+    lengths = pack_numbers(np.fromiter(map(len, words), np.uint32, len(words)))
+    return np.array([len(lengths)], "<u8").tobytes() + lengths + zstandard.compress(b"".join(words), 9)
 
-def pack_lists(values: pa.Array) -> bytes:
-    """A ListArray of int32 without nulls."""
-    lengths = np.diff(values.offsets.to_numpy()).astype(np.uint32)
-    return zlib.compress(np.uint32(len(lengths)).tobytes() + lengths.tobytes() + values.flatten().to_numpy().tobytes(), 1)
 
+def unpack_words(packed: bytes) -> pa.Array:
+    end = 8 + int(np.frombuffer(packed, "<u8", 1)[0])
+    (lengths,) = unpack_numbers(packed[8:end])
+    offsets = np.concatenate([np.zeros(1, np.int32), np.cumsum(lengths, dtype=np.int32)])
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(zstandard.decompress(packed[end:]))])
 
-def unpack_lists(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = zlib.decompress(packed)
-    n = int(np.frombuffer(raw, np.uint32, 1)[0])
-    return np.frombuffer(raw, np.uint32, n, 4), np.frombuffer(raw, np.int32, -1, 4 + 4 * n)
+
+def pack_lists(values: pa.ListArray) -> bytes:
+    """A ListArray of int32 of 0 or more, without nulls."""
+    return pack_numbers(np.diff(values.offsets.to_numpy()), values.flatten().to_numpy())
 
 
 def to_ipc(data: pa.Table) -> bytes:
@@ -82,15 +87,18 @@ def to_ipc(data: pa.Table) -> bytes:
 
 def _block_rows(block: int, docs: list[pa.RecordBatch], counts: list[int], words: dict, numbers: array, buckets: int, key_bytes: int | None) -> pa.Table:
     encoded = [w.encode() for w in words]
-    home = np.fromiter((zlib.crc32(w[:key_bytes]) % buckets for w in encoded), np.int64, len(encoded))
-    order = np.argsort(home, kind="stable")
-    renumbered = np.empty(len(order), np.uint32)
-    renumbered[order] = np.arange(len(order), dtype=np.uint32)
+    used = np.frombuffer(numbers, np.uint32) if numbers else np.zeros(0, np.uint32)
+    # The most frequent words get the smallest numbers, which take the least room.
+    by_use = np.argsort(-np.bincount(used, minlength=len(encoded)), kind="stable")
+    number = np.empty(len(by_use), np.uint32)
+    number[by_use] = np.arange(len(by_use), dtype=np.uint32)
+    home = np.fromiter((zlib.crc32(encoded[i][:key_bytes]) % buckets for i in by_use), np.int64, len(by_use))
     kept = pa.Table.from_batches(docs).append_column("__n", pa.array(counts, pa.int64()))
-    rows = [(block % buckets, block, to_ipc(kept), pack_numbers(renumbered[np.frombuffer(numbers, np.uint32)] if numbers else renumbered), None)]
+    rows = [(block % buckets, block, to_ipc(kept), pack_numbers(home, number[used]), None)]
+    order = np.argsort(home, kind="stable")
     names, starts = np.unique(home[order], return_index=True)
     for name, start, end in zip(names, starts, [*starts[1:], len(order)], strict=True):
-        rows.append((int(name), block, None, None, pack([encoded[i] for i in order[start:end]])))
+        rows.append((int(name), block, None, None, pack_words([encoded[i] for i in by_use[order[start:end]]])))
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "block", "docs", "numbers", "words"])
 
 
@@ -157,7 +165,7 @@ def per_distinct_word(
         at = [i for i, w in enumerate(columns["words"]) if w is not None]
         answers: list[bytes | None] = [None] * group.num_rows
         if at:
-            per_row = [unpack(columns["words"][i]) for i in at]
+            per_row = [unpack_words(columns["words"][i]) for i in at]
             distinct = pa.chunked_array(per_row).combine_chunks().dictionary_encode()
             lists = resolve(distinct.dictionary)
             begin = 0
@@ -168,14 +176,18 @@ def per_distinct_word(
 
     def assembled(group: pa.Table) -> pa.Table:
         group = group.sort_by("bucket")
-        answers = [unpack_lists(x) for x in group.column("words").to_pylist() if x is not None]
+        answers = [unpack_numbers(x) for x in group.column("words").to_pylist() if x is not None]
         lengths = np.concatenate([x[0] for x in answers]) if answers else np.zeros(0, np.uint32)
-        values = np.concatenate([x[1] for x in answers]) if answers else np.zeros(0, np.int32)
+        values = np.concatenate([x[1] for x in answers]).astype(np.int32) if answers else np.zeros(0, np.int32)
         offsets = np.concatenate([np.zeros(1, np.int32), np.cumsum(lengths, dtype=np.int32)])
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
         at = next(i for i, x in enumerate(group.column("docs").to_pylist()) if x is not None)
         docs_ = pa.ipc.open_stream(group.column("docs")[at].as_py()).read_all()
-        numbers = unpack_numbers(group.column("numbers")[at].as_py())
+        home, used = unpack_numbers(group.column("numbers")[at].as_py())
+        # The answers came in order of bucket, and within a bucket in order of number.
+        place = np.empty(len(home), np.uint32)
+        place[np.argsort(home, kind="stable")] = np.arange(len(home), dtype=np.uint32)
+        numbers = place[used]
         begins = np.concatenate([[0], np.cumsum(docs_.column("__n").to_numpy())]).astype(np.int64)
         return docs_.drop_columns(["__n"]).append_column(out, assemble(lists, numbers, begins))
 
