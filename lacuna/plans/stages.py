@@ -120,7 +120,7 @@ def reduction_ratio_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT event_type, list_sort(list(value))[CAST(round_even(0.95 * (count(*) - 1), 0) AS BIGINT) + 1] AS p95 FROM events GROUP BY 1
 """)
 def percentile_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(relations.nearest_percentile(F.col("value"), 0.95).alias("p95"))
+    return relations.nearest_percentile(table(spark, sf_dir, "events"), ["event_type"], "value", 0.95, "p95")
 
 
 @query("""

@@ -147,6 +147,14 @@ def test_relations(spark):
     assert sorted((r["k"], r["id"]) for r in relations.with_stable_ids(spark.createDataFrame([(1,), (2,), (3,)], "k int"), known, ["k"], "id").collect()) == [(1, 6), (2, 5), (3, 7)]
 
 
+@pytest.mark.parametrize("q", [0.0, 0.5, 0.95, 1.0])
+def test_nearest_percentile(spark, q):
+    values = {"a": [3.0, 1.0, 2.0, 2.0], "b": [5.0], "c": [float(i * 7919 % 3001) for i in range(3001)]}
+    rows = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs] + [("a", None)], "g string, v double")
+    got = dict(map(tuple, relations.nearest_percentile(rows, ["g"], "v", q, "p", accuracy=100).collect()))
+    assert got == {g: sorted(vs)[round(q * (len(vs) - 1))] for g, vs in values.items()}
+
+
 def test_search(spark):
     rows = spark.createDataFrame([(1, "upper limits on masses", "a title", "text"), (2, "cross sections", "limits of upper things", "x"), (3, "likelihood", "t", "upper limit")], "id int, description string, title string, evidence string")
     ids = lambda q: [r["id"] for r in search.search(rows, q).collect()]
