@@ -9,7 +9,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lacuna.functions import scalars, text, vectors
-from lacuna.operators import evaluation, matching, passages, relations, search
+from lacuna.operators import evaluation, matching, pages, passages, relations, search
 
 
 def one(spark, column, **values):
@@ -174,3 +174,13 @@ def test_evaluation(spark):
     assert sorted((r["outcome"], r["type"]) for r in rows.collect()) == [("fn", "cutflow"), ("fp", "other"), ("tp", "cross_section")]
     assert evaluation.gap_confusion(rows).first()["tp"] == 1
     assert {r["type"]: r["tp"] for r in evaluation.by_type(rows).collect()} == {"cutflow": 0, "other": 0, "cross_section": 1}
+
+
+def test_quotes_on_pages(spark):
+    long = "the observed upper limits on the production cross section of heavy resonances are shown in the last figure of this paper"
+    shown = long.replace("in the last", "in \ufb01gure 12 the last")
+    items = spark.createDataFrame([("d", 1, 0, "nothing here"), ("d", 2, 0, "Before. The observed upper limits on the pro-"), ("d", 2, 1, shown[len("the observed upper limits on the pro"):]), ("d", 2, 2, "another \ufb01ne sentence stands here")], "document string, page int, item int, text string")
+    quotes = spark.createDataFrame([("d", 1, long.replace("shown", "shown~\\ref{f}")), ("d", 2, "another fine sentence"), ("d", 3, "too short"), ("d", 4, "this one is on none of the pages")], "document string, quote int, latex string")
+    first, owners = pages.located(items, quotes)
+    assert sorted((r["quote"], r["page"], r["from"]) for r in first.collect()) == [(1, 2, 6), (2, 2, first.where("quote = 2").first()["from"])]
+    assert sorted((r["page"], r["item"], r["quote"]) for r in owners.collect()) == [(2, 0, 1), (2, 1, 1), (2, 2, 2)]
