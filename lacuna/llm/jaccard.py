@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.llm import bloom
 from lacuna.llm.common import staged
 from lacuna.llm.components import components
 from lacuna.llm.textvec import mix, normalised, shingles, text_slices, word_hashes
@@ -196,15 +197,20 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", forest: Fores
     candidates = components(links).select("node", F.col("component").alias("candidate"))
     members = staged(candidates.join(nodes.select("node", "text_id", "size"), "node"), "jaccard-members")
 
-    texts = rows.join(members.select("text_id", "node"), "text_id").select("node", "text").dropDuplicates(["node"])
+    # Most texts are in no group: a filter of the members keeps them from being shuffled.
+    spread = docs.sparkSession.sparkContext.broadcast(bloom.build(members.select(F.xxhash64("text_id").alias("hash")), "hash"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, 1):
-            words, begins = word_hashes(normalised(batch.column(1)))
-            made = [shingles(words[a:b], forest.width).tobytes() for a, b in zip(begins[:-1], begins[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "shingles"])
-
-    tasks = _blocks(members.select("node", "candidate", "size"), forest).join(texts.mapInArrow(sets, "node long, shingles binary"), "node")
+        for whole in batches:
+            chosen = pa.array(bloom.may_hold(spread.value, whole.column(2).to_numpy().view(np.uint64)))
+            for batch in text_slices(iter([whole.filter(chosen)]), 1):
+                words, begins = word_hashes(normalised(batch.column(1)))
+                made = [shingles(words[a:b], forest.width).tobytes() for a, b in zip(begins[:-1], begins[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["text_id", "shingles"])
+
+    shingled = rows.select("text_id", "text", F.xxhash64("text_id").alias("hash")).mapInArrow(sets, "text_id binary, shingles binary")
+    shingled = shingled.join(members.select("text_id", "node"), "text_id").select("node", "shingles").dropDuplicates(["node"])
+    tasks = _blocks(members.select("node", "candidate", "size"), forest).join(shingled, "node")
     pairs = tasks.groupBy("candidate", "c1", "b1", "c2", "b2").applyInPandas(lambda group: _block_pair(group, forest.threshold), "node long, links long, peer long")
     found = staged(pairs, "jaccard-found")
 
