@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Characters after which a block ends. A block is what one task holds at a time; a longer text is a block of its own.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 12_000_000
 PIECES_AT_ONCE = 200_000
 
 PACKED = "bucket int, block long, docs binary, numbers binary, words binary"
@@ -40,14 +40,21 @@ class Numbering(dict):
 
 
 def _squeeze(numbers: np.ndarray) -> bytes:
-    """Whole numbers below 2^32 as four planes of bytes: the high planes of small numbers take next to nothing."""
-    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.compress(planes.tobytes(), 3)
+    """Whole numbers below 2^32: a byte each, and for those of 255 or more what is left over, as four planes of bytes."""
+    low = np.minimum(numbers, 255).astype(np.uint8)
+    rest = (numbers[low == 255] - 255).astype("<u4")
+    planes = np.ascontiguousarray(rest.view(np.uint8).reshape(-1, 4).T)
+    packed = zstandard.compress(low.tobytes(), 9)
+    return np.array([len(packed)], "<u8").tobytes() + packed + zstandard.compress(planes.tobytes(), 9)
 
 
 def _expand(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
+    end = 8 + int(np.frombuffer(packed, "<u8", 1)[0])
+    low = np.frombuffer(zstandard.decompress(packed[8:end]), np.uint8)
+    planes = np.frombuffer(zstandard.decompress(packed[end:]), np.uint8).reshape(4, -1)
+    numbers = low.astype(np.uint32)
+    numbers[low == 255] += np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
+    return numbers
 
 
 def pack_numbers(*arrays: np.ndarray) -> bytes:
@@ -97,7 +104,7 @@ def _block_rows(block: int, docs: list[pa.RecordBatch], counts: list[int], words
     rows = [(block % buckets, block, to_ipc(kept), pack_numbers(home, number[used]), None)]
     order = np.argsort(home, kind="stable")
     names, starts = np.unique(home[order], return_index=True)
-    for name, start, end in zip(names, starts, [*starts[1:], len(order)], strict=True):
+    for name, start, end in zip(names, starts, np.append(starts, len(order))[1:], strict=True):
         rows.append((int(name), block, None, None, pack_words([encoded[i] for i in by_use[order[start:end]]])))
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "block", "docs", "numbers", "words"])
 
@@ -155,7 +162,7 @@ def per_distinct_word(
     key_bytes: words that begin with the same so many bytes meet in one bucket; all bytes if None.
     Null texts count as empty; repeated rows each give a row; no rows give no rows.
     """
-    buckets = buckets or max(64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or max(64, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     packed = pack_blocks(docs, text, keep, pattern, buckets, key_bytes, block_chars)
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(out, out_type)])
 
