@@ -27,11 +27,24 @@ def stem_text(word: str) -> str:
     return re.sub(f"(?<=[a-z]{{3}}){ENDINGS}", "", word.lower())
 
 
-def index(products: DataFrame, key: str = "id", fields: dict[str, float] = WEIGHTS) -> DataFrame:
-    """key, field, weight, position, term; stop words keep their positions but give no rows."""
+def index(products: DataFrame, key: str = "id", fields: dict[str, float] = WEIGHTS, terms: list[str] | None = None) -> DataFrame:
+    """key, field, weight, position, term; stop words keep their positions but give no rows. terms: those that are wanted, all if None.
+
+    A stem is the beginning of its word, so words that begin with no wanted term are dropped before they are stemmed.
+    """
     parts = [F.struct(F.lit(f).alias("field"), F.lit(w).alias("weight"), F.split(F.lower(F.col(f)), "[^a-z0-9]+").alias("words")) for f, w in fields.items()]
     rows = products.select(key, F.explode(F.array(*parts)).alias("p")).select(key, "p.field", "p.weight", F.posexplode("p.words").alias("position", "word"))
-    return rows.where((F.col("word") != "") & ~F.col("word").isin(*STOP)).select(key, "field", "weight", "position", stemmed(F.col("word")).alias("term"))
+    rows = rows.where((F.col("word") != "") & ~F.col("word").isin(*STOP))
+    if terms is not None:
+        near = F.lit(False)
+        for term in terms:
+            near = near | F.col("word").startswith(term)
+        return index_terms(rows.where(near), key).where(F.col("term").isin(*terms) if terms else F.lit(False))
+    return index_terms(rows, key)
+
+
+def index_terms(rows: DataFrame, key: str) -> DataFrame:
+    return rows.select(key, "field", "weight", "position", stemmed(F.col("word")).alias("term"))
 
 
 @dataclass(frozen=True)
@@ -64,7 +77,7 @@ def search(products: DataFrame, text: str, key: str = "id", fields: dict[str, fl
     alternatives = parse(text)
     clauses = list(dict.fromkeys(c for a in alternatives for c in a))
     terms = sorted({t for c in clauses for t in c.terms})
-    found = index(products, key, fields).where(F.col("term").isin(*terms) if terms else F.lit(False))
+    found = index(products, key, fields, terms)
     hits = found.groupBy(key, "field", "weight").agg(*[F.collect_list(F.when(F.col("term") == t, F.col("position"))).alias(f"t{i}") for i, t in enumerate(terms)])
 
     def shifted(column: Column, distance: int) -> Column:
