@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.llm.common import map_in_arrow
 from lacuna.llm.textvec import mix
 
 BITS = 1 << 25
@@ -33,7 +34,7 @@ def build(rows: DataFrame, column: str) -> np.ndarray:
         if len(used):
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(bits[used].view(np.int64))], names=["place", "bits"])
 
-    found = rows.select(F.col(column).cast("long")).where(F.col(column).isNotNull()).mapInArrow(words, "place int, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = map_in_arrow(rows.select(F.col(column).cast("long")).where(F.col(column).isNotNull()), words, "place int, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
     bits = np.zeros(BITS >> 6, np.uint64)
     bits[found.column("place").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return bits

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lacuna.llm.common import map_in_arrow
 from lacuna.llm.wordblocks import BLOCK_CHARS, per_distinct_word
 
 IDS_AT_ONCE = 2_000_000
@@ -91,7 +92,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", out: str = "de
                 yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, out])
                 begin = end
 
-    return encoded.mapInArrow(joined, T.StructType([*encoded.schema.fields, T.StructField(out, T.BinaryType())]))
+    return map_in_arrow(encoded, joined, T.StructType([*encoded.schema.fields, T.StructField(out, T.BinaryType())]))
 
 
 def digests(encoded: DataFrame, ids: str = "ids", decoded: str = "decoded") -> list:

@@ -30,6 +30,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A batch of rows that goes to Python holds so many bytes at most, or one row.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have Arrow batches end after BATCH_BYTES: texts have any length, and a batch of thousands of them is much of a worker's memory.
+
+    A session setting; one that is smaller already stays.
+    """
+    size = spark.conf.get(_BATCH_SETTING, None)
+    if size is None or not size.rstrip("b").isdigit() or int(size.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
+def map_in_arrow(rows: DataFrame, function: Callable, schema) -> DataFrame:
+    """rows.mapInArrow(function, schema) in small batches."""
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(function, schema)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once per row even if body uses it within lambdas."""
     return F.transform(F.array(value), body)[0]

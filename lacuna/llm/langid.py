@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.llm.common import map_in_arrow
+from lacuna.llm.samples import hash_sample
 from lacuna.llm.textvec import mix, text_slices
 
 UNKNOWN = "und"
@@ -95,17 +97,17 @@ def fit(rows: np.ndarray, languages: list[str], kernel: Kernel) -> Model:
 
 
 def train(docs: DataFrame, text: str, lang: str, order: Column, kernel: Kernel = Kernel()) -> Model:
-    """A model from the rows of docs that have a language, letters and sample_chars characters at most; of more than sample_rows, those least by order."""
+    """A model from the rows of docs that have a language, letters and sample_chars characters at most; of more than sample_rows, those least by order, a 64-bit hash."""
     value = F.col(text).cast("string")
     usable = docs.where(F.col(lang).isNotNull() & value.isNotNull() & (F.length(value) <= kernel.sample_chars) & value.rlike(r"\p{L}"))
-    sample = usable.select(value.alias("text"), F.col(lang).alias("lang"), order.alias("place")).orderBy("place", "lang").limit(kernel.sample_rows)
+    sample = hash_sample(usable.select(value.alias("text"), F.col(lang).alias("lang"), order.alias("place")), F.col("place"), kernel.sample_rows)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 0, 1 << 21):
             bits = np.packbits(presence(batch.column(0), kernel), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in bits], pa.binary()), batch.column(1), batch.column(2)], names=["bits", "lang", "place"])
 
-    rows = sample.mapInArrow(packed, "bits binary, lang string, place long").toArrow().sort_by([("place", "ascending"), ("lang", "ascending"), ("bits", "ascending")])
+    rows = map_in_arrow(sample, packed, "bits binary, lang string, place long").toArrow().sort_by([("place", "ascending"), ("lang", "ascending"), ("bits", "ascending")])
     bits = [np.unpackbits(np.frombuffer(b, np.uint8)) for b in rows.column("bits").to_pylist()]
     return fit(np.stack(bits) if bits else np.zeros((0, kernel.places), np.uint8), rows.column("lang").to_pylist(), kernel)
 
@@ -134,4 +136,4 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
                 yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(names, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string", "score double"])
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(scored, schema)
+    return map_in_arrow(docs.select(*keep, F.col(text).cast("string").alias("__text")), scored, schema)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are hashed at a time; a longer text is cut between words.
-BYTES_AT_ONCE = 1 << 20
+BYTES_AT_ONCE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = 32
 
@@ -122,7 +122,7 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
     return np.unique(window_hashes(words, width))
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: int = 0, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], column: int = 0, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches again in slices of limit bytes of text at most, or of one row, to bound what is worked on at once."""
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.llm.common import map_in_arrow
+
 CHUNK = 1 << 18
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "path string, records long, bytes long"
@@ -95,7 +97,7 @@ def write(records: DataFrame, folder: str, key: str = "page_id", uri: str = "url
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*closed, strict=True)], names=["path", "records", "bytes"])
 
     chosen = first_holders(records.select(F.col(key).alias("key"), F.col(uri).cast("string").alias("uri"), F.col(payload).cast("string").alias("payload")), "key", "payload", at_least)
-    return chosen.select("key", "uri", "payload", "refers_to").mapInArrow(archives, MANIFEST)
+    return map_in_arrow(chosen.select("key", "uri", "payload", "refers_to"), archives, MANIFEST)
 
 
 def _values(column: pa.Array) -> Iterator:
@@ -215,7 +217,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield _rows(rows)
 
-    return manifest.select("path", "records").mapInArrow(records, RECORDS)
+    return map_in_arrow(manifest.select("path", "records"), records, RECORDS)
 
 
 def _id(urn: str | None) -> str | None:

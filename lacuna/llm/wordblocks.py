@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lacuna.llm.common import map_in_arrow
+
 #: Characters after which a block ends. A block is what one task holds at a time; a longer text is a block of its own.
 BLOCK_CHARS = 12_000_000
 PIECES_AT_ONCE = 200_000
@@ -139,7 +141,7 @@ def pack_blocks(docs: DataFrame, text: str, keep: list[str], pattern: str, bucke
         if counts:
             yield from _block_rows(block, held, counts, words, numbers, buckets, key_bytes).to_batches()
 
-    return docs.select(F.col(text).cast("string").alias("__text"), *[F.col(c) for c in keep]).mapInArrow(blocks, PACKED)
+    return map_in_arrow(docs.select(F.col(text).cast("string").alias("__text"), *[F.col(c) for c in keep]), blocks, PACKED)
 
 
 def per_distinct_word(
