@@ -19,8 +19,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import staged
-from lacuna.llm.textvec import bytes_of, hash_runs, mix, pieces, text_slices, window_hashes
+from lacuna.llm import bloom
+from lacuna.llm.common import map_in_arrow, staged
+from lacuna.llm.textvec import bytes_of, hash_runs, pieces, text_slices, window_hashes
 
 #: Words that count as units.
 UNITS = (
@@ -29,15 +30,14 @@ UNITS = (
 ).split()
 
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x1111111111111111, 0x2222222222222222, 0x3333333333333333))
-FILTER_BITS = 1 << 23
 
 
 @dataclass(frozen=True)
 class Rule:
     #: Words in a window.
-    width: int = 8
+    width: int = 6
     #: Share of an item's windows that a document must hold. Items shorter than a window are one window.
-    coverage: float = 0.6
+    coverage: float = 0.5
     #: Share of the item's slot values that map to one value each.
     consistency: float = 0.8
 
@@ -68,7 +68,7 @@ def _units() -> np.ndarray:
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Template hashes of the words, plain hashes of the words, and the word at which each text begins (n + 1 places).
 
-    A word with a digit is a number; a capitalised word within a sentence is a name; the template has their types.
+    A word with a digit is a number; a word within a sentence whose first letter alone is a capital is a name; the template has their types.
     """
     spaced = _spaced(texts)
     data, offsets = bytes_of(spaced)
@@ -93,7 +93,8 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         stop &= ends - starts == 1
         first = np.concatenate([[True], stop[:-1]]) if len(stop) else stop
         first |= np.isin(starts, bounds)
-        upper = (part[starts] >= 65) & (part[starts] <= 90)
+        second = np.append(part, 32)[starts + 1]
+        upper = (part[starts] >= 65) & (part[starts] <= 90) & (((second >= 97) & (second <= 122)) | (second >= 128))
         template = hashes.copy()
         template[upper & ~first & ~number] = NAME
         template[np.isin(hashes, units)] = UNIT
@@ -142,7 +143,7 @@ def item_windows(items: DataFrame, width: int) -> DataFrame:
                     at = np.arange(begin, end - w + 1)
                     yield _batch(batch.column(0), np.full(len(at), row), hashed_windows(templates[begin:end], plain[begin:end], w), at, int(w), templates, plain, begins)
 
-    return items.mapInArrow(scan, _schema(items))
+    return map_in_arrow(items, scan, _schema(items))
 
 
 def document_windows(rows: DataFrame, widths: list[int], bits: np.ndarray) -> DataFrame:
@@ -156,41 +157,13 @@ def document_windows(rows: DataFrame, widths: list[int], bits: np.ndarray) -> Da
                 if len(templates) < w:
                     continue
                 hashes = hashed_windows(templates, plain, w)
-                at = np.flatnonzero(_let_through(hashes, spread.value))
+                at = np.flatnonzero(bloom.may_hold(spread.value, hashes))
                 owner = np.searchsorted(begins, at, "right") - 1
                 whole = at + w <= begins[owner + 1]
                 at, owner = at[whole], owner[whole]
                 yield _batch(batch.column(0), owner, hashes[at], at, w, templates, plain, begins)
 
-    return rows.mapInArrow(scan, _schema(rows))
-
-
-def _bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    other = mix(hashes)
-    return hashes & np.uint64(FILTER_BITS - 1), other & np.uint64(FILTER_BITS - 1)
-
-
-def _let_through(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    first, second = _bits(hashes)
-    test = lambda b: (bits[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8)) & 1
-    return (test(first) & test(second)).astype(bool)
-
-
-def _filter(windows: DataFrame) -> np.ndarray:
-    """A Bloom filter of the windows: FILTER_BITS bits, however many windows there are. Tasks set bits; their bytes are or-ed by place."""
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS >> 3, np.uint8)
-        for batch in batches:
-            for b in _bits(batch.column(0).to_numpy().view(np.uint64)):
-                np.bitwise_or.at(bits, (b >> np.uint64(3)).astype(np.int64), np.uint8(1) << (b & np.uint64(7)).astype(np.uint8))
-        used = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(bits[used].astype(np.int32))], names=["place", "bits"])
-
-    rows = windows.select("window").mapInArrow(places, "place int, bits int").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS >> 3, np.uint8)
-    bits[rows.column("place").to_numpy()] = rows.column("bits").to_numpy()
-    return bits
+    return map_in_arrow(rows, scan, _schema(rows))
 
 
 def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", rule: Rule = Rule()) -> DataFrame:
@@ -206,7 +179,7 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     benchmark = benchmark.join(totals, "key").select(F.col("key").alias("item"), "windows", "width", "window", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
     widths = sorted({rule.width, *(r[0] for r in benchmark.select("width").distinct().collect())})
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    hits = document_windows(rows, widths, _filter(benchmark)).join(benchmark, ["width", "window"])
+    hits = document_windows(rows, widths, bloom.build(benchmark, "window")).join(benchmark, ["width", "window"])
 
     # Windows of one passage keep their distance from the item's; each such run has slots of its own.
     mapped = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
