@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,10 +47,23 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
 
+def release() -> None:
+    """Give memory that is free in this Python process back to the system; a worker stays for the next tasks, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_in_arrow(rows: DataFrame, function: Callable, schema) -> DataFrame:
-    """rows.mapInArrow(function, schema) in small batches."""
+    """rows.mapInArrow(function, schema) in small batches; memory is released when a partition ends."""
     small_batches(rows.sparkSession)
-    return rows.mapInArrow(function, schema)
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        release()
+
+    return rows.mapInArrow(released, schema)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lacuna.llm.common import map_in_arrow
+from lacuna.llm.common import map_in_arrow, release
 
 #: Characters after which a block ends. A block is what one task holds at a time; a longer text is a block of its own.
 BLOCK_CHARS = 12_000_000
@@ -198,6 +198,8 @@ def per_distinct_word(
         place[np.argsort(home, kind="stable")] = np.arange(len(home), dtype=np.uint32)
         numbers = place[used]
         begins = np.concatenate([[0], np.cumsum(docs_.column("__n").to_numpy())]).astype(np.int64)
-        return docs_.drop_columns(["__n"]).append_column(out, assemble(lists, numbers, begins))
+        made = docs_.drop_columns(["__n"]).append_column(out, assemble(lists, numbers, begins))
+        release()
+        return made
 
     return packed.groupBy("bucket").applyInArrow(resolved, PACKED).groupBy("block").applyInArrow(assembled, schema)
