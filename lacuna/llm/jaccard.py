@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm import bloom
-from lacuna.llm.common import staged
+from lacuna.llm.common import map_in_arrow, staged
 from lacuna.llm.components import components
 from lacuna.llm.textvec import mix, normalised, shingles, text_slices, word_hashes
 
@@ -97,7 +97,7 @@ def _sketches(rows: DataFrame, forest: Forest) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *made], names=["key", "text_id", "size", "content", "prefixes"])
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.select("key", "text", "text_id").mapInArrow(sketch, f"key {kind}, text_id binary, size long, content binary, prefixes array<long>")
+    return map_in_arrow(rows.select("key", "text", "text_id"), sketch, f"key {kind}, text_id binary, size long, content binary, prefixes array<long>")
 
 
 def _verified(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float) -> np.ndarray:
@@ -208,7 +208,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", forest: Fores
                 made = [shingles(words[a:b], forest.width).tobytes() for a, b in zip(begins[:-1], begins[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["text_id", "shingles"])
 
-    shingled = rows.select("text_id", "text", F.xxhash64("text_id").alias("hash")).mapInArrow(sets, "text_id binary, shingles binary")
+    shingled = map_in_arrow(rows.select("text_id", "text", F.xxhash64("text_id").alias("hash")), sets, "text_id binary, shingles binary")
     shingled = shingled.join(members.select("text_id", "node"), "text_id").select("node", "shingles").dropDuplicates(["node"])
     tasks = _blocks(members.select("node", "candidate", "size"), forest).join(shingled, "node")
     pairs = tasks.groupBy("candidate", "c1", "b1", "c2", "b2").applyInPandas(lambda group: _block_pair(group, forest.threshold), "node long, links long, peer long")
@@ -231,12 +231,17 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", forest: Fores
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", forest: Forest = Forest()) -> DataFrame:
-    """docs without all but one document of each class of join(): the one of the class's key, a repeated row once.
+    """docs without all but one document of each class of join(): the one of the class's key.
 
-    Texts without words all stay, but for repeated rows. Different texts with the same key stay or go by their own classes.
+    Texts without words all stay. Rows that share a key stay or go together, and of repeated rows one stays.
+    What goes, and keys with more than one row, are the smaller parts, so the texts that stay are shuffled only where those do not fit a broadcast.
     """
-    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    answers = join(docs, key, text, forest)
-    stay = staged(answers.where(F.col(key).eqNullSafe(F.col("class_id"))).select(name.alias("__key")).distinct(), "jaccard-stay")
-    named = docs.withColumn("__key", name).withColumn("__same", F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
-    return named.join(stay, "__key", "left_semi").dropDuplicates(["__key", "__same"]).select(*docs.columns)
+    name = F.coalesce(F.col(key).cast("string"), F.lit("")).alias("__key")
+    head = F.bool_or(F.col(key).eqNullSafe(F.col("class_id"))).alias("head")
+    keys = staged(join(docs, key, text, forest).groupBy(name).agg(head, F.count("*").alias("n")), "jaccard-kept")
+    gone = staged(keys.where("NOT head OR n > 1").select("__key"), "jaccard-gone")
+    more = staged(keys.where("head AND n > 1").select("__key"), "jaccard-repeated")
+    named = docs.select(*docs.columns, name)
+    same = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")).alias("__same")
+    repeated = named.join(more, "__key", "left_semi").select("*", same).dropDuplicates(["__key", "__same"])
+    return named.join(gone, "__key", "left_anti").select(*docs.columns).unionByName(repeated.select(*docs.columns))

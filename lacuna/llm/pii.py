@@ -95,6 +95,8 @@ def score(edges: DataFrame, options: Bootstrap) -> DataFrame:
             .groupBy("pattern")
             .agg((F.sum("score") / (F.count("*") + options.doubt)).alias("confidence"), F.count_if("seed").alias("support"))
         )
+        # A pattern may stand in a third of all edges: as a table it joins them by a key that can be split.
+        patterns = staged(patterns, "pii-patterns")
         if left:
             # A seed stays certain. Patterns that too few seeds stand in tell nothing.
             told = F.when(F.col("support") >= options.support, F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))).otherwise(0.0)
@@ -122,6 +124,8 @@ def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, opt
     trusted = score(edges, options).where((F.col("confidence") >= options.confidence) & (F.col("support") >= options.support))
     found = occurrences.where("NOT seed").join(trusted.select("pattern"), "pattern", "left_semi").select("row", "start", F.lit(len(BASE)).alias("rank"), "end").distinct()
     added = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end"))).alias("added"))
+    # As a table its size is known: where it is small, the rows it goes to are not shuffled.
+    added = staged(added, "pii-added")
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
     return scanned.select("row", "kept", "base").join(added, "row", "left").select("kept.*", F.col("base").alias(base), F.coalesce("added", none).alias(extra))
 

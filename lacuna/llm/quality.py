@@ -9,7 +9,7 @@ The models are fitted on bounded samples (Training); everything else, features a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,15 +17,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lacuna.llm.common import small_batches
+from lacuna.llm.samples import hash_sample
 from lacuna.llm.textvec import bytes_of, hash_runs, mix, text_slices
 
 
 @dataclass(frozen=True)
 class Training:
-    #: Bounds of the samples that the models are fitted on.
-    labelled_rows: int = 12_000
-    pool_rows: int = 12_000
+    #: Bounds of the samples that the models are fitted on: rows, and characters of a row.
+    labelled_rows: int = 8_000
+    pool_rows: int = 8_000
+    sample_chars: int = 50_000
     rounds: int = 4
     #: Rows of each class that a view hands over in a round, and how sure it must be of them.
     handed: int = 400
@@ -33,7 +37,7 @@ class Training:
     ridge: float = 1e-3
     #: Places that the characters' shapes and metadata values are hashed to.
     shapes: int = 64
-    values: int = 256
+    values: int = 128
 
 
 NUMERIC = 14
@@ -167,52 +171,52 @@ def cotrain(labelled: tuple[np.ndarray, np.ndarray, np.ndarray], pool: tuple[np.
     return Model(mean, scale, models[0], models[1], combined, float(y.mean()))
 
 
-def _features(docs: DataFrame, carried: list[str], text: str, metadata: list[str], options: Training, finish, schema: str) -> DataFrame:
-    n = len(carried)
+def _per_document(make: Callable[[np.ndarray, np.ndarray], pa.Array], text: str, metadata: list[str], docs: DataFrame, kind: T.DataType, options: Training) -> Column:
+    """A column that make gives of a document's two feature vectors. Text and metadata go to Python, and only the answer comes back."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, n):
-            columns = batch.columns
-            yield finish(columns[:n], text_features(columns[n], options.shapes), metadata_features(columns[n + 1 :], options.values))
+    def run(texts: pa.Array, values: pa.Array) -> pa.Array:
+        parts = []
+        for batch in text_slices(iter([pa.RecordBatch.from_arrays([texts, *values.flatten()], names=[str(i) for i in range(values.type.num_fields + 1)])])):
+            parts.append(make(text_features(batch.column(0), options.shapes), metadata_features(batch.columns[1:], options.values)))
+        return pa.concat_arrays(parts) if parts else pa.nulls(0, make(np.zeros((0, NUMERIC + options.shapes)), np.zeros((0, options.values))).type)
 
-    kinds = {c: docs.schema[c].dataType for c in metadata}
-    plain = [F.col(c) if k.typeName() in ("long", "integer", "double", "float", "short", "byte") else F.col(c).cast("string") for c, k in kinds.items()]
-    aliased = [c.alias(f"__m{i}") for i, c in enumerate(plain)]
-    return docs.select(*carried, F.col(text).cast("string").alias("__text"), *aliased).mapInArrow(run, schema)
+    small_batches(docs.sparkSession)
+    numeric = ("long", "integer", "double", "float", "short", "byte")
+    plain = [F.col(c) if docs.schema[c].dataType.typeName() in numeric else F.col(c).cast("string") for c in metadata]
+    named = [c.alias(f"m{i}") for i, c in enumerate(plain)] or [F.lit(0).alias("m0")]
+    return F.arrow_udf(run, kind, F.ArrowUDFType.SCALAR)(F.col(text).cast("string"), F.struct(*named))
 
 
 def _matrix(docs: DataFrame, label: Column, text: str, metadata: list[str], options: Training) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of a bounded sample, on the driver."""
-
-    def finish(kept, texts, metadatas):
-        raw = [np.concatenate([t, m]).astype(np.float32).tobytes() for t, m in zip(texts, metadatas, strict=True)]
-        return pa.RecordBatch.from_arrays([*kept, pa.array(raw, pa.binary())], names=["__label", "__order", "x"])
-
-    rows = _features(docs.withColumn("__label", label.cast("double")), ["__label", "__order"], text, metadata, options, finish, "__label double, __order long, x binary").toArrow()
-    rows = rows.sort_by([("__order", "ascending"), ("x", "ascending")])
-    x = np.stack([np.frombuffer(b, np.float32) for b in rows.column("x").to_pylist()]).astype(np.float64) if len(rows) else np.zeros((0, NUMERIC + options.shapes + options.values))
+    packed = _per_document(lambda t, m: pa.array([r.tobytes() for r in np.concatenate([t, m], axis=1).astype(np.float32)], pa.binary()), text, metadata, docs, T.BinaryType(), options)
+    rows = docs.select(label.cast("double").alias("label"), F.col("__order").alias("place"), packed.alias("x")).toArrow().sort_by([("place", "ascending"), ("x", "ascending")])
+    width = NUMERIC + options.shapes + options.values
+    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, width)
     cut = NUMERIC + options.shapes
-    return x[:, :cut], x[:, cut:], rows.column("__label").to_numpy()
+    return x[:, :cut], x[:, cut:], rows.column("label").to_numpy().astype(np.float64)
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", metadata: tuple[str, ...] = ("lang", "source", "n_chars"), options: Training = Training()) -> Model | None:
     """A model from labels (key, label 0 or 1) and from documents without one; None where not both labels are there.
 
-    The samples are the rows least by a hash of the key; null keys, labels and texts take no part.
+    The samples are rows least by a hash of the key, of sample_chars characters at most; null keys, labels and texts take no part.
     """
     order = F.xxhash64(F.col(key), F.lit(7)).alias("__order")
     columns = list(dict.fromkeys([key, text, *metadata]))
-    usable = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(*columns, order)
-    given = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.min(label).alias("__given"))
-    chosen = given.select(key, "__given", order).orderBy("__order").limit(options.labelled_rows).drop("__order")
-    labelled = usable.join(F.broadcast(chosen), key).orderBy("__order").limit(options.labelled_rows)
-    unknown = usable.select(key, "__order").join(given, key, "left_anti").distinct().orderBy("__order").limit(options.pool_rows).select(key)
-    pool = usable.join(F.broadcast(unknown), key).orderBy("__order").limit(options.pool_rows)
-    x, m, y = _matrix(labelled, F.col("__given"), text, list(metadata), options)
-    if len(np.unique(y)) < 2 or len(y) < 8:
+    given = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("__given"))
+    chosen = hash_sample(given.select(key, "__given", order), F.col("__order"), options.labelled_rows)
+    others = docs.where(F.col(key).isNotNull()).select(key).join(given, key, "left_anti").distinct()
+    pool = hash_sample(others.select(key, F.lit(None).alias("__given"), order), F.col("__order"), options.pool_rows)
+    # Keys are drawn without a look at the texts; one scan then gives both samples, whose keys are few enough to broadcast.
+    fit = F.col(text).isNotNull() & (F.length(text) <= options.sample_chars)
+    most = options.labelled_rows + options.pool_rows
+    sample = docs.select(*columns).join(F.broadcast(chosen.unionByName(pool)), key).where(fit).orderBy("__order").limit(most)
+    x, m, y = _matrix(sample, F.col("__given"), text, list(metadata), options)
+    known = ~np.isnan(y)
+    if len(np.unique(y[known])) < 2 or known.sum() < 8:
         return None
-    px, pm, _ = _matrix(pool, F.lit(None), text, list(metadata), options)
-    return cotrain((x, m, y), (px, pm), options)
+    return cotrain((x[known], m[known], y[known]), (x[~known], m[~known]), options)
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", metadata: tuple[str, ...] = ("lang", "source", "n_chars"), keep: list[str] | None = None, out: str = "quality_score", options: Training = Training()) -> DataFrame:
@@ -220,10 +224,8 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", metadata: tu
     carried = docs.columns if keep is None else keep
     spread = docs.sparkSession.sparkContext.broadcast(model)
 
-    def finish(kept, texts, metadatas):
+    def probability(texts: np.ndarray, metadatas: np.ndarray) -> pa.Array:
         known = spread.value
-        p = np.ones(len(texts)) if known is None else known.probability(texts, metadatas)
-        return pa.RecordBatch.from_arrays([*kept, pa.array(p)], names=[*carried, out])
+        return pa.array(np.ones(len(texts)) if known is None else known.probability(texts, metadatas), pa.float64())
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried), f"`{out}` double"])
-    return _features(docs, carried, text, list(metadata), options, finish, schema)
+    return docs.select(*carried, _per_document(probability, text, list(metadata), docs, T.DoubleType(), options).alias(out))
