@@ -89,14 +89,16 @@ def nearest_percentile(rows: DataFrame, by: list[str], value: str, q: float, out
     """For each group the value at the index that q * (n - 1) rounds to, half to even, in order of value. Exact, without a sort of whole groups.
 
     A sketch of each group bounds the value from both sides; what lies below is counted, and only what lies between, some 4 / accuracy
-    of the group, is ranked. Nulls do not count.
+    of the group, is ranked. Bounds this close are sure only where 1 / accuracy of a group is 1.5 rows or more, as places are rounded;
+    groups of 2 * accuracy rows at most are ranked whole. Nulls do not count.
     """
     rows = rows.where(F.col(value).isNotNull()).select(*by, value)
     slack = 2 / accuracy
     bounds = F.percentile_approx(value, F.array(F.lit(max(0.0, q - slack)), F.lit(min(1.0, q + slack))), accuracy)
     sketched = rows.groupBy(*by).agg(F.count("*").alias("__n"), bounds.alias("__b"))
     known = rows.join(sketched.select(*by, "__n", F.col("__b")[0].alias("__low"), F.col("__b")[1].alias("__high")), by)
-    below = known.groupBy(*by).agg(F.count_if(F.col(value) < F.col("__low")).alias("__below"))
-    between = known.where(F.col(value).between(F.col("__low"), F.col("__high"))).withColumn("__place", F.row_number().over(Window.partitionBy(*by).orderBy(value)))
+    small = F.col("__n") <= 2 * accuracy
+    below = known.groupBy(*by).agg(F.count_if(~small & (F.col(value) < F.col("__low"))).alias("__below"))
+    between = known.where(small | F.col(value).between(F.col("__low"), F.col("__high"))).withColumn("__place", F.row_number().over(Window.partitionBy(*by).orderBy(value)))
     wanted = F.bround(F.lit(q) * (F.col("__n") - 1), 0).cast("long") + 1
     return between.join(below, by).where(F.col("__place") + F.col("__below") == wanted).select(*by, F.col(value).alias(out))

@@ -184,3 +184,13 @@ def test_quotes_on_pages(spark):
     first, owners = pages.located(items, quotes)
     assert sorted((r["quote"], r["page"], r["from"]) for r in first.collect()) == [(1, 2, 6), (2, 2, first.where("quote = 2").first()["from"])]
     assert sorted((r["page"], r["item"], r["quote"]) for r in owners.collect()) == [(2, 0, 1), (2, 1, 1), (2, 2, 2)]
+
+
+def test_nearest_percentile_of_every_group_size(spark):
+    sizes = [*range(1, 30), 181, 190, 191, 211, 400]
+    rows = [(n, float((i * 7919) % n)) for n in sizes for i in range(n)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    for q in (0.0, 0.05, 0.5, 0.95, 1.0):
+        want = {n: sorted(v for g, v in rows if g == n)[round(q * (n - 1))] for n in sizes}
+        for accuracy in (10_000, 20):
+            assert dict(map(tuple, relations.nearest_percentile(df, ["g"], "v", q, "p", accuracy).collect())) == want
