@@ -1,10 +1,10 @@
 """Personal data: fixed patterns, and identifiers found by the contexts that known ones stand in.
 
-The identifiers that the fixed patterns find are seeds. Each candidate (a run of identifier characters with
-enough digits) stands in lexical patterns: the word before it, the two words before it and the word after it. The bipartite
-graph of patterns and instances is scored in rounds of joins and aggregations: a pattern is as good as the mean
-score of its instances, an instance is as likely as the noisy-or of its patterns. Candidates in patterns that end with a high
-score and enough seeds are new identifiers.
+All that the fixed patterns find are seeds. A text is a row of units: base spans, groups of numbers, and words. Each unit stands in lexical
+patterns: the unit before it, the two before it, the unit after it; and up to GROUP units stand in the frame of the unit before and the unit after them.
+Every unit and group in a pattern that enough seeds stand in is an instance of it. The bipartite graph of patterns and instances is
+scored in rounds of joins and aggregations: a pattern is as good as the mean score of its instances, an instance is as likely as
+the noisy-or of its trusted patterns. What stands in patterns that end with a high score and enough seeds are new identifiers.
 """
 
 from __future__ import annotations
@@ -26,16 +26,23 @@ BASE = ["email", "ip", "card", "phone"]
 CONTEXT = "context"
 KINDS = [*BASE, CONTEXT]
 
-CANDIDATE = r"(?<![A-Za-z0-9._@+-])[A-Za-z._@+-]{0,40}+[0-9][A-Za-z0-9._@+-]{4,63}"
+#: Within masked texts base spans are moved, character by character, to this range, which no word holds; places stay as they are.
+HIDDEN = 0xE000
+_ASCII = "".join(map(chr, range(32, 127)))
+_HIDDEN = "".join(chr(HIDDEN + ord(c)) for c in _ASCII)
+SEED = f"[{_HIDDEN[0]}-{_HIDDEN[-1]}]++"
+_LETTER = r"[\p{L}\p{M}\p{N}_]"
+#: Numbers that stand together, a sign apart; a word with what joins its parts.
+NUMBERS = rf"[+(]?+[0-9]{_LETTER}*+(?:\)?+[\x20./-]\(?+[0-9]{_LETTER}*+)*+"
+WORD = rf"[+#@]?+{_LETTER}++(?:[@+./'-]++{_LETTER}++)*+"
+UNIT = f"{SEED}|{NUMBERS}(?![@+./'-]*+{_LETTER})|{WORD}"
+#: Units of a group in a frame.
+GROUP = 6
 
 
 @dataclass(frozen=True)
 class Bootstrap:
     rounds: int = 3
-    #: Digits that a candidate has at least.
-    digits: int = 5
-    #: Characters before and after a candidate that its patterns are taken from.
-    context: int = 48
     #: What a pattern needs to find new identifiers: its score, and its distinct seed instances.
     confidence: float = 0.8
     support: int = 3
@@ -66,48 +73,103 @@ def base_spans(text: Column) -> Column:
     return F.concat(kept(spans(text, EMAIL), 0), kept(spans(text, IP), 1, _small_parts), kept(spans(text, CARD), 2, _luhn), kept(spans(text, PHONE), 3, fits))
 
 
-def _patterns(s: Column) -> Column:
-    """The lexical patterns that a candidate stands in; digits count alike."""
-    plain = lambda c: F.regexp_replace(F.lower(c), "[0-9]+", "0")
-    two = plain(F.regexp_replace(F.regexp_extract(s["before"], r"(\S++\s++)?\S++\s*+$", 0), r"\s+", " "))
-    one = plain(F.regexp_extract(s["before"], r"\S++\s*+$", 0))
-    after = plain(F.regexp_extract(s["after"], r"^\s*+\S++", 0))
-    all_three = F.array(F.concat(F.lit("2:"), F.trim(two)), F.concat(F.lit("1:"), F.trim(one)), F.concat(F.lit("a:"), F.trim(after)))
-    return F.array_distinct(F.filter(all_three, lambda p: F.length(p) > 2))
+def _replaced(text: Column, found: Column, by) -> Column:
+    """text with the union of each run of overlapping spans of found (by start) replaced: by(span, its text) at the first, by(None, text) at what later ones add."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def step(state: Column, s: Column) -> Column:
+        first = s["start"] >= state["at"]
+        start = F.greatest(s["start"], state["at"])
+        own = F.substring(text, start + 1, F.greatest(s["end"] - start, F.lit(0)))
+        gap = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["parts"], F.array(gap, F.when(first, by(s, own)).otherwise(by(None, own)))).alias("parts"))
+
+    def done(state: Column) -> Column:
+        return F.concat(F.array_join(state["parts"], ""), F.substring(text, state["at"] + 1, F.length(text)))
+
+    return F.when(F.size(found) > 0, F.aggregate(found, zero, step, done)).otherwise(text)
 
 
-def _candidates(text: Column, base: Column, options: Bootstrap) -> Column:
-    found = F.filter(spans(text, CANDIDATE, options.context), lambda s: F.length(_digits(s["value"])) >= options.digits)
-    return F.transform(
-        found,
-        lambda s: F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("instance"), _patterns(s).alias("patterns"), F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])).alias("seed")
-        ),
-    )
+def masked(text: Column, base: Column) -> Column:
+    """text with the characters of all base spans moved to the hidden range, at their places."""
+    free = F.when(text.rlike(SEED), F.translate(text, _HIDDEN, chr(HIDDEN + 0xFF) * len(_HIDDEN))).otherwise(text)
+    return _replaced(free, F.array_sort(base), lambda _, own: F.translate(own, _ASCII, _HIDDEN))
+
+
+def _slots(texts: DataFrame) -> DataFrame:
+    """row, masked -> a row for each unit: row, place, the units from it on (u0 and more) and the plain forms of those around it (b2, b1, a1 and more)."""
+    small = F.lower("masked")
+    plain = F.regexp_replace(F.regexp_replace(small, SEED, _HIDDEN[0]), "[0-9]+", "0")
+    arrays = texts.select("row", F.regexp_extract_all(small, F.lit(UNIT), F.lit(0)).alias("u"), F.regexp_extract_all(plain, F.lit(UNIT), F.lit(0)).alias("p"))
+    none = F.array(F.lit(None).cast("string"))
+    n = F.size("u")
+    later = lambda c, k: F.slice(c, F.lit(k + 1), F.greatest(n - k, F.lit(0)))
+    before = lambda k: F.slice(F.concat(*[none] * k, F.col("p")), F.lit(1), n)
+    zipped = {"b2": before(2), "b1": before(1)}
+    zipped |= {f"u{k}": later(F.col("u"), k) for k in range(GROUP)} | {f"a{k}": later(F.col("p"), k) for k in range(1, GROUP + 1)}
+    arrays = arrays.where(n > 0).select("row", *[c.alias(name) for name, c in zipped.items()])
+    rows = arrays.select("row", F.posexplode(F.arrays_zip(*zipped)).alias("place", "s"))
+    return rows.select("row", "place", *[F.col("s")[name].alias(name) for name in zipped])
+
+
+def _is_seed(unit: str) -> Column:
+    return F.coalesce(F.col(unit).between(_HIDDEN[0], chr(HIDDEN + 127)), F.lit(False))
+
+
+def _single() -> Column:
+    """The hashes of the patterns that a unit alone stands in."""
+    b2, b1, a1 = F.col("b2"), F.col("b1"), F.col("a1")
+    made = [(b1.isNotNull() & b2.isNotNull(), F.xxhash64(F.lit("2"), b2, b1)), (b1.isNotNull(), F.xxhash64(F.lit("1"), b1)), (a1.isNotNull(), F.xxhash64(F.lit("a"), a1))]
+    return F.array_compact(F.array(*[F.when(known, hashed) for known, hashed in made]))
+
+
+def seeded(slots: DataFrame, options: Bootstrap) -> tuple[DataFrame, DataFrame]:
+    """The patterns (pattern) and frames (pattern, b1, after) that enough distinct seeds stand in."""
+    seeds = slots.where(_is_seed("u0"))
+    support = F.count_distinct("u0")
+    patterns = seeds.select("u0", F.explode(_single()).alias("pattern")).groupBy("pattern").agg(support.alias("support"))
+    framed = seeds.where(F.col("b1").isNotNull() & F.col("a1").isNotNull())
+    frames = framed.groupBy("b1", F.col("a1").alias("after")).agg(support.alias("support")).withColumn("pattern", F.xxhash64(F.lit("f"), "b1", "after"))
+    enough = F.col("support") >= options.support
+    return patterns.where(enough).select("pattern"), frames.where(enough).select("pattern", "b1", "after")
+
+
+def occurrences(slots: DataFrame, patterns: DataFrame, frames: DataFrame) -> DataFrame:
+    """row, place, size (in units), pattern, instance (its hash), seed: what stands in the patterns and frames."""
+    alone = slots.select("row", "place", F.lit(1).alias("size"), F.xxhash64("u0").alias("instance"), _is_seed("u0").alias("seed"), F.explode(_single()).alias("pattern")).join(patterns, "pattern")
+    size = F.coalesce(*[F.when(F.col(f"a{k}") == F.col("after"), k) for k in range(1, GROUP + 1)])
+    framed = slots.join(frames, "b1").withColumn("size", size).where("size IS NOT NULL")
+    # A group that holds a seed is none.
+    holds = F.lit(False)
+    for k in range(GROUP):
+        holds = holds | ((F.col("size") > k) & _is_seed(f"u{k}"))
+    framed = framed.where((F.col("size") == 1) | ~holds)
+    units = F.concat_ws(" ", *[F.when(F.col("size") > k, F.col(f"u{k}")) for k in range(GROUP)])
+    columns = ["pattern", "row", "place", "size", "instance", "seed"]
+    return alone.select(columns).unionByName(framed.select("row", "place", "size", F.xxhash64(units).alias("instance"), _is_seed("u0").alias("seed"), "pattern").select(columns))
 
 
 def score(edges: DataFrame, options: Bootstrap) -> DataFrame:
     """edges (pattern, instance, seed), one for each pair -> patterns with confidence and support after the rounds."""
-    instances = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
+    totals = staged(edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if("seed").alias("support")), "pii-totals")
+    gained = None
     for left in reversed(range(options.rounds)):
-        patterns = (
-            edges.join(instances, "instance")
-            .groupBy("pattern")
-            .agg((F.sum("score") / (F.count("*") + options.doubt)).alias("confidence"), F.count_if("seed").alias("support"))
-        )
-        # A pattern may stand in a third of all edges: as a table it joins them by a key that can be split.
-        patterns = staged(patterns, "pii-patterns")
+        # Instances that neither are seeds nor stand in a trusted pattern have score 0, and take no part in a join.
+        sums = totals.withColumn("sum", F.col("support").cast("double"))
+        if gained is not None:
+            more = edges.where("NOT seed").join(gained, "instance").groupBy("pattern").agg(F.sum("score").alias("more"))
+            sums = totals.join(more, "pattern", "left").withColumn("sum", F.col("support") + F.coalesce("more", F.lit(0.0)))
+        patterns = staged(sums.select("pattern", (F.col("sum") / (F.col("n") + options.doubt)).alias("confidence"), "support"), "pii-patterns")
         if left:
-            # A seed stays certain. Patterns that too few seeds stand in tell nothing.
-            told = F.when(F.col("support") >= options.support, F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))).otherwise(0.0)
-            instances = (
-                edges.join(patterns.select("pattern", told.alias("told")), "pattern")
-                .groupBy("instance")
-                .agg(F.when(F.bool_or("seed"), 1.0).otherwise(-F.expm1(F.sum("told"))).alias("score"))
-            )
+            told = patterns.where(_trusted(options)).select("pattern", F.log1p(-F.least(F.col("confidence"), F.lit(0.999))).alias("told"))
+            gained = staged(edges.where("NOT seed").join(told, "pattern").groupBy("instance").agg((-F.expm1(F.sum("told"))).alias("score")), "pii-gained")
     return patterns
 
 
+def _trusted(options: Bootstrap) -> Column:
+    return (F.col("confidence") >= options.confidence) & (F.col("support") >= options.support)
+
+
 def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, options: Bootstrap = Bootstrap(), base: str = "pii", extra: str = "context_pii") -> DataFrame:
     """The columns keep (all if None) and two columns of array<struct<start, rank, end>> in code points, end exclusive, ranks in KINDS.
 
@@ -117,13 +179,21 @@ def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, opt
     carried = F.struct(*[F.col(c) for c in (docs.columns if keep is None else keep)])
     scanned = docs.select(F.monotonically_increasing_id().alias("row"), carried.alias("kept"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     scanned = scanned.withColumn("base", base_spans(F.col("text")))
-    scanned = staged(scanned.select("row", "kept", "base", _candidates(F.col("text"), F.col("base"), options).alias("candidates")), "pii-scanned")
-
-    occurrences = scanned.select("row", F.explode("candidates").alias("c")).select("row", "c.*").withColumn("pattern", F.explode("patterns"))
-    edges = staged(occurrences.groupBy("pattern", "instance").agg(F.bool_or("seed").alias("seed")), "pii-edges")
-    trusted = score(edges, options).where((F.col("confidence") >= options.confidence) & (F.col("support") >= options.support))
-    found = occurrences.where("NOT seed").join(trusted.select("pattern"), "pattern", "left_semi").select("row", "start", F.lit(len(BASE)).alias("rank"), "end").distinct()
-    added = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end"))).alias("added"))
+    scanned = staged(scanned.select("row", "kept", "base", masked(F.col("text"), F.col("base")).alias("masked")), "pii-scanned")
+
+    patterns, frames = (staged(x, "pii-seeded") for x in seeded(_slots(scanned.where(F.size("base") > 0)), options))
+    slots = _slots(scanned)
+    edges = staged(occurrences(slots, patterns, frames).groupBy("pattern", "instance").agg(F.bool_or("seed").alias("seed")), "pii-edges")
+    trusted = staged(score(edges, options).where(_trusted(options)).select("pattern"), "pii-trusted")
+    found = occurrences(slots, patterns.join(trusted, "pattern", "left_semi"), frames.join(trusted, "pattern", "left_semi")).where("NOT seed")
+    found = staged(found.groupBy("row").agg(F.collect_set(F.struct("place", "size")).alias("hits")), "pii-found")
+    # Places in the text are worked out where something was found.
+    units = scanned.select("row", "masked").join(found, "row").withColumn("units", spans(F.col("masked"), UNIT))
+    ends = lambda h: F.struct(F.col("units")[h["place"]]["start"].alias("start"), F.lit(len(BASE)).alias("rank"), F.col("units")[h["place"] + h["size"] - 1]["end"].alias("end"))
+    units = units.select("row", F.array_sort(F.array_distinct(F.transform("hits", ends))).alias("all"))
+    # A unit within a group that was found is part of it.
+    wider = lambda s: F.exists("all", lambda o: (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & (o["end"] - o["start"] > s["end"] - s["start"]))
+    added = units.select("row", F.filter("all", lambda s: ~wider(s)).alias("added"))
     # As a table its size is known: where it is small, the rows it goes to are not shuffled.
     added = staged(added, "pii-added")
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")

@@ -118,3 +118,21 @@ def test_empty_and_extra_columns(spark, operator):
     assert operator(none).count() == 0
     odd = spark.createDataFrame([(None, "x a@b.cd", "k", 1.0)] * 2, "doc_id int, text string, start string, `end` double")
     assert operator(odd).count() == 2
+
+
+def test_every_base_kind_induces_patterns(spark):
+    known = {
+        "email": [f"reach them under kata{i}@example.org any time" for i in range(8)],
+        "ip": [f"logged in from 10.0.{i}.7 at noon" for i in range(8)],
+        "card": [f"charged to card {c} yesterday evening" for c in [f"4111 1111 1111 {d:04}" for d in range(100)] if luhn(c.replace(" ", ""))][:8],
+        "phone": [f"please call back +1 (415) 555-01{i}3 before five" for i in range(8)],
+    }
+    unseen = {
+        "email": ("reach them under john at example dot com any time", "john at example dot com"), "ip": ("logged in from ws-" + "a" * 80 + "-7 at noon", "ws-" + "a" * 80 + "-7"),
+        "card": ("charged to card XK-77 yesterday evening", "XK-77"), "phone": ("please call back 476 555 6291 before five", "476 555 6291"),
+    }
+    texts = [t for kind in known.values() for t in kind]
+    got = run(spark, [*texts, *(t for t, _ in unseen.values()), "nobody will call or charge them for this", "\ue041 in \ue055 under"], pii.find, "context_pii")
+    for i, (text, want) in enumerate(unseen.values(), len(texts)):
+        assert [text[a:b] for a, _, b in got[i]] == [want]
+    assert not any(got[i] for i in [*range(len(texts)), len(texts) + 4, len(texts) + 5])
