@@ -201,17 +201,6 @@ def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, opt
 
 
 def redact(text: Column, found: Column, kinds: list[str] = KINDS) -> Column:
-    """text with each span of found (by start) replaced by its kind in brackets; of overlapping spans the first counts."""
+    """text with the union of each run of overlapping spans of found (by start) replaced by the kind of its first, in brackets."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in kinds])
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(state: Column, s: Column) -> Column:
-        return F.when(s["start"] < state["at"], state).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(state["parts"], F.array(F.substring(text, state["at"] + 1, s["start"] - state["at"]), names[s["rank"]])).alias("parts"))
-        )
-
-    def done(state: Column) -> Column:
-        return F.concat(F.array_join(state["parts"], ""), F.substring(text, state["at"] + 1, F.length(text)))
-
-    return F.when(F.size(found) > 0, F.aggregate(found, zero, step, done)).otherwise(text)
-
+    return _replaced(text, found, lambda s, _: F.lit("") if s is None else names[s["rank"]])

@@ -136,3 +136,10 @@ def test_every_base_kind_induces_patterns(spark):
     for i, (text, want) in enumerate(unseen.values(), len(texts)):
         assert [text[a:b] for a, _, b in got[i]] == [want]
     assert not any(got[i] for i in [*range(len(texts)), len(texts) + 4, len(texts) + 5])
+
+
+def test_redact_removes_the_union_of_overlapping_spans(spark):
+    texts = ["at 10.0.0.0 4111 1111 1111 1111 x", "or +1 (415) 555-0123@mail.example.com y", "a@b.cd 1.2.3.4"]
+    found = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    got = {r["doc_id"]: r["t"] for r in found.select("doc_id", pii.redact(F.col("text"), F.array_sort(F.concat("pii", "context_pii"))).alias("t")).collect()}
+    assert got == {0: "at [IP] x", 1: "or [PHONE] y", 2: "[EMAIL] [IP]"}
