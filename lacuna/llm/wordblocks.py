@@ -30,7 +30,10 @@ from lacuna.llm.common import map_in_arrow, release
 BLOCK_CHARS = 12_000_000
 PIECES_AT_ONCE = 200_000
 
-PACKED = "bucket int, block long, docs binary, numbers binary, words binary"
+#: Blocks after which there is one bucket more, so that a bucket does not grow with the corpus alone.
+BLOCKS_A_BUCKET = 32
+
+PACKED = "bucket long, block long, docs binary, numbers binary, words binary"
 
 
 class Numbering(dict):
@@ -103,12 +106,13 @@ def _block_rows(block: int, docs: list[pa.RecordBatch], counts: list[int], words
     number[by_use] = np.arange(len(by_use), dtype=np.uint32)
     home = np.fromiter((zlib.crc32(encoded[i][:key_bytes]) % buckets for i in by_use), np.int64, len(by_use))
     kept = pa.Table.from_batches(docs).append_column("__n", pa.array(counts, pa.int64()))
-    rows = [(block % buckets, block, to_ipc(kept), pack_numbers(home, number[used]), None)]
+    # A block's documents are a group of their own, apart from all buckets of words.
+    rows = [(-1 - block, block, to_ipc(kept), pack_numbers(home, number[used]), None)]
     order = np.argsort(home, kind="stable")
     names, starts = np.unique(home[order], return_index=True)
     for name, start, end in zip(names, starts, np.append(starts, len(order))[1:], strict=True):
         rows.append((int(name), block, None, None, pack_words([encoded[i] for i in by_use[order[start:end]]])))
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "block", "docs", "numbers", "words"])
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "block", "docs", "numbers", "words"])
 
 
 def pack_blocks(docs: DataFrame, text: str, keep: list[str], pattern: str, buckets: int, key_bytes: int | None, block_chars: int) -> DataFrame:
@@ -164,7 +168,9 @@ def per_distinct_word(
     key_bytes: words that begin with the same so many bytes meet in one bucket; all bytes if None.
     Null texts count as empty; repeated rows each give a row; no rows give no rows.
     """
-    buckets = buckets or max(64, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if not buckets:
+        chars = docs.agg(F.sum(F.length(F.col(text).cast("string")))).first()[0] or 0
+        buckets = max(64, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chars // block_chars // BLOCKS_A_BUCKET)
     packed = pack_blocks(docs, text, keep, pattern, buckets, key_bytes, block_chars)
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(out, out_type)])
 

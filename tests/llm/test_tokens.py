@@ -82,3 +82,16 @@ def test_trie_shares_prefixes(ranks):
     nodes = len(trie.best)
     trie.insert(b"abcdeg")
     assert len(trie.best) == nodes + 1
+
+
+def test_documents_of_blocks_do_not_share_buckets(spark, monkeypatch):
+    many = docs(spark, [f"text {i}" for i in range(40)]).repartition(8)
+    packed = wordblocks.pack_blocks(many, "text", ["doc_id"], public_tokenizers.PATTERN, 64, None, 10**6).select("bucket", "block", "words").collect()
+    of_docs = [r["bucket"] for r in packed if r["words"] is None]
+    assert len(set(of_docs)) == len({r["block"] for r in packed}) > 1
+    assert not set(of_docs) & {r["bucket"] for r in packed if r["words"] is not None}
+    asked, pack = [], wordblocks.pack_blocks
+    monkeypatch.setattr(wordblocks, "pack_blocks", lambda *a: asked.append(a[4]) or pack(*a))
+    for length in (10, 10_000):
+        bpe.encode(docs(spark, ["a" * length] * 2), RANKS, public_tokenizers.PATTERN, block_chars=1)
+    assert asked == [64, 20_000 // wordblocks.BLOCKS_A_BUCKET]
