@@ -1,7 +1,7 @@
 """Benchmark decontamination by templates.
 
 Numbers, names and units become typed placeholders, so a question with other values keeps its template. Windows of the
-template are hash-joined with those of the benchmark; the values in the slots of an item's windows must then map to the document's values
+template, in a form with names and in one that is blind to case and has none, are hash-joined with those of the benchmark; the values in the slots of an item's windows must then map to the document's values
 consistently: the same value of the item always to the same value of the document, as a re-parameterised question does and chance does not.
 
 Almost no window of a corpus is a benchmark window. Tasks keep those that a Bloom filter of the benchmark's windows
@@ -65,16 +65,16 @@ def _units() -> np.ndarray:
     return np.sort(hash_runs(data, np.concatenate([[0], ends[:-1] + 1]), ends))
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template hashes of the words, plain hashes of the words, and the word at which each text begins (n + 1 places).
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template hashes of the words with names and without, plain hashes of the words, and the word at which each text begins (n + 1 places).
 
-    A word with a digit is a number; a word within a sentence whose first letter alone is a capital is a name; the template has their types.
+    A word with a digit is a number, a word that begins with a capital a name, wherever it stands; the templates have their types.
     """
     spaced = _spaced(texts)
     data, offsets = bytes_of(spaced)
     lowered = _lowered(spaced)
     units = _units()
-    templates, plain, counts = [], [], np.zeros(len(texts), np.int64)
+    named, blind, plain, counts = [], [], [], np.zeros(len(texts), np.int64)
     for i, j, begin, end in pieces(data, offsets):
         part = data[begin:end]
         low = lowered[begin:end]
@@ -91,28 +91,37 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         number = digits[ends] > digits[starts]
         stop = part[starts] == ord(".")
         stop &= ends - starts == 1
-        first = np.concatenate([[True], stop[:-1]]) if len(stop) else stop
-        first |= np.isin(starts, bounds)
-        second = np.append(part, 32)[starts + 1]
-        upper = (part[starts] >= 65) & (part[starts] <= 90) & (((second >= 97) & (second <= 122)) | (second >= 128))
+        upper = np.zeros(len(starts), bool)
+        for k, least in enumerate((0, 0xC0, 0xE0)):
+            at = np.minimum(starts + k, len(part) - 1)
+            upper |= (part[starts] >= least) & (part[at] != low[at])
         template = hashes.copy()
-        template[upper & ~first & ~number] = NAME
         template[np.isin(hashes, units)] = UNIT
         template[number] = NUMBER
+        with_names = np.where(upper & (template == hashes), NAME, template)
         real = ~stop
-        templates.append(template[real])
+        named.append(with_names[real])
+        blind.append(template[real])
         plain.append(hashes[real])
         counts[i:j] += np.diff(np.searchsorted(starts[real], bounds))
     none = [np.zeros(0, np.uint64)]
-    return np.concatenate(templates or none), np.concatenate(plain or none), np.concatenate([[0], np.cumsum(counts)])
+    return np.concatenate(named or none), np.concatenate(blind or none), np.concatenate(plain or none), np.concatenate([[0], np.cumsum(counts)])
 
 
 def hashed_windows(templates: np.ndarray, plain: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of the windows: of the template, or of the words themselves where more than half of them are slots."""
+    """Hashes of the windows: of the template, or of the words themselves where all of them are slots."""
     slots = np.concatenate([[0], np.cumsum(_slots(templates))])
     made = window_hashes(templates, width)
-    mostly = slots[width:] - slots[:-width] > width // 2
-    return np.where(mostly, window_hashes(plain, width), made) if mostly.any() else made
+    wholly = slots[width:] - slots[:-width] == width
+    return np.where(wholly, window_hashes(plain, width), made) if wholly.any() else made
+
+
+def _forms(named: np.ndarray, blind: np.ndarray, plain: np.ndarray, width: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(template, hashes of the windows, whether a window counts): with names where a word is left that is no slot, and without where that differs."""
+    first, second = hashed_windows(named, plain, width), hashed_windows(blind, plain, width)
+    slots = np.concatenate([[0], np.cumsum(_slots(named))])
+    some = slots[width:] - slots[:-width] < width
+    return [(named, first, some), (blind, second, (second != first) | ~some)]
 
 
 def _slots(templates: np.ndarray) -> np.ndarray:
@@ -137,11 +146,12 @@ def item_windows(items: DataFrame, width: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 1):
-            templates, plain, begins = words_of(batch.column(1))
+            named, blind, plain, begins = words_of(batch.column(1))
             for row, (begin, end) in enumerate(zip(begins[:-1], begins[1:], strict=True)):
                 if w := min(width, end - begin):
-                    at = np.arange(begin, end - w + 1)
-                    yield _batch(batch.column(0), np.full(len(at), row), hashed_windows(templates[begin:end], plain[begin:end], w), at, int(w), templates, plain, begins)
+                    for (_, hashes, counts), templates in zip(_forms(named[begin:end], blind[begin:end], plain[begin:end], w), (named, blind), strict=True):
+                        at = np.flatnonzero(counts)
+                        yield _batch(batch.column(0), np.full(len(at), row), hashes[at], at + begin, int(w), templates, plain, begins)
 
     return map_in_arrow(items, scan, _schema(items))
 
@@ -152,16 +162,17 @@ def document_windows(rows: DataFrame, widths: list[int], bits: np.ndarray) -> Da
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 1):
-            templates, plain, begins = words_of(batch.column(1))
+            named, blind, plain, begins = words_of(batch.column(1))
             for w in widths:
-                if len(templates) < w:
+                if len(plain) < w:
                     continue
-                hashes = hashed_windows(templates, plain, w)
-                at = np.flatnonzero(bloom.may_hold(spread.value, hashes))
-                owner = np.searchsorted(begins, at, "right") - 1
-                whole = at + w <= begins[owner + 1]
-                at, owner = at[whole], owner[whole]
-                yield _batch(batch.column(0), owner, hashes[at], at, w, templates, plain, begins)
+                for templates, hashes, counts in _forms(named, blind, plain, w):
+                    at = np.flatnonzero(counts)
+                    at = at[bloom.may_hold(spread.value, hashes[at])]
+                    owner = np.searchsorted(begins, at, "right") - 1
+                    whole = at + w <= begins[owner + 1]
+                    at, owner = at[whole], owner[whole]
+                    yield _batch(batch.column(0), owner, hashes[at], at, w, templates, plain, begins)
 
     return map_in_arrow(rows, scan, _schema(rows))
 
@@ -175,7 +186,7 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     """
     own = items.select(F.col(item_key).alias("key"), F.col(item_text).cast("string").alias("text")).distinct()
     benchmark = staged(item_windows(own, rule.width), "benchmark-windows")
-    totals = benchmark.groupBy("key").agg(F.count("*").alias("windows"))
+    totals = benchmark.groupBy("key").agg(F.count_distinct("place").alias("windows"))
     benchmark = benchmark.join(totals, "key").select(F.col("key").alias("item"), "windows", "width", "window", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
     widths = sorted({rule.width, *(r[0] for r in benchmark.select("width").distinct().collect())})
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))

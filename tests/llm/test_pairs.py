@@ -127,3 +127,11 @@ def test_topk(spark):
     few = vectors.where("key < 3")
     assert topk.search(few.where("key = 0"), few).count() == 2
     assert topk.search(few.limit(0), few).count() == 0
+
+
+def test_decontamination_whatever_the_place_and_case_of_names(spark):
+    item = "Tom has 5 apples. Tom eats 2 apples. How many apples are left?"
+    rich = "Élodie met X and BOB in Rome, then Élodie paid Bob 30 coins for the boat to Malta."
+    docs = [(1, "Anna has 7 apples. Anna eats 3 apples. How many apples are left?"), (2, item.upper()), (3, item.lower()), (4, rich.upper()), (5, rich.lower()), (6, rich.replace("Élodie", "Agnes")), (7, "Tom ate 5 pears. Ann has 2 plums. How many plums did Tom get?"), (8, "Anna has 7 apples. Erna eats 3 apples. How many apples are left?")]
+    found = decontaminate.matches(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame([(1, item), (2, rich)], "item_id int, text string"))
+    assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == [(1, 1), (2, 1), (3, 1), (4, 2), (5, 2), (6, 2)]
