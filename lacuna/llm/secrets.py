@@ -38,6 +38,8 @@ class Entropy:
     classes: tuple[CharClass, ...] = (
         CharClass("entropy_hex", DIGITS + "abcdef", r"(?<![0-9A-Za-z])[0-9a-fA-F]{20,}+(?![0-9A-Za-z])", 3.0),
         CharClass("entropy_base64", UPPER + LOWER + DIGITS + "+/_-", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+", 3.8, r"(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])"),
+        CharClass("entropy_lower", LOWER + DIGITS, r"(?<![A-Za-z0-9])[a-z0-9]{20,}+(?![A-Za-z0-9])", 3.6, r"(?=.*[0-9])(?=.*[g-z])"),
+        CharClass("entropy_upper", UPPER + DIGITS, r"(?<![A-Za-z0-9])[A-Z0-9]{20,}+(?![A-Za-z0-9])", 3.6, r"(?=.*[0-9])(?=.*[G-Z])"),
     )
     #: Candidates that match one of these are let be: examples, counters and fillers in manuals.
     allowed: tuple[str, ...] = ("(?i)example", "(?i)0123456789|abcdefgh", r"(.)\1{7}")

@@ -143,3 +143,14 @@ def test_redact_removes_the_union_of_overlapping_spans(spark):
     found = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
     got = {r["doc_id"]: r["t"] for r in found.select("doc_id", pii.redact(F.col("text"), F.array_sort(F.concat("pii", "context_pii"))).alias("t")).collect()}
     assert got == {0: "at [IP] x", 1: "or [PHONE] y", 2: "[EMAIL] [IP]"}
+
+
+def test_entropy_of_keys_in_one_case(spark):
+    key = "3ax6xnjp29jd6fds4gc373sgvjxteol0"
+    texts = [f"key-{key} end", f"key-{key.upper()} end", "internationalisationcommittee2024", "9" * 12 + "internationalisation"]
+    got = run(spark, texts, secrets.scan, "entropy_secrets")
+    kinds = secrets.kinds(secrets.Entropy())
+    for i, name in enumerate(("entropy_lower", "entropy_upper")):
+        ((start, end),) = [(a, b) for a, rank, b in got[i] if kinds[rank] == name]
+        assert start <= 6 and end >= 34
+    assert got[2] == got[3] == []
