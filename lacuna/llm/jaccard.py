@@ -1,9 +1,8 @@
-"""N-gram Jaccard join: candidates by a MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: candidates by banded MinHash signatures, then exact verification.
 
-Texts with the same shingles form a class, so copies cost no pairs. Each tree of the forest is a prefix trie of
-signatures: a class stands in each tree under the path of its signature values. Matched prefixes are shortened,
-level by level, until pairs at the threshold meet in some tree with the target recall; classes that share a prefix of that length are
-linked to the least class below it. Links join into candidate groups, and within a group all pairs of classes of matching size
+Texts with the same shingles form a class, so copies cost no pairs. A signature has a band (a tree's path) for each tree; of each, a
+prefix of one fixed length is hashed, the longest with which pairs at the threshold meet in some band with the target recall by formula.
+No trie is kept and no prefix is shortened from data; classes with the same hash in a band are linked to the least class below it. Links join into candidate groups, and within a group all pairs of classes of matching size
 are verified on their whole shingle sets, by blocks: a pair of blocks is one task's work, and gives each class its number of links and one
 link of a spanning forest, never the pairs.
 """
@@ -39,7 +38,7 @@ class Forest:
     block_shingles: int = 400_000
 
     def matched_depth(self) -> int:
-        """Levels of prefix left once the target recall is reached."""
+        """The longest prefix that reaches the target recall at the threshold, by formula."""
         for level in range(self.depth, 0, -1):
             if 1 - (1 - self.threshold**level) ** self.trees >= self.recall:
                 return level
