@@ -1,22 +1,25 @@
-"""N-gram Jaccard join: candidates by banded MinHash signatures, then exact verification.
+"""N-gram Jaccard join over a MinHash LSH forest, with exact verification.
 
-Texts with the same shingles form a class, so copies cost no pairs. A signature has a band (a tree's path) for each tree; of each, a
-prefix of one fixed length is hashed, the longest with which pairs at the threshold meet in some band with the target recall by formula.
-No trie is kept and no prefix is shortened from data; classes with the same hash in a band are linked to the least class below it. Links join into candidate groups, and within a group all pairs of classes of matching size
-are verified on their whole shingle sets, by blocks: a pair of blocks is one task's work, and gives each class its number of links and one
-link of a spanning forest, never the pairs.
+Texts with the same shingles form a class (a node), so copies cost no pairs. A tree of the forest is a prefix trie of signatures: a node's path
+is one long, its tree in the top bits and then a few bits of a minhash for each level, so paths in order are the trie in order and a prefix
+is a shift. Nodes are matched from the full depth; then the matched prefix is shortened, by what the links found so far are like, until the weakest
+of them reaches the target recall. The floor, the depth that reaches it at the threshold itself, tells which paths can ever matter.
+
+Nodes are dealt to cells of fixed size in order of the trie. A task verifies, for a pair of cells, the pairs of nodes that share a prefix of this
+depth in some tree and none of the depth before, on whole shingle sets: each pair that the forest brings together is looked at once, others never.
+It gives each node its number of links and one link of a spanning forest, never the pairs; verified links alone are united.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import log
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm import bloom
@@ -30,20 +33,25 @@ class Forest:
     width: int = 5
     threshold: float = 0.8
     trees: int = 48
-    #: Levels of each tree.
-    depth: int = 12
+    #: Levels of each tree, and bits of a level; with 6 bits for the tree they fit a long.
+    levels: int = 11
+    bits: int = 5
+    #: Chance that a pair as similar as the weakest link shares a prefix in some tree.
     recall: float = 0.9995
-    #: Verification: classes and shingles in a block at most, on average.
-    block_classes: int = 384
-    block_shingles: int = 400_000
-
-    def matched_depth(self) -> int:
-        """The longest prefix that reaches the target recall at the threshold, by formula."""
-        for level in range(self.depth, 0, -1):
-            if 1 - (1 - self.threshold**level) ** self.trees >= self.recall:
-                return level
+    #: Verification: nodes and shingles in a cell at most (one node may have more shingles).
+    cell_nodes: int = 192
+    cell_shingles: int = 200_000
+
+    def depth_for(self, similarity: float) -> int:
+        """The longest prefix that reaches the target recall for pairs of this similarity."""
+        for depth in range(self.levels, 0, -1):
+            if 1 - (1 - similarity**depth) ** self.trees >= self.recall:
+                return depth
         raise ValueError("the forest has too few trees for the target recall")
 
+    def prefix(self, path: Column, depth: int) -> Column:
+        return F.shiftrightunsigned(path, self.bits * (self.levels - depth))
+
 
 def signature(hashes: np.ndarray, bins: int, borrow: np.ndarray) -> np.ndarray:
     """One-permutation MinHash of sorted distinct hashes: the least of each bin; empty bins borrow from bins drawn for them."""
@@ -71,56 +79,95 @@ def _borrowing(bins: int) -> np.ndarray:
     return np.random.default_rng(20240101).integers(0, bins, (64, bins))
 
 
+def paths(hashes: np.ndarray, forest: Forest, borrow: np.ndarray) -> np.ndarray:
+    """A path for each tree, of sorted distinct shingle hashes: the tree's number, then the lowest bits of each level's minhash."""
+    levels = signature(hashes, forest.trees * forest.levels, borrow).reshape(forest.trees, forest.levels) & np.uint64((1 << forest.bits) - 1)
+    out = np.arange(forest.trees, dtype=np.uint64)
+    for k in range(forest.levels):
+        out = (out << np.uint64(forest.bits)) | levels[:, k]
+    return out
+
+
 def _sketches(rows: DataFrame, forest: Forest) -> DataFrame:
-    """key, text, text_id -> key, text_id, size, content (16 bytes that stand for the shingle set), prefixes (array<long>, one for each tree)."""
-    level, bins = forest.matched_depth(), forest.trees * forest.depth
+    """key, text, text_id -> key, text_id, size, content (16 bytes that stand for the shingle set), paths (array<long>, one for each tree)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        borrow = _borrowing(bins)
-        salt = mix(np.arange(1, forest.trees + 1, dtype=np.uint64))
-        weights = mix(np.arange(101, 101 + level, dtype=np.uint64)) | np.uint64(1)
+        borrow = _borrowing(forest.trees * forest.levels)
         for batch in text_slices(batches, 1):
             words, begins = word_hashes(normalised(batch.column(1)))
-            sizes, contents, prefixes = [], [], []
+            sizes, contents, made = [], [], []
             for begin, end in zip(begins[:-1], begins[1:], strict=True):
                 own = shingles(words[begin:end], forest.width)
                 sizes.append(len(own))
-                if not len(own):
-                    contents.append(None)
-                    prefixes.append(None)
-                    continue
-                contents.append(np.array([own.sum(), mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()], np.uint64).tobytes())
-                paths = signature(own, bins, borrow).reshape(forest.trees, forest.depth)[:, :level]
-                prefixes.append(mix((paths * weights).sum(axis=1) + salt).view(np.int64))
-            made = [pa.array(sizes, pa.int64()), pa.array(contents, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *made], names=["key", "text_id", "size", "content", "prefixes"])
+                contents.append(np.array([own.sum(), mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()], np.uint64).tobytes() if len(own) else None)
+                made.append(paths(own, forest, borrow).view(np.int64) if len(own) else None)
+            columns = [pa.array(sizes, pa.int64()), pa.array(contents, pa.binary()), pa.array(made, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["key", "text_id", "size", "content", "paths"])
 
     kind = rows.schema["key"].dataType.simpleString()
-    return map_in_arrow(rows.select("key", "text", "text_id"), sketch, f"key {kind}, text_id binary, size long, content binary, prefixes array<long>")
+    return map_in_arrow(rows.select("key", "text", "text_id"), sketch, f"key {kind}, text_id binary, size long, content binary, paths array<long>")
+
+
+def grown(trie: DataFrame, forest: Forest, depth: int) -> DataFrame:
+    """node, path -> the same, and head, the least node with the same prefix of this depth; nodes alone with theirs are left out."""
+    placed = trie.withColumn("prefix", forest.prefix(F.col("path"), depth))
+    heads = staged(placed.groupBy("prefix").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("prefix", "head"), "jaccard-heads")
+    return placed.join(heads, "prefix").select("node", "path", "head")
+
+
+def _cells(members: DataFrame, forest: Forest) -> DataFrame:
+    """node, size, label and more -> with cell: runs of nodes in order of label, of bounded size. A range partition and a pass over each; no task sorts all nodes."""
+    names = members.columns
+    at = names.index("size")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, nodes, held = TaskContext.get().partitionId() << 32, 0, 0
+        for batch in batches:
+            made = []
+            for size in batch.column(at).to_pylist():
+                if nodes and (nodes >= forest.cell_nodes or held + size > forest.cell_shingles):
+                    cell, nodes, held = cell + 1, 0, 0
+                nodes, held = nodes + 1, held + size
+                made.append(cell)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.int64())], names=[*names, "cell"])
 
+    ordered = members.repartitionByRange("label", "node").sortWithinPartitions("label", "node")
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in members.schema), "cell long"])
+    return map_in_arrow(ordered, deal, schema)
 
-def _verified(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float) -> np.ndarray:
-    """Whether each set of a and each of b (of a itself if None) are as similar as the threshold asks."""
-    every = a if b is None else a + b
-    sizes = np.array([len(x) for x in every])
-    owner = np.repeat(np.arange(len(every)), sizes)
-    _, column, times = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
+
+def tasks(trie: DataFrame, forest: Forest, depth: int, before: int | None) -> DataFrame:
+    """node, path, cell -> node, c1, c2: the pairs of cells in which a node shares a prefix of this depth with another node.
+
+    Where every node of a prefix already shared one of the depth before, the prefix brings nothing new and is left out.
+    """
+    rows = trie.select("node", "cell", forest.prefix(F.col("path"), depth).alias("prefix"), forest.prefix(F.col("path"), before or forest.levels).alias("child"))
+    counts = rows.groupBy("prefix", "cell").agg(F.count("*").alias("n"), F.min("child").alias("low"), F.max("child").alias("high"))
+    whole = counts.groupBy("prefix").agg(F.sum("n").alias("all"), F.min("low").alias("low"), F.max("high").alias("high"))
+    fresh = whole.where(F.col("all") > 1).where(F.lit(before is None) | (F.col("low") < F.col("high"))).select("prefix")
+    counts = staged(counts.select("prefix", F.col("cell").alias("other"), "n").join(fresh, "prefix"), "jaccard-buckets")
+    met = rows.join(counts, "prefix").where((F.col("cell") != F.col("other")) | (F.col("n") > 1))
+    return met.select("node", F.least("cell", "other").alias("c1"), F.greatest("cell", "other").alias("c2")).distinct()
+
+
+def _common(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """How many elements each set of rows has in common with each set of cols (places in sets)."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = times[column] > 1
     owner, column = owner[shared], column[shared]
     _, column = np.unique(column, return_inverse=True)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    rows, cols = (len(a), len(a)) if b is None else (len(a), len(b))
-    common = np.zeros((rows, cols), np.float32)
+    common = np.zeros((len(rows), len(cols)), np.float32)
     width = 4096
     top = int(column[-1]) + 1 if len(column) else 0
     for begin in range(0, top, width):
         at = slice(*np.searchsorted(column, [begin, begin + width]))
-        dense = np.zeros((len(every), min(width, top - begin)), np.float32)
+        dense = np.zeros((len(sets), min(width, top - begin)), np.float32)
         dense[owner[at], column[at] - begin] = 1
-        common += dense[:rows] @ (dense[:rows] if b is None else dense[rows:]).T
-    left, right = sizes[:rows, None], (sizes[:rows] if b is None else sizes[rows:])[None, :]
-    return common >= threshold * (left + right - common) - 1e-6
+        common += dense[rows] @ dense[cols].T
+    return common
 
 
 def _roots(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -134,113 +181,161 @@ def _roots(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
         roots = new
 
 
-def _block_pair(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """node, links within the pair of blocks, least node reached; nodes without links are left out."""
-    group = group.sort_values(["second", "node"], kind="stable")
+def _meet(tries: np.ndarray, shift: int) -> np.ndarray:
+    """Which nodes share a prefix in some tree (nodes x trees paths, less so many bits)."""
+    shared = np.zeros((len(tries), len(tries)), bool)
+    for tree in (tries >> np.uint64(shift)).T:
+        shared |= tree[:, None] == tree[None, :]
+    return shared
+
+
+def verified(group: pd.DataFrame, forest: Forest, depth: int, before: int | None) -> pd.DataFrame:
+    """node, links within the pair of cells, least node reached, similarity of its weakest link; nodes without links are left out."""
+    group = group.sort_values("node", kind="stable")
+    ids, second = group["node"].to_numpy(), (group["cell"] > group["c1"]).to_numpy()
     sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
-    ids = group["node"].to_numpy()
-    n = int((~group["second"]).sum())
-    linked = np.zeros((len(ids), len(ids)), bool)
-    if group["within"].iloc[0]:
-        linked[:] = _verified(sets, None, threshold)
-        np.fill_diagonal(linked, False)
-    elif 0 < n < len(ids):
-        across = _verified(sets[:n], sets[n:], threshold)
-        linked[:n, n:], linked[n:, :n] = across, across.T
+    tries = np.stack([np.frombuffer(x, np.uint64) for x in group["paths"]])
+    sizes = np.array([len(x) for x in sets], np.float64)
+    look = _meet(tries, forest.bits * (forest.levels - depth))
+    if before is not None:
+        look &= ~_meet(tries, forest.bits * (forest.levels - before))
+    if group["c1"].iloc[0] != group["c2"].iloc[0]:
+        look &= second[:, None] != second[None, :]
+    np.fill_diagonal(look, False)
+    look &= np.minimum(sizes[:, None], sizes) >= forest.threshold * np.maximum(sizes[:, None], sizes) - 1e-6
+    similar = np.zeros(look.shape, np.float64)
+    parts = _roots(look, np.arange(len(ids)))
+    order = np.argsort(parts, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(parts[order])) + 1):
+        if len(part) < 2:
+            continue
+        own = [sets[i] for i in part]
+        apart = second[part]
+        rows, cols = (np.flatnonzero(~apart), np.flatnonzero(apart)) if apart.any() and not apart.all() else (np.arange(len(part)),) * 2
+        common = _common(own, rows, cols)
+        found = common / (sizes[part[rows]][:, None] + sizes[part[cols]] - common)
+        similar[np.ix_(part[rows], part[cols])] = found
+        similar[np.ix_(part[cols], part[rows])] = found.T
+    linked = look & (similar >= forest.threshold - 1e-6)
     links = linked.sum(axis=1)
-    out = pd.DataFrame({"node": ids, "links": links, "peer": _roots(linked, ids)})
+    out = pd.DataFrame({"node": ids, "links": links, "peer": _roots(linked, ids), "weakest": np.where(linked, similar, 1.0).min(axis=1)})
     return out[links > 0]
 
 
-def _blocks(nodes: DataFrame, forest: Forest) -> DataFrame:
-    """node, candidate, size -> node with each pair of blocks that it stands in: candidate, c1, b1, c2, b2, within, second.
+def _verifier(forest: Forest, depth: int, before: int | None):
+    return lambda group: verified(group, forest, depth, before)
 
-    Sets whose sizes differ by more than the threshold allows can't be linked, so blocks are cut by size, and meet those of the next size alone.
-    """
-    nodes = nodes.withColumn("c", F.floor(F.log(F.col("size").cast("double")) / (log(1 / forest.threshold) * 1.03)).cast("int"))
-    counts = staged(
-        nodes.groupBy("candidate", "c").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / forest.block_classes), F.ceil(F.sum("size") / forest.block_shingles)).cast("int").alias("blocks")), "jaccard-counts"
-    )
-    near = [counts.select("candidate", (F.col("c") - d).alias("c"), F.col("blocks").alias(name)) for d, name in ((1, "above"), (-1, "below"))]
-    counts = staged(counts.join(near[0], ["candidate", "c"], "left").join(near[1], ["candidate", "c"], "left"), "jaccard-near")
-    placed = nodes.join(counts, ["candidate", "c"]).withColumn("b", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    c, b = F.col("c"), F.col("b")
-    pair = lambda c1, b1, c2, b2, second: F.struct(c1.alias("c1"), b1.alias("b1"), c2.alias("c2"), b2.alias("b2"), second.alias("second"))
-    same = F.transform(F.when(F.col("n") > 1, to(F.col("blocks"))).otherwise(to(F.lit(0))), lambda x: pair(c, F.least(b, x), c, F.greatest(b, x), b > x))
-    above = F.transform(to(F.coalesce("above", F.lit(0))), lambda x: pair(c, b, c + 1, x, F.lit(False)))
-    below = F.transform(to(F.coalesce("below", F.lit(0))), lambda x: pair(c - 1, x, c, b, F.lit(True)))
-    pairs = placed.select("node", "candidate", F.explode(F.concat(same, above, below)).alias("p")).select("node", "candidate", "p.*")
-    return pairs.withColumn("within", (F.col("c1") == F.col("c2")) & (F.col("b1") == F.col("b2")))
 
+def _links(trie: DataFrame, sets: DataFrame, forest: Forest) -> DataFrame:
+    """node, links, peer of all links: from full depth on, prefixes are shortened until the weakest link found reaches the recall."""
+    floor, depth, before, found = forest.depth_for(forest.threshold), forest.levels, None, None
+    while True:
+        groups = tasks(trie, forest, depth, before).join(sets, "node").groupBy("c1", "c2")
+        new = staged(groups.applyInPandas(_verifier(forest, depth, before), "node long, links long, peer long, weakest double"), "jaccard-found")
+        found = new if found is None else found.unionByName(new)
+        weakest = found.agg(F.min("weakest")).first()[0]
+        # No link tells nothing of how similar the others are.
+        needed = max(floor, forest.depth_for(max(weakest, forest.threshold))) if weakest is not None else floor
+        if needed >= depth:
+            return found
+        depth, before = needed, depth
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", forest: Forest = Forest()) -> DataFrame:
-    """key, class_id (the least key of the documents linked to it, over any number of links), n_links (other texts that
-    are as similar as the threshold asks), n_copies (other documents with the same shingles): a row for each row of docs.
 
-    Words are runs of letters, marks and digits in lower case; a text of fewer words than a shingle is one shingle. A text without words, empty
-    or null, is linked to nothing and its own class. Each of repeated rows is a copy of the others. A null key is the least only of nulls.
-    """
+def _row_id(key: Column, text: Column) -> Column:
+    """16 bytes for a row's key and text; a null key is none of the others."""
+    named = F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("null"))
+    return F.unhex(F.md5(F.concat(named, F.lit("\0"), text).cast("binary")))
+
+
+def _classes(docs: DataFrame, key: str, text: str, forest: Forest) -> DataFrame:
+    """key, text_id, class_id, head (the text_id of the row that stands for the class), n_links, n_copies: a row for each row of docs."""
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    text_id = F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col(key).cast("string"), F.lit("")), content).cast("binary")))
-    rows = docs.select(F.col(key).alias("key"), content.alias("text"), text_id.alias("text_id"))
+    rows = docs.select(F.col(key).alias("key"), content.alias("text"), _row_id(F.col(key), content).alias("text_id"))
     sketched = staged(_sketches(rows, forest), "jaccard-sketches")
 
-    # A node for each content; one document's text stands for it.
-    nodes = sketched.where("size > 0").groupBy("content").agg(F.min("text_id").alias("text_id"), F.min("key").alias("least"), F.min("size").alias("size"), F.count("*").alias("n"))
-    nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
-    paths = sketched.select("text_id", "prefixes").join(nodes.select("text_id", "node"), "text_id").select("node", F.explode("prefixes").alias("path"))
-    paths = staged(paths, "jaccard-paths")
-    heads = staged(paths.groupBy("path").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("path", "head"), "jaccard-heads")
-    links = paths.join(heads, "path").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
-    candidates = components(links).select("node", F.col("component").alias("candidate"))
-    members = staged(candidates.join(nodes.select("node", "text_id", "size"), "node"), "jaccard-members")
-
-    # Most texts are in no group: a filter of the members keeps them from being shuffled.
+    # A node for each content; the first of its rows stands for it.
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text_id"))
+    nodes = sketched.where("size > 0").groupBy("content").agg(first.alias("first"), F.min("size").alias("size"), F.count("*").alias("n"))
+    nodes = staged(nodes.select(F.monotonically_increasing_id().alias("node"), "content", "first", F.col("first.text_id").alias("text_id"), "size", "n"), "jaccard-nodes")
+    trie = sketched.select("text_id", "paths").join(nodes.select("text_id", "node"), "text_id").select("node", F.explode("paths").alias("path"))
+    trie = staged(trie, "jaccard-trie")
+    # Repeated rows gave their paths more than once.
+    trie = staged(grown(trie, forest, forest.depth_for(forest.threshold)).distinct(), "jaccard-shared")
+
+    # Cells follow the deepest prefix that a node shares, where near copies meet first.
+    deep = grown(trie.select("node", "path"), forest, forest.levels).groupBy("node").agg(F.min("head").alias("deep"))
+    labels = trie.groupBy("node").agg(F.min("head").alias("head")).join(deep, "node", "left").select("node", F.coalesce("deep", "head").alias("label"))
+    members = staged(_cells(labels.join(nodes.select("node", "text_id", "size"), "node"), forest), "jaccard-members")
+    trie = staged(trie.join(members.select("node", "cell"), "node").select("node", "path", "cell"), "jaccard-cells")
+
+    # Most texts are in no cell: a filter of the members keeps them from being shuffled.
     spread = docs.sparkSession.sparkContext.broadcast(bloom.build(members.select(F.xxhash64("text_id").alias("hash")), "hash"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            chosen = pa.array(bloom.may_hold(spread.value, whole.column(2).to_numpy().view(np.uint64)))
-            for batch in text_slices(iter([whole.filter(chosen)]), 1):
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        borrow = _borrowing(forest.trees * forest.levels)
+        for all_rows in batches:
+            chosen = pa.array(bloom.may_hold(spread.value, all_rows.column(2).to_numpy().view(np.uint64)))
+            for batch in text_slices(iter([all_rows.filter(chosen)]), 1):
                 words, begins = word_hashes(normalised(batch.column(1)))
-                made = [shingles(words[a:b], forest.width).tobytes() for a, b in zip(begins[:-1], begins[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["text_id", "shingles"])
+                own = [shingles(words[a:b], forest.width) for a, b in zip(begins[:-1], begins[1:], strict=True)]
+                made = [pa.array([s.tobytes() for s in own], pa.binary()), pa.array([paths(s, forest, borrow).tobytes() if len(s) else b"" for s in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["text_id", "shingles", "paths"])
 
-    shingled = map_in_arrow(rows.select("text_id", "text", F.xxhash64("text_id").alias("hash")), sets, "text_id binary, shingles binary")
-    shingled = shingled.join(members.select("text_id", "node"), "text_id").select("node", "shingles").dropDuplicates(["node"])
-    tasks = _blocks(members.select("node", "candidate", "size"), forest).join(shingled, "node")
-    pairs = tasks.groupBy("candidate", "c1", "b1", "c2", "b2").applyInPandas(lambda group: _block_pair(group, forest.threshold), "node long, links long, peer long")
-    found = staged(pairs, "jaccard-found")
+    sets = map_in_arrow(rows.select("text_id", "text", F.xxhash64("text_id").alias("hash")), whole, "text_id binary, shingles binary, paths binary")
+    sets = staged(sets.join(members.select("text_id", "node", "cell"), "text_id").select("node", "cell", "shingles", "paths").dropDuplicates(["node"]), "jaccard-sets")
+    found = staged(_links(trie, sets, forest).groupBy("node", "peer").agg(F.sum("links").alias("links")), "jaccard-links")
 
-    classes = components(found.select(F.col("node").alias("u"), F.col("peer").alias("v")))
+    united = components(found.select(F.col("node").alias("u"), F.col("peer").alias("v")))
     described = (
-        nodes.select("content", "node", "least", "n")
-        .join(classes, "node", "left")
+        nodes.select("content", "node", "first", "n")
+        .join(united, "node", "left")
         .join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
     )
     described = staged(described, "jaccard-described")
-    least = staged(described.groupBy("component").agg(F.min("least").alias("class_id")), "jaccard-classes")
-    answers = staged(described.join(least, "component").select("content", "class_id", F.coalesce("links", F.lit(0)).alias("n_links"), (F.col("n") - 1).alias("n_copies")), "jaccard-answers")
+    least = staged(described.groupBy("component").agg(F.min("first").alias("least")), "jaccard-classes")
+    answers = described.join(least, "component").select(
+        "content", F.col("least.key").alias("class_id"), F.col("least.text_id").alias("head"), F.coalesce("links", F.lit(0)).alias("n_links"), (F.col("n") - 1).alias("n_copies")
+    )
+    zero = F.lit(0).cast("long")
     return (
-        sketched.where("size > 0").join(answers, "content").select(F.col("key").alias(key), "class_id", "n_links", "n_copies")
-        .unionByName(sketched.where("size = 0").select(F.col("key").alias(key), F.col("key").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_copies")))
+        sketched.where("size > 0").join(staged(answers, "jaccard-answers"), "content").select("key", "text_id", "class_id", "head", "n_links", "n_copies")
+        .unionByName(sketched.where("size = 0").select("key", "text_id", F.col("key").alias("class_id"), F.col("text_id").alias("head"), zero.alias("n_links"), zero.alias("n_copies")))
     )
 
 
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", forest: Forest = Forest()) -> DataFrame:
+    """key, class_id (the least key of the documents linked to it, over any number of links), n_links (other texts that
+    are as similar as the threshold asks), n_copies (other documents with the same shingles): a row for each row of docs.
+
+    Words are runs of letters, marks and digits in lower case; a text of fewer words than a shingle is one shingle. A text without words, empty
+    or null, is linked to nothing and its own class. Each of repeated rows is a copy of the others. A null key is the least only of nulls.
+    An empty table gives no rows; other columns of docs play no part, whatever their names.
+    """
+    return _classes(docs, key, text, forest).select(F.col("key").alias(key), "class_id", "n_links", "n_copies")
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", forest: Forest = Forest()) -> DataFrame:
-    """docs without all but one document of each class of join(): the one of the class's key.
+    """docs without all but one row of each class of join(): of the rows with the class's key, one.
 
-    Texts without words all stay. Rows that share a key stay or go together, and of repeated rows one stays.
-    What goes, and keys with more than one row, are the smaller parts, so the texts that stay are shuffled only where those do not fit a broadcast.
+    Rows are told apart by key and text, so rows that share a key, null and empty keys among them, each stand for themselves; of rows with the
+    same key and text one stays. Texts without words all stay.
+    What goes, and rows that are repeated, are the smaller parts, so the texts that stay are shuffled only where those do not fit a broadcast.
     """
-    name = F.coalesce(F.col(key).cast("string"), F.lit("")).alias("__key")
-    head = F.bool_or(F.col(key).eqNullSafe(F.col("class_id"))).alias("head")
-    keys = staged(join(docs, key, text, forest).groupBy(name).agg(head, F.count("*").alias("n")), "jaccard-kept")
-    gone = staged(keys.where("NOT head OR n > 1").select("__key"), "jaccard-gone")
-    more = staged(keys.where("head AND n > 1").select("__key"), "jaccard-repeated")
-    named = docs.select(*docs.columns, name)
-    same = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")).alias("__same")
-    repeated = named.join(more, "__key", "left_semi").select("*", same).dropDuplicates(["__key", "__same"])
-    return named.join(gone, "__key", "left_anti").select(*docs.columns).unionByName(repeated.select(*docs.columns))
+    content = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = _classes(docs, key, text, forest).groupBy("text_id").agg(F.bool_or(F.col("text_id") == F.col("head")).alias("stays"), F.count("*").alias("n"), F.max("n_copies").alias("copies"))
+    rows = staged(rows, "jaccard-kept")
+    mark = _fresh_name(docs, "row_id")
+    gone = staged(rows.where("NOT stays OR (n > 1 AND copies > 0)").select(F.col("text_id").alias(mark)), "jaccard-gone")
+    more = staged(rows.where("stays AND n > 1 AND copies > 0").select(F.col("text_id").alias(mark)), "jaccard-repeated")
+    named = docs.withColumn(mark, _row_id(F.col(key), content))
+    repeated = named.join(more, mark, "left_semi").dropDuplicates([mark])
+    return named.join(gone, mark, "left_anti").drop(mark).unionByName(repeated.drop(mark))
+
+
+def _fresh_name(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name

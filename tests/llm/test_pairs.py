@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from lacuna.llm import decontaminate, jaccard, topk
@@ -38,8 +39,8 @@ def shingles(text, width=5):
     return frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset()
 
 
-@pytest.mark.parametrize("block", [8, 384])
-def test_jaccard_join(spark, block):
+@pytest.mark.parametrize("cell", [8, 192])
+def test_jaccard_join(spark, cell):
     texts = corpus()
     sets = [shingles(t) for t in texts]
     links = {i: {sets[j] for j in range(len(sets)) if sets[i] and sets[j] and sets[i] != sets[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])} for i in range(len(sets))}
@@ -53,7 +54,7 @@ def test_jaccard_join(spark, block):
                     root[i] = root[j] = min(root[i], root[j])
                     changed = True
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    got = {r["doc_id"]: r for r in jaccard.join(docs, forest=jaccard.Forest(block_classes=block)).collect()}
+    got = {r["doc_id"]: r for r in jaccard.join(docs, forest=jaccard.Forest(cell_nodes=cell)).collect()}
     assert len(got) == len(texts)
     for i in range(len(texts)):
         assert (got[i]["class_id"], got[i]["n_links"]) == (root[i], len(links[i]))
@@ -67,13 +68,59 @@ def test_jaccard_odd_tables(spark):
     rows = spark.createDataFrame([(1, "a b c d e f", 0, "x"), (1, "a b c d e f", 0, "x"), (None, "other words entirely", 1, "y")], "doc_id int, text string, node int, content string")
     assert sorted((r["doc_id"] or 0, r["n_copies"]) for r in jaccard.join(rows).collect()) == [(0, 0), (1, 1), (1, 1)]
     assert jaccard.one_of_each(rows).count() == 2
+    keys = spark.createDataFrame([(None, "a b c d e f", 1), ("", "other words entirely", 2), ("k", "a b c d e f", 3), ("k", "third text here", 4), ("", None, 5), ("", None, 6)], "doc_id string, text string, row_id int")
+    assert sorted(r["row_id"] for r in jaccard.one_of_each(keys).collect()) == [2, 3, 4, 5, 6]
 
 
 def test_forest_depth():
     forest = jaccard.Forest()
-    level = forest.matched_depth()
-    reach = lambda k: 1 - (1 - forest.threshold**k) ** forest.trees
-    assert reach(level) >= forest.recall and (level == forest.depth or reach(level + 1) < forest.recall)
+    reach = lambda s, k: 1 - (1 - s**k) ** forest.trees
+    for similarity in (0.8, 0.85, 0.9, 1.0):
+        depth = forest.depth_for(similarity)
+        assert reach(similarity, depth) >= forest.recall and (depth == forest.levels or reach(similarity, depth + 1) < forest.recall)
+
+
+def test_paths_in_order_are_a_trie():
+    forest = jaccard.Forest()
+    made = jaccard.paths(np.sort(np.random.default_rng(1).integers(0, 2**63, 500).astype(np.uint64)), forest, jaccard._borrowing(forest.trees * forest.levels))
+    assert (made >> np.uint64(forest.bits * forest.levels)).tolist() == list(range(forest.trees)) and (made < 2**63).all()
+
+
+def near(base, shared):
+    """A text of 5-word shingles of which about a share is base's: the words from some place on are others."""
+    cut = int(len(base) * 2 * shared / (1 + shared))
+    return base[len(base) - cut :] + [f"w{random.random()}" for _ in range(len(base) - cut)]
+
+
+def test_recall_by_size_of_the_sets(spark):
+    random.seed(4)
+    rows, pairs = [], 0
+    for size in (4, 8, 20, 60, 200):
+        for _ in range(60):
+            base = [f"v{random.random()}" for _ in range(size + 4)]
+            changed = [*base, "one"] if size < 12 else [*base[:-1], *[f"x{random.random()}" for _ in range(max(1, size // 12))]]
+            if 10 * len(shingles(" ".join(base)) & shingles(" ".join(changed))) >= 8 * len(shingles(" ".join(base)) | shingles(" ".join(changed))):
+                pairs += 1
+            rows += [" ".join(base), " ".join(changed)]
+    got = jaccard.join(spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")).where("n_links > 0").count()
+    assert pairs > 200 and got >= 2 * 0.99 * pairs
+
+
+def test_chains_of_half_alike_texts_do_not_cost_their_square(spark):
+    random.seed(5)
+    text, rows = [f"v{random.random()}" for _ in range(64)], []
+    for i in range(400):
+        rows.append((i, text))
+        text = near(text, 0.5)
+    forest = jaccard.Forest(cell_nodes=8)
+    borrow = jaccard._borrowing(forest.trees * forest.levels)
+    hashes = lambda t: np.sort(np.array([hash(tuple(t[k : k + 5])) for k in range(len(t) - 4)], np.int64).view(np.uint64))
+    made = [(i, int(p), i // 8) for i, t in rows for p in jaccard.paths(jaccard.mix(hashes(t)), forest, borrow).view(np.int64)]
+    floor = forest.depth_for(forest.threshold)
+    trie = spark.createDataFrame(made, "node long, path long, cell long")
+    for n in (100, 400):
+        looked = jaccard.tasks(trie.where(F.col("node") < n), forest, floor, None).count()
+        assert looked <= 4 * n
 
 
 def test_components(spark):
