@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a local session gets one of its own; on a cluster it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lacuna-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
@@ -66,6 +68,20 @@ def map_in_arrow(rows: DataFrame, function: Callable, schema) -> DataFrame:
     return rows.mapInArrow(released, schema)
 
 
+def row_id(key: Column, text: Column) -> Column:
+    """16 bytes for a row's key and text: rows with both alike are the same; a null key is none of the others, a null text is empty."""
+    named = F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("null"))
+    return F.unhex(F.md5(F.concat(named, F.lit("\0"), F.coalesce(text.cast("string"), F.lit(""))).cast("binary")))
+
+
+def fresh_name(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once per row even if body uses it within lambdas."""
     return F.transform(F.array(value), body)[0]

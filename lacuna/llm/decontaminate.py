@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm import bloom
-from lacuna.llm.common import map_in_arrow, staged
+from lacuna.llm.common import fresh_name, map_in_arrow, row_id, staged
 from lacuna.llm.textvec import bytes_of, hash_runs, pieces, text_slices, window_hashes
 
 #: Words that count as units.
@@ -209,7 +209,9 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
 
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", rule: Rule = Rule()) -> DataFrame:
-    """docs without those that matches() finds."""
-    found = matches(docs, items, key, text, item_key, item_text, rule).select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("__key")).distinct()
-    found = staged(found, "contaminated")
-    return docs.withColumn("__key", F.coalesce(F.col(key).cast("string"), F.lit(""))).join(found, "__key", "left_anti").select(*docs.columns)
+    """docs without the rows whose text matches() finds. Rows are told apart by key and text: one that shares its key, null or empty ones too, with a contaminated
+    row stays. Repeated rows go or stay together; null and empty texts stay; without a benchmark all rows stay, and an empty table stays empty."""
+    mark = fresh_name(docs, "row_id")
+    named = docs.withColumn(mark, row_id(F.col(key), F.col(text)))
+    found = staged(matches(named.select(mark, text), items, mark, text, item_key, item_text, rule).select(mark).distinct(), "contaminated")
+    return named.join(found, mark, "left_anti").drop(mark)

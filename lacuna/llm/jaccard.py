@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm import bloom
-from lacuna.llm.common import map_in_arrow, staged
+from lacuna.llm.common import fresh_name, map_in_arrow, row_id, staged
 from lacuna.llm.components import components
 from lacuna.llm.textvec import mix, normalised, shingles, text_slices, word_hashes
 
@@ -145,9 +145,14 @@ def tasks(trie: DataFrame, forest: Forest, depth: int, before: int | None) -> Da
     counts = rows.groupBy("prefix", "cell").agg(F.count("*").alias("n"), F.min("child").alias("low"), F.max("child").alias("high"))
     whole = counts.groupBy("prefix").agg(F.sum("n").alias("all"), F.min("low").alias("low"), F.max("high").alias("high"))
     fresh = whole.where(F.col("all") > 1).where(F.lit(before is None) | (F.col("low") < F.col("high"))).select("prefix")
-    counts = staged(counts.select("prefix", F.col("cell").alias("other"), "n").join(fresh, "prefix"), "jaccard-buckets")
-    met = rows.join(counts, "prefix").where((F.col("cell") != F.col("other")) | (F.col("n") > 1))
-    return met.select("node", F.least("cell", "other").alias("c1"), F.greatest("cell", "other").alias("c2")).distinct()
+    counts = staged(counts.select("prefix", "cell", "n").join(fresh, "prefix"), "jaccard-buckets")
+    within = rows.join(counts.where("n > 1").select("prefix", "cell"), ["prefix", "cell"]).select("node", F.col("cell").alias("c1"), F.col("cell").alias("c2"))
+    # The prefixes of a large group lie in the same cells, time and again: a set of cells is met once, whatever the number of its prefixes.
+    spans = counts.groupBy("prefix").agg(F.array_sort(F.collect_set("cell")).alias("cells")).where(F.size("cells") > 1)
+    spans = staged(spans.select("prefix", F.xxhash64("cells").alias("span"), "cells"), "jaccard-spans")
+    met = rows.join(spans.select("prefix", "span"), "prefix").select("node", "cell", "span").distinct()
+    across = met.join(spans.select("span", "cells").dropDuplicates(["span"]), "span").select("node", "cell", F.explode("cells").alias("other")).where("cell <> other")
+    return within.union(across.select("node", F.least("cell", "other").alias("c1"), F.greatest("cell", "other").alias("c2"))).distinct()
 
 
 def _common(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
@@ -241,16 +246,10 @@ def _links(trie: DataFrame, sets: DataFrame, forest: Forest) -> DataFrame:
         depth, before = needed, depth
 
 
-def _row_id(key: Column, text: Column) -> Column:
-    """16 bytes for a row's key and text; a null key is none of the others."""
-    named = F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("null"))
-    return F.unhex(F.md5(F.concat(named, F.lit("\0"), text).cast("binary")))
-
-
 def _classes(docs: DataFrame, key: str, text: str, forest: Forest) -> DataFrame:
     """key, text_id, class_id, head (the text_id of the row that stands for the class), n_links, n_copies: a row for each row of docs."""
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(key).alias("key"), content.alias("text"), _row_id(F.col(key), content).alias("text_id"))
+    rows = docs.select(F.col(key).alias("key"), content.alias("text"), row_id(F.col(key), content).alias("text_id"))
     sketched = staged(_sketches(rows, forest), "jaccard-sketches")
 
     # A node for each content; the first of its rows stands for it.
@@ -325,17 +324,9 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", forest
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = _classes(docs, key, text, forest).groupBy("text_id").agg(F.bool_or(F.col("text_id") == F.col("head")).alias("stays"), F.count("*").alias("n"), F.max("n_copies").alias("copies"))
     rows = staged(rows, "jaccard-kept")
-    mark = _fresh_name(docs, "row_id")
+    mark = fresh_name(docs, "row_id")
     gone = staged(rows.where("NOT stays OR (n > 1 AND copies > 0)").select(F.col("text_id").alias(mark)), "jaccard-gone")
     more = staged(rows.where("stays AND n > 1 AND copies > 0").select(F.col("text_id").alias(mark)), "jaccard-repeated")
-    named = docs.withColumn(mark, _row_id(F.col(key), content))
+    named = docs.withColumn(mark, row_id(F.col(key), content))
     repeated = named.join(more, mark, "left_semi").dropDuplicates([mark])
     return named.join(gone, mark, "left_anti").drop(mark).unionByName(repeated.drop(mark))
-
-
-def _fresh_name(docs: DataFrame, name: str) -> str:
-    """A column name that docs does not have."""
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name += "_"
-    return name
