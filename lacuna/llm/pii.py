@@ -2,14 +2,16 @@
 
 All that the fixed patterns find are seeds. A text is a row of units: base spans, groups of numbers, and words. Each unit stands in lexical
 patterns: the unit before it, the two before it, the unit after it; and up to GROUP units stand in the frame of the unit before and the unit after them.
-Every unit and group in a pattern that enough seeds stand in is an instance of it. The bipartite graph of patterns and instances is
-scored in rounds of joins and aggregations: a pattern is as good as the mean score of its instances, an instance is as likely as
-the noisy-or of its trusted patterns. What stands in patterns that end with a high score and enough seeds are new identifiers.
+What stands in a pattern is an instance of it. The bipartite graph of patterns and instances is scored in rounds of joins and aggregations: seeds
+have score 1; a pattern's confidence is the sum of the scores of the known units in it over the number of its distinct instances; an instance's
+score is the noisy-or of the trusted patterns that it stands in. Units that are found are known from then on, so they make further patterns. Groups of several units are
+found and count as instances, but tell nothing for other patterns. What stands in patterns that are trusted at the end are new identifiers.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,12 +40,14 @@ WORD = rf"[+#@]?+{_LETTER}++(?:[@+./'-]++{_LETTER}++)*+"
 UNIT = f"{SEED}|{NUMBERS}(?![@+./'-]*+{_LETTER})|{WORD}"
 #: Units of a group in a frame.
 GROUP = 6
+#: Longs of bits that bound a pattern's instances from below.
+BOUND_WORDS = 4
 
 
 @dataclass(frozen=True)
 class Bootstrap:
     rounds: int = 3
-    #: What a pattern needs to find new identifiers: its score, and its distinct seed instances.
+    #: What a pattern needs to find new identifiers: its score, and how many distinct known units stand in it.
     confidence: float = 0.8
     support: int = 3
     #: Instances of score 0 that each pattern is taken to have besides its own.
@@ -123,51 +127,96 @@ def _single() -> Column:
     return F.array_compact(F.array(*[F.when(known, hashed) for known, hashed in made]))
 
 
-def seeded(slots: DataFrame, options: Bootstrap) -> tuple[DataFrame, DataFrame]:
-    """The patterns (pattern) and frames (pattern, b1, after) that enough distinct seeds stand in."""
-    seeds = slots.where(_is_seed("u0"))
-    support = F.count_distinct("u0")
-    patterns = seeds.select("u0", F.explode(_single()).alias("pattern")).groupBy("pattern").agg(support.alias("support"))
-    framed = seeds.where(F.col("b1").isNotNull() & F.col("a1").isNotNull())
-    frames = framed.groupBy("b1", F.col("a1").alias("after")).agg(support.alias("support")).withColumn("pattern", F.xxhash64(F.lit("f"), "b1", "after"))
-    enough = F.col("support") >= options.support
-    return patterns.where(enough).select("pattern"), frames.where(enough).select("pattern", "b1", "after")
-
-
-def occurrences(slots: DataFrame, patterns: DataFrame, frames: DataFrame) -> DataFrame:
-    """row, place, size (in units), pattern, instance (its hash), seed: what stands in the patterns and frames."""
-    alone = slots.select("row", "place", F.lit(1).alias("size"), F.xxhash64("u0").alias("instance"), _is_seed("u0").alias("seed"), F.explode(_single()).alias("pattern")).join(patterns, "pattern")
-    size = F.coalesce(*[F.when(F.col(f"a{k}") == F.col("after"), k) for k in range(1, GROUP + 1)])
-    framed = slots.join(frames, "b1").withColumn("size", size).where("size IS NOT NULL")
-    # A group that holds a seed is none.
-    holds = F.lit(False)
-    for k in range(GROUP):
-        holds = holds | ((F.col("size") > k) & _is_seed(f"u{k}"))
-    framed = framed.where((F.col("size") == 1) | ~holds)
-    units = F.concat_ws(" ", *[F.when(F.col("size") > k, F.col(f"u{k}")) for k in range(GROUP)])
-    columns = ["pattern", "row", "place", "size", "instance", "seed"]
-    return alone.select(columns).unionByName(framed.select("row", "place", "size", F.xxhash64(units).alias("instance"), _is_seed("u0").alias("seed"), "pattern").select(columns))
+#: Columns of a pattern: its hash, and of a frame the unit before and the unit after.
+PATTERN = ["pattern", "b1", "after"]
 
 
-def score(edges: DataFrame, options: Bootstrap) -> DataFrame:
-    """edges (pattern, instance, seed), one for each pair -> patterns with confidence and support after the rounds."""
-    totals = staged(edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if("seed").alias("support")), "pii-totals")
-    gained = None
-    for left in reversed(range(options.rounds)):
-        # Instances that neither are seeds nor stand in a trusted pattern have score 0, and take no part in a join.
-        sums = totals.withColumn("sum", F.col("support").cast("double"))
-        if gained is not None:
-            more = edges.where("NOT seed").join(gained, "instance").groupBy("pattern").agg(F.sum("score").alias("more"))
-            sums = totals.join(more, "pattern", "left").withColumn("sum", F.col("support") + F.coalesce("more", F.lit(0.0)))
-        patterns = staged(sums.select("pattern", (F.col("sum") / (F.col("n") + options.doubt)).alias("confidence"), "support"), "pii-patterns")
-        if left:
-            told = patterns.where(_trusted(options)).select("pattern", F.log1p(-F.least(F.col("confidence"), F.lit(0.999))).alias("told"))
-            gained = staged(edges.where("NOT seed").join(told, "pattern").groupBy("instance").agg((-F.expm1(F.sum("told"))).alias("score")), "pii-gained")
-    return patterns
+def _frame(after: Column) -> Column:
+    return F.xxhash64(F.lit("f"), F.col("b1"), after)
+
+
+def _told(known: DataFrame) -> DataFrame:
+    """Slots of known units with their score -> PATTERN, told (the sum of the scores of the distinct units that stand in it) and support (their number)."""
+    none = F.lit(None).cast("string")
+    alone = known.select("u0", "score", F.explode(_single()).alias("pattern")).select("pattern", none.alias("b1"), none.alias("after"), "u0", "score")
+    framed = known.where(F.col("b1").isNotNull() & F.col("a1").isNotNull()).select(_frame(F.col("a1")).alias("pattern"), "b1", F.col("a1").alias("after"), "u0", "score")
+    return alone.union(framed).distinct().groupBy(*PATTERN).agg(F.sum("score").alias("told"), F.count("*").alias("support"))
 
 
-def _trusted(options: Bootstrap) -> Column:
-    return (F.col("confidence") >= options.confidence) & (F.col("support") >= options.support)
+def occurrences(slots: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern, row, place, size (in units), instance (its hash), seed: what stands in the patterns."""
+    columns = ["pattern", "row", "place", "size", "instance", "seed"]
+    alone = slots.select("row", "place", F.lit(1).alias("size"), F.xxhash64("u0").alias("instance"), _is_seed("u0").alias("seed"), F.explode(_single()).alias("pattern"))
+    alone = alone.join(patterns.where("after IS NULL").select("pattern"), "pattern")
+    frames = patterns.where("after IS NOT NULL")
+    ends = []
+    for k in range(1, GROUP + 1):
+        # The frame closes at the first such unit after it; a group that holds a seed is none.
+        first, seeds = F.col(f"a{k}").isNotNull(), F.lit(False)
+        for j in range(1, k):
+            first, seeds = first & (F.col(f"a{j}") != F.col(f"a{k}")), seeds | _is_seed(f"u{j}")
+        if k > 1:
+            first = first & ~seeds & ~_is_seed("u0")
+        units = F.concat_ws(" ", *[F.col(f"u{j}") for j in range(k)]) if k > 1 else F.col("u0")
+        ends.append(F.when(first, F.struct(F.lit(k).alias("size"), F.xxhash64(units).alias("instance"), _frame(F.col(f"a{k}")).alias("pattern"))))
+    begun = slots.join(frames.select("b1").distinct(), "b1", "left_semi")
+    begun = begun.select("row", "place", _is_seed("u0").alias("seed"), F.explode(F.array_compact(F.array(*ends))).alias("e")).select("row", "place", "seed", "e.*")
+    return alone.select(columns).union(begun.join(frames.select("pattern"), "pattern").select(columns))
+
+
+def bounds(found: DataFrame) -> DataFrame:
+    """occurrences() -> pattern, least: no more distinct instances than the pattern has. The hashes of the instances set bits of a few longs, so
+    tasks combine them whatever the number of occurrences."""
+    place = F.pmod("instance", F.lit(64 * BOUND_WORDS)).cast("int")
+    bit = F.expr("shiftleft(1L, CAST(pmod(instance, 64) AS INT))")
+    words = [F.bit_or(F.when(F.floor(place / 64) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(BOUND_WORDS)]
+    total = F.lit(0)
+    for i in range(BOUND_WORDS):
+        total = total + F.bit_count(f"w{i}")
+    return found.groupBy("pattern").agg(*words).select("pattern", total.alias("least"))
+
+
+def bootstrap(texts: DataFrame, options: Bootstrap) -> DataFrame:
+    """row, masked, base -> row, place, size of what stands in a trusted pattern and is no seed, after the rounds.
+
+    Each round: the patterns that enough known units stand in; of those, the ones that can be trusted by a bound on their instances; of those
+    the exact number of instances, and the ones that are trusted; the scores of what stands in them. Units that are found are known in the next round.
+    Only patterns that the bound lets through have their occurrences shuffled, so that a pattern as common as a word costs no more than its bits.
+    """
+    slots = _slots(texts)
+    seeds = staged(_told(_slots(texts.where(F.size("base") > 0)).where(_is_seed("u0")).withColumn("score", F.lit(1.0))), "pii-seeds")
+    limits, places, told, trusted, before = [], [], seeds, None, None
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    for left in reversed(range(options.rounds)):
+        patterns = staged(told.where(F.col("support") >= options.support), "pii-patterns")
+        new = patterns.join(union(limits).select("pattern"), "pattern", "left_anti") if limits else patterns
+        limits.append(staged(bounds(occurrences(slots, new)), "pii-bounds"))
+        possible = patterns.join(union(limits), "pattern").where(_sure(F.col("told"), F.col("least"), options))
+        wide = staged(possible.where(F.col("least") >= 48 * BOUND_WORDS), "pii-wide")
+        if not wide.isEmpty():
+            # The bits of these are nearly full; a sketch with room for its error tells which have far too many instances.
+            many = occurrences(slots, wide).groupBy("pattern").agg((F.approx_count_distinct("instance", 0.02) * 0.8).alias("sketched"))
+            possible = possible.join(staged(many, "pii-sketched"), "pattern", "left").where(F.col("sketched").isNull() | _sure(F.col("told"), F.col("sketched"), options)).drop("sketched")
+        possible = staged(possible, "pii-possible")
+        fresh = possible.join(union(places).select("pattern").distinct(), "pattern", "left_anti") if places else possible
+        places.append(staged(occurrences(slots, fresh).repartition("row"), "pii-places"))
+        edges = staged(union(places).join(possible.select("pattern"), "pattern", "left_semi").groupBy("pattern", "instance").agg(F.bool_or("seed").alias("seed"), F.max("size").alias("size")), "pii-edges")
+        sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
+        trusted = staged(possible.join(sizes, "pattern").where(_sure(F.col("told"), F.col("n"), options)).select("pattern", (F.col("told") / (F.col("n") + options.doubt)).alias("confidence")), "pii-trusted")
+        doubts = F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999))))
+        gained = staged(edges.where("NOT seed AND size = 1").join(trusted, "pattern").groupBy("instance").agg((-F.expm1(doubts)).alias("score")), "pii-gained")
+        state = trusted.agg(F.count("*"), F.sum("confidence")).first()
+        if not left or gained.isEmpty() or state == before:
+            break
+        before = state
+        known = slots.where(~_is_seed("u0")).withColumn("instance", F.xxhash64("u0")).join(gained, "instance").drop("instance")
+        both = seeds.unionByName(_told(known))
+        told = staged(both.groupBy(*PATTERN).agg(F.sum("told").alias("told"), F.sum("support").alias("support")), "pii-told")
+    return union(places).where("NOT seed").join(trusted.select("pattern"), "pattern", "left_semi").select("row", "place", "size")
+
+
+def _sure(told: Column, n: Column, options: Bootstrap) -> Column:
+    return told / (n + options.doubt) >= options.confidence
 
 
 def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, options: Bootstrap = Bootstrap(), base: str = "pii", extra: str = "context_pii") -> DataFrame:
@@ -181,12 +230,7 @@ def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, opt
     scanned = scanned.withColumn("base", base_spans(F.col("text")))
     scanned = staged(scanned.select("row", "kept", "base", masked(F.col("text"), F.col("base")).alias("masked")), "pii-scanned")
 
-    patterns, frames = (staged(x, "pii-seeded") for x in seeded(_slots(scanned.where(F.size("base") > 0)), options))
-    slots = _slots(scanned)
-    edges = staged(occurrences(slots, patterns, frames).groupBy("pattern", "instance").agg(F.bool_or("seed").alias("seed")), "pii-edges")
-    trusted = staged(score(edges, options).where(_trusted(options)).select("pattern"), "pii-trusted")
-    found = occurrences(slots, patterns.join(trusted, "pattern", "left_semi"), frames.join(trusted, "pattern", "left_semi")).where("NOT seed")
-    found = staged(found.groupBy("row").agg(F.collect_set(F.struct("place", "size")).alias("hits")), "pii-found")
+    found = staged(bootstrap(scanned, options).groupBy("row").agg(F.collect_set(F.struct("place", "size")).alias("hits")), "pii-found")
     # Places in the text are worked out where something was found.
     units = scanned.select("row", "masked").join(found, "row").withColumn("units", spans(F.col("masked"), UNIT))
     ends = lambda h: F.struct(F.col("units")[h["place"]]["start"].alias("start"), F.lit(len(BASE)).alias("rank"), F.col("units")[h["place"] + h["size"] - 1]["end"].alias("end"))

@@ -154,3 +154,114 @@ def test_entropy_of_keys_in_one_case(spark):
         ((start, end),) = [(a, b) for a, rank, b in got[i] if kinds[rank] == name]
         assert start <= 6 and end >= 34
     assert got[2] == got[3] == []
+
+
+def bootstrap_model(masked_texts, options):
+    """The rounds in plain Python: (text, first character, last character) of what stands in trusted patterns and is no seed."""
+    import regex
+
+    seed = lambda u: pii._HIDDEN[0] <= u[0] <= chr(pii.HIDDEN + 127)
+    slots = []
+    for t, text in enumerate(masked_texts):
+        units = [(m.start(), m.end(), m.group()) for m in regex.finditer(pii.UNIT, text.lower())]
+        plain = [pii._HIDDEN[0] if seed(u) else regex.sub("[0-9]+", "0", u) for _, _, u in units]
+        for i in range(len(units)):
+            alone, framed = [], []
+            if i > 1:
+                alone.append(("2", plain[i - 2], plain[i - 1]))
+            if i:
+                alone.append(("1", plain[i - 1]))
+            if i + 1 < len(units):
+                alone.append(("a", plain[i + 1]))
+            for k in range(1, pii.GROUP + 1):
+                if i and i + k < len(units) and plain[i + k] not in plain[i + 1 : i + k] and (k == 1 or not any(seed(u) for _, _, u in units[i : i + k])):
+                    framed.append((k, ("f", plain[i - 1], plain[i + k]), " ".join(u for _, _, u in units[i : i + k])))
+            slots.append((t, units[i], alone, framed, units[i : i + pii.GROUP]))
+    known, trusted = {}, {}
+    for u in {s[1][2] for s in slots if seed(s[1][2])}:
+        known[u] = 1.0
+    for left in reversed(range(options.rounds)):
+        told, instances = {}, {}
+        for _, (_, _, u), alone, framed, _ in slots:
+            for p, name, k in [*((p, u, 1) for p in alone), *((p, name, k) for k, p, name in framed)]:
+                instances.setdefault(p, set()).add((name, k))
+                if k == 1 and u in known:
+                    told.setdefault(p, set()).add(u)
+        sure = {p: sum(known[u] for u in us) / (len(instances[p]) + options.doubt) for p, us in told.items() if len(us) >= options.support}
+        new, trusted = trusted, {p: c for p, c in sure.items() if c >= options.confidence}
+        if not left or new == trusted:
+            break
+        for p, c in trusted.items():
+            for name, k in instances[p]:
+                if k == 1 and not seed(name):
+                    known[name] = 0.0
+        for name in [n for n in known if not seed(n)]:
+            rest = 1.0
+            for p, c in trusted.items():
+                if (name, 1) in instances[p]:
+                    rest *= 1 - min(c, 0.999)
+            known[name] = 1 - rest
+    out = set()
+    for t, (start, end, u), alone, framed, following in slots:
+        if any(p in trusted for p in alone) and not seed(u):
+            out.add((t, start, end))
+        for k, p, _ in framed:
+            if p in trusted and not seed(u):
+                out.add((t, start, following[k - 1][1]))
+    return out
+
+
+def test_bootstrap_against_a_plain_model(spark):
+    import random
+
+    rng = random.Random(11)
+    frames = ["call {} now", "mail to {} please", "ticket of {} was closed", "the {} of it", "reach {} at once", "we saw {} and left"]
+    values = [f"u{i}@ex.org" for i in range(6)] + [f"10.0.0.{i}" for i in range(6)] + [f"AB-{i}{i}7" for i in range(5)] + ["house", "john at work", "12 34 56"]
+    weights = [[1 if (f + v) % 3 else 0.02 for v in range(len(values))] for f in range(len(frames))]
+    texts = [" . ".join(frames[f].format(rng.choices(values, weights[f])[0]) for f in rng.choices(range(len(frames)), k=rng.randrange(1, 6))) for _ in range(250)]
+    for options in (pii.Bootstrap(), pii.Bootstrap(confidence=0.55, support=2, rounds=4), pii.Bootstrap(confidence=0.3, support=2, rounds=2)):
+        docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string").withColumn("base", pii.base_spans(F.col("text")))
+        docs = docs.select("row", "base", pii.masked(F.col("text"), F.col("base")).alias("masked"))
+        masked = {r["row"]: r["masked"] for r in docs.collect()}
+        units = docs.select("row", spans(F.col("masked"), pii.UNIT).alias("units"))
+        hits = pii.bootstrap(docs, options).distinct().join(units, "row")
+        got = {(r["row"], r["start"], r["end"]) for r in hits.select("row", F.col("units")[F.col("place")]["start"].alias("start"), F.col("units")[F.col("place") + F.col("size") - 1]["end"].alias("end")).collect()}
+        want = bootstrap_model([masked[i] for i in range(len(texts))], options)
+        assert got == want and (want or options == pii.Bootstrap())
+
+
+def test_finds_make_further_patterns(spark):
+    known = [f"signed in as u{i}@ex.org this morning" for i in range(8)]
+    found = [f"signed in as KD-{c}x7 this morning" for c in "pq"]
+    # The ids stand in a context that no seed has, where they are enough to tell it.
+    further = [f"badge holder KD-{c}x7 entered" for c in "pq"] + [f"badge holder {u} entered" for u in ("u0@ex.org", "KD-zz9")] + ["badge holder u1@ex.org entered", "badge holder u2@ex.org entered"]
+    texts = known + found + further
+    one = run(spark, texts, lambda d: pii.find(d, options=pii.Bootstrap(rounds=1, confidence=0.75)), "context_pii")
+    more = run(spark, texts, lambda d: pii.find(d, options=pii.Bootstrap(confidence=0.75)), "context_pii")
+    at = texts.index("badge holder KD-zz9 entered")
+    assert one[at] == [] and [texts[at][a:b] for a, _, b in more[at]] == ["KD-zz9"]
+
+
+def test_precision_and_recall_of_discovery(spark):
+    """With the default options: ids that no fixed pattern finds, in contexts of ids that one does; look-alikes in other contexts are left alone."""
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("bcdfglmnprst", k=4)) + rng.choice(["a", "o", "e"])
+    contexts = [("their mail is", "if needed"), ("phoned us from", "on monday"), ("paid with card", "in full"), ("connected through", "that night")]
+    seeds = [lambda i: f"{word()}{i}@mail.example", lambda i: f"+1 (415) 555-{i:04}", lambda i: next(c for d in range(10) if luhn((c := f"4111 1111 1{i:03} 111{d}").replace(" ", ""))), lambda i: f"10.1.{i % 250}.{i // 250}"]
+    texts, want = [], []
+    for i in range(600):
+        k = i % 4
+        before, after = contexts[k]
+        noise = " ".join(word() for _ in range(rng.randrange(3, 12)))
+        if i % 10 == 0:
+            value = rng.choice([f"{word()} at {word()} dot org", f"{rng.randrange(100, 999)} {rng.randrange(100, 999)} {rng.randrange(1000, 9999)}", f"ID{rng.randrange(10**6)}"])
+            want.append((len(texts), value))
+        else:
+            value = seeds[k](i)
+        texts.append(f"{noise} {before} {value} {after} {' '.join(word() for _ in range(5))}")
+        texts.append(f"{noise} order ID{rng.randrange(10**6)} shipped {rng.randrange(100, 999)} {word()} at {word()} today")
+    got = {(i, texts[i][a:b]) for i, spans_ in run(spark, texts, pii.find, "context_pii").items() for a, _, b in spans_}
+    right = len(got & set(want))
+    assert right / len(want) >= 0.95 and right / max(1, len(got)) >= 0.9
