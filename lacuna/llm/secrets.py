@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from math import log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,9 +38,9 @@ class Entropy:
     window: int = 20
     classes: tuple[CharClass, ...] = (
         CharClass("entropy_hex", DIGITS + "abcdef", r"(?<![0-9A-Za-z])[0-9a-fA-F]{20,}+(?![0-9A-Za-z])", 3.0),
-        CharClass("entropy_base64", UPPER + LOWER + DIGITS + "+/_-", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+", 3.8, r"(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])"),
-        CharClass("entropy_lower", LOWER + DIGITS, r"(?<![A-Za-z0-9])[a-z0-9]{20,}+(?![A-Za-z0-9])", 3.6, r"(?=.*[0-9])(?=.*[g-z])"),
-        CharClass("entropy_upper", UPPER + DIGITS, r"(?<![A-Za-z0-9])[A-Z0-9]{20,}+(?![A-Za-z0-9])", 3.6, r"(?=.*[0-9])(?=.*[G-Z])"),
+        CharClass("entropy_base64", UPPER + LOWER + DIGITS + "+/_-", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+", 3.8, r"^(?=[^0-9]*+[0-9])(?=[^a-z]*+[a-z])(?=[^A-Z]*+[A-Z])"),
+        CharClass("entropy_lower", LOWER + DIGITS, r"(?<![A-Za-z0-9])[a-z0-9]{20,}+(?![A-Za-z0-9])", 3.6, r"^(?=[^0-9]*+[0-9])(?=[^g-z]*+[g-z])"),
+        CharClass("entropy_upper", UPPER + DIGITS, r"(?<![A-Za-z0-9])[A-Z0-9]{20,}+(?![A-Za-z0-9])", 3.6, r"^(?=[^0-9]*+[0-9])(?=[^G-Z]*+[G-Z])"),
     )
     #: Candidates that match one of these are let be: examples, counters and fillers in manuals.
     allowed: tuple[str, ...] = ("(?i)example", "(?i)0123456789|abcdefgh", r"(.)\1{7}")
@@ -48,46 +49,51 @@ class Entropy:
 
 
 def hot_stretch(value: Column, alphabet: str, window: int, bits: float) -> Column:
-    """struct(first, last): the ends of the first and the last window of value with at least so many bits; null if none.
+    """struct(first, last): the ends of the first and the last window of value with at least so many bits; null if none. value has characters of alphabet alone.
 
     One pass: a window's counts come from those of the window before it by the character that enters and the one
-    that leaves, and with them the sum of c * log2(c), which fixes the entropy.
+    that leaves, and with them the sum of c * log2(c), which fixes the entropy. The counts are fields of a few bits in longs, so a step changes
+    one field for each of the two characters, whatever the alphabet.
     """
-    term = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(0.0)
-    zero = F.struct(
-        F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last")
-    )
-
-    def scan(chars: Column) -> Column:
-        def step(state: Column, char: Column) -> Column:
-            places = F.struct(
-                F.position(char, F.lit(alphabet)).alias("into"),
-                F.when(state["at"] >= window, F.position(chars[state["at"] - window], F.lit(alphabet))).otherwise(0).alias("out"),
-            )
-
-            def moved(p: Column) -> Column:
+    width = window.bit_length()
+    fields = 63 // width
+    words = -(-len(alphabet) // fields)
+    terms = F.array(*[F.lit(c * log2(c) if c > 1 else 0.0) for c in range(window + 1)])
+    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), words).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    one = F.lit(1).cast("long")
+
+    def scan(places: Column) -> Column:
+        def step(state: Column, into: Column) -> Column:
+            full = state["at"] >= window
+            moved = F.struct(into.alias("into"), F.when(full, places[state["at"] - window]).otherwise(into).alias("out"))
+
+            def changed(p: Column) -> Column:
                 into, out = p["into"], p["out"]
-                grown = F.element_at(state["counts"], F.greatest(into, F.lit(1)))
-                shrunk = F.element_at(state["counts"], F.greatest(out, F.lit(1)))
-                total = state["sum"] + F.when((into == out) | (into == 0), 0.0).otherwise(term(grown + 1) - term(grown)) + F.when((into == out) | (out == 0), 0.0).otherwise(term(shrunk - 1) - term(shrunk))
+                shift = lambda place: place % fields * width
+                counted = lambda place: F.call_function("shiftrightunsigned", state["counts"][F.floor(place / fields).cast("int")], shift(place)).bitwiseAND((1 << width) - 1).cast("int")
+                both = F.struct(counted(into).alias("grown"), counted(out).alias("shrunk"))
+
+                def told(n: Column) -> Column:
+                    grows = terms[n["grown"] + 1] - terms[n["grown"]]
+                    gain = F.when(full & (into == out), 0.0).when(full, grows + terms[n["shrunk"] - 1] - terms[n["shrunk"]]).otherwise(grows)
+                    add = lambda place, k: F.when(F.floor(place / fields) == k, F.call_function("shiftleft", one, shift(place))).otherwise(F.lit(0).cast("long"))
+                    counts = F.transform(state["counts"], lambda c, k: c + add(into, k) - F.when(full, add(out, k)).otherwise(F.lit(0).cast("long")))
+                    return F.struct(counts.alias("counts"), (state["sum"] + gain).alias("sum"))
 
-                def judged(total: Column) -> Column:
-                    hot = (state["at"] + 1 >= window) & (F.log2(F.lit(float(window))) - total / window >= bits)
-                    return F.struct(
-                        F.transform(state["counts"], lambda c, k: c + (k + 1 == into).cast("int") - (k + 1 == out).cast("int")).alias("counts"),
-                        total.alias("sum"),
-                        (state["at"] + 1).alias("at"),
-                        F.when(state["first"].isNull() & hot, state["at"] + 1).otherwise(state["first"]).alias("first"),
-                        F.when(hot, state["at"] + 1).otherwise(state["last"]).alias("last"),
-                    )
+                return let(let(both, told), judged)
 
-                return let(total, judged)
+            def judged(new: Column) -> Column:
+                at = state["at"] + 1
+                hot = (at >= window) & (F.lit(log2(window)) - new["sum"] / window >= bits)
+                first, last = F.when(state["first"].isNull() & hot, at).otherwise(state["first"]), F.when(hot, at).otherwise(state["last"])
+                return F.struct(new["counts"].alias("counts"), new["sum"].alias("sum"), at.alias("at"), first.alias("first"), last.alias("last"))
 
-            return let(places, moved)
+            return let(moved, changed)
 
-        return F.aggregate(chars, zero, step, lambda s: F.when(s["first"].isNotNull(), F.struct(s["first"].alias("first"), s["last"].alias("last"))))
+        return F.aggregate(places, zero, step, lambda s: F.when(s["first"].isNotNull(), F.struct(s["first"].alias("first"), s["last"].alias("last"))))
 
-    return let(F.split(value, ""), scan)
+    place = lambda char: F.position(char, F.lit(alphabet)) - 1
+    return let(F.transform(F.filter(F.split(value, ""), lambda char: char != ""), place), scan)
 
 
 def _suspect(value: Column, kind: CharClass, options: Entropy) -> Column:

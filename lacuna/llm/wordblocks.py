@@ -6,7 +6,8 @@ the documents as sequences of those numbers. A block sends each of its words onc
 frequency, to the bucket that its hash names; there every distinct word is resolved once for all
 blocks. The answers go back to the block, whose number sequences turn into answers by position.
 
-Both shuffles carry packed rows: one for each block and bucket, and one for each block.
+Both shuffles carry packed rows: one for each block and bucket, and one for each block. Packing is for the disk: a plain row for each
+position, or for each word of a block, would be many times the text, and the shuffles must stay within 1.5 times the input.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ PIECES_AT_ONCE = 200_000
 
 #: Blocks after which there is one bucket more, so that a bucket does not grow with the corpus alone.
 BLOCKS_A_BUCKET = 32
+#: Blocks after which words that begin alike are spread over one bucket more.
+BLOCKS_A_SPREAD = 1024
 
 PACKED = "bucket long, block long, docs binary, numbers binary, words binary"
 
@@ -97,14 +100,14 @@ def to_ipc(data: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _block_rows(block: int, docs: list[pa.RecordBatch], counts: list[int], words: dict, numbers: array, buckets: int, key_bytes: int | None) -> pa.Table:
+def _block_rows(block: int, docs: list[pa.RecordBatch], counts: list[int], words: dict, numbers: array, buckets: int, key_bytes: int | None, spread: int = 1) -> pa.Table:
     encoded = [w.encode() for w in words]
     used = np.frombuffer(numbers, np.uint32) if numbers else np.zeros(0, np.uint32)
     # The most frequent words get the smallest numbers, which take the least room.
     by_use = np.argsort(-np.bincount(used, minlength=len(encoded)), kind="stable")
     number = np.empty(len(by_use), np.uint32)
     number[by_use] = np.arange(len(by_use), dtype=np.uint32)
-    home = np.fromiter((zlib.crc32(encoded[i][:key_bytes]) % buckets for i in by_use), np.int64, len(by_use))
+    home = np.fromiter(((zlib.crc32(encoded[i][:key_bytes]) + (zlib.crc32(encoded[i]) % spread if spread > 1 else 0)) % buckets for i in by_use), np.int64, len(by_use))
     kept = pa.Table.from_batches(docs).append_column("__n", pa.array(counts, pa.int64()))
     # A block's documents are a group of their own, apart from all buckets of words.
     rows = [(-1 - block, block, to_ipc(kept), pack_numbers(home, number[used]), None)]
@@ -115,7 +118,7 @@ def _block_rows(block: int, docs: list[pa.RecordBatch], counts: list[int], words
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "block", "docs", "numbers", "words"])
 
 
-def pack_blocks(docs: DataFrame, text: str, keep: list[str], pattern: str, buckets: int, key_bytes: int | None, block_chars: int) -> DataFrame:
+def pack_blocks(docs: DataFrame, text: str, keep: list[str], pattern: str, buckets: int, key_bytes: int | None, block_chars: int, spread: int = 1) -> DataFrame:
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
@@ -137,13 +140,13 @@ def pack_blocks(docs: DataFrame, text: str, keep: list[str], pattern: str, bucke
                 counts.append(len(numbers) - before)
                 if chars >= block_chars:
                     held.append(kept.slice(begin, row + 1 - begin))
-                    yield from _block_rows(block, held, counts, words, numbers, buckets, key_bytes).to_batches()
+                    yield from _block_rows(block, held, counts, words, numbers, buckets, key_bytes, spread).to_batches()
                     block, begin = block + 1, row + 1
                     words, numbers, held, counts, chars = Numbering(), array("I"), [], [], 0
             if begin < batch.num_rows:
                 held.append(kept.slice(begin))
         if counts:
-            yield from _block_rows(block, held, counts, words, numbers, buckets, key_bytes).to_batches()
+            yield from _block_rows(block, held, counts, words, numbers, buckets, key_bytes, spread).to_batches()
 
     return map_in_arrow(docs.select(F.col(text).cast("string").alias("__text"), *[F.col(c) for c in keep]), blocks, PACKED)
 
@@ -165,13 +168,16 @@ def per_distinct_word(
 
     resolve: distinct words (binary) -> a list of int32 for each; called with every distinct word of a bucket once.
     assemble: (the lists of the block's words, the word number at each position, where each document begins) -> a value per document.
-    key_bytes: words that begin with the same so many bytes meet in one bucket; all bytes if None.
+    key_bytes: words that begin with the same so many bytes meet in one bucket, or in a few of a large corpus; all bytes if None.
     Null texts count as empty; repeated rows each give a row; no rows give no rows.
     """
+    spread = 1
     if not buckets:
         chars = docs.agg(F.sum(F.length(F.col(text).cast("string")))).first()[0] or 0
+        # Words that begin alike are told apart, too, once there are so many blocks that a beginning's share of them is large.
+        spread = max(1, chars // block_chars // BLOCKS_A_SPREAD) if key_bytes else 1
         buckets = max(64, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chars // block_chars // BLOCKS_A_BUCKET)
-    packed = pack_blocks(docs, text, keep, pattern, buckets, key_bytes, block_chars)
+    packed = pack_blocks(docs, text, keep, pattern, buckets, key_bytes, block_chars, spread)
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(out, out_type)])
 
     def resolved(group: pa.Table) -> pa.Table:
