@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.llm import bpe, decontaminate, jaccard, pii, quality
-from lacuna.llm.common import staged, table
+from lacuna.llm.common import fresh_name, staged, table
 from lacuna.llm.queries import QUALITY_KEPT, RANKS
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("quality_score") >= QUALITY_KEPT).select(*docs.columns)
+    score = fresh_name(docs, "quality_score")
+    return quality.score(docs, model, out=score).where(F.col(score) >= QUALITY_KEPT).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +30,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = pii.find(docs).withColumn("text", pii.redact(F.col("text"), F.array_sort(F.concat("pii", "context_pii"))))
+    base, extra = fresh_name(docs, "pii"), fresh_name(docs, "context_pii")
+    found = pii.find(docs, base=base, extra=extra).withColumn("text", pii.redact(F.col("text"), F.array_sort(F.concat(base, extra))))
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
@@ -46,7 +48,7 @@ STAGES = [
     ("encoding", encoded),
 ]
 
-#: No SQL can express the stages; tests/llm hold them against brute force.
+#: No SQL can express the stages; tests/llm hold each operator, and what the stages keep, against plain Python.
 ORACLE_SQL = None
 
 
