@@ -39,8 +39,8 @@ class Forest:
     #: Chance that a pair as similar as the weakest link shares a prefix in some tree.
     recall: float = 0.9995
     #: Verification: nodes and shingles in a cell at most (one node may have more shingles).
-    cell_nodes: int = 192
-    cell_shingles: int = 200_000
+    cell_nodes: int = 384
+    cell_shingles: int = 400_000
 
     def depth_for(self, similarity: float) -> int:
         """The longest prefix that reaches the target recall for pairs of this similarity."""
@@ -151,7 +151,8 @@ def tasks(trie: DataFrame, forest: Forest, depth: int, before: int | None) -> Da
     spans = counts.groupBy("prefix").agg(F.array_sort(F.collect_set("cell")).alias("cells")).where(F.size("cells") > 1)
     spans = staged(spans.select("prefix", F.xxhash64("cells").alias("span"), "cells"), "jaccard-spans")
     met = rows.join(spans.select("prefix", "span"), "prefix").select("node", "cell", "span").distinct()
-    across = met.join(spans.select("span", "cells").dropDuplicates(["span"]), "span").select("node", "cell", F.explode("cells").alias("other")).where("cell <> other")
+    cells = met.join(spans.select("span", "cells").dropDuplicates(["span"]), "span").groupBy("node", "cell").agg(F.array_distinct(F.flatten(F.collect_set("cells"))).alias("cells"))
+    across = cells.select("node", "cell", F.explode("cells").alias("other")).where("cell <> other")
     return within.union(across.select("node", F.least("cell", "other").alias("c1"), F.greatest("cell", "other").alias("c2"))).distinct()
 
 
