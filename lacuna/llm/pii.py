@@ -40,8 +40,9 @@ WORD = rf"[+#@]?+{_LETTER}++(?:[@+./'-]++{_LETTER}++)*+"
 UNIT = f"{SEED}|{NUMBERS}(?![@+./'-]*+{_LETTER})|{WORD}"
 #: Units of a group in a frame.
 GROUP = 6
-#: Longs of bits that bound a pattern's instances from below.
+#: Longs of bits that bound a pattern's instances from below, and the parts of the texts, of one in so many, whose bounds are taken first.
 BOUND_WORDS = 4
+PARTS = (64, 8)
 
 
 @dataclass(frozen=True)
@@ -100,24 +101,27 @@ def masked(text: Column, base: Column) -> Column:
     return _replaced(free, F.array_sort(base), lambda _, own: F.translate(own, _ASCII, _HIDDEN))
 
 
-def _slots(texts: DataFrame) -> DataFrame:
-    """row, masked -> a row for each unit: row, place, the units from it on (u0 and more) and the plain forms of those around it (b2, b1, a1 and more)."""
-    small = F.lower("masked")
+def _units(masked: str) -> tuple[Column, Column]:
+    """The units of a masked text, in lower case, and their plain forms: seeds alike, and numbers alike."""
+    small = F.lower(masked)
     plain = F.regexp_replace(F.regexp_replace(small, SEED, _HIDDEN[0]), "[0-9]+", "0")
-    arrays = texts.select("row", F.regexp_extract_all(small, F.lit(UNIT), F.lit(0)).alias("u"), F.regexp_extract_all(plain, F.lit(UNIT), F.lit(0)).alias("p"))
-    none = F.array(F.lit(None).cast("string"))
-    n = F.size("u")
-    later = lambda c, k: F.slice(c, F.lit(k + 1), F.greatest(n - k, F.lit(0)))
+    return F.regexp_extract_all(small, F.lit(UNIT), F.lit(0)), F.regexp_extract_all(plain, F.lit(UNIT), F.lit(0))
+
+
+def _slots(texts: DataFrame) -> DataFrame:
+    """row, masked -> a row for each unit: row, place, the unit (u0), and the plain forms of the two before it and the one after it (b2, b1, a1)."""
+    u, p = _units("masked")
+    arrays = texts.select("row", u.alias("u"), p.alias("p")).where(F.size("u") > 0)
+    none, n = F.array(F.lit(None).cast("string")), F.size("u")
     before = lambda k: F.slice(F.concat(*[none] * k, F.col("p")), F.lit(1), n)
-    zipped = {"b2": before(2), "b1": before(1)}
-    zipped |= {f"u{k}": later(F.col("u"), k) for k in range(GROUP)} | {f"a{k}": later(F.col("p"), k) for k in range(1, GROUP + 1)}
-    arrays = arrays.where(n > 0).select("row", *[c.alias(name) for name, c in zipped.items()])
+    zipped = {"u0": F.col("u"), "b2": before(2), "b1": before(1), "a1": F.slice("p", F.lit(2), F.greatest(n - 1, F.lit(0)))}
+    arrays = arrays.select("row", *[c.alias(name) for name, c in zipped.items()])
     rows = arrays.select("row", F.posexplode(F.arrays_zip(*zipped)).alias("place", "s"))
     return rows.select("row", "place", *[F.col("s")[name].alias(name) for name in zipped])
 
 
-def _is_seed(unit: str) -> Column:
-    return F.coalesce(F.col(unit).between(_HIDDEN[0], chr(HIDDEN + 127)), F.lit(False))
+def _is_seed(unit: Column) -> Column:
+    return F.coalesce(unit.between(_HIDDEN[0], chr(HIDDEN + 127)), F.lit(False))
 
 
 def _single() -> Column:
@@ -131,37 +135,51 @@ def _single() -> Column:
 PATTERN = ["pattern", "b1", "after"]
 
 
-def _frame(after: Column) -> Column:
-    return F.xxhash64(F.lit("f"), F.col("b1"), after)
+def _frame(before: Column, after: Column) -> Column:
+    return F.xxhash64(F.lit("f"), before, after)
+
+
+def _begin(before: Column) -> Column:
+    return F.xxhash64(F.lit("b"), before)
 
 
 def _told(known: DataFrame) -> DataFrame:
     """Slots of known units with their score -> PATTERN, told (the sum of the scores of the distinct units that stand in it) and support (their number)."""
     none = F.lit(None).cast("string")
     alone = known.select("u0", "score", F.explode(_single()).alias("pattern")).select("pattern", none.alias("b1"), none.alias("after"), "u0", "score")
-    framed = known.where(F.col("b1").isNotNull() & F.col("a1").isNotNull()).select(_frame(F.col("a1")).alias("pattern"), "b1", F.col("a1").alias("after"), "u0", "score")
+    framed = known.where(F.col("b1").isNotNull() & F.col("a1").isNotNull()).select(_frame(F.col("b1"), F.col("a1")).alias("pattern"), "b1", F.col("a1").alias("after"), "u0", "score")
     return alone.union(framed).distinct().groupBy(*PATTERN).agg(F.sum("score").alias("told"), F.count("*").alias("support"))
 
 
-def occurrences(slots: DataFrame, patterns: DataFrame) -> DataFrame:
-    """pattern, row, place, size (in units), instance (its hash), seed: what stands in the patterns."""
-    columns = ["pattern", "row", "place", "size", "instance", "seed"]
-    alone = slots.select("row", "place", F.lit(1).alias("size"), F.xxhash64("u0").alias("instance"), _is_seed("u0").alias("seed"), F.explode(_single()).alias("pattern"))
-    alone = alone.join(patterns.where("after IS NULL").select("pattern"), "pattern")
-    frames = patterns.where("after IS NOT NULL")
-    ends = []
+def _groups(u: Column, p: Column, at: Column) -> Column:
+    """The groups that begin at a place and the frames that they stand in: structs (place, size, instance, seed, pattern), null where there is none."""
+    made = []
     for k in range(1, GROUP + 1):
-        # The frame closes at the first such unit after it; a group that holds a seed is none.
-        first, seeds = F.col(f"a{k}").isNotNull(), F.lit(False)
+        # The frame closes at the first such unit after it; a group of several units that holds a seed is none.
+        closes = F.get(p, at + k).isNotNull()
         for j in range(1, k):
-            first, seeds = first & (F.col(f"a{j}") != F.col(f"a{k}")), seeds | _is_seed(f"u{j}")
+            closes = closes & (F.get(p, at + j) != F.get(p, at + k))
         if k > 1:
-            first = first & ~seeds & ~_is_seed("u0")
-        units = F.concat_ws(" ", *[F.col(f"u{j}") for j in range(k)]) if k > 1 else F.col("u0")
-        ends.append(F.when(first, F.struct(F.lit(k).alias("size"), F.xxhash64(units).alias("instance"), _frame(F.col(f"a{k}")).alias("pattern"))))
-    begun = slots.join(frames.select("b1").distinct(), "b1", "left_semi")
-    begun = begun.select("row", "place", _is_seed("u0").alias("seed"), F.explode(F.array_compact(F.array(*ends))).alias("e")).select("row", "place", "seed", "e.*")
-    return alone.select(columns).union(begun.join(frames.select("pattern"), "pattern").select(columns))
+            closes = closes & ~F.exists(F.slice(u, at + 1, F.lit(k)), _is_seed)
+        name = F.array_join(F.slice(u, at + 1, F.lit(k)), " ")
+        made.append(F.when(closes, F.struct(at.alias("place"), F.lit(k).alias("size"), F.xxhash64(name).alias("instance"), _is_seed(F.get(u, at)).alias("seed"), _frame(F.get(p, at - 1), F.get(p, at + k)).alias("pattern"))))
+    return F.array(*made)
+
+
+def occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern, row, place, size (in units), instance (its hash), seed: what stands in the patterns. One pass over all units gives those that stand in a pattern
+    alone and the places where frames begin; only at these are groups put together."""
+    columns = ["pattern", "row", "place", "size", "instance", "seed"]
+    frames = patterns.where("after IS NOT NULL")
+    keys = patterns.where("after IS NULL").select("pattern", F.lit(False).alias("begins")).union(frames.select(_begin(F.col("b1")), F.lit(True)).distinct())
+    begins = F.array_compact(F.array(F.when(F.col("b1").isNotNull(), _begin(F.col("b1")))))
+    hits = _slots(texts).select("row", "place", F.xxhash64("u0").alias("instance"), _is_seed(F.col("u0")).alias("seed"), F.explode(F.concat(_single(), begins)).alias("pattern")).join(keys, "pattern")
+    hits = staged(hits, "pii-hits")
+    places = staged(hits.where("begins").groupBy("row").agg(F.collect_list("place").alias("places")), "pii-begun")
+    both = F.struct(*[c.alias(name) for c, name in zip(_units("masked"), "up", strict=True)])
+    found = let(both, lambda x: F.flatten(F.transform("places", lambda at: F.array_compact(_groups(x["u"], x["p"], at)))))
+    framed = texts.select("row", "masked").join(places, "row").select("row", F.inline(found)).join(frames.select("pattern"), "pattern")
+    return hits.where("NOT begins").withColumn("size", F.lit(1)).select(columns).union(framed.select(columns))
 
 
 def bounds(found: DataFrame) -> DataFrame:
@@ -181,25 +199,32 @@ def bootstrap(texts: DataFrame, options: Bootstrap) -> DataFrame:
 
     Each round: the patterns that enough known units stand in; of those, the ones that can be trusted by a bound on their instances; of those
     the exact number of instances, and the ones that are trusted; the scores of what stands in them. Units that are found are known in the next round.
-    Only patterns that the bound lets through have their occurrences shuffled, so that a pattern as common as a word costs no more than its bits.
+    Only patterns that the bounds of parts of the texts let through are looked for in all texts, so that a pattern as common as a word costs little.
     """
     slots = _slots(texts)
-    seeds = staged(_told(_slots(texts.where(F.size("base") > 0)).where(_is_seed("u0")).withColumn("score", F.lit(1.0))), "pii-seeds")
+    seeds = staged(_told(_slots(texts.where(F.size("base") > 0)).where(_is_seed(F.col("u0"))).withColumn("score", F.lit(1.0))), "pii-seeds")
+    parts = [(share, texts.where(F.pmod(F.xxhash64("row"), F.lit(share)) == 0)) for share in PARTS]
     limits, places, told, trusted, before = [], [], seeds, None, None
-    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    union = lambda tables: reduce(DataFrame.unionByName, tables)
     for left in reversed(range(options.rounds)):
-        patterns = staged(told.where(F.col("support") >= options.support), "pii-patterns")
-        new = patterns.join(union(limits).select("pattern"), "pattern", "left_anti") if limits else patterns
-        limits.append(staged(bounds(occurrences(slots, new)), "pii-bounds"))
-        possible = patterns.join(union(limits), "pattern").where(_sure(F.col("told"), F.col("least"), options))
-        wide = staged(possible.where(F.col("least") >= 48 * BOUND_WORDS), "pii-wide")
-        if not wide.isEmpty():
-            # The bits of these are nearly full; a sketch with room for its error tells which have far too many instances.
-            many = occurrences(slots, wide).groupBy("pattern").agg((F.approx_count_distinct("instance", 0.02) * 0.8).alias("sketched"))
-            possible = possible.join(staged(many, "pii-sketched"), "pattern", "left").where(F.col("sketched").isNull() | _sure(F.col("told"), F.col("sketched"), options)).drop("sketched")
+        possible = staged(told.where(F.col("support") >= options.support), "pii-patterns")
+        for share, part in parts:
+            # What a part of the texts says of a pattern's instances is a bound for all texts.
+            known = [t for s, t in limits if s == share]
+            new = possible.join(union(known).select("pattern"), "pattern", "left_anti") if known else possible
+            limits.append((share, staged(bounds(occurrences(part, new)), "pii-bounds")))
+            least = union([t for s, t in limits if s == share])
+            possible = staged(possible.join(least, "pattern", "left").withColumn("least", F.coalesce("least", F.lit(0))).where(_sure(F.col("told"), F.col("least"), options)), "pii-possible")
+            wide = possible.where(F.col("least") >= 48 * BOUND_WORDS)
+            if not wide.isEmpty():
+                # The bits of these are nearly full; a sketch with room for its error tells which have far too many instances.
+                many = occurrences(part, wide.select(*PATTERN)).groupBy("pattern").agg((F.approx_count_distinct("instance", 0.02) * 0.8).alias("sketched"))
+                possible = staged(possible.join(staged(many, "pii-sketched"), "pattern", "left").where(F.col("sketched").isNull() | _sure(F.col("told"), F.col("sketched"), options)).drop("sketched"), "pii-possible")
+            possible = possible.drop("least")
         possible = staged(possible, "pii-possible")
         fresh = possible.join(union(places).select("pattern").distinct(), "pattern", "left_anti") if places else possible
-        places.append(staged(occurrences(slots, fresh).repartition("row"), "pii-places"))
+        if not places or not fresh.isEmpty():
+            places.append(staged(occurrences(texts, fresh.select(*PATTERN)), "pii-places"))
         edges = staged(union(places).join(possible.select("pattern"), "pattern", "left_semi").groupBy("pattern", "instance").agg(F.bool_or("seed").alias("seed"), F.max("size").alias("size")), "pii-edges")
         sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
         trusted = staged(possible.join(sizes, "pattern").where(_sure(F.col("told"), F.col("n"), options)).select("pattern", (F.col("told") / (F.col("n") + options.doubt)).alias("confidence")), "pii-trusted")
@@ -209,7 +234,7 @@ def bootstrap(texts: DataFrame, options: Bootstrap) -> DataFrame:
         if not left or gained.isEmpty() or state == before:
             break
         before = state
-        known = slots.where(~_is_seed("u0")).withColumn("instance", F.xxhash64("u0")).join(gained, "instance").drop("instance")
+        known = slots.where(~_is_seed(F.col("u0"))).withColumn("instance", F.xxhash64("u0")).join(gained, "instance").drop("instance")
         both = seeds.unionByName(_told(known))
         told = staged(both.groupBy(*PATTERN).agg(F.sum("told").alias("told"), F.sum("support").alias("support")), "pii-told")
     return union(places).where("NOT seed").join(trusted.select("pattern"), "pattern", "left_semi").select("row", "place", "size")
