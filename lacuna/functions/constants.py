@@ -53,3 +53,11 @@ CAPTION_DATA = (
 )
 FEYNMAN = r"(?i)feynman"
 DIAGRAM = r"(?i)diagram|schematic|illustrat|sketch"
+
+#: What statuses, types and severities are called.
+STATUS_LABELS = {"missing": "Missing from HEPData", "no_record": "No HEPData record", "uncertain": "Needs review", "published": "On HEPData"}
+TYPE_LABELS = {
+    "cross_section": "Cross-section", "upper_limit": "Upper limit", "efficiency_map": "Efficiency map", "likelihood": "Likelihood", "covariance_matrix": "Covariance matrix",
+    "acceptance_table": "Acceptance table", "cutflow": "Cut-flow", "correlation_matrix": "Correlation matrix", "other": "Other result",
+}
+SEVERITY_LABELS = {0: "Not a gap", 1: "Low", 2: "Medium", 3: "High"}

@@ -91,7 +91,7 @@ def readiness(weight: Column, status: Column) -> Column:
 
 
 def percent_text(share: Column) -> Column:
-    return F.when(share.isNull(), "n/a").otherwise(F.format_string("%.0f%%", share * 100))
+    return F.when(share.isNull(), "n/a").otherwise(F.format_string("%.0f%%", rounded(share * 100, 0)))
 
 
 def squash(text: Column) -> Column:
@@ -110,8 +110,9 @@ def reader_kind(status: Column) -> Column:
     return F.when(status == "published", "on").when(status == "uncertain", "review").otherwise("missing")
 
 
-def label(value: Column) -> Column:
-    return F.initcap(F.regexp_replace(value, "_", " "))
+def label(value: Column, labels: dict = K.STATUS_LABELS | K.TYPE_LABELS) -> Column:
+    """What a status or a type (or, with other labels, a severity) is called; null for other values."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]), value)
 
 
 def part_order(doi: Column) -> list[Column]:
@@ -128,8 +129,28 @@ def quoted_title(title: Column) -> Column:
     )
 
 
-@F.pandas_udf(T.DoubleType())
-def python_round4(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Half-even on the exact binary value, to 4 digits: built-in rounding looks at the decimal rendering."""
-    for series in values:
-        yield series.map(lambda x: None if x is None or x != x else round(x, 4))
+def rounded(value: Column, digits: int) -> Column:
+    """Half-even on the exact binary value, to so many digits: built-in rounding looks at the decimal rendering."""
+
+    @F.pandas_udf(T.DoubleType())
+    def half_even(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in values:
+            yield series.map(lambda x: None if x is None or x != x else round(x, digits))
+
+    return half_even(value.cast("double"))
+
+
+def python_round4(value: Column) -> Column:
+    return rounded(value, 4)
+
+
+def canonical_json(value: Column) -> Column:
+    """A map of strings as JSON with its keys in order and no white space: the same map always gives the same text."""
+    quoted = lambda text: F.regexp_replace(F.to_json(F.struct(text.alias("k"))), r"(?s)^\{\"k\":(.*)\}$", "$1")
+    pairs = F.transform(F.array_sort(F.map_entries(value)), lambda e: F.concat(quoted(e["key"]), F.lit(":"), F.when(e["value"].isNull(), "null").otherwise(quoted(e["value"]))))
+    return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+
+
+def cache_key(provider: Column, model: Column, request: Column) -> Column:
+    """What a model's answer to a request (a map) is kept under."""
+    return fingerprint(provider, model, canonical_json(request))

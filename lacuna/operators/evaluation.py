@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lacuna.functions.scalars import squash
+from lacuna.functions.scalars import percent_text, rounded, squash
 from lacuna.operators.matching import assign_one_to_one
 
 MIN_OVERLAP = 40
@@ -86,9 +86,15 @@ def gap_confusion(outcome_rows: DataFrame) -> DataFrame:
     return confusion(rows, said, ~F.col("on_hepdata"))
 
 
+def type_accuracy(outcome_rows: DataFrame) -> DataFrame:
+    """One row: the share of matched predictions whose type is right; null without matches."""
+    return outcome_rows.agg(ratio(F.count_if("type_right"), F.count_if(F.col("outcome") == "tp")).alias("type_accuracy"))
+
+
 def cost(requests: DataFrame, input_price: float, output_price: float) -> DataFrame:
     """Prices for a million tokens."""
-    return requests.agg(F.round(F.sum(F.col("input_tokens") * input_price + F.col("output_tokens") * output_price) / 1e6, 4).alias("cost"))
+    total = F.sum("input_tokens") * input_price + F.sum("output_tokens") * output_price
+    return requests.agg((F.coalesce(total, F.lit(0.0)) / 1e6).alias("cost")).select(rounded(F.col("cost"), 4).alias("cost"))
 
 
 def gate(metrics: DataFrame, thresholds: dict[str, float]) -> DataFrame:
@@ -97,7 +103,21 @@ def gate(metrics: DataFrame, thresholds: dict[str, float]) -> DataFrame:
     return limits.join(metrics, "name", "left").where(F.col("value").isNull() | (F.col("value") < F.col("least")))
 
 
-def report(metrics: DataFrame) -> str:
-    """A Markdown table of metrics (name, value), a few rows."""
-    rows = [f"| {r['name']} | {'n/a' if r['value'] is None else format(r['value'], '.0%')} |" for r in metrics.orderBy("name").collect()]
-    return "\n".join(["| Metric | Value |", "|---|---|", *rows])
+def _table(rows: DataFrame, heads: list[str]) -> list[str]:
+    lines = [[("n/a" if v is None else str(v)) for v in r] for r in rows.collect()]
+    return [f"| {' | '.join(cells)} |" for cells in [heads, ["---"] * len(heads), *lines]]
+
+
+def report(metrics: DataFrame, types: DataFrame | None = None, gaps: DataFrame | None = None, costs: DataFrame | None = None, thresholds: dict[str, float] | None = None) -> str:
+    """Markdown of a few rows: metrics (name, value) with what is asked of them, by_type() with scores, gap_confusion() with scores, and cost()."""
+    asked = metrics.sparkSession.createDataFrame([(k.removeprefix("min_"), float(v)) for k, v in (thresholds or {}).items()], "name string, least double")
+    first = metrics.join(asked, "name", "left").orderBy("name")
+    parts = [_table(first.select("name", percent_text(F.col("value")), F.when(F.col("least").isNotNull(), percent_text(F.col("least"))).otherwise("")), ["Metric", "Value", "At least"])]
+    scores = [percent_text(F.col(c)) for c in ("precision", "recall", "f1")]
+    if types is not None:
+        parts.append(_table(with_scores(types).orderBy("type").select("type", *scores, "tp", "fp", "fn"), ["Type", "Precision", "Recall", "F1", "TP", "FP", "FN"]))
+    if gaps is not None:
+        parts.append(_table(with_scores(gaps).select(*scores, "tp", "fp", "fn", "tn", "uncertain"), ["Gap precision", "Recall", "F1", "TP", "FP", "FN", "TN", "Uncertain"]))
+    if costs is not None:
+        parts.append(_table(costs.select(F.format_string("%.4f", "cost")), ["Cost"]))
+    return "\n\n".join("\n".join(p) for p in parts)

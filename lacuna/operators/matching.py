@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions import constants as K
@@ -52,7 +52,8 @@ def gaps(products: DataFrame, matches: DataFrame, records: DataFrame, paper: str
 
 def readiness(papers: DataFrame, products: DataFrame, paper: str = "inspire_id") -> DataFrame:
     """papers with readiness_score, to one decimal; null for papers without products."""
-    scores = products.groupBy(paper).agg(F.round(scalars.readiness(scalars.type_weight(F.col("product_type")), F.col("status")), 1).alias("readiness_score"))
+    scores = products.groupBy(paper).agg(scalars.readiness(scalars.type_weight(F.col("product_type")), F.col("status")).alias("score"))
+    scores = scores.select(paper, scalars.rounded(F.col("score"), 1).alias("readiness_score"))
     return papers.join(scores, paper, "left")
 
 
@@ -108,5 +109,25 @@ def nearest(products: DataFrame, one: DataFrame, k: int = 10) -> DataFrame:
     return pairs.withColumn("distance", vectors.cosine_distance(F.col("embedding"), F.col("__embedding"))).drop("__id", "__embedding").orderBy("distance", "id").limit(k)
 
 
-def numbered(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
-    return rows.withColumn("number", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+def similar_pairs(rows: DataFrame, by: str, key: str, vector: str, least: float, block: int = 512) -> DataFrame:
+    """a, b (keys, a < b), cosine: pairs of rows of the same by whose vectors' product is least or more. Keys do not repeat.
+
+    A group is cut into blocks of about so many rows, and a pair of blocks is one task's matrix product, so a large group is many tasks.
+    """
+    counts = rows.groupBy(by).agg(F.ceil(F.count("*") / block).cast("int").alias("__blocks"))
+    placed = rows.select(by, F.col(key).alias("__key"), F.col(vector).alias("__vector")).join(counts, by).withColumn("__b", F.pmod(F.xxhash64("__key"), F.col("__blocks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("__blocks") - 1), lambda x: F.struct(F.least("__b", x).alias("low"), F.greatest("__b", x).alias("high")))
+    dealt = placed.withColumn("__p", F.explode(others)).select(by, "__key", "__vector", "__b", F.col("__p.low").alias("__low"), F.col("__p.high").alias("__high"))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def product(group: pd.DataFrame) -> pd.DataFrame:
+        low = (group["__b"] == group["__low"]).to_numpy()
+        high = (group["__b"] == group["__high"]).to_numpy()
+        keys, matrix = group["__key"].to_numpy(), np.stack(group["__vector"].map(np.asarray)).astype(np.float64)
+        cosine = matrix[low] @ matrix[high].T
+        i, j = np.nonzero(cosine >= least)
+        a, b = keys[low][i], keys[high][j]
+        out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": cosine[i, j]})
+        return out[(a < b) if group["__low"].iloc[0] == group["__high"].iloc[0] else (a != b)]
+
+    return dealt.groupBy(by, "__low", "__high").applyInPandas(product, f"a {kind}, b {kind}, cosine double")

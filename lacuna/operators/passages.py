@@ -9,80 +9,117 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions import constants as K
-from lacuna.functions import scalars, text
+from lacuna.functions import scalars, slices, text
 
 MAX_INPUT_DEPTH = 20
-#: Braces within braces, three deep; backslash escapes a character.
-_GROUP = r"\{(?:[^{}\\]|\\.|\{(?:[^{}\\]|\\.|\{(?:[^{}\\]|\\.)*+\})*+\})*+\}"
-_OPTION = r"(?:\[(?:[^\]\\]|\\.)*+\]\s*)?"
-_HEADER = rf"\\(part|section|subsection|subsubsection)\*?\s*{_OPTION}{_GROUP}"
-_CAPTION = rf"\\caption(?:of\{{[^}}]*\}})?\s*{_OPTION}{_GROUP}"
-_FLOAT = r"(?s)\\begin\{(figure\*?|table\*?|sidewaysfigure|sidewaystable|wrapfigure|wraptable)\}.*?\\end\{\1\}"
-_BIBLIOGRAPHY = r"(?s)\\begin\{thebibliography\}.*?\\end\{thebibliography\}|\\printbibliography(?:\[[^\]]*\])?|\\bibliography\{[^}]*\}"
+# Patterns that results depend on.
+_FLOAT = r"\\begin\{(figure\*?|table\*?|sidewaysfigure|sidewaystable|wrapfigure|wraptable)\}.*?\\end\{\1\}"
+_BIBLIOGRAPHY = r"\\begin\{thebibliography\}.*?\\end\{thebibliography\}|\\printbibliography(?:\[[^\]]*\])?|\\bibliography\{[^}]*\}"
 _INPUT = r"\\(?:input|include)\s*\{([^}]+)\}"
 _AUTHORS = r"(?i)auth(or)?s?_?list"
 _LEVELS = ["part", "section", "subsection", "subsubsection"]
+_PARAGRAPH_BREAK = r"\n[ \t]*\n"
+
+# Marks in a text whose inputs are not put in yet: an input with the files that it is within, one that no file has, one left out, a circle.
+_PUT, _WITHIN, _END, _MISSING, _SKIPPED, _CIRCLE, _STEP = (chr(k) for k in (1, 2, 3, 4, 5, 6, 7))
+
+
+def _marked(kind: str) -> str:
+    return f"{kind}([^{_END}]*){_END}"
 
 
 def documents(sources: DataFrame) -> DataFrame:
-    """sources (arxiv_id, tex_files map) -> arxiv_id, main_file, document, missing_inputs, skipped_inputs.
+    """sources (arxiv_id, tex_files map) -> arxiv_id, main_file, document, missing_inputs, skipped_inputs, error: a row for each source.
 
     The main file has a document environment, a document class if any has, and is the longest of those. Inputs are looked for beside the
-    including file, then at the root; author lists are left out. Inputs nested deeper than MAX_INPUT_DEPTH, or in a circle, are an error.
+    including file, then at the root; author lists are left out. Inputs that are not there and those left out are told of files that the main file
+    reaches, in order. error is null, or says what is wrong: no files, none with a document, inputs in a circle or nested deeper than MAX_INPUT_DEPTH; then document is null.
     """
-    files = sources.select("arxiv_id", F.explode("tex_files").alias("name", "raw"), F.map_keys("tex_files").alias("names"))
+    files = sources.select("arxiv_id", F.posexplode("tex_files").alias("place", "name", "raw"), F.map_keys("tex_files").alias("names"))
     files = files.withColumn("stripped", text.strip_comments(F.col("raw")))
     folder = F.regexp_extract("name", r"^(.*/)?[^/]*$", 1)
 
     def resolved(target: Column) -> Column:
         tidy = lambda p: F.regexp_replace(p, r"(^|/)(?:\./)+", "$1")
-        ways = F.array(*[tidy(F.concat(base, F.trim(target), F.lit(end))) for base in (folder, F.lit("")) for end in ("", ".tex")])
+        ways = F.array(*[tidy(F.concat(base, target, F.lit(end))) for end in ("", ".tex") for base in (folder, F.lit(""))])
         return F.get(F.filter(ways, lambda w: F.array_contains("names", w)), F.lit(0))
 
+    def mark(target: Column) -> Column:
+        name = resolved(target)
+        put = F.concat(F.lit(_PUT + _WITHIN), name, F.lit(_END))
+        return F.when(target.rlike(_AUTHORS), F.concat(F.lit(_SKIPPED), target, F.lit(_END))).when(name.isNull(), F.concat(F.lit(_MISSING), target, F.lit(_END))).otherwise(put)
+
     targets = F.regexp_extract_all("stripped", F.lit(_INPUT), F.lit(1))
-    files = files.withColumn("inputs", F.transform(targets, lambda t: F.struct(t.alias("target"), t.rlike(_AUTHORS).alias("authors"), resolved(t).alias("name"))))
-    marks = F.transform("inputs", lambda i: F.when(i["authors"] | i["name"].isNull(), "").otherwise(F.concat(F.lit("\u0001"), i["name"], F.lit("\u0002"))))
-    pieces = F.zip_with(F.split("stripped", _INPUT, -1), marks, lambda gap, mark: F.concat(gap, F.coalesce(mark, F.lit(""))))
+    pieces = F.zip_with(F.split("stripped", _INPUT, -1), F.transform(targets, lambda t: mark(F.trim(t))), lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
     files = files.withColumn("marked", F.array_join(pieces, ""))
-    missing = F.flatten(F.collect_list(F.transform(F.filter("inputs", lambda i: ~i["authors"] & i["name"].isNull()), lambda i: F.trim(i["target"]))))
-    skipped = F.flatten(F.collect_list(F.transform(F.filter("inputs", lambda i: i["authors"]), lambda i: F.trim(i["target"]))))
-    main = F.max_by("name", F.when(F.contains("stripped", F.lit(r"\begin{document}")), F.struct(F.contains("raw", F.lit(r"\documentclass")), F.length("raw"))))
-    papers = files.groupBy("arxiv_id").agg(main.alias("main_file"), F.map_from_entries(F.collect_list(F.struct("name", "marked"))).alias("files"), missing.alias("missing_inputs"), skipped.alias("skipped_inputs"))
-    papers = papers.withColumn("document", F.col("files")[F.col("main_file")])
+    main = F.max_by("name", F.when(F.contains("stripped", F.lit(r"\begin{document}")), F.struct(F.contains("raw", F.lit(r"\documentclass")), F.length("raw"), -F.col("place"))))
+    papers = files.groupBy("arxiv_id").agg(main.alias("main_file"), F.map_from_entries(F.collect_list(F.struct("name", "marked"))).alias("files"))
+    # A mark says within which files it stands, so a circle is known at its first turn.
+    inside = lambda marked, within: F.replace(marked, F.lit(_PUT + _WITHIN), F.concat(F.lit(_PUT), within, F.lit(_WITHIN)))
+    within_main = F.concat(F.lit(_STEP), "main_file", F.lit(_STEP))
+    papers = papers.withColumn("document", inside(F.col("files")[F.col("main_file")], within_main))
 
     def put_in(state: Column, _: Column) -> Column:
-        names = F.regexp_extract_all(state, F.lit("\u0001([^\u0002]*)\u0002"), F.lit(1))
-        parts = F.zip_with(F.split(state, "\u0001[^\u0002]*\u0002", -1), names, lambda gap, name: F.concat(gap, F.when(name.isNull(), "").otherwise(F.coalesce(F.col("files")[name], F.lit("")))))
-        return F.when(F.contains(state, F.lit("\u0001")), F.array_join(parts, "")).otherwise(state)
+        pattern = f"{_PUT}([^{_WITHIN}]*){_WITHIN}([^{_END}]*){_END}"
+        marks = F.arrays_zip(F.regexp_extract_all(state, F.lit(pattern), F.lit(1)).alias("within"), F.regexp_extract_all(state, F.lit(pattern), F.lit(2)).alias("name"))
+
+        def put(m: Column) -> Column:
+            step = F.concat(m["name"], F.lit(_STEP))
+            again = F.contains(m["within"], F.concat(F.lit(_STEP), step))
+            return F.when(again, F.concat(F.lit(_CIRCLE), m["name"], F.lit(_END))).otherwise(inside(F.col("files")[m["name"]], F.concat(m["within"], step)))
+
+        parts = F.zip_with(F.split(state, pattern, -1), F.transform(marks, put), lambda gap, own: F.concat(gap, F.coalesce(own, F.lit(""))))
+        return F.when(F.contains(state, F.lit(_PUT)), F.array_join(parts, "")).otherwise(state)
 
     whole = F.aggregate(F.sequence(F.lit(1), F.lit(MAX_INPUT_DEPTH)), F.col("document"), put_in)
     papers = papers.withColumn("document", whole)
-    checked = F.when(F.contains("document", F.lit("\u0001")), F.raise_error(F.concat(F.lit("inputs nested too deep or in a circle: "), "arxiv_id")).cast("string")).otherwise(F.col("document"))
-    return papers.select("arxiv_id", "main_file", checked.alias("document"), "missing_inputs", "skipped_inputs")
+    listed = lambda kind: F.coalesce(F.regexp_extract_all("document", F.lit(_marked(kind)), F.lit(1)), F.array().cast("array<string>"))
+    found = sources.select("arxiv_id", (F.coalesce(F.size("tex_files"), F.lit(0)) > 0).alias("any")).join(papers, "arxiv_id", "left")
+    error = (
+        F.when(~F.col("any"), "no files")
+        .when(F.col("main_file").isNull(), "no file has a document")
+        .when(F.contains("document", F.lit(_CIRCLE)), F.concat(F.lit("inputs in a circle: "), F.regexp_extract("document", _marked(_CIRCLE), 1)))
+        .when(F.contains("document", F.lit(_PUT)), f"inputs nested deeper than {MAX_INPUT_DEPTH}")
+    )
+    clean = F.regexp_replace("document", f"[{_MISSING}{_SKIPPED}][^{_END}]*{_END}", "")
+    return found.withColumns({"error": error, "missing_inputs": listed(_MISSING), "skipped_inputs": listed(_SKIPPED)}).select("arxiv_id", "main_file", F.when(F.col("error").isNull(), clean).alias("document"), "missing_inputs", "skipped_inputs", "error")
 
 
 def bodies(papers: DataFrame) -> DataFrame:
-    """papers with body and body_tokens (without the bibliography)."""
+    """papers with body, body_tokens (without the bibliography) and the headers and captions of the body (arguments). An unbalanced group becomes the error of a paper
+    that has none yet."""
     body = F.regexp_extract("document", r"(?s)\\begin\{document\}(.*?)(?:\\end\{document\}|\z)", 1)
-    return papers.withColumn("body", body).withColumn("body_tokens", scalars.approx_tokens(F.regexp_replace("body", _BIBLIOGRAPHY, "")))
+    found = papers.withColumn("body", body).withColumn("body_tokens", scalars.approx_tokens(F.regexp_replace("body", f"(?s){_BIBLIOGRAPHY}", "")))
+    found = found.withColumn("arguments", slices.arguments("body"))
+    error = F.col("arguments.error") if "error" not in papers.columns else F.coalesce("error", "arguments.error")
+    return found.withColumn("error", error).withColumn("arguments", F.col("arguments.found"))
 
 
 def sections(papers: DataFrame) -> DataFrame:
-    """arxiv_id, body -> a row for each section: ordinal, header, level, title, path, content and flags.
+    """arxiv_id, body, arguments, error -> a row for each section: ordinal, begins (where its header is in the body), header, start (where its content is), content, captions (start, text),
+    level, title, path and flags. A paper with an error is an error here; leave such papers out before.
 
     What stands before the first header is a section of its own; if there is no header but acknowledgements, it is the whole letter and read like results.
     """
-    heads = F.regexp_extract_all("body", F.lit(f"({_HEADER})"), F.lit(1))
-    rows = papers.select("arxiv_id", F.posexplode(F.arrays_zip(F.split("body", _HEADER, -1).alias("content"), F.concat(F.array(F.lit("")), heads).alias("header"))).alias("ordinal", "s"))
-    rows = rows.select("arxiv_id", "ordinal", "s.content", "s.header")
-    name = F.regexp_extract("header", r"^\\(\w+)", 1)
-    title = scalars.collapse(F.regexp_extract("header", r"(?s)^\\\w+\*?\s*(?:\[.*?\]\s*)?\{(.*)\}$", 1))
-    rows = rows.withColumns({"level": F.when(F.col("ordinal") == 0, -1).otherwise(F.array_position(F.array(*map(F.lit, _LEVELS)), name).cast("int") - 1), "title": title})
+    loud = F.when(F.col("error").isNotNull(), F.raise_error(F.concat("arxiv_id", F.lit(": "), "error")).cast("string")).otherwise(F.col("body"))
+    slice_ = lambda start, end: F.substring("body", start + 1, end - start)
+    heads = F.filter("arguments", lambda a: a["name"] != "caption")
+    captions = F.transform(F.filter("arguments", lambda a: a["name"] == "caption"), lambda a: F.struct(a["start"].alias("start"), slice_(a["start"], a["end"]).alias("text")))
+    whole = F.struct(F.lit("").alias("name"), F.lit(0).alias("start"), F.lit(0).alias("open"), F.lit(0).alias("end"))
+    rows = papers.withColumn("body", loud).withColumns({"all": F.concat(F.array(whole), heads), "captions": captions})
+    rows = rows.select("arxiv_id", "body", "all", "captions", F.posexplode("all").alias("ordinal", "h"))
+    following = F.coalesce(F.get("all", F.col("ordinal") + 1)["start"], F.length("body"))
+    appendix = F.regexp_instr("body", F.lit(r"\\appendix\b"))
+    rows = rows.withColumn("until", following).select(
+        "arxiv_id", "ordinal", F.col("h.start").alias("begins"), slice_(F.col("h.start"), F.col("h.end")).alias("header"), F.col("h.end").alias("start"), slice_(F.col("h.end"), F.col("until")).alias("content"),
+        F.filter("captions", lambda c: (c["start"] >= F.col("h.end")) & (c["start"] < F.col("until"))).alias("captions"),
+        F.when(F.col("ordinal") == 0, -1).otherwise(F.array_position(F.array(*map(F.lit, _LEVELS)), F.col("h.name")).cast("int") - 1).alias("level"),
+        scalars.collapse(slice_(F.col("h.open"), F.col("h.end") - 1)).alias("title"),
+        ((F.col("ordinal") > 0) & (appendix > 0) & (F.col("h.start") > appendix - 1)).alias("in_appendix"),
+    )
     paper = Window.partitionBy("arxiv_id")
     before = paper.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    appendix = F.max(F.lag(F.contains("content", F.lit(r"\appendix"))).over(paper.orderBy("ordinal"))).over(before)
-    letter = F.count_if((F.col("ordinal") > 0) & ~F.col("title").rlike("(?i)acknowledg")).over(paper) == 0
-    rows = rows.withColumns({"in_appendix": (F.col("ordinal") > 0) & F.coalesce(appendix, F.lit(False)), "letter": letter})
+    rows = rows.withColumn("letter", F.count_if((F.col("ordinal") > 0) & ~F.col("title").rlike("(?i)acknowledg")).over(paper) == 0)
     for k in range(len(_LEVELS)):
         held = F.last(F.when(F.col("level") == k, F.struct("title", F.lit(True).alias("there"))).when(F.col("level") < k, F.struct(F.lit("").alias("title"), F.lit(False).alias("there"))), True).over(before)
         rows = rows.withColumn(f"a{k}", F.when((F.col("level") > k) & held["there"], held["title"]))
@@ -97,23 +134,22 @@ def sections(papers: DataFrame) -> DataFrame:
 
 
 def candidates(found: DataFrame) -> DataFrame:
-    """sections() -> arxiv_id, section_name, kind, text in document order: each a slice of the source, the first reason for a slice counts."""
-    of = lambda texts, kind: F.transform(texts, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("text")))
-    captions = F.filter(
-        F.regexp_extract_all("content", F.lit(f"({_CAPTION})"), F.lit(1)),
-        lambda c: ~c.rlike(K.FEYNMAN) & (~(F.col("setup_like") | c.rlike(K.DIAGRAM)) | c.rlike(K.CAPTION_DATA)),
-    )
-    plain = F.regexp_replace(F.regexp_replace("content", _FLOAT, "\u0003"), _BIBLIOGRAPHY, "\u0003")
-    paragraphs = F.transform(F.split(plain, r"\n[ \t]*\n|\u0003"), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", ""))
-    paragraphs = F.filter(paragraphs, lambda p: (p != "") & (p.rlike(K.AVAILABILITY) | ((F.col("results_like") | F.col("in_appendix")) & p.rlike(K.PRODUCT_WORDS))))
-    nothing = of(F.array().cast("array<string>"), "")
-    picked = F.when(F.col("data_statement"), of(F.array("content"), "data_statement_section")).otherwise(
-        F.concat(F.when(F.col("in_appendix"), of(F.array("header"), "appendix_header")).otherwise(nothing), of(captions, "caption"), of(paragraphs, "paragraph"))
+    """sections() -> arxiv_id, ordinal, start (in the body), section_name, kind, text: each a slice of the body, told by its place, so that a text that comes twice is
+    two candidates; of one place the first reason counts."""
+    of = lambda parts, kind: F.transform(parts, lambda p: F.struct(F.lit(kind).alias("kind"), p["start"].alias("start"), p["text"].alias("text")))
+    alone = lambda start, c: F.array(F.struct(F.col(start).alias("start"), F.col(c).alias("text")))
+    weak = lambda c: F.col("setup_like") | c["text"].rlike(K.DIAGRAM)
+    captions = F.filter("captions", lambda c: ~c["text"].rlike(K.FEYNMAN) & (~weak(c) | c["text"].rlike(K.CAPTION_DATA)))
+    paragraphs = slices.trimmed(slices.gaps(F.col("content"), f"(?s){_FLOAT}|{_BIBLIOGRAPHY}|{_PARAGRAPH_BREAK}"))
+    wanted = lambda p: p["text"].rlike(K.AVAILABILITY) | ((F.col("results_like") | F.col("in_appendix")) & p["text"].rlike(K.PRODUCT_WORDS))
+    paragraphs = F.transform(F.filter(paragraphs, wanted), lambda p: F.struct((p["start"] + F.col("start")).alias("start"), p["text"].alias("text")))
+    nothing = F.array().cast("array<struct<kind:string,start:int,text:string>>")
+    picked = F.when(F.col("data_statement"), of(alone("start", "content"), "data_statement_section")).otherwise(
+        F.concat(F.when(F.col("in_appendix"), of(alone("begins", "header"), "appendix_header")).otherwise(nothing), of(captions, "caption"), of(paragraphs, "paragraph"))
     )
-    rows = found.select("arxiv_id", "ordinal", "path", F.concat("header", "content").alias("source"), F.posexplode(picked).alias("order", "c"))
-    rows = rows.withColumn("start", F.position(F.col("c.text"), F.col("source")))
-    first = rows.groupBy("arxiv_id", "ordinal", "start", F.col("c.text").alias("text")).agg(F.min_by(F.struct("path", "c.kind", "order"), "order").alias("f"))
-    return first.select("arxiv_id", "ordinal", "start", F.col("f.path").alias("section_name"), F.col("f.kind").alias("kind"), "text")
+    rows = found.select("arxiv_id", "ordinal", "path", F.posexplode(picked).alias("order", "c"))
+    first = rows.groupBy("arxiv_id", F.col("c.start").alias("start"), F.length("c.text").alias("chars")).agg(F.min_by(F.struct("ordinal", "path", "c"), F.struct("ordinal", "order")).alias("f"))
+    return first.select("arxiv_id", "f.ordinal", "start", F.col("f.path").alias("section_name"), F.col("f.c.kind").alias("kind"), F.col("f.c.text").alias("text"))
 
 
 def _packed(pieces: Column, limit: int) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacuna.staging import staged
+
 
 def latest(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """The row of each group that is greatest by order; a sort-free aggregation, combined in the map tasks."""
@@ -55,19 +57,18 @@ def upsert(stored: DataFrame, changes: DataFrame, key: list[str], update: list[s
 def with_stable_ids(rows: DataFrame, known: DataFrame, key: list[str], surrogate: str) -> DataFrame:
     """rows with the surrogate that known has for their key; new keys get the next numbers, in order of key.
 
-    Numbers are dealt by range partition and place in it, so that no task sorts all new keys.
+    Numbers are dealt by range partition and place in it, so that no task sorts all new keys. The keys are written with their partition first, so
+    that they are not cut anew, and numbered twice, when an executor is lost.
     """
     joined = rows.join(known.select(*key, surrogate), key, "left")
     top = known.agg(F.coalesce(F.max(surrogate), F.lit(0)).alias("top")).first()["top"]
     new = joined.where(F.col(surrogate).isNull()).select(*key).distinct().repartitionByRange(*key).sortWithinPartitions(*key)
-    new = new.withColumn("__part", F.spark_partition_id()).persist()
-    sizes = {r["__part"]: r["count"] for r in new.groupBy("__part").count().collect()}
-    starts, total = {}, 0
-    for part in sorted(sizes):
-        starts[part], total = total, total + sizes[part]
-    offset = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]) if starts else F.create_map(F.lit(0), F.lit(0))
+    new = staged(new.withColumn("__part", F.spark_partition_id()), "new-keys")
+    # A row for each partition.
+    sizes = new.groupBy("__part").agg(F.count("*").alias("__n"))
+    starts = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))).select("__part", F.coalesce("__before", F.lit(0)).alias("__before"))
     place = F.row_number().over(Window.partitionBy("__part").orderBy(*key))
-    numbered = new.select(*key, (F.lit(top) + offset[F.col("__part")] + place).cast("long").alias("__new"))
+    numbered = new.withColumn("__place", place).join(F.broadcast(starts), "__part").select(*key, (F.lit(top) + F.col("__before") + F.col("__place")).cast("long").alias("__new"))
     return joined.join(numbered, key, "left").withColumn(surrogate, F.coalesce(surrogate, "__new")).drop("__new")
 
 
@@ -85,6 +86,15 @@ def page(rows: DataFrame, order: list[Column], number: int = 1, size: int = 25,
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def counted_page(rows: DataFrame, order: list[Column], number: int = 1, size: int = 25, largest: int = 100) -> DataFrame:
+    """page() with how many rows there are in all (total) and whether a page follows (has_next). A page below 1, or beyond the last but the first, is an error."""
+    size = min(size, largest)
+    total = rows.count()
+    if number < 1 or (number > 1 and (number - 1) * size >= total):
+        raise LookupError(f"no page {number}")
+    return page(rows, order, number, size, largest).select("*", F.lit(total).cast("long").alias("total"), F.lit(number * size < total).alias("has_next"))
+
+
 def nearest_percentile(rows: DataFrame, by: list[str], value: str, q: float, out: str, accuracy: int = 10_000) -> DataFrame:
     """For each group the value at the index that q * (n - 1) rounds to, half to even, in order of value. Exact, without a sort of whole groups.
 

@@ -13,6 +13,7 @@ from lacuna.operators import matching, relations
 from lacuna.operators import search as text_search
 from lacuna.operators.store import Tables
 
+# Names that callers use.
 PROCESSING = ["harvested", "no_arxiv_id", "no_latex", "source_error", "filter_error", "extracted", "extraction_error", "reconciled", "reconcile_error"]
 ORDERINGS = {"readiness": F.asc_nulls_last, "-readiness": F.desc_nulls_first, "date": F.asc_nulls_last, "-date": F.desc_nulls_first}
 
@@ -104,27 +105,42 @@ def paper_gaps(tables: Tables, inspire_id: int, status: str | None = None) -> tu
     rows = _gap_rows(tables).where(F.col("inspire_id") == inspire_id)
     if statuses := choices(status, K.GAP_STATUSES):
         rows = rows.where(F.col("status").isin(*statuses))
-    doi = paper.where("hepdata_record_doi <> ''").select(F.concat("hepdata_record_doi", F.lit("/")).alias("prefix"))
-    parts = tables.part.join(F.broadcast(doi), F.startswith("table_doi", "prefix")).drop("prefix", "embedding").orderBy(*scalars.part_order(F.col("table_doi")))
+    # One row, so its prefix goes into the plan as a literal, and files are skipped by it.
+    doi = paper.first()["hepdata_record_doi"]
+    own = F.col("table_doi").startswith(f"{doi}/") if doi else F.lit(False)
+    parts = tables.part.where(own).drop("embedding").orderBy(*scalars.part_order(F.col("table_doi")))
     return paper.select(_paper_struct().alias("paper")).select("paper.*"), _in_triage_order(rows).drop("inspire_id"), parts
 
 
 def stats(tables: Tables) -> DataFrame:
-    """section, name, value: totals, and counts by status, type and severity."""
+    """section, name, value: totals, and counts by status, type and severity. One pass over each table, by grouping sets."""
     current = tables.product.where("is_current")
-    gap = tables.gap.join(current.select(F.col("id").alias("declared_product_id")), "declared_product_id", "left_semi")
-    open_ = gap.where(F.col("status").isin(*K.OPEN_STATUSES))
-    one = lambda section, name, rows, value: rows.agg(value.cast("double").alias("value")).select(F.lit(section).alias("section"), F.lit(name).alias("name"), "value")
-    by = lambda section, rows, c: rows.groupBy(F.col(c).cast("string").alias("name")).agg(F.count("*").cast("double").alias("value")).select(F.lit(section).alias("section"), "name", "value")
-    parts = [
-        one("papers", "total", tables.paper, F.count("*")), one("papers", "with_record", tables.paper, F.count("hepdata_record_id")), one("papers", "mean_readiness_score", tables.paper, F.avg("readiness_score")),
-        by("papers by processing_status", tables.paper, "processing_status"), one("products", "total", current, F.count("*")), by("products by type", current, "product_type"),
-        one("gaps", "open", open_, F.count("*")), by("gaps by status", gap, "status"), by("gaps by severity", open_, "severity"),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out.orderBy("section", "name")
+    open_ = F.col("status").isin(*K.OPEN_STATUSES)
+    gap = tables.gap.join(current.select(F.col("id").alias("declared_product_id")), "declared_product_id", "left_semi").select("status", F.when(open_, F.col("severity")).alias("severity"), open_.cast("int").alias("open"))
+    count, n = F.count("*").cast("double"), F.col("n")
+
+    def sets(rows: DataFrame, columns: list[str], *more: Column) -> DataFrame:
+        out = rows.groupingSets([[], *([c] for c in columns)], *columns).agg(F.grouping_id().alias("g"), count.alias("n"), *more)
+        whole = 2 ** len(columns) - 1
+        return out.withColumn("by", F.when(F.col("g") == whole, "").otherwise(F.coalesce(*[F.when(F.col("g") == whole - 2 ** (len(columns) - 1 - i), c) for i, c in enumerate(columns)])))
+
+    def row(section: str, name, value) -> Column:
+        return F.struct(F.lit(section).alias("section"), (F.lit(name) if isinstance(name, str) else name.cast("string")).alias("name"), value.cast("double").alias("value"))
+
+    def told(rows: DataFrame, totals: list[Column], parts: dict[str, tuple[str, str]]) -> DataFrame:
+        made = F.when(F.col("by") == "", F.array(*totals))
+        for c, section in parts.items():
+            made = made.when(F.col("by") == c, F.array(row(section, F.col(c), n)))
+        return rows.select(F.inline(made))
+
+    paper = told(
+        sets(tables.paper.select("processing_status", "hepdata_record_id", "readiness_score"), ["processing_status"], F.count("hepdata_record_id").alias("records"), F.avg("readiness_score").alias("mean")),
+        [row("papers", "total", n), row("papers", "with_record", F.col("records")), row("papers", "mean_readiness_score", F.col("mean"))], {"processing_status": "papers by processing_status"},
+    )
+    product = told(sets(current.select("product_type"), ["product_type"]), [row("products", "total", n)], {"product_type": "products by type"})
+    gaps_ = told(sets(gap, ["status", "severity"], F.sum("open").alias("opened")), [row("gaps", "open", F.coalesce("opened", F.lit(0)))], {"status": "gaps by status", "severity": "gaps by severity"})
+    # Gaps that are not open have no severity here.
+    return paper.union(product).union(gaps_.where("section <> 'gaps by severity' OR name IS NOT NULL")).orderBy("section", "name")
 
 
 def search(tables: Tables, text: str) -> DataFrame:

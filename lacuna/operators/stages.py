@@ -6,17 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions import scalars, text, vectors
-from lacuna.operators import matching, passages
+from lacuna.operators import matching, passages, runs
 
 
 def select_passages(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """sources (arxiv_id, tex_files) -> (papers with token counts and reduction ratio, their candidate passages)."""
+    """sources (arxiv_id, tex_files) -> (papers with status, detail, token counts and reduction ratio, their candidate passages). A paper whose files make no
+    document, or whose groups do not close, has status filter_error with the reason as detail, and no passages."""
     papers = passages.bodies(passages.documents(sources))
-    found = passages.candidates(passages.sections(papers))
+    found = passages.candidates(passages.sections(papers.where("error IS NULL")))
     tokens = found.groupBy("arxiv_id").agg(F.sum(scalars.approx_tokens(F.col("text"))).alias("candidate_tokens"))
-    summary = papers.join(tokens, "arxiv_id", "left").withColumn("candidate_tokens", F.coalesce("candidate_tokens", F.lit(0).cast("long")))
-    ratio = scalars.reduction_ratio(F.col("body_tokens").cast("double"), F.col("candidate_tokens"))
-    return summary.select("arxiv_id", "main_file", "body_tokens", "candidate_tokens", ratio.alias("reduction_ratio"), "missing_inputs", "skipped_inputs"), found
+    summary = papers.join(tokens, "arxiv_id", "left").withColumn("candidate_tokens", F.when(F.col("error").isNull(), F.coalesce("candidate_tokens", F.lit(0).cast("long"))))
+    ratio = F.when(F.col("error").isNull(), scalars.reduction_ratio(F.col("body_tokens").cast("double"), F.col("candidate_tokens")))
+    status = F.when(F.col("error").isNull(), "ok").otherwise("filter_error")
+    return summary.select("arxiv_id", status.alias("status"), F.col("error").alias("detail"), "main_file", "body_tokens", "candidate_tokens", ratio.alias("reduction_ratio"), "missing_inputs", "skipped_inputs"), found
 
 
 def prompts(found: DataFrame, paper: str = "arxiv_id", budget: int = 2000) -> DataFrame:
@@ -42,10 +44,32 @@ def reconciled(products: DataFrame, parts: DataFrame, records: DataFrame, embed:
     embed: a function of a text column that gives unit vectors; a bag of hashed words if none.
     """
     embed = embed or (lambda c: vectors.hashed_embedding(text.content_words(c)).cast("array<float>"))
-    p = products.withColumn("embedding", embed(text.product_text(F.col("product_type"), F.col("description"))))
+    # Entities are resolved in Python, which higher-order functions take as columns only.
+    p = products.withColumn("__clean", text.product_text(F.col("product_type"), F.col("description"))).withColumn("embedding", embed(F.col("__clean"))).drop("__clean")
     p = matching.merge_duplicates(p, paper).withColumn("product", F.col("ordinal"))
-    t = parts.withColumns({"embedding": embed(text.table_text(F.col("name"), F.col("description"))), "words": text.content_words(text.unlatex(F.col("description")))})
+    t = parts.withColumns({"__clean": text.table_text(F.col("name"), F.col("description")), "__words": text.clean_text(F.col("description"))})
+    t = t.withColumns({"embedding": embed(F.col("__clean")), "words": text.content_words(F.col("__words"))})
     t = t.select(paper, "ordinal", "table_doi", "name", "description", "resource_type", "words", "embedding")
-    asked = p.select(paper, "product", "product_type", "embedding", text.content_words(text.unlatex(F.col("evidence_span"))).alias("span_words"))
+    asked = p.withColumn("__words", text.clean_text(F.col("evidence_span"))).select(paper, "product", "product_type", "embedding", text.content_words(F.col("__words")).alias("span_words"))
     best = matching.best_matches(matching.scored_pairs(asked, t, paper), [paper, "product"])
     return matching.gaps(p, best, records, paper).drop("product")
+
+
+def reconcile_statuses(extractions: DataFrame, records: DataFrame, links: DataFrame, paper: str = "inspire_id") -> DataFrame:
+    """extractions (paper, status), records (the papers that have one) and links (paper, linked: whether the paper's entry names a record; false for papers without a row)
+    -> paper, status, detail: skipped where the extraction is not ok, lookup_error where a record is named but was not found, else ok. Only ok papers are reconciled: a paper
+    whose lookup failed has no gaps, and not the gap of a paper without a record."""
+    good, others = runs.guarded(extractions.select(paper, "status"), "extract")
+    known = good.join(records.select(paper).distinct().withColumn("__record", F.lit(True)), paper, "left").join(links.groupBy(paper).agg(F.bool_or("linked").alias("__linked")), paper, "left")
+    lost = F.coalesce("__linked", F.lit(False)) & F.col("__record").isNull()
+    looked = known.select(paper, F.when(lost, "lookup_error").otherwise("ok").alias("status"), F.when(lost, "a record is named but was not found").alias("detail"))
+    return looked.unionByName(others.select(paper, "status", "detail"))
+
+
+def reconcile_summary(statuses: DataFrame, gaps: DataFrame, papers: DataFrame) -> DataFrame:
+    """One row: papers, lookup_errors, products_by_status (map) and mean_readiness_score to one place (null without scores)."""
+    one = F.lit(1).alias("__one")
+    seen = statuses.agg(F.count("*").alias("papers"), F.count_if(F.col("status") == "lookup_error").alias("lookup_errors")).withColumn("__one", one)
+    by = gaps.groupBy("status").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("products_by_status")).withColumn("__one", one)
+    mean = papers.agg(F.avg("readiness_score").alias("mean")).withColumn("__one", one)
+    return seen.join(by, "__one").join(mean, "__one").select("papers", "lookup_errors", "products_by_status", scalars.rounded(F.col("mean"), 1).alias("mean_readiness_score"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, fields, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,37 @@ def write(tables: Tables, folder: str) -> None:
         getattr(tables, f.name).select(*[c.split(" ")[0] for c in SCHEMAS[f.name].split(", ")]).write.parquet(f"{folder}/{f.name}")
 
 
+POINTER = "number long, folder string"
+
+
+def publish(tables: Tables, root: str) -> str:
+    """Write tables as a new version under root, and then the row that points to it: readers see the version before until all tables are there. The version's folder.
+
+    A run at a time: of two that publish at once, the one that points last is current. A run that breaks off leaves a folder that nothing points to.
+    """
+    spark = tables.paper.sparkSession
+    folder = f"{root}/version-{uuid.uuid4().hex}"
+    write(tables, folder)
+    last = _pointers(spark, root).agg(F.max("number")).first()[0]
+    spark.createDataFrame([((last or 0) + 1, folder)], POINTER).coalesce(1).write.mode("append").parquet(f"{root}/current")
+    return folder
+
+
+def _pointers(spark: SparkSession, root: str) -> DataFrame:
+    try:
+        return spark.read.schema(POINTER).parquet(f"{root}/current")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], POINTER)
+
+
+def current(spark: SparkSession, root: str) -> Tables:
+    """The tables of the version that root points to; empty ones before the first."""
+    found = _pointers(spark, root).orderBy(F.desc("number")).first()
+    return read(spark, found["folder"]) if found else empty(spark)
+
+
 def _typed(rows: DataFrame, name: str) -> DataFrame:
     """rows as the table's columns and types; columns that rows lack are null."""
     kinds = dict(c.split(" ", 1) for c in SCHEMAS[name].split(", "))

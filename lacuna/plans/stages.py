@@ -136,8 +136,7 @@ def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT DISTINCT doc_id, item_id FROM d JOIN b ON contains(t, q)
 """)
 def evidence_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes in texts, white space aside. A quote's first characters are looked up among the text's windows by a hash join, so that only
-    texts that may hold it are searched."""
+    """Quotes in texts, white space aside: an automaton of a bounded batch of quotes goes over each text once, in the tasks."""
     quotes = table(spark, sf_dir, "benchmark").select("item_id", scalars.squash(F.col("text")).alias("quote"))
     texts = table(spark, sf_dir, "documents").select("doc_id", scalars.squash(F.col("text")).alias("squashed"))
     return passages.holding(texts, quotes, "squashed", "quote").select("doc_id", "item_id").distinct()
@@ -187,10 +186,8 @@ def _dotted(a: str, b: str) -> str:
 
 @query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_dotted('a.embedding', 'b.embedding')}, 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {_dotted('a.embedding', 'b.embedding')} >= 0.35")
 def dedupe_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("va"))
-    b = a.select("label", F.col("a").alias("b"), F.col("va").alias("vb"))
-    pairs = a.join(b, "label").where("a < b").withColumn("cosine", vectors.dot(F.col("va"), F.col("vb")))
-    return pairs.where("cosine >= 0.35").select("a", "b", F.round("cosine", 6).alias("cosine"))
+    pairs = matching.similar_pairs(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.35)
+    return pairs.select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 @query(f"SELECT v.vec_id, round(1 - {_dotted('v.embedding', 'q.embedding')}, 6) AS distance FROM embeddings v, (SELECT * FROM embeddings ORDER BY vec_id LIMIT 1) q WHERE v.vec_id <> q.vec_id ORDER BY 1 - {_dotted('v.embedding', 'q.embedding')}, v.vec_id LIMIT 10")

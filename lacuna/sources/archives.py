@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import io
 import tarfile
+import zlib
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
@@ -23,12 +24,15 @@ def _text(raw: bytes) -> str:
 
 
 def unpack(raw: bytes) -> tuple[str, dict[str, str]]:
-    """(kind, LaTeX files by name). kind: pdf, tex, empty or error. Unsafe names, and more than MAX_BYTES, are an error."""
+    """(kind, LaTeX files by name). kind: pdf, tex, empty or error. Unsafe names, more than MAX_BYTES, and what is cut off or damaged are an error."""
     if raw[:4] == b"%PDF":
         return "pdf", {}
     if raw[:2] == b"\x1f\x8b":
-        with gzip.open(io.BytesIO(raw)) as file:
-            raw = file.read(MAX_BYTES + 1)
+        try:
+            with gzip.open(io.BytesIO(raw)) as file:
+                raw = file.read(MAX_BYTES + 1)
+        except (EOFError, OSError, zlib.error):
+            return "error", {}
         if len(raw) > MAX_BYTES:
             return "error", {}
     try:
@@ -44,8 +48,12 @@ def unpack(raw: bytes) -> tuple[str, dict[str, str]]:
                         return "error", {}
                     files[str(path)] = _text(tar.extractfile(member).read())
             return ("tex" if files else "empty"), files
-    except tarfile.TarError:
-        pass
+    except tarfile.ReadError:
+        # Not an archive at all, or one that is cut off.
+        if raw[257:262] == b"ustar":
+            return "error", {}
+    except (tarfile.TarError, EOFError, OSError):
+        return "error", {}
     text = _text(raw)
     return ("tex", {"main.tex": text}) if "\\documentclass" in text or "\\begin{document}" in text else ("error", {})
 

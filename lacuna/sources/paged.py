@@ -1,7 +1,6 @@
 """A Spark data source over a paginated search: a partition for each year, which follows the pages' links.
 
-The pages come from a fetch function that the caller registers by name on every executor's Python, or by default from files of a folder that
-stands for the service (page URLs are file names). So a run without a network, and a test, use the same reader.
+The pages come from files of a folder that stands for the service (page URLs are file names); pages() takes any other fetch function.
 """
 
 from __future__ import annotations
@@ -9,6 +8,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from urllib.parse import urlsplit
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -18,7 +18,9 @@ FIELDS = ["control_number", "titles", "arxiv_eprints", "collaborations", "earlie
 
 def pages(first: str, fetch: Callable[[str], dict], origin: str = "") -> Iterator[dict]:
     """The hits of all pages from first on. Loud about what would lose some: too many hits, a total that changes, an empty page with a
-    next one, a link to another service, or another number of hits than announced."""
+    next one, a link to another service, or another number of hits than announced. origin: what all links begin with; by default the first page's scheme and host."""
+    parts = urlsplit(first)
+    origin = origin or (f"{parts.scheme}://{parts.netloc}/" if parts.netloc else "")
     url, total, seen = first, None, 0
     while url:
         page = fetch(url)
@@ -30,7 +32,7 @@ def pages(first: str, fetch: Callable[[str], dict], origin: str = "") -> Iterato
         following = page.get("links", {}).get("next")
         if following and not found:
             raise ValueError(f"{url} is empty but has a next page")
-        if following and not following.startswith(origin):
+        if following and not (following.startswith(origin) if origin else not urlsplit(following).netloc):
             raise ValueError(f"{following} leads elsewhere")
         yield from found
         url, total, seen = following, now, seen + len(found)
@@ -53,7 +55,7 @@ class SearchReader(DataSourceReader):
 
     def read(self, partition: Slice) -> Iterator[tuple]:
         fetch = lambda url: json.loads((Path(self.folder) / url).read_text())
-        for hit in pages(f"{partition.year}-1.json", fetch):
+        for hit in pages(f"{partition.year}-1.json", fetch, origin=f"{partition.year}-"):
             kept = {k: v for k, v in hit.get("metadata", {}).items() if k in self.fields}
             yield partition.year, json.dumps({"id": hit.get("id"), "metadata": kept})
 

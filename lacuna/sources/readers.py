@@ -53,7 +53,8 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataF
 
 
 def read_documents(spark: SparkSession, path: str, schema: str, only: list[int] | None = None, limit: int | None = None) -> DataFrame:
-    """A folder of one JSON document a file, in order of file name; names that begin with _ are skipped by Spark. modified: the file's time."""
+    """A folder of one JSON document a file, in order of file name; names that begin with _ are skipped by Spark. modified: the file's time. Without a limit the order is the file column's:
+    a table has none of its own."""
     rows = spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path).withColumns({"file": F.col("_metadata.file_name"), "modified": F.col("_metadata.file_modification_time")})
     rows = rows.where(F.col("inspire_id").isin(*only)) if only else rows
     return rows.orderBy("file").limit(limit) if limit else rows
@@ -120,6 +121,13 @@ def fresh(cache: DataFrame, now: Column, seconds: int) -> DataFrame:
     return cache.where((F.col("fetched_at") > now - F.make_dt_interval(secs=F.lit(seconds))) & (F.sha2(F.col("url").cast("binary"), 256) == F.col("key")))
 
 
+def usable_pages(pages: DataFrame, now: Column, seconds: int, query: str = "query", number: str = "page") -> DataFrame:
+    """The cached pages of each query that may stand: those that are fresh and before the first one that is not. From that page on all are fetched live, so that
+    a result is never put together of two times."""
+    stale = pages.join(fresh(pages, now, seconds).select(query, number), [query, number], "left_anti").groupBy(query).agg(F.min(number).alias("__first"))
+    return pages.join(stale, query, "left").where(F.col("__first").isNull() | (F.col(number) < F.col("__first"))).drop("__first")
+
+
 def cached_answers(requests: DataFrame, cache: DataFrame, providers: list[str]) -> DataFrame:
     """requests (request, hash by provider) with the response of the first provider, in order, that has one."""
     rank = F.array_position(F.array(*map(F.lit, providers)), F.col("provider"))

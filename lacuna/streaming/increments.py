@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lacuna.operators.relations import upsert
+from lacuna.staging import shared_folder
 
 
 def arrivals(spark: SparkSession, path: str, schema, per_trigger: int = 100) -> DataFrame:
@@ -33,24 +35,47 @@ def run_once(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoi
     return query
 
 
-def merger(folder: str, key: list[str], update: list[str] | None = None) -> Callable[[DataFrame, int], None]:
-    """Merge each batch into a table kept in folder as one version a batch. A batch that runs again writes the same version again,
+def _last(batch: DataFrame, key: list[str], order: list[str] | None) -> DataFrame:
+    """One row for each key: the greatest by order, of equal ones (or without an order) the greatest by all columns, so that a batch that runs again chooses alike."""
+    rest = [c for c in batch.columns if c not in key]
+    by = F.struct(*(order or []), *rest) if rest else F.lit(1)
+    return batch.groupBy(*key).agg(F.max_by(F.struct(*rest), by).alias("last")).select(*key, "last.*").select(*batch.columns) if rest else batch.distinct()
+
+
+def _version(batch: DataFrame, folder: str, number: int) -> DataFrame:
+    return batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/version={number - 1}") if number else batch.limit(0)
+
+
+def merger(folder: str, key: list[str], update: list[str] | None = None, order: list[str] | None = None) -> Callable[[DataFrame, int], None]:
+    """Merge each batch into a table kept in folder as one version a batch; of a key that comes twice the last by order counts. A batch that runs again writes the same version again,
     from the version before it, so merging is idempotent."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        stored = spark.read.parquet(f"{folder}/version={number - 1}") if number else batch.limit(0)
-        upsert(stored, batch.dropDuplicates(key), key, update).write.mode("overwrite").parquet(f"{folder}/version={number}")
+        upsert(_version(batch, folder, number), _last(batch, key, order), key, update).write.mode("overwrite").parquet(f"{folder}/version={number}")
 
     return merge
 
 
-def settled_daily_counts(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
-    """daily_counts() of the table name in folder (a file or a folder of files) in one run, days that are over at the last event; by a table in memory of counts alone."""
-    import uuid
+def replacer(folder: str, key: list[str], scope: str, reviews: Callable[[SparkSession], DataFrame], current: str = "is_current", order: list[str] | None = None) -> Callable[[DataFrame, int], None]:
+    """As merger(), but a batch is all that is current of each value of scope in it. What was stored of such a value and did not come again is superseded
+    (current is false) where reviews (the key columns) name it, else it is deleted; other values of scope stay as they are."""
 
-    sink = f"daily_{uuid.uuid4().hex}"
+    def replace(batch: DataFrame, number: int) -> None:
+        stored = _version(batch, folder, number)
+        new = _last(batch, key, order)
+        stale = stored.join(new.select(scope).distinct(), scope, "left_semi").join(new.select(*key), key, "left_anti")
+        named = reviews(batch.sparkSession).select(*key).distinct()
+        kept = stored.join(stale.select(*key), key, "left_anti").unionByName(stale.join(named, key, "left_semi").withColumn(current, F.lit(False)))
+        upsert(kept, new, key).write.mode("overwrite").parquet(f"{folder}/version={number}")
+
+    return replace
+
+
+def settled_daily_counts(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
+    """daily_counts() of the table name in folder (a file or a folder of files) in one run, days that are over at the last event; the stream writes files in the shared folder."""
+    place = f"{shared_folder(spark)}/daily-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).parquet(f"{folder}/{name}*")
-    query = daily_counts(stream, late="0 seconds").writeStream.format("memory").queryName(sink).outputMode("append").trigger(availableNow=True).start()
+    counts = daily_counts(stream, late="0 seconds")
+    query = counts.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(sink).withColumn("day", F.col("day").cast("timestamp_ntz"))
+    return spark.read.schema(counts.schema).parquet(f"{place}/rows").withColumn("day", F.col("day").cast("timestamp_ntz"))
