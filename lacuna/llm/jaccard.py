@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.llm import bloom
@@ -38,7 +38,7 @@ class Forest:
     bits: int = 5
     #: Chance that a pair as similar as the weakest link shares a prefix in some tree.
     recall: float = 0.9995
-    #: Verification: nodes and shingles in a cell at most (one node may have more shingles).
+    #: Verification: nodes and shingles in a cell at most, about (one node may have more shingles).
     cell_nodes: int = 384
     cell_shingles: int = 400_000
 
@@ -116,24 +116,27 @@ def grown(trie: DataFrame, forest: Forest, depth: int) -> DataFrame:
 
 
 def _cells(members: DataFrame, forest: Forest) -> DataFrame:
-    """node, size, label and more -> with cell: runs of nodes in order of label, of bounded size. A range partition and a pass over each; no task sorts all nodes."""
+    """node, size, label and more -> with cell: runs of nodes in order of label, of bounded size, however the rows are dealt.
+
+    Tasks sum up the room that their nodes take, in order; the sums of the range partitions before, a row for each, tell where a task begins. No task sorts all nodes.
+    """
     names = members.columns
     at = names.index("size")
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, nodes, held = TaskContext.get().partitionId() << 32, 0, 0
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, used = TaskContext.get().partitionId(), 0.0
         for batch in batches:
-            made = []
-            for size in batch.column(at).to_pylist():
-                if nodes and (nodes >= forest.cell_nodes or held + size > forest.cell_shingles):
-                    cell, nodes, held = cell + 1, 0, 0
-                nodes, held = nodes + 1, held + size
-                made.append(cell)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.int64())], names=[*names, "cell"])
+            ends = used + np.cumsum(np.maximum(1 / forest.cell_nodes, batch.column(at).to_numpy() / forest.cell_shingles))
+            begins = np.concatenate([[used], ends[:-1]])
+            used = float(ends[-1]) if len(ends) else used
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(ends), part, np.int32)), pa.array(begins), pa.array(ends)], names=[*names, "part", "begin", "end"])
 
     ordered = members.repartitionByRange("label", "node").sortWithinPartitions("label", "node")
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in members.schema), "cell long"])
-    return map_in_arrow(ordered, deal, schema)
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in members.schema), "part int, begin double, end double"])
+    filled = staged(map_in_arrow(ordered, fill, schema), "jaccard-filled")
+    parts = filled.groupBy("part").agg(F.max("end").alias("room"))
+    starts = parts.select("part", (F.sum("room").over(Window.orderBy("part")) - F.col("room")).alias("before"))
+    return filled.join(F.broadcast(starts), "part").select(*names, F.floor(F.col("before") + F.col("begin")).cast("long").alias("cell"))
 
 
 def tasks(trie: DataFrame, forest: Forest, depth: int, before: int | None) -> DataFrame:
