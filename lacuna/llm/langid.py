@@ -14,11 +14,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import map_in_arrow
-from lacuna.llm.samples import hash_sample
+from lacuna.llm.common import map_in_arrow, staged
+from lacuna.llm.samples import SLACK
 from lacuna.llm.textvec import mix, text_slices
 
 UNKNOWN = "und"
@@ -30,9 +30,9 @@ class Kernel:
     places: int = 1 << 14
     landmarks: int = 256
     ridge: float = 0.1
-    #: Bounds of the sample that the model is fitted on: rows, and characters of a row.
+    #: Bound of the sample that the model is fitted on; it is shared out among the languages, with least_rows for each of many.
     sample_rows: int = 4000
-    sample_chars: int = 20_000
+    least_rows: int = 8
     #: Texts, and characters, in a matrix.
     batch: int = 256
 
@@ -97,10 +97,18 @@ def fit(rows: np.ndarray, languages: list[str], kernel: Kernel) -> Model:
 
 
 def train(docs: DataFrame, text: str, lang: str, order: Column, kernel: Kernel = Kernel()) -> Model:
-    """A model from the rows of docs that have a language, letters and sample_chars characters at most; of more than sample_rows, those least by order, a 64-bit hash."""
+    """A model from the rows of docs that have a language and letters. Of each language it takes the same number of rows, or all it has: those least
+    by order, a 64-bit hash, so that a rare language is learned as well. Null languages and texts and texts without letters take no part; repeated rows
+    count as they come; no rows give a model that knows no language."""
     value = F.col(text).cast("string")
-    usable = docs.where(F.col(lang).isNotNull() & value.isNotNull() & (F.length(value) <= kernel.sample_chars) & value.rlike(r"\p{L}"))
-    sample = hash_sample(usable.select(value.alias("text"), F.col(lang).alias("lang"), order.alias("place")), F.col("place"), kernel.sample_rows)
+    usable = docs.where(F.col(lang).isNotNull() & value.isNotNull() & value.rlike(r"\p{L}")).select(value.alias("text"), F.col(lang).cast("string").alias("lang"), order.alias("place"))
+    counts = staged(usable.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    each = max(kernel.least_rows, kernel.sample_rows // max(1, counts.count()))
+    # A cut by hash leaves about SLACK times the rows of a language, so no task ranks all of a large one's.
+    cut = F.when(F.col("n") <= SLACK * each, F.lit(2.0**63)).otherwise(F.lit(-(2.0**63)) + F.lit(2.0**64 * SLACK * each) / F.col("n"))
+    near = usable.join(counts.select("lang", cut.alias("cut")), "lang").where(F.col("place").cast("double") <= F.col("cut"))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", F.md5(F.col("text").cast("binary")))))
+    sample = ranked.where(F.col("rank") <= each).select("text", "lang", "place")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 0, 1 << 21):
@@ -115,7 +123,7 @@ def train(docs: DataFrame, text: str, lang: str, order: Column, kernel: Kernel =
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), kernel: Kernel = Kernel()) -> DataFrame:
     """The columns keep, lang_pred (a learned language) and score (0 to 1), from the whole text alone.
 
-    A text that is null or has no letter is und with score 0, and so is every text where nothing could be learned.
+    A text that is null or has no letter is und with score 0, and so is every text where nothing could be learned. Repeated rows each give a row; an empty table gives none.
     """
     spread = docs.sparkSession.sparkContext.broadcast(model)
     at = len(keep)
