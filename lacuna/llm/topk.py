@@ -69,6 +69,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 5, query_block: i
     """queries and candidates as of quantised() -> query, rank (int, from 1), key, score (long): the k highest of each query, ties to the smaller key.
 
     A query's own key is no candidate of it. Fewer candidates than k: all. Repeated queries count once.
+    A key with several vectors is one query, ranked by the scores of all of them, and as a candidate has a row for each.
     """
     n_queries, n_candidates = queries.count(), candidates.count()
     across, down = -(-n_queries // query_block) or 1, -(-n_candidates // candidate_block) or 1

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import map_in_arrow
+from lacuna.llm.common import map_in_arrow, staged
 
 CHUNK = 1 << 18
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -36,14 +36,14 @@ def first_holders(records: DataFrame, key: str, payload: str, at_least: int = 0)
     Equal payloads are those of equal SHA-1 and length. Payloads of fewer than at_least bytes are all responses.
     Of repeated rows with the largest key each is a response. Null payloads count as empty.
 
-    A payload may be that of a third of all records, so only digests are grouped, after sums by task, and the holders go
-    back through a join that can split a large key.
+    A payload may be that of a third of all records, so only digests are grouped, after sums by task. The holders of more than one record are written as a table, whose
+    size is then known: where they are few the payloads are not shuffled for them, else the join can split a large key.
     """
     data = F.encode(F.coalesce(F.col(payload).cast("string"), F.lit("")), "UTF-8")
     records = records.withColumns({"__digest": F.sha1(data), "__bytes": F.octet_length(data)})
     holders = records.groupBy("__digest", "__bytes").agg(F.max(key).alias("__holder"), F.count("*").alias("__n")).where("__n > 1").select("__digest", "__bytes", "__holder")
     refers = F.when((F.col("__bytes") >= at_least) & (F.col("__holder") != F.col(key)), F.col("__holder"))
-    return records.join(holders, ["__digest", "__bytes"], "left").withColumn("refers_to", refers).drop("__digest", "__bytes", "__holder")
+    return records.join(staged(holders, "warc-holders"), ["__digest", "__bytes"], "left").withColumn("refers_to", refers).drop("__digest", "__bytes", "__holder")
 
 
 def _member(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -68,7 +68,8 @@ def write(records: DataFrame, folder: str, key: str = "page_id", uri: str = "url
     """Write a record for each row to archives under folder; the manifest of the archives (MANIFEST) as a DataFrame.
 
     Take the manifest's rows once (write it as a table): each evaluation writes archives of its own.
-    Null payloads and URIs count as empty. An archive is closed after archive_bytes compressed bytes.
+    Null payloads and URIs count as empty. An archive is closed after archive_bytes compressed bytes. Repeated rows each give a record; an empty table gives no archive;
+    other columns, whatever their names, play no part.
     """
     stamp = when.strftime("%Y-%m-%dT%H:%M:%SZ")
 
