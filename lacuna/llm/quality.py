@@ -249,12 +249,12 @@ def _unpacked(packed: pa.Array, options: Training) -> tuple[np.ndarray, np.ndarr
     return text, one_hot(np.ascontiguousarray(rows[:, cut:]).view("<u2").astype(np.int64).reshape(len(rows), -1), options.values)
 
 
-#: Groups that the sums of tasks are added up in before they go to the driver.
-SUM_GROUPS = 32
+#: Groups that the sums of tasks are added up in, level by level, so that no task holds many of them and the driver one.
+SUM_LEVELS = (4096, 64, 1)
 
 
 def _summed(features: DataFrame, make: Callable[[np.ndarray, np.ndarray], np.ndarray], options: Training) -> np.ndarray | None:
-    """The sum of make(text features, metadata features) over all rows of features; None of no rows. A task hands on one array, and the driver gets one for each group."""
+    """The sum of make(text features, metadata features) over all rows of features; None of no rows."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -263,15 +263,18 @@ def _summed(features: DataFrame, make: Callable[[np.ndarray, np.ndarray], np.nda
                 part = make(*_unpacked(batch.column(0).slice(begin, 4096), options))
                 total = part if total is None else total + part
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUM_GROUPS]), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
 
     def add(group: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, np.float64) for x in sorted(group.column("sums").to_pylist()))
         return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
 
     schema = "part long, sums binary"
-    rows = map_in_arrow(features.select("x"), task, schema).groupBy("part").applyInArrow(add, schema).toArrow().sort_by("part")
-    return sum(np.frombuffer(x, np.float64) for x in rows.column("sums").to_pylist()) if rows.num_rows else None
+    rows = map_in_arrow(features.select("x"), task, schema)
+    for groups in SUM_LEVELS:
+        rows = rows.withColumn("part", F.pmod("part", F.lit(groups))).groupBy("part").applyInArrow(add, schema)
+    one = rows.first()
+    return np.frombuffer(one["sums"], np.float64) if one else None
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", metadata: tuple[str, ...] = ("lang", "source", "n_chars"), options: Training = Training()) -> Model | None:
