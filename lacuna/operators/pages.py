@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.text import nfkc
 
+# Results depend on them.
 ANCHOR = 40
 MIN_QUOTE = 15
+#: How much longer than the quote what lies between its first and last characters may be: by a factor and by characters.
+STRETCH, SLACK = 1.3, 40
+#: Commands whose arguments are not typeset where they stand.
+UNSEEN = r"\\(?:cite[a-z]*|ref|eqref|autoref|cref|Cref|label|url|footnote)\*?\{[^{}]*\}"
 
 
 def letters(text: Column) -> Column:
@@ -20,7 +25,7 @@ def letters(text: Column) -> Column:
 
 
 def quote_letters(latex: Column) -> Column:
-    plain = F.regexp_replace(latex, r"\\(?:cite[a-z]*|ref|eqref|autoref|cref|Cref|label|url|footnote)\*?\{[^{}]*\}", "")
+    plain = F.regexp_replace(latex, UNSEEN, "")
     return letters(F.regexp_replace(plain, r"\\[A-Za-z]+\*?", ""))
 
 
@@ -36,7 +41,7 @@ def place(quote: Column, page: Column) -> Column:
         F.when((n < MIN_QUOTE) | n.isNull(), F.lit(None))
         .when(whole > 0, span(whole - 1, whole - 1 + n))
         .when(n <= ANCHOR, F.lit(None))
-        .when((head > 0) & (after > 0) & (after + ANCHOR - head <= n * 1.3 + 40), span(head - 1, after - 1 + ANCHOR))
+        .when((head > 0) & (after > 0) & (after + ANCHOR - head <= n * STRETCH + SLACK), span(head - 1, after - 1 + ANCHOR))
         .when(head > 0, span(head - 1, head - 1 + n))
         .when(tail > 0, span(F.greatest(F.lit(0), tail - 1 + ANCHOR - n), tail - 1 + ANCHOR))
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import constants as K
 from lacuna.functions import scalars, slices, text
+from lacuna.staging import staged
 
 MAX_INPUT_DEPTH = 20
 # Patterns that results depend on.
@@ -204,7 +205,8 @@ def verified(products: DataFrame, passages: DataFrame, by: list[str]) -> DataFra
     A quote under MIN_SPAN_CHARS characters without white space is too_short; the cited passage is tried first, then the others in
     order; the evidence is the passage's own slice.
     """
-    numbered = products.withColumn("__product", F.monotonically_increasing_id())
+    # Written once: both sides of the join below must see the same numbers.
+    numbered = staged(products.withColumn("__product", F.monotonically_increasing_id()), "numbered-products")
     long_enough = F.length(scalars.squash(F.col("evidence_span"))) >= K.MIN_SPAN_CHARS
     cited = F.col("passage_id") == F.col("__passage")
     pairs = numbered.where(long_enough).select(*by, "__product", "passage_id", "evidence_span").join(passages.select(*by, F.col("passage_id").alias("__passage"), "section_name", "kind", "text"), by)
