@@ -17,7 +17,7 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    options = secrets.Entropy()
+    options = secrets.BY_WINDOW
     kinds = secrets.kinds(options)
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), options=options)
     base = F.col("secrets")

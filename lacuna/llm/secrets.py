@@ -46,6 +46,12 @@ class Entropy:
     allowed: tuple[str, ...] = ("(?i)example", "(?i)0123456789|abcdefgh", r"(.)\1{7}")
     #: So are these whole values.
     allowed_values: tuple[str, ...] = field(default=())
+    #: Fillers (a pattern and its length in characters) that are cut out of candidates: windows that touch one are let be, what stands before and after it is a candidate of its own.
+    cut_out: tuple[tuple[str, int], ...] = ()
+
+
+#: The allow list by windows: a filler in a long key or path hides no secret beside it.
+BY_WINDOW = Entropy(allowed=(), cut_out=(("(?i)example", 7), ("(?i)0123456789", 10), ("(?i)abcdefgh", 8), (r"(.)\1{7}", 8)))
 
 
 def hot_stretch(value: Column, alphabet: str, window: int, bits: float) -> Column:
@@ -103,6 +109,14 @@ def _suspect(value: Column, kind: CharClass, options: Entropy) -> Column:
     return right & ~value.isin(*options.allowed_values) if options.allowed_values else right
 
 
+def _cut(text: Column, run: str, options: Entropy) -> Column:
+    """text with NUL in place of each character of a filler, so that all places stay, where there is a candidate at all."""
+    cut = text
+    for pattern, length in options.cut_out:
+        cut = F.regexp_replace(cut, pattern, "\0" * length)
+    return F.when(text.rlike(run), cut).otherwise(text) if options.cut_out else text
+
+
 def entropy_spans(text: Column, kind: CharClass, rank: int, options: Entropy) -> Column:
     """Structs (start, rank, end) of the stretches from the first suspect window to the end of the last, one for each candidate."""
     alphabet = kind.alphabet
@@ -112,7 +126,7 @@ def entropy_spans(text: Column, kind: CharClass, rank: int, options: Entropy) ->
         hot = hot_stretch(value, alphabet, options.window, kind.bits)
         return let(hot, lambda h: F.when(h.isNotNull(), F.struct((s["start"] + h["first"] - options.window).alias("start"), F.lit(rank).alias("rank"), (s["start"] + h["last"]).alias("end"))))
 
-    candidates = F.filter(spans(text, kind.run), lambda s: _suspect(s["value"], kind, options))
+    candidates = F.filter(spans(_cut(text, kind.run, options), kind.run), lambda s: _suspect(s["value"], kind, options))
     return F.filter(F.transform(candidates, stretch), lambda s: s.isNotNull())
 
 
