@@ -6,6 +6,8 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,9 +29,39 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: computed once, lineage cut."""
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are staged within are deleted at the end, but for those that are kept: they belong to the scratch around it, if there is one.
+
+    What leaves the block must read kept tables alone.
+    """
+    own: list[str] = []
+    outer = _scratch.set(own)
+    kept = _kept.set([])
+    try:
+        yield
+    finally:
+        rest = _kept.get()
+        _scratch.reset(outer)
+        _kept.reset(kept)
+        if _scratch.get() is not None:
+            _scratch.get().extend(rest)
+        for path in own:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+_kept: ContextVar[list[str]] = ContextVar("kept", default=[])
+
+
+def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: computed once, lineage cut. keep: not deleted with the scratch that it is in."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if _scratch.get() is not None:
+        (_kept if keep else _scratch).get().append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

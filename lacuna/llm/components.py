@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import staged
+from lacuna.llm.common import scratch, staged
 
 
 def _with_least(pairs: DataFrame, name: str) -> DataFrame:
@@ -30,9 +30,10 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if seen == before or not seen[0]:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select("v", "v").distinct())
         before = seen
-        both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, "large").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _with_least(large, "small")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", "m")).where("u <> v").distinct()
-        stars = staged(small, "stars")
+        with scratch(edges.sparkSession):
+            both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            large = _with_least(both, "large").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            small = _with_least(large, "small")
+            small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", "m")).where("u <> v").distinct()
+            stars = staged(small, "stars", keep=True)
     raise RuntimeError("components did not settle")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm import bloom
-from lacuna.llm.common import fresh_name, map_in_arrow, row_id, staged
+from lacuna.llm.common import fresh_name, map_in_arrow, row_id, scratch, staged
 from lacuna.llm.textvec import bytes_of, hash_runs, pieces, text_slices, window_hashes
 
 #: Words that count as units.
@@ -213,5 +213,6 @@ def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     row stays. Repeated rows go or stay together; null and empty texts stay; without a benchmark all rows stay, and an empty table stays empty."""
     mark = fresh_name(docs, "row_id")
     named = docs.withColumn(mark, row_id(F.col(key), F.col(text)))
-    found = staged(matches(named.select(mark, text), items, mark, text, item_key, item_text, rule).select(mark).distinct(), "contaminated")
+    with scratch(docs.sparkSession):
+        found = staged(matches(named.select(mark, text), items, mark, text, item_key, item_text, rule).select(mark).distinct(), "contaminated", keep=True)
     return named.join(found, mark, "left_anti").drop(mark)

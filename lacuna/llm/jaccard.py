@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.llm import bloom
-from lacuna.llm.common import fresh_name, map_in_arrow, row_id, staged
+from lacuna.llm.common import fresh_name, map_in_arrow, row_id, scratch, staged
 from lacuna.llm.components import components
 from lacuna.llm.textvec import mix, normalised, shingles, text_slices, word_hashes
 
@@ -239,8 +239,11 @@ def _links(trie: DataFrame, sets: DataFrame, forest: Forest) -> DataFrame:
     """node, links, peer of all links: from full depth on, prefixes are shortened until the weakest link found reaches the recall."""
     floor, depth, before, found = forest.depth_for(forest.threshold), forest.levels, None, None
     while True:
-        groups = tasks(trie, forest, depth, before).join(sets, "node").groupBy("c1", "c2")
-        new = staged(groups.applyInPandas(_verifier(forest, depth, before), "node long, links long, peer long, weakest double"), "jaccard-found")
+        with scratch(trie.sparkSession):
+            # As a table its size is known: where it is small, the sets are not shuffled for it.
+            dealt = staged(tasks(trie, forest, depth, before), "jaccard-tasks")
+            found_links = dealt.join(sets, "node").groupBy("c1", "c2").applyInPandas(_verifier(forest, depth, before), "node long, links long, peer long, weakest double")
+            new = staged(found_links, "jaccard-found", keep=True)
         found = new if found is None else found.unionByName(new)
         weakest = found.agg(F.min("weakest")).first()[0]
         # No link tells nothing of how similar the others are.
@@ -250,29 +253,26 @@ def _links(trie: DataFrame, sets: DataFrame, forest: Forest) -> DataFrame:
         depth, before = needed, depth
 
 
-def _classes(docs: DataFrame, key: str, text: str, forest: Forest) -> DataFrame:
-    """key, text_id, class_id, head (the text_id of the row that stands for the class), n_links, n_copies: a row for each row of docs."""
-    content = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(key).alias("key"), content.alias("text"), row_id(F.col(key), content).alias("text_id"))
-    sketched = staged(_sketches(rows, forest), "jaccard-sketches")
-
+def _answers(sketched: DataFrame, rows: DataFrame, forest: Forest) -> DataFrame:
+    """content -> class_id, head, n_links, n_copies, for each content of sketched."""
     # A node for each content; the first of its rows stands for it.
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text_id"))
     nodes = sketched.where("size > 0").groupBy("content").agg(first.alias("first"), F.min("size").alias("size"), F.count("*").alias("n"))
     nodes = staged(nodes.select(F.monotonically_increasing_id().alias("node"), "content", "first", F.col("first.text_id").alias("text_id"), "size", "n"), "jaccard-nodes")
     trie = sketched.select("text_id", "paths").join(nodes.select("text_id", "node"), "text_id").select("node", F.explode("paths").alias("path"))
-    trie = staged(trie, "jaccard-trie")
-    # Repeated rows gave their paths more than once.
-    trie = staged(grown(trie, forest, forest.depth_for(forest.threshold)).distinct(), "jaccard-shared")
+    with scratch(rows.sparkSession):
+        # Repeated rows gave their paths more than once.
+        trie = staged(grown(staged(trie, "jaccard-trie"), forest, forest.depth_for(forest.threshold)).distinct(), "jaccard-shared", keep=True)
 
     # Cells follow the deepest prefix that a node shares, where near copies meet first.
     deep = grown(trie.select("node", "path"), forest, forest.levels).groupBy("node").agg(F.min("head").alias("deep"))
     labels = trie.groupBy("node").agg(F.min("head").alias("head")).join(deep, "node", "left").select("node", F.coalesce("deep", "head").alias("label"))
-    members = staged(_cells(labels.join(nodes.select("node", "text_id", "size"), "node"), forest), "jaccard-members")
+    with scratch(rows.sparkSession):
+        members = staged(_cells(labels.join(nodes.select("node", "text_id", "size"), "node"), forest), "jaccard-members", keep=True)
     trie = staged(trie.join(members.select("node", "cell"), "node").select("node", "path", "cell"), "jaccard-cells")
 
     # Most texts are in no cell: a filter of the members keeps them from being shuffled.
-    spread = docs.sparkSession.sparkContext.broadcast(bloom.build(members.select(F.xxhash64("text_id").alias("hash")), "hash"))
+    spread = rows.sparkSession.sparkContext.broadcast(bloom.build(members.select(F.xxhash64("text_id").alias("hash")), "hash"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         borrow = _borrowing(forest.trees * forest.levels)
@@ -300,9 +300,19 @@ def _classes(docs: DataFrame, key: str, text: str, forest: Forest) -> DataFrame:
     answers = described.join(least, "component").select(
         "content", F.col("least.key").alias("class_id"), F.col("least.text_id").alias("head"), F.coalesce("links", F.lit(0)).alias("n_links"), (F.col("n") - 1).alias("n_copies")
     )
+    return staged(answers, "jaccard-answers", keep=True)
+
+
+def _classes(docs: DataFrame, key: str, text: str, forest: Forest) -> DataFrame:
+    """key, text_id, class_id, head (the text_id of the row that stands for the class), n_links, n_copies: a row for each row of docs."""
+    content = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(F.col(key).alias("key"), content.alias("text"), row_id(F.col(key), content).alias("text_id"))
+    sketched = staged(_sketches(rows, forest), "jaccard-sketches", keep=True)
+    with scratch(docs.sparkSession):
+        answers = _answers(sketched, rows, forest)
     zero = F.lit(0).cast("long")
     return (
-        sketched.where("size > 0").join(staged(answers, "jaccard-answers"), "content").select("key", "text_id", "class_id", "head", "n_links", "n_copies")
+        sketched.where("size > 0").join(answers, "content").select("key", "text_id", "class_id", "head", "n_links", "n_copies")
         .unionByName(sketched.where("size = 0").select("key", "text_id", F.col("key").alias("class_id"), F.col("text_id").alias("head"), zero.alias("n_links"), zero.alias("n_copies")))
     )
 
@@ -326,11 +336,12 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", forest
     What goes, and rows that are repeated, are the smaller parts, so the texts that stay are shuffled only where those do not fit a broadcast.
     """
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = _classes(docs, key, text, forest).groupBy("text_id").agg(F.bool_or(F.col("text_id") == F.col("head")).alias("stays"), F.count("*").alias("n"), F.max("n_copies").alias("copies"))
-    rows = staged(rows, "jaccard-kept")
     mark = fresh_name(docs, "row_id")
-    gone = staged(rows.where("NOT stays OR (n > 1 AND copies > 0)").select(F.col("text_id").alias(mark)), "jaccard-gone")
-    more = staged(rows.where("stays AND n > 1 AND copies > 0").select(F.col("text_id").alias(mark)), "jaccard-repeated")
+    with scratch(docs.sparkSession):
+        rows = _classes(docs, key, text, forest).groupBy("text_id").agg(F.bool_or(F.col("text_id") == F.col("head")).alias("stays"), F.count("*").alias("n"), F.max("n_copies").alias("copies"))
+        rows = staged(rows, "jaccard-kept")
+        gone = staged(rows.where("NOT stays OR (n > 1 AND copies > 0)").select(F.col("text_id").alias(mark)), "jaccard-gone", keep=True)
+        more = staged(rows.where("stays AND n > 1 AND copies > 0").select(F.col("text_id").alias(mark)), "jaccard-repeated", keep=True)
     named = docs.withColumn(mark, row_id(F.col(key), content))
     repeated = named.join(more, mark, "left_semi").dropDuplicates([mark])
     return named.join(gone, mark, "left_anti").drop(mark).unionByName(repeated.drop(mark))

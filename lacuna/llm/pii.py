@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import let, staged
+from lacuna.llm.common import let, scratch, staged
 from lacuna.llm.spans import kept, spans
 
 # Possessive quantifiers and look-behinds keep every pattern linear in the text and free of recursion; they match what the plain forms do.
@@ -43,6 +43,8 @@ GROUP = 6
 #: Longs of bits that bound a pattern's instances from below, and the parts of the texts, of one in so many, whose bounds are taken first.
 BOUND_WORDS = 4
 PARTS = (64, 8)
+#: Patterns, of 8 bytes each, that are sent to all tasks at most; more are joined by a shuffle.
+KEYS_BROADCAST = 500_000
 
 
 @dataclass(frozen=True)
@@ -124,11 +126,10 @@ def _is_seed(unit: Column) -> Column:
     return F.coalesce(unit.between(_HIDDEN[0], chr(HIDDEN + 127)), F.lit(False))
 
 
-def _single() -> Column:
-    """The hashes of the patterns that a unit alone stands in."""
+def _alone() -> list[Column]:
+    """The hashes of the patterns that a unit alone stands in; null where it has no such neighbour."""
     b2, b1, a1 = F.col("b2"), F.col("b1"), F.col("a1")
-    made = [(b1.isNotNull() & b2.isNotNull(), F.xxhash64(F.lit("2"), b2, b1)), (b1.isNotNull(), F.xxhash64(F.lit("1"), b1)), (a1.isNotNull(), F.xxhash64(F.lit("a"), a1))]
-    return F.array_compact(F.array(*[F.when(known, hashed) for known, hashed in made]))
+    return [F.when(b1.isNotNull() & b2.isNotNull(), F.xxhash64(F.lit("2"), b2, b1)), F.when(b1.isNotNull(), F.xxhash64(F.lit("1"), b1)), F.when(a1.isNotNull(), F.xxhash64(F.lit("a"), a1))]
 
 
 #: Columns of a pattern: its hash, and of a frame the unit before and the unit after.
@@ -146,7 +147,7 @@ def _begin(before: Column) -> Column:
 def _told(known: DataFrame) -> DataFrame:
     """Slots of known units with their score -> PATTERN, told (the sum of the scores of the distinct units that stand in it) and support (their number)."""
     none = F.lit(None).cast("string")
-    alone = known.select("u0", "score", F.explode(_single()).alias("pattern")).select("pattern", none.alias("b1"), none.alias("after"), "u0", "score")
+    alone = known.select("u0", "score", F.explode(F.array_compact(F.array(*_alone()))).alias("pattern")).select("pattern", none.alias("b1"), none.alias("after"), "u0", "score")
     framed = known.where(F.col("b1").isNotNull() & F.col("a1").isNotNull()).select(_frame(F.col("b1"), F.col("a1")).alias("pattern"), "b1", F.col("a1").alias("after"), "u0", "score")
     return alone.union(framed).distinct().groupBy(*PATTERN).agg(F.sum("score").alias("told"), F.count("*").alias("support"))
 
@@ -166,14 +167,30 @@ def _groups(u: Column, p: Column, at: Column) -> Column:
     return F.array(*made)
 
 
+def _hits(slots: DataFrame, alone: DataFrame, begun: DataFrame) -> DataFrame:
+    """pattern, begins, row, place, instance, seed: the units in the patterns of alone, and those after which a frame of begun begins."""
+    many = [alone.count(), begun.count()]
+    probes = [*((c, alone, False) for c in _alone() if many[0]), *((F.when(F.col("b1").isNotNull(), _begin(F.col("b1"))), begun, True) for _ in range(min(1, many[1])))]
+    own = [F.col("row"), F.col("place"), F.xxhash64("u0").alias("instance"), _is_seed(F.col("u0")).alias("seed")]
+    if max(many) > KEYS_BROADCAST:
+        keys = alone.withColumn("begins", F.lit(False)).union(begun.withColumn("begins", F.lit(True)))
+        return slots.select(*own, F.explode(F.array_compact(F.array(*[c for c, _, _ in probes]))).alias("pattern")).join(keys, "pattern")
+    # Few enough to be sent to all tasks: a unit is looked up in place, and only those that are in a pattern become rows.
+    rows = slots.select(*own, *[c.alias(f"h{i}") for i, (c, _, _) in enumerate(probes)])
+    for i, (_, keys, _) in enumerate(probes):
+        rows = rows.join(F.broadcast(keys.select(F.col("pattern").alias(f"h{i}"), F.lit(True).alias(f"in{i}"))), f"h{i}", "left")
+    there = [F.when(F.col(f"in{i}"), F.struct(F.col(f"h{i}").alias("pattern"), F.lit(begins).alias("begins"))) for i, (_, _, begins) in enumerate(probes)]
+    if not there:
+        return slots.select(F.lit(0).cast("long").alias("pattern"), F.lit(False).alias("begins"), *own).where(F.lit(False))
+    return rows.where(F.coalesce(*[F.col(f"in{i}") for i in range(len(probes))])).select("row", "place", "instance", "seed", F.inline(F.array_compact(F.array(*there))))
+
+
 def occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """pattern, row, place, size (in units), instance (its hash), seed: what stands in the patterns. One pass over all units gives those that stand in a pattern
     alone and the places where frames begin; only at these are groups put together."""
     columns = ["pattern", "row", "place", "size", "instance", "seed"]
     frames = patterns.where("after IS NOT NULL")
-    keys = patterns.where("after IS NULL").select("pattern", F.lit(False).alias("begins")).union(frames.select(_begin(F.col("b1")), F.lit(True)).distinct())
-    begins = F.array_compact(F.array(F.when(F.col("b1").isNotNull(), _begin(F.col("b1")))))
-    hits = _slots(texts).select("row", "place", F.xxhash64("u0").alias("instance"), _is_seed(F.col("u0")).alias("seed"), F.explode(F.concat(_single(), begins)).alias("pattern")).join(keys, "pattern")
+    hits = _hits(_slots(texts), patterns.where("after IS NULL").select("pattern"), frames.select(_begin(F.col("b1")).alias("pattern")).distinct())
     hits = staged(hits, "pii-hits")
     places = staged(hits.where("begins").groupBy("row").agg(F.collect_list("place").alias("places")), "pii-begun")
     both = F.struct(*[c.alias(name) for c, name in zip(_units("masked"), "up", strict=True)])
@@ -201,6 +218,7 @@ def bootstrap(texts: DataFrame, options: Bootstrap) -> DataFrame:
     the exact number of instances, and the ones that are trusted; the scores of what stands in them. Units that are found are known in the next round.
     Only patterns that the bounds of parts of the texts let through are looked for in all texts, so that a pattern as common as a word costs little.
     """
+    nothing = texts.sparkSession.createDataFrame([], "row long, place int, size int")
     slots = _slots(texts)
     seeds = staged(_told(_slots(texts.where(F.size("base") > 0)).where(_is_seed(F.col("u0"))).withColumn("score", F.lit(1.0))), "pii-seeds")
     parts = [(share, texts.where(F.pmod(F.xxhash64("row"), F.lit(share)) == 0)) for share in PARTS]
@@ -208,6 +226,8 @@ def bootstrap(texts: DataFrame, options: Bootstrap) -> DataFrame:
     union = lambda tables: reduce(DataFrame.unionByName, tables)
     for left in reversed(range(options.rounds)):
         possible = staged(told.where(F.col("support") >= options.support), "pii-patterns")
+        if possible.isEmpty():
+            return nothing
         for share, part in parts:
             # What a part of the texts says of a pattern's instances is a bound for all texts.
             known = [t for s, t in limits if s == share]
@@ -222,8 +242,10 @@ def bootstrap(texts: DataFrame, options: Bootstrap) -> DataFrame:
                 possible = staged(possible.join(staged(many, "pii-sketched"), "pattern", "left").where(F.col("sketched").isNull() | _sure(F.col("told"), F.col("sketched"), options)).drop("sketched"), "pii-possible")
             possible = possible.drop("least")
         possible = staged(possible, "pii-possible")
+        if possible.isEmpty():
+            return nothing
         fresh = possible.join(union(places).select("pattern").distinct(), "pattern", "left_anti") if places else possible
-        if not places or not fresh.isEmpty():
+        if not fresh.isEmpty():
             places.append(staged(occurrences(texts, fresh.select(*PATTERN)), "pii-places"))
         edges = staged(union(places).join(possible.select("pattern"), "pattern", "left_semi").groupBy("pattern", "instance").agg(F.bool_or("seed").alias("seed"), F.max("size").alias("size")), "pii-edges")
         sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
@@ -253,18 +275,19 @@ def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, opt
     carried = F.struct(*[F.col(c) for c in (docs.columns if keep is None else keep)])
     scanned = docs.select(F.monotonically_increasing_id().alias("row"), carried.alias("kept"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     scanned = scanned.withColumn("base", base_spans(F.col("text")))
-    scanned = staged(scanned.select("row", "kept", "base", masked(F.col("text"), F.col("base")).alias("masked")), "pii-scanned")
-
-    found = staged(bootstrap(scanned, options).groupBy("row").agg(F.collect_set(F.struct("place", "size")).alias("hits")), "pii-found")
-    # Places in the text are worked out where something was found.
-    units = scanned.select("row", "masked").join(found, "row").withColumn("units", spans(F.col("masked"), UNIT))
-    ends = lambda h: F.struct(F.col("units")[h["place"]]["start"].alias("start"), F.lit(len(BASE)).alias("rank"), F.col("units")[h["place"] + h["size"] - 1]["end"].alias("end"))
-    units = units.select("row", F.array_sort(F.array_distinct(F.transform("hits", ends))).alias("all"))
-    # A unit within a group that was found is part of it.
-    wider = lambda s: F.exists("all", lambda o: (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & (o["end"] - o["start"] > s["end"] - s["start"]))
-    added = units.select("row", F.filter("all", lambda s: ~wider(s)).alias("added"))
-    # As a table its size is known: where it is small, the rows it goes to are not shuffled.
-    added = staged(added, "pii-added")
+    scanned = staged(scanned.select("row", "kept", "base", masked(F.col("text"), F.col("base")).alias("masked")), "pii-scanned", keep=True)
+
+    with scratch(docs.sparkSession):
+        found = staged(bootstrap(scanned, options).groupBy("row").agg(F.collect_set(F.struct("place", "size")).alias("hits")), "pii-found")
+        # Places in the text are worked out where something was found.
+        units = scanned.select("row", "masked").join(found, "row").withColumn("units", spans(F.col("masked"), UNIT))
+        ends = lambda h: F.struct(F.col("units")[h["place"]]["start"].alias("start"), F.lit(len(BASE)).alias("rank"), F.col("units")[h["place"] + h["size"] - 1]["end"].alias("end"))
+        units = units.select("row", F.array_sort(F.array_distinct(F.transform("hits", ends))).alias("all"))
+        # A unit within a group that was found is part of it.
+        wider = lambda s: F.exists("all", lambda o: (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & (o["end"] - o["start"] > s["end"] - s["start"]))
+        added = units.select("row", F.filter("all", lambda s: ~wider(s)).alias("added"))
+        # As a table its size is known: where it is small, the rows it goes to are not shuffled.
+        added = staged(added, "pii-added", keep=True)
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
     return scanned.select("row", "kept", "base").join(added, "row", "left").select("kept.*", F.col("base").alias(base), F.coalesce("added", none).alias(extra))
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lacuna.llm.common import map_in_arrow, small_batches, staged
+from lacuna.llm.common import map_in_arrow, scratch, small_batches, staged
 from lacuna.llm.samples import hash_sample
 from lacuna.llm.textvec import bytes_of, hash_runs, mix, text_slices
 
@@ -283,6 +283,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     The labelled sample is the rows least by a hash of the key, of a key's labels the least; null keys and labels take no part in it. Every other document, repeated or
     with a null text (which counts as empty) too, is a row without label.
     """
+    with scratch(docs.sparkSession):
+        return _trained(docs, labels, key, text, label, metadata, options)
+
+
+def _trained(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, metadata: tuple[str, ...], options: Training) -> Model | None:
     order = F.xxhash64(F.col(key), F.lit(7)).alias("__order")
     given = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("__given"))
     chosen = staged(hash_sample(given.select(F.col(key).alias("key"), "__given", order), F.col("__order"), options.labelled_rows), "quality-labels")

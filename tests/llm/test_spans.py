@@ -265,3 +265,25 @@ def test_precision_and_recall_of_discovery(spark):
     got = {(i, texts[i][a:b]) for i, spans_ in run(spark, texts, pii.find, "context_pii").items() for a, _, b in spans_}
     right = len(got & set(want))
     assert right / len(want) >= 0.95 and right / max(1, len(got)) >= 0.9
+
+
+def test_fillers_are_cut_out_of_candidates(spark):
+    key, hexa = "A1b2C3d4E5f6G7h8I9j0", "9f8a7c6d5e4b3a2f1e0d"
+    texts = ["example" + key, "x" * 100 + key + "AAAAAAAAAA" + key[::-1], f"{key}/example/{hexa}", "0" * 30 + hexa, "example " * 4, "abcdefgh0123456789abcdefgh", "short " + key[:10] + "example" + key[10:]]
+    options = secrets.BY_WINDOW
+    got = run(spark, texts, lambda d: secrets.scan(d, options=options), "entropy_secrets")
+    kinds = secrets.kinds(options)
+    for i, t in enumerate(texts):
+        cut = t
+        for pattern, length in options.cut_out:
+            cut = re.sub(pattern, "\0" * length, cut)
+        want = []
+        for kind in options.classes:
+            for m in re.finditer(kind.run, cut):
+                if not kind.must or re.search(kind.must, m[0]):
+                    value = m[0].lower() if kind.alphabet == kind.alphabet.lower() else m[0]
+                    hot = [k for k in range(len(value) - 19) if entropy(value[k : k + 20]) >= kind.bits]
+                    if hot:
+                        want.append((m.start() + hot[0], kinds.index(kind.name), m.start() + hot[-1] + 20))
+        assert got[i] == sorted(want)
+    assert [bool(got[i]) for i in range(len(texts))] == [True, True, True, True, False, False, False]
