@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and their SQL where SQL can express one."""
+"""The registered queries of the operators, and their SQL where SQL can express one."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import bpe, decontaminate, jaccard, langid, pii, quality, secrets, token_counts, topk, warc
+from lacuna.llm import bpe, decontaminate, filter_audit, jaccard, langid, pii, quality, secrets, token_counts, topk, warc
 from lacuna.llm.common import shared_folder, staged, table
 from lacuna.llm.spans import count, hex_digest, joined
 
@@ -93,6 +93,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents, model, keep=["doc_id"]).withColumn("keep", F.col("quality_score") >= QUALITY_KEPT)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP9_SQL = """
     WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec FROM embeddings
                WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -102,11 +106,33 @@ OP9_SQL = """
     SELECT * FROM r WHERE rank <= 5
 """
 
+OP11_SQL = r"""
+    WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
+    l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+    f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, CAST(len(ws) < 50 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 65 * len(ws) AS INT)
+                 + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) AS INT) + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT)
+                 + 16 * CAST(coalesce(w.doc_id > least, false) AS INT) AS mask
+          FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+    c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, mask),
+    x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS v),
+    o AS (SELECT a.v || b.v || c.v || d.v || e.v AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.v, b.v, c.v, d.v, e.v])) = 5),
+    s AS (SELECT filter_order, step, filter_order[step] AS letter, 1 << (ascii(filter_order[step]) - 65) AS bit,
+                 CAST(coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65))), 0) AS INT) AS earlier
+          FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM o)),
+    r AS (SELECT part, filter_order, CAST(step AS INT) AS step, letter,
+                 CAST(coalesce(sum(n) FILTER (mask & (bit | earlier) = 0), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (mask & bit > 0 AND mask & earlier = 0), 0) AS BIGINT) AS removed,
+                 CAST(coalesce(sum(n) FILTER (mask & bit > 0 AND mask & earlier > 0), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (mask = bit), 0) AS BIGINT) AS unique_fails,
+                 CAST(coalesce(sum(good) FILTER (mask & bit > 0 AND mask & earlier = 0), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (mask & bit > 0 AND mask & earlier = 0), 0) AS BIGINT) AS toxic_lost
+          FROM c, s GROUP BY part, filter_order, step, letter)
+    SELECT * EXCLUDE (letter), CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM r
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_secrets, op2_pii, op3_token_counts, op4_warc, op5_byte_bpe, op6_decontaminate, op7_language, op8_jaccard_join, op9_topk, op10_quality)
+    every = (op1_secrets, op2_pii, op3_token_counts, op4_warc, op5_byte_bpe, op6_decontaminate, op7_language, op8_jaccard_join, op9_topk, op10_quality, op11_filter_audit)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_topk": OP9_SQL}
+    return {"op9_topk": OP9_SQL, "op11_filter_audit": OP11_SQL}
