@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import bpe, decontaminate, filter_audit, jaccard, langid, pii, quality, secrets, token_counts, topk, warc
+from lacuna.llm import bpe, decontaminate, filter_audit, jaccard, langid, pii, prefix_trie, quality, secrets, token_counts, topk, warc
 from lacuna.llm.common import shared_folder, staged, table
 from lacuna.llm.spans import count, hex_digest, joined
 
@@ -97,6 +97,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 OP9_SQL = """
     WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec FROM embeddings
                WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -128,11 +132,32 @@ OP11_SQL = r"""
     SELECT * EXCLUDE (letter), CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM r
 """
 
+OP12_SQL = r"""
+    WITH t AS (SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, turn,
+                      len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS p FROM t),
+    c AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: list_prepend(CAST(ascii(x) AS BIGINT), list_transform(range(8), lambda i: -1))))),
+                 lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 4 AS h
+          FROM (SELECT DISTINCT conv_id FROM t)),
+    r AS (SELECT c.conv_id, 0 AS own, p, digest, words FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 20 AND p <= h
+          UNION ALL SELECT c.conv_id, 1, p, digest, words FROM c JOIN o ON o.conv_id = c.conv_id AND p > h),
+    m AS (SELECT conv_id, row_number() OVER w AS depth, string_agg(digest, '') OVER w AS node, words FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, p)
+          UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+    e AS (SELECT conv_id, max(depth) AS depth FROM m GROUP BY conv_id),
+    n AS (SELECT node, m.depth, min(m.conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words, coalesce(string_agg(CAST(m.conv_id AS VARCHAR), ',' ORDER BY m.conv_id) FILTER (m.depth = e.depth), '') AS ends
+          FROM m JOIN e USING (conv_id) GROUP BY node, m.depth),
+    k AS (SELECT left(node, 64 * (depth - 1)) AS node, count(*) AS n FROM n WHERE depth > 0 GROUP BY 1),
+    s AS (SELECT left(n.node, 64 * d) AS node, count(*) FILTER (k.n IS NULL) AS n_leaves, sum((n_convs - 1) * words) AS saved
+          FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM n) n LEFT JOIN k ON k.node = n.node GROUP BY 1)
+    SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+    FROM n JOIN s ON s.node = n.node LEFT JOIN k ON k.node = n.node LEFT JOIN n u ON n.depth > 0 AND u.node = left(n.node, 64 * (n.depth - 1))
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_secrets, op2_pii, op3_token_counts, op4_warc, op5_byte_bpe, op6_decontaminate, op7_language, op8_jaccard_join, op9_topk, op10_quality, op11_filter_audit)
+    every = (op1_secrets, op2_pii, op3_token_counts, op4_warc, op5_byte_bpe, op6_decontaminate, op7_language, op8_jaccard_join, op9_topk, op10_quality, op11_filter_audit, op12_prefix_trie)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_topk": OP9_SQL, "op11_filter_audit": OP11_SQL}
+    return {"op9_topk": OP9_SQL, "op11_filter_audit": OP11_SQL, "op12_prefix_trie": OP12_SQL}
