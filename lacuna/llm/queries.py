@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import bpe, decontaminate, filter_audit, jaccard, langid, pii, prefix_trie, quality, secrets, token_counts, topk, warc
+from lacuna.llm import bpe, decontaminate, filter_audit, jaccard, langid, neardup, pii, prefix_trie, quality, secrets, token_counts, topk, warc
 from lacuna.llm.common import shared_folder, staged, table
 from lacuna.llm.spans import count, hex_digest, joined
 
@@ -101,6 +101,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = """
     WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec FROM embeddings
                WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -155,7 +159,7 @@ OP12_SQL = r"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_secrets, op2_pii, op3_token_counts, op4_warc, op5_byte_bpe, op6_decontaminate, op7_language, op8_jaccard_join, op9_topk, op10_quality, op11_filter_audit, op12_prefix_trie)
+    every = (op1_secrets, op2_pii, op3_token_counts, op4_warc, op5_byte_bpe, op6_decontaminate, op7_language, op8_jaccard_join, op9_topk, op10_quality, op11_filter_audit, op12_prefix_trie, op13_near_duplicates)
     return {f.__name__: f for f in every}
 
 
