@@ -2,41 +2,36 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lacuna.functions.scalars import percent_text, rounded, squash
+from lacuna.operators import anchors
 from lacuna.operators.matching import assign_one_to_one
+from lacuna.staging import staged
 
 MIN_OVERLAP = 40
 GAPS = ["missing", "no_record"]
 
 
-@F.pandas_udf(T.LongType())
-def longest_common(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Length of the longest common substring; there is no built-in function."""
-    for a, b in pairs:
-        yield pd.Series([difflib.SequenceMatcher(None, x, y, autojunk=False).find_longest_match().size for x, y in zip(a, b, strict=True)], dtype="int64")
-
-
 def overlaps(predicted: DataFrame, gold: DataFrame, paper: str = "inspire_id") -> DataFrame:
     """paper, prediction, gold_id, overlap for pairs of one paper whose quotes share enough: MIN_OVERLAP characters, or the whole shorter quote.
 
-    predicted: paper, prediction, evidence_span. gold: paper, gold_id, quotes (array). White space does not count. Most pairs share
-    nothing; a window of the quote that the text contains is looked for by built-ins before the exact length is measured.
+    predicted: paper, prediction, evidence_span. gold: paper, gold_id, quotes (array). White space does not count. Pairs that can share so much meet
+    by hashes: of winnowed windows where both are long, of their beginning where a short quote stands in the other. The longest common substring is measured for these alone.
     """
+    spans = staged(predicted.select(paper, "prediction", squash(F.col("evidence_span")).alias("span")).where("span IS NOT NULL AND span <> ''").withColumn("__p", F.monotonically_increasing_id()), "spans")
     quotes = gold.select(paper, "gold_id", F.explode("quotes").alias("quote")).withColumn("quote", squash(F.col("quote"))).where("quote <> ''")
-    pairs = predicted.select(paper, "prediction", squash(F.col("evidence_span")).alias("span")).join(quotes, paper)
-    least = F.least(F.lit(MIN_OVERLAP), F.length("quote"))
-    inside = F.contains("quote", F.col("span")) & (F.length("span") > 0)
-    shared = F.exists(F.sequence(F.lit(1), F.length("quote") - least + 1), lambda i: F.contains("span", F.substring("quote", i, least)))
-    near = pairs.where(inside | shared).withColumn("overlap", longest_common("span", "quote"))
-    return near.groupBy(paper, "prediction", "gold_id").agg(F.max("overlap").alias("overlap"))
+    quotes = staged(quotes.withColumn("__g", F.monotonically_increasing_id()), "gold-quotes")
+    long = lambda rows, c: rows.where(F.length(c) >= MIN_OVERLAP)
+    shared = anchors.sharing(long(spans, "span"), long(quotes, "quote"), "span", "quote", MIN_OVERLAP, [paper], ("__p", "__g"))
+    short = quotes.where(F.length("quote") < MIN_OVERLAP).select(paper, "__g", "quote")
+    within = anchors.containing(spans.select(paper, "__p", "span"), short, "span", "quote", [paper]).select("__p", "__g")
+    around = anchors.containing(quotes.select(paper, "__g", "quote"), spans.select(paper, "__p", "span"), "quote", "span", [paper]).select("__p", "__g")
+    pairs = staged(shared.unionByName(within).unionByName(around).distinct(), "overlap-pairs")
+    near = pairs.join(spans, "__p").join(quotes.drop(paper), "__g").withColumn("overlap", anchors.longest_common("span", "quote"))
+    enough = (F.col("overlap") >= F.least(F.lit(MIN_OVERLAP), F.length("quote"))) | (F.col("overlap") == F.length("span"))
+    return near.where(enough).groupBy(paper, "prediction", "gold_id").agg(F.max("overlap").alias("overlap"))
 
 
 def matched(predicted: DataFrame, gold: DataFrame, paper: str = "inspire_id") -> DataFrame:

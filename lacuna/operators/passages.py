@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions import constants as K
 from lacuna.functions import scalars, slices, text
+from lacuna.operators import anchors
 from lacuna.staging import staged
 
 MAX_INPUT_DEPTH = 20
@@ -226,41 +224,6 @@ def deduped(products: DataFrame, by: list[str]) -> DataFrame:
     return best.select(*by, "b.*", "place")
 
 
-def holding(texts: DataFrame, quotes: DataFrame, text_column: str, quote_column: str, batch_bytes: int = 16 << 20) -> DataFrame:
-    """Rows of texts and quotes where the text contains the quote.
-
-    One pass of an automaton finds every quote of a batch in a text, so a text is not compared with each quote. Batches have a
-    bounded size, and are as many as the quotes need; only matches are joined with the quotes' other columns.
-    """
-    size = quotes.agg(F.sum(F.octet_length(quote_column))).first()[0] or 0
-    batches = max(1, -(-size // batch_bytes))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields]
-    at = texts.columns.index(text_column)
-    found = None
-    for number in range(batches):
-        part = quotes.where(F.col(quote_column).isNotNull() & (F.pmod(F.xxhash64(quote_column), F.lit(batches)) == number))
-        words = texts.sparkSession.sparkContext.broadcast(part.select(quote_column).distinct().toArrow().column(0).to_pylist())
-
-        def scan(rows: Iterator[pa.RecordBatch], words=words) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-
-            automaton = ahocorasick.Automaton()
-            for word in filter(None, words.value):
-                automaton.add_word(word, word)
-            automaton.make_automaton()
-            everywhere = {""} & set(words.value)
-            for batch in rows:
-                owner, quote = [], []
-                for row, text in enumerate(batch.column(at)):
-                    if text.is_valid:
-                        hits = {w for _, w in automaton.iter(text.as_py())} if len(automaton) else set()
-                        hits |= everywhere
-                        owner += [row] * len(hits)
-                        quote += hits
-                taken = batch.take(pa.array(owner, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(quote, pa.string())], names=[*taken.schema.names, "__quote"])
-
-        hits = texts.mapInArrow(scan, ", ".join([*kinds, "__quote string"]))
-        joined = hits.join(part, F.col("__quote") == F.col(quote_column)).drop("__quote")
-        found = joined if found is None else found.unionByName(joined)
-    return found
+def holding(texts: DataFrame, quotes: DataFrame, text_column: str, quote_column: str) -> DataFrame:
+    """Rows of texts and quotes where the text contains the quote: a join by hashes of windows (anchors.py)."""
+    return anchors.containing(texts, quotes, text_column, quote_column)

@@ -115,7 +115,6 @@ def test_holding(spark):
     texts = spark.createDataFrame([(1, "abcdef"), (2, None), (3, "")], "id int, t string")
     quotes = spark.createDataFrame([(7, "bcd"), (8, "x"), (9, ""), (10, None)], "q int, s string")
     assert sorted((r["id"], r["q"]) for r in passages.holding(texts, quotes, "t", "s").collect()) == [(1, 7), (1, 9), (3, 9)]
-    assert sorted((r["id"], r["q"]) for r in passages.holding(texts, quotes, "t", "s", batch_bytes=2).collect()) == [(1, 7), (1, 9), (3, 9)]
 
 
 def test_matching(spark):
