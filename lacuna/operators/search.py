@@ -1,8 +1,8 @@
 """Weighted full-text search over products.
 
-An inverted index holds a row for each term, product and position. A query's terms, phrases and exclusions become joins of index rows
-and one aggregation by product. Ranks are sums of the weights of the fields that a term stands in, damped by repeats; they order like
-a weighted text rank, but their values are this engine's own.
+A posting holds the positions of a term in one field of a product. A query's terms, phrases and exclusions become one aggregation of the postings of its
+terms alone, which are made from the products at hand (search) or read from a stored index (text_index.py). Ranks are sums of the weights of the fields that a term
+stands in, damped by repeats; they order like a weighted text rank, but their values are this engine's own.
 """
 
 from __future__ import annotations
@@ -13,38 +13,27 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.functions.stems import stem, stemmed
+
 WEIGHTS = {"description": 1.0, "title": 0.4, "evidence": 0.2}
 STOP = "a an and are as at be by for from in is it its of on or that the their this to was were which with".split()
-#: Endings that are taken off, in order; the stem keeps three letters.
-ENDINGS = "(?:ational|ements?|ations?|ingly|ities|ments?|ings?|edly|ions?|ies|ive|ed|ly|es|s|e|y)$"
-
-
-def stemmed(word: Column) -> Column:
-    return F.regexp_replace(F.lower(word), f"(?<=[a-z]{{3}}){ENDINGS}", "")
-
 
-def stem_text(word: str) -> str:
-    return re.sub(f"(?<=[a-z]{{3}}){ENDINGS}", "", word.lower())
 
+def postings(products: DataFrame, key: str = "id", fields: dict[str, float] = WEIGHTS, terms: list[str] | None = None) -> DataFrame:
+    """term, key, field, weight, positions (sorted): a row for each term of a product's field; stop words keep their positions but give no rows.
 
-def index(products: DataFrame, key: str = "id", fields: dict[str, float] = WEIGHTS, terms: list[str] | None = None) -> DataFrame:
-    """key, field, weight, position, term; stop words keep their positions but give no rows. terms: those that are wanted, all if None.
-
-    A stem is the beginning of its word, so words that begin with no wanted term are dropped before they are stemmed.
+    terms: those that are wanted, all if None. All but the last two letters of a stem begin its words, so other words are dropped before they are stemmed.
     """
     parts = [F.struct(F.lit(f).alias("field"), F.lit(w).alias("weight"), F.split(F.lower(F.col(f)), "[^a-z0-9]+").alias("words")) for f, w in fields.items()]
     rows = products.select(key, F.explode(F.array(*parts)).alias("p")).select(key, "p.field", "p.weight", F.posexplode("p.words").alias("position", "word"))
     rows = rows.where((F.col("word") != "") & ~F.col("word").isin(*STOP))
     if terms is not None:
-        near = F.lit(False)
-        for term in terms:
-            near = near | F.col("word").startswith(term)
-        return index_terms(rows.where(near), key).where(F.col("term").isin(*terms) if terms else F.lit(False))
-    return index_terms(rows, key)
-
-
-def index_terms(rows: DataFrame, key: str) -> DataFrame:
-    return rows.select(key, "field", "weight", "position", stemmed(F.col("word")).alias("term"))
+        rows = rows.where(F.col("word").rlike("^(?:" + "|".join(sorted({re.escape(t[: max(1, len(t) - 2)]) for t in terms})) + ")") if terms else F.lit(False))
+    # A word is stemmed once for each time it stands in a field.
+    words = rows.groupBy(key, "field", "weight", "word").agg(F.collect_list("position").alias("positions")).withColumn("term", stemmed(F.col("word")))
+    if terms is not None:
+        words = words.where(F.col("term").isin(*terms))
+    return words.groupBy("term", key, "field", "weight").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
 
 
 @dataclass(frozen=True)
@@ -66,19 +55,27 @@ def parse(text: str) -> list[list[Clause]]:
             alternatives.append([])
             continue
         words = [w for w in re.split(r"[^a-z0-9]+", (phrase or word).lower()) if w]
-        kept = [(i, stem_text(w)) for i, w in enumerate(words) if w not in STOP]
+        kept = [(i, stem(w)) for i, w in enumerate(words) if w not in STOP]
         if kept:
             alternatives[-1].append(Clause(tuple(t for _, t in kept), tuple(i - kept[0][0] for i, _ in kept), bool(minus)))
     return [a for a in alternatives if any(not c.excluded for c in a)]
 
 
-def search(products: DataFrame, text: str, key: str = "id", fields: dict[str, float] = WEIGHTS) -> DataFrame:
-    """key and rank of the products that fit the query, best first, ties by key."""
+def terms_of(text: str) -> list[str]:
+    """The stems that a query asks for."""
+    return sorted({t for a in parse(text) for c in a for t in c.terms})
+
+
+def ranked(found: DataFrame, text: str, key: str = "id") -> DataFrame:
+    """found: postings of the query's terms at least -> key and rank of the products that fit the query, best first, ties by key."""
     alternatives = parse(text)
     clauses = list(dict.fromkeys(c for a in alternatives for c in a))
-    terms = sorted({t for c in clauses for t in c.terms})
-    found = index(products, key, fields, terms)
-    hits = found.groupBy(key, "field", "weight").agg(*[F.collect_list(F.when(F.col("term") == t, F.col("position"))).alias(f"t{i}") for i, t in enumerate(terms)])
+    terms = terms_of(text)
+    if not alternatives:
+        # Stop words alone fit nothing.
+        return found.select(key, F.lit(0.0).alias("rank")).limit(0)
+    none = F.array().cast("array<int>")
+    hits = found.groupBy(key, "field", "weight").agg(*[F.coalesce(F.max(F.when(F.col("term") == t, F.col("positions"))), none).alias(f"t{i}") for i, t in enumerate(terms)])
 
     def shifted(column: Column, distance: int) -> Column:
         return F.transform(column, lambda p: p - distance)
@@ -91,7 +88,7 @@ def search(products: DataFrame, text: str, key: str = "id", fields: dict[str, fl
         return F.size(together)
 
     sums = [F.sum(F.col("weight") * (1 - F.pow(F.lit(0.5), occurrences(c)))).alias(f"c{i}") for i, c in enumerate(clauses)]
-    scored = hits.groupBy(key).agg(*(sums or [F.lit(0).alias("none")]))
+    scored = hits.groupBy(key).agg(*sums)
     fits, rank = F.lit(False), F.lit(0.0)
     for a in alternatives:
         every = F.lit(True)
@@ -102,3 +99,8 @@ def search(products: DataFrame, text: str, key: str = "id", fields: dict[str, fl
     for i, c in enumerate(clauses):
         rank = rank if c.excluded else rank + F.col(f"c{i}")
     return scored.where(fits).select(key, rank.alias("rank")).orderBy(F.desc("rank"), key)
+
+
+def search(products: DataFrame, text: str, key: str = "id", fields: dict[str, float] = WEIGHTS) -> DataFrame:
+    """key and rank of the products that fit the query, best first, ties by key: the postings of the query's terms are made for it."""
+    return ranked(postings(products, key, fields, terms_of(text)), text, key)

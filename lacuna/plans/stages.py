@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions import constants as K
 from lacuna.functions import scalars, text, vectors
-from lacuna.operators import evaluation, matching, passages, relations
+from lacuna.functions.stems import stemmed
+from lacuna.operators import evaluation, matching, passages, relations, search, text_index
 from lacuna.plans.registry import query, table
+from lacuna.plans.stem_sql import stem_tables
+from lacuna.staging import shared_folder
 
 
 @query("""
@@ -136,12 +141,28 @@ def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT DISTINCT doc_id, item_id FROM d JOIN b ON contains(t, q)
 """)
 def evidence_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes in texts, white space aside: an automaton of a bounded batch of quotes goes over each text once, in the tasks."""
+    """Quotes in texts, white space aside: a join by the hashes of quotes' beginnings and texts' windows, in one scan of the texts."""
     quotes = table(spark, sf_dir, "benchmark").select("item_id", scalars.squash(F.col("text")).alias("quote"))
     texts = table(spark, sf_dir, "documents").select("doc_id", scalars.squash(F.col("text")).alias("squashed"))
     return passages.holding(texts, quotes, "squashed", "quote").select("doc_id", "item_id").distinct()
 
 
+@query("""
+    WITH d AS (SELECT doc_id, string_split(regexp_replace(text, '[\\s]+', '', 'g'), '') AS t FROM documents WHERE text <> ''),
+    b AS (SELECT item_id, string_split(regexp_replace(text, '[\\s]+', '', 'g'), '') AS q FROM benchmark WHERE text <> ''),
+    w AS (SELECT doc_id, i, hash(array_to_string(t[i : i + 39], '')) AS h FROM (SELECT doc_id, t, unnest(range(1, len(t) - 38)) AS i FROM d WHERE len(t) >= 40)),
+    v AS (SELECT item_id, j, hash(array_to_string(q[j : j + 39], '')) AS h FROM (SELECT item_id, q, unnest(range(1, len(q) - 38)) AS j FROM b WHERE len(q) >= 40)),
+    m AS (SELECT doc_id, item_id, i, i - j AS diagonal FROM w JOIN v USING (h)),
+    r AS (SELECT doc_id, item_id, i - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY i) AS run, diagonal FROM m)
+    SELECT doc_id, item_id, max(n) + 39 AS overlap FROM (SELECT doc_id, item_id, count(*) AS n FROM r GROUP BY doc_id, item_id, diagonal, run) GROUP BY 1, 2
+""")
+def quote_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest passage that a document shares with an item, as of a prediction and a gold item; all are one paper's here."""
+    predicted = table(spark, sf_dir, "documents").select(F.lit(1).alias("inspire_id"), F.col("doc_id").alias("prediction"), F.col("text").alias("evidence_span"))
+    gold = table(spark, sf_dir, "benchmark").select(F.lit(1).alias("inspire_id"), F.col("item_id").alias("gold_id"), F.array("text").alias("quotes"))
+    return evaluation.overlaps(predicted, gold).where(F.col("overlap") >= evaluation.MIN_OVERLAP).select(F.col("prediction").alias("doc_id"), F.col("gold_id").alias("item_id"), "overlap")
+
+
 @query("""
     WITH w AS (SELECT conv_id, turn, list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) > 1 AND x NOT IN (STOPS))) AS words FROM conversations)
     SELECT a.conv_id, a.turn, round(CASE WHEN least(len(a.words), len(b.words)) > 0 THEN len(list_intersect(a.words, b.words)) / least(len(a.words), len(b.words)) ELSE 0 END, 6) AS overlap FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
@@ -298,17 +319,55 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.sum(k), 4).alias("total"), F.count(k).alias("n"))
 
 
-@query("""
-    SELECT doc_id, round(sum(1 - pow(0.5, hits)), 6) AS rank FROM (SELECT doc_id, w, count(*) AS hits FROM (SELECT doc_id, regexp_replace(unnest(string_split_regex(lower(text), '[^a-z0-9]+')),
-        '^(.*?[a-z]{3})(?:ational|ements?|ations?|ingly|ities|ments?|ings?|edly|ions?|ies|ive|ed|ly|es|s|e|y)$', '\\1') AS w FROM documents) WHERE w IN ('thon', 'thr') GROUP BY 1, 2) GROUP BY 1 HAVING count(*) = 2
-""")
-def search_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lacuna.operators import search
+_STEMMED = f"""
+    WITH words AS (SELECT DISTINCT w FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM documents)),
+    {stem_tables('words')},
+    hits AS (SELECT doc_id, stem, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM documents) JOIN stems USING (w) WHERE w NOT IN ('', {', '.join(f"'{x}'" for x in search.STOP)}) GROUP BY 1, 2)
+"""
+
 
+@query(f"{_STEMMED} SELECT doc_id, round(sum(1 - pow(0.5, n)), 6) AS rank FROM hits WHERE stem IN ('thon', 'thre') GROUP BY 1 HAVING count(*) = 2")
+def search_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search.search(table(spark, sf_dir, "documents"), "thon thre", "doc_id", {"text": 1.0})
     return found.select("doc_id", F.round("rank", 6).alias("rank"))
 
 
+@query(f"SELECT w, stem FROM ({_STEMMED} SELECT w, stem FROM stems WHERE w <> '')")
+def word_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("w")).where("w <> ''").distinct()
+    return words.select("w", stemmed(F.col("w")).alias("stem"))
+
+
+_INDEXES: dict[tuple[str, str], text_index.Index] = {}
+
+
+def _document_index(spark: SparkSession, sf_dir: str) -> text_index.Index:
+    """The documents' index in the shared folder, made once for a session in two runs: first as if every third document had another text or were missing, then as they are."""
+    where = (spark.sparkContext.applicationId, sf_dir)
+    if where not in _INDEXES:
+        index = text_index.Index(f"{shared_folder(spark)}/documents-index-{uuid.uuid4().hex}", "doc_id", fields={"text": 1.0})
+        rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+        old = F.when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit(" thon and what is gone"))).otherwise(F.col("text"))
+        text_index.update(rows.where("doc_id % 3 <> 2").select("doc_id", old.alias("text")), index)
+        text_index.update(rows, index)
+        _INDEXES[where] = index
+    return _INDEXES[where]
+
+
+@query(f"""
+    {_STEMMED}, d AS (SELECT doc_id, max(CASE WHEN stem = 'thon' THEN n ELSE 0 END) AS a, max(CASE WHEN stem = 'thre' THEN n ELSE 0 END) AS b, max(CASE WHEN stem = 'reth' THEN n ELSE 0 END) AS c FROM hits GROUP BY 1)
+    SELECT doc_id, round(2 - pow(0.5, a) - pow(0.5, c), 6) AS rank FROM d WHERE (a > 0 AND b = 0) OR c > 0
+""")
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = text_index.search(spark, _document_index(spark, sf_dir), "thon -thre OR reth")
+    return found.select("doc_id", F.round("rank", 6).alias("rank"))
+
+
+@query(f"{_STEMMED} SELECT stem AS term, count(*) AS n FROM hits GROUP BY 1")
+def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_index.frequencies(spark, _document_index(spark, sf_dir))
+
+
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n FROM events WHERE ts < (SELECT date_trunc('day', max(ts)) FROM events) GROUP BY 1, 2")
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream gives out a day once it is over; what it gave is read from its sink."""
