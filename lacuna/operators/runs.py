@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions import scalars
+from lacuna.sources import staged_json
 
 
 def guarded(rows: DataFrame, stage: str, status: str = "status") -> tuple[DataFrame, DataFrame]:
@@ -44,10 +45,10 @@ def summary(rows: DataFrame, ratio: str = "reduction_ratio", status: str = "stat
     return one.select(F.lit(version).alias("version"), "papers", "statuses", scalars.rounded(F.col("median"), 2).alias("reduction_ratio_median"), scalars.rounded(F.col("least"), 2).alias("reduction_ratio_min"))
 
 
-def write_stage(rows: DataFrame, said: DataFrame, folder: str) -> None:
-    """A stage's output: its rows under rows, then its summary under _summary, so that a summary is there once the rows are whole."""
-    rows.write.mode("overwrite").parquet(f"{folder}/rows")
-    said.write.mode("overwrite").json(f"{folder}/_summary")
+def write_stage(rows: DataFrame, said: DataFrame, folder: str, key: str = "inspire_id", part: Column | None = None) -> None:
+    """A stage's output, in the place of the one before: its rows as JSON lines by slice (part, one if None) and key, and its summary of one row. Readers see both or neither
+    (staged_json.read); rows may come from the folder itself."""
+    staged_json.write(rows, folder, key, F.lit("all") if part is None else part, said.first().asDict(recursive=True))
 
 
 def observed(rows: DataFrame, name: str, metrics: dict[str, Column]) -> tuple[DataFrame, Observation]:

@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lacuna.functions import scalars, text
-from lacuna.operators import evaluation, matching, relations, runs, stages
-from lacuna.sources import archives, paged, readers
+from lacuna.operators import bucketed, evaluation, matching, relations, runs, stages
+from lacuna.sources import archives, paged, readers, staged_json
 from lacuna.streaming import increments
 
 
@@ -57,8 +57,8 @@ def test_guard_pending_and_summary(spark, tmp_path):
     said = runs.summary(rows.na.fill("none", ["status"]))
     one = said.first()
     assert (one["papers"], one["statuses"], one["reduction_ratio_median"], one["reduction_ratio_min"]) == (4, {"ok": 2, "no_latex": 1, "none": 1}, round(3.3375, 2), round(2.675, 2))
-    runs.write_stage(rows, said, str(tmp_path))
-    assert spark.read.parquet(f"{tmp_path}/rows").count() == 4 and spark.read.json(f"{tmp_path}/_summary").first()["papers"] == 4
+    runs.write_stage(rows, said, str(tmp_path), "k")
+    assert staged_json.read(spark, str(tmp_path), rows.schema).count() == 4 and staged_json.current(str(tmp_path))["summary"]["papers"] == 4
     seen, watch = runs.observed(rows, "stage", {"papers": F.count(F.lit(1)), "ok": F.count_if(F.col("status") == "ok")})
     assert seen.count() == 4 and watch.get == {"papers": 4, "ok": 2}
     assert runs.summary(rows.limit(0)).first()["papers"] == 0
@@ -146,14 +146,15 @@ def test_stream_that_replaces(spark, tmp_path):
     increments.run_once(increments.arrivals(spark, f"{source}/*", schema), each, str(tmp_path / "cp"))
     spark.createDataFrame([(1, 1, "again", True, 3)], schema).write.parquet(f"{source}/two")
     increments.run_once(increments.arrivals(spark, f"{source}/*", schema), each, str(tmp_path / "cp"))
-    assert sorted((r["k"], r["v"], r["is_current"]) for r in spark.read.parquet(f"{table}/version=1").collect()) == [(1, "again", True), (2, "b", False), (9, "z", True)]
-    assert {r["v"] for r in spark.read.parquet(f"{table}/version=0").where("k = 1").collect()} == {"A"}
+    stored = bucketed.Bucketed(table, ["paper", "k"], ["paper"])
+    assert sorted((r["k"], r["v"], r["is_current"]) for r in bucketed.read(spark, stored, schema).collect()) == [(1, "again", True), (2, "b", False), (9, "z", True)]
+    assert {r["v"] for r in bucketed.read(spark, stored, schema, version=1).where("k = 1").collect()} == {"A"}
 
 
 def test_first_seen_and_stage_text(spark, tmp_path):
     spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 01:00:00"), (2, "2024-01-01 00:00:00")], "k int, ts string").write.parquet(str(tmp_path / "in/one"))
     got = []
-    increments.run_once(increments.first_seen(increments.arrivals(spark, f"{tmp_path}/in/*", "k int, ts string"), ["k"], "ts"), lambda batch, _: got.extend(r["k"] for r in batch.collect()), str(tmp_path / "cp"))
+    increments.run_once(increments.first_seen(increments.arrivals(spark, f"{tmp_path}/in/*", "k int, ts string"), ["k"], "ts", late="7 days"), lambda batch, _: got.extend(r["k"] for r in batch.collect()), str(tmp_path / "cp"))
     assert sorted(got) == [1, 2]
     found = spark.createDataFrame([("p", 0, 0, "s", "caption", "some text")], "arxiv_id string, ordinal int, start int, section_name string, kind string, text string")
     assert "### Passage 1 (caption; section: s)\nsome text" in stages.prompts(found).first()["prompt"]
