@@ -66,6 +66,24 @@ def reconcile_statuses(extractions: DataFrame, records: DataFrame, links: DataFr
     return looked.unionByName(others.select(paper, "status", "detail"))
 
 
+def extraction_summary(fresh: DataFrame, before: DataFrame | None = None, version: str = "1", stopped: str | None = None) -> DataFrame:
+    """One row: extraction_version, papers_attempted, statuses (map of counts), products, dropped_spans, input_tokens, output_tokens and stopped_early (why the run ended early, or null).
+
+    fresh: status, products (array), dropped_spans, input_tokens, output_tokens of the papers that this run asked about. before: the same of papers that were done
+    already; they count with their status and products, but this run dropped nothing of theirs and spent nothing on them. Nulls count as none.
+    """
+    columns = ["status", "products", "dropped_spans", "input_tokens", "output_tokens"]
+    rows = fresh.select(*columns).withColumn("__fresh", F.lit(True))
+    if before is not None:
+        rows = rows.unionByName(before.select(*columns).withColumn("__fresh", F.lit(False)))
+    spent = lambda c: F.coalesce(F.sum(F.when(F.col("__fresh"), F.col(c))), F.lit(0)).cast("long").alias(c)
+    by = rows.groupBy("status").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.size("products"), F.lit(0))).alias("products"), *[spent(c) for c in columns[2:]])
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    named = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce("status", F.lit("unknown")).alias("status"), "n"))))
+    whole = by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("papers_attempted"), named.alias("statuses"), *[total(c) for c in columns[1:]])
+    return whole.select(F.lit(version).alias("extraction_version"), "*", F.lit(stopped).cast("string").alias("stopped_early"))
+
+
 def reconcile_summary(statuses: DataFrame, gaps: DataFrame, papers: DataFrame) -> DataFrame:
     """One row: papers, lookup_errors, products_by_status (map) and mean_readiness_score to one place (null without scores)."""
     one = F.lit(1).alias("__one")

@@ -4,11 +4,11 @@ import os
 
 import pytest
 
-from lacuna.plans import lists, registry, served, stages, triage
+from lacuna.plans import kept, lists, registry, served, stages, triage
 from tests.oracle import connect, differences
 
 SF = "/root/testdata/sf0.001"
-MODULES = (triage, lists, stages, served)
+MODULES = (triage, lists, stages, served, kept)
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
