@@ -15,12 +15,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm import bloom
 from lacuna.llm.common import map_in_arrow, row_id, scratch, staged
 from lacuna.llm.ordered import running
 from lacuna.llm.stars import united
 from lacuna.llm.superminhash import bands, signatures
 from lacuna.llm.textvec import bytes_of, mix, shingles, text_slices, word_hashes
+from lacuna.llm.wholesets import whole_sets
 
 
 @dataclass(frozen=True)
@@ -68,22 +68,6 @@ def _signed(rows: DataFrame, banding: Banding) -> DataFrame:
     return map_in_arrow(rows.select("key", "text", "text_id"), sign, f"key {kind}, text_id binary, size long, content binary, bands array<long>")
 
 
-def _whole_sets(rows: DataFrame, wanted: DataFrame, banding: Banding) -> DataFrame:
-    """node, size, shingles of wanted (text_id, node). A filter of what is wanted keeps other texts from being cut into shingles."""
-    spread = rows.sparkSession.sparkContext.broadcast(bloom.build(wanted.select(F.xxhash64("text_id").alias("hash")), "hash"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for all_rows in batches:
-            chosen = pa.array(bloom.may_hold(spread.value, all_rows.column(2).to_numpy().view(np.uint64)))
-            for batch in text_slices(iter([all_rows.filter(chosen)]), 1):
-                own = _sets(batch.column(1), banding.width)
-                made = [pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["text_id", "size", "shingles"])
-
-    cut_rows = map_in_arrow(rows.select("text_id", "text", F.xxhash64("text_id").alias("hash")), cut, "text_id binary, size long, shingles binary")
-    return cut_rows.join(wanted, "text_id").select("node", "size", "shingles").dropDuplicates(["node"])
-
-
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", banding: Banding = Banding()) -> DataFrame:
     """key, n_shingles (distinct shingles of the text), component_id (the smallest key of the documents linked to it over any number of links, its own included)
     and kept (whether the key is that one): a row for each row of docs.
@@ -102,7 +86,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ba
         met = running(in_bands, ["bucket"], ["node"], {"head": ("first", "node")}, "neardup-bands", alone=False)
         met = staged(met.where("NOT (head = node AND is_end)").select("bucket", "node", "head"), "neardup-met")
         wanted = staged(met.select("node").distinct().join(nodes.select("node", "text_id"), "node"), "neardup-wanted")
-        sets = staged(_whole_sets(rows, wanted, banding), "neardup-sets")
+        sets = staged(whole_sets(rows, wanted, lambda texts: _sets(texts, banding.width)), "neardup-sets")
         classes, _ = united(met, sets, banding.threshold)
         described = nodes.select("node", "content", "key").join(classes, "node", "left").select("content", "key", F.coalesce("component", "node").alias("component"))
         described = staged(described, "neardup-described")
