@@ -292,9 +292,9 @@ def _trained(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
     given = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("__given"))
     chosen = staged(hash_sample(given.select(F.col(key).alias("key"), "__given", order), F.col("__order"), options.labelled_rows), "quality-labels")
     features = staged(docs.select(F.col(key).alias("key"), _per_document(_packed, text, list(metadata), docs, T.BinaryType(), options).alias("x")), "quality-features")
-    # The sample's size is its bound.
-    rows = features.join(F.broadcast(chosen), "key").select("__order", "__given", "x").toArrow().sort_by([("__order", "ascending"), ("x", "ascending")])
-    rows = rows.slice(0, options.labelled_rows)
+    # A key may stand in any number of rows: those that are least go to the driver, no more than the sample's size.
+    least = features.join(F.broadcast(chosen), "key").select("__order", "__given", "x").orderBy("__order", "x").limit(options.labelled_rows)
+    rows = least.toArrow().sort_by([("__order", "ascending"), ("x", "ascending")])
     y = rows.column("__given").to_numpy().astype(np.int64)
     if len(np.unique(y)) < 2 or len(y) < 8:
         return None

@@ -1,5 +1,6 @@
 """Language identification and quality classification: held-out accuracy and odd tables."""
 
+import dataclasses
 import os
 import zlib
 
@@ -189,3 +190,27 @@ def test_scores_against_the_kernel_itself():
         own = np.concatenate([np.array([k(text, b) for b in texts]) @ (vectors / np.sqrt(values)), [1.0]]) @ solved
         x = langid._unit(langid.presence(pa.array([text]), kernel))
         np.testing.assert_allclose((x @ model.weights[:-1] + model.weights[-1])[0], own, atol=1e-4)
+
+
+def test_a_labelled_key_may_stand_in_any_number_of_rows(spark):
+    """Only the sample's worth of rows goes to the driver, and the model is learned."""
+    good, bad = "this is a sentence of plain words that goes on for a while", "$$$ BUY NOW !!! $$$ CLICK"
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, good).otherwise(bad).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(40).alias("n_chars"))
+    many = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(bad).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(40).alias("n_chars"))
+    labels = spark.range(60).select(F.col("id").alias("doc_id"), (F.col("id") % 2 == 0).cast("int").alias("quality"))
+    options = dataclasses.replace(quality.Training(), labelled_rows=400)
+    calls = []
+    real = quality._unpacked
+
+    def counting(packed, options):
+        calls.append(len(packed))
+        return real(packed, options)
+
+    quality._unpacked = counting
+    try:
+        model = quality.train(docs.unionByName(many), labels, options=options)
+    finally:
+        quality._unpacked = real
+    assert max(calls) <= 400
+    scores = {r["doc_id"]: r["quality_score"] for r in quality.score(docs, model, keep=["doc_id"], options=options).collect()}
+    assert model is None or min(scores[i] for i in (0, 2, 4)) > max(scores[i] for i in (1, 3, 5))
