@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm.common import let, scratch, staged
-from lacuna.llm.spans import kept, spans
+from lacuna.llm.spans import blocks, kept, piece, running, spans
 
 # Possessive quantifiers and look-behinds keep every pattern linear in the text and free of recursion; they match what the plain forms do.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -81,20 +81,23 @@ def base_spans(text: Column) -> Column:
 
 
 def _replaced(text: Column, found: Column, by) -> Column:
-    """text with the union of each run of overlapping spans of found (by start) replaced: by(span, its text) at the first, by(None, text) at what later ones add."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    """text with the union of each run of overlapping spans of found (by start) replaced: by(span, its text) at the first, by(None, text) at what later ones add.
 
-    def step(state: Column, s: Column) -> Column:
-        first = s["start"] >= state["at"]
-        start = F.greatest(s["start"], state["at"])
-        own = F.substring(text, start + 1, F.greatest(s["end"] - start, F.lit(0)))
-        gap = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["parts"], F.array(gap, F.when(first, by(s, own)).otherwise(by(None, own)))).alias("parts"))
+    The pieces between are cut out of blocks, each for itself, so that the cost grows with the text and the spans, not with their product.
+    """
+
+    def parts(x: Column) -> Column:
+        cut, done = x["blocks"], x["ends"]
+
+        def one(s: Column, i: Column) -> Column:
+            at = F.when(i > 0, done[F.greatest(i - 1, F.lit(0))]).otherwise(0)
+            own = piece(cut, F.greatest(s["start"], at), s["end"])
+            return F.concat(piece(cut, at, s["start"]), F.when(s["start"] >= at, by(s, own)).otherwise(by(None, own)))
 
-    def done(state: Column) -> Column:
-        return F.concat(F.array_join(state["parts"], ""), F.substring(text, state["at"] + 1, F.length(text)))
+        return F.concat(F.array_join(F.transform(found, one), ""), piece(cut, done[F.size(done) - 1], F.length(text)))
 
-    return F.when(F.size(found) > 0, F.aggregate(found, zero, step, done)).otherwise(text)
+    ends = let(F.transform(found, lambda s: s["end"]), lambda ends: running(ends, lambda a, x: F.greatest(a, x)))
+    return F.when(F.size(found) > 0, let(F.struct(blocks(text).alias("blocks"), ends.alias("ends")), parts)).otherwise(text)
 
 
 def masked(text: Column, base: Column) -> Column:
@@ -278,14 +281,16 @@ def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, opt
     scanned = staged(scanned.select("row", "kept", "base", masked(F.col("text"), F.col("base")).alias("masked")), "pii-scanned", keep=True)
 
     with scratch(docs.sparkSession):
-        found = staged(bootstrap(scanned, options).groupBy("row").agg(F.collect_set(F.struct("place", "size")).alias("hits")), "pii-found")
+        hits = staged(bootstrap(scanned, options).select("row", "place", "size").distinct(), "pii-hits")
+        # What lies within a larger group that was found is part of it.
+        begins = hits.where("size > 1").select("row", F.col("place").alias("first"), "size", F.explode(F.sequence("place", F.col("place") + F.col("size") - 1)).alias("place"))
+        within = begins.select("row", "place", F.col("size").alias("of"), F.explode(F.sequence(F.lit(1), F.col("first") + F.col("size") - F.col("place"))).alias("size")).where("size < of")
+        hits = hits.join(within.select("row", "place", "size").distinct(), ["row", "place", "size"], "left_anti")
+        found = staged(hits.groupBy("row").agg(F.collect_list(F.struct("place", "size")).alias("hits")), "pii-found")
         # Places in the text are worked out where something was found.
         units = scanned.select("row", "masked").join(found, "row").withColumn("units", spans(F.col("masked"), UNIT))
         ends = lambda h: F.struct(F.col("units")[h["place"]]["start"].alias("start"), F.lit(len(BASE)).alias("rank"), F.col("units")[h["place"] + h["size"] - 1]["end"].alias("end"))
-        units = units.select("row", F.array_sort(F.array_distinct(F.transform("hits", ends))).alias("all"))
-        # A unit within a group that was found is part of it.
-        wider = lambda s: F.exists("all", lambda o: (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & (o["end"] - o["start"] > s["end"] - s["start"]))
-        added = units.select("row", F.filter("all", lambda s: ~wider(s)).alias("added"))
+        added = units.select("row", F.array_sort(F.transform("hits", ends)).alias("added"))
         # As a table its size is known: where it is small, the rows it goes to are not shuffled.
         added = staged(added, "pii-added", keep=True)
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")

@@ -17,24 +17,45 @@ RUN = 128
 SPAN = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
 
 
-def _ends(lengths: Column) -> Column:
-    """Running sums of a non-empty array of ints."""
-    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
-    runs = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / RUN).cast("int"))
-    sums = F.transform(runs, lambda r: total(F.slice(lengths, r * RUN + 1, F.lit(RUN))))
+def running(values: Column, fold, zero: int = 0) -> Column:
+    """Running values of a non-empty array of ints, by an associative fold of which zero is neutral. values is read again and again: a column or the variable of a lambda."""
+    total = lambda part: F.aggregate(part, F.lit(zero), fold)
+    runs = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / RUN).cast("int"))
+    sums = F.transform(runs, lambda r: total(F.slice(values, r * RUN + 1, F.lit(RUN))))
 
     def places(sums: Column) -> Column:
         before = F.transform(sums, lambda _, r: total(F.slice(sums, F.lit(1), r)))
 
         def place(before: Column) -> Column:
             run = lambda i: F.floor(i / RUN).cast("int")
-            return F.transform(lengths, lambda _, i: before[run(i)] + total(F.slice(lengths, run(i) * RUN + 1, i % RUN + 1)))
+            return F.transform(values, lambda _, i: fold(before[run(i)], total(F.slice(values, run(i) * RUN + 1, i % RUN + 1))))
 
         return let(before, place)
 
     return let(sums, places)
 
 
+def _ends(lengths: Column) -> Column:
+    return running(lengths, lambda a, x: a + x)
+
+
+#: Code points of a block that texts are cut into, so that a piece of a long text is found without a walk from its start.
+BLOCK = 1024
+
+
+def blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def piece(cut: Column, start: Column, end: Column) -> Column:
+    """What stands from start to end (exclusive, in code points) in the text that blocks() cut; empty if end is not after start."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+    part = lambda block, begin, n: F.coalesce(F.substring(F.get(cut, block), begin, n), F.lit(""))
+    within = part(first, start % BLOCK + 1, end - start)
+    across = F.concat(part(first, start % BLOCK + 1, F.lit(BLOCK)), F.array_join(F.slice(cut, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), part(last, F.lit(1), end % BLOCK))
+    return F.when(end <= start, "").when(first == last, within).otherwise(across)
+
+
 def spans(text: Column, pattern: str, context: int = 0) -> Column:
     """Leftmost non-overlapping matches of pattern (of one character or more) in text, as SPAN.
 
