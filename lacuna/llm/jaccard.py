@@ -8,6 +8,7 @@ of them reaches the target recall. The floor, the depth that reaches it at the t
 Nodes are dealt to cells of fixed size in order of the trie. A task verifies, for a pair of cells, the pairs of nodes that share a prefix of this
 depth in some tree and none of the depth before, on whole shingle sets: each pair that the forest brings together is looked at once, others never.
 It gives each node its number of links and one link of a spanning forest, never the pairs; verified links alone are united.
+Where the classes alone are asked for (one_of_each), stars take the place of cells (stars.py): nodes that are in one class are not compared any more.
 """
 
 from __future__ import annotations
@@ -25,7 +26,10 @@ from pyspark.sql import functions as F
 from lacuna.llm import bloom
 from lacuna.llm.common import fresh_name, map_in_arrow, row_id, scratch, staged
 from lacuna.llm.components import components
+from lacuna.llm.ordered import running
+from lacuna.llm.stars import common_sizes, roots, united
 from lacuna.llm.textvec import mix, normalised, shingles, text_slices, word_hashes
+from lacuna.llm.wholesets import whole_sets
 
 
 @dataclass(frozen=True)
@@ -159,37 +163,6 @@ def tasks(trie: DataFrame, forest: Forest, depth: int, before: int | None) -> Da
     return within.union(across.select("node", F.least("cell", "other").alias("c1"), F.greatest("cell", "other").alias("c2"))).distinct()
 
 
-def _common(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """How many elements each set of rows has in common with each set of cols (places in sets)."""
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = times[column] > 1
-    owner, column = owner[shared], column[shared]
-    _, column = np.unique(column, return_inverse=True)
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    common = np.zeros((len(rows), len(cols)), np.float32)
-    width = 4096
-    top = int(column[-1]) + 1 if len(column) else 0
-    for begin in range(0, top, width):
-        at = slice(*np.searchsorted(column, [begin, begin + width]))
-        dense = np.zeros((len(sets), min(width, top - begin)), np.float32)
-        dense[owner[at], column[at] - begin] = 1
-        common += dense[rows] @ dense[cols].T
-    return common
-
-
-def _roots(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The least id that each of ids reaches over linked (symmetric)."""
-    roots = ids.copy()
-    while True:
-        least = np.where(linked, roots[None, :], np.iinfo(np.int64).max).min(axis=1)
-        new = np.minimum(roots, least)
-        if (new == roots).all():
-            return roots
-        roots = new
-
-
 def _meet(tries: np.ndarray, shift: int) -> np.ndarray:
     """Which nodes share a prefix in some tree (nodes x trees paths, less so many bits)."""
     shared = np.zeros((len(tries), len(tries)), bool)
@@ -213,7 +186,7 @@ def verified(group: pd.DataFrame, forest: Forest, depth: int, before: int | None
     np.fill_diagonal(look, False)
     look &= np.minimum(sizes[:, None], sizes) >= forest.threshold * np.maximum(sizes[:, None], sizes) - 1e-6
     similar = np.zeros(look.shape, np.float64)
-    parts = _roots(look, np.arange(len(ids)))
+    parts = roots(look, np.arange(len(ids)))
     order = np.argsort(parts, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(parts[order])) + 1):
         if len(part) < 2:
@@ -221,13 +194,13 @@ def verified(group: pd.DataFrame, forest: Forest, depth: int, before: int | None
         own = [sets[i] for i in part]
         apart = second[part]
         rows, cols = (np.flatnonzero(~apart), np.flatnonzero(apart)) if apart.any() and not apart.all() else (np.arange(len(part)),) * 2
-        common = _common(own, rows, cols)
+        common = common_sizes(own, rows, cols)
         found = common / (sizes[part[rows]][:, None] + sizes[part[cols]] - common)
         similar[np.ix_(part[rows], part[cols])] = found
         similar[np.ix_(part[cols], part[rows])] = found.T
     linked = look & (similar >= forest.threshold - 1e-6)
     links = linked.sum(axis=1)
-    out = pd.DataFrame({"node": ids, "links": links, "peer": _roots(linked, ids), "weakest": np.where(linked, similar, 1.0).min(axis=1)})
+    out = pd.DataFrame({"node": ids, "links": links, "peer": roots(linked, ids), "weakest": np.where(linked, similar, 1.0).min(axis=1)})
     return out[links > 0]
 
 
@@ -303,13 +276,51 @@ def _answers(sketched: DataFrame, rows: DataFrame, forest: Forest) -> DataFrame:
     return staged(answers, "jaccard-answers", keep=True)
 
 
-def _classes(docs: DataFrame, key: str, text: str, forest: Forest) -> DataFrame:
-    """key, text_id, class_id, head (the text_id of the row that stands for the class), n_links, n_copies: a row for each row of docs."""
+def _united(sketched: DataFrame, rows: DataFrame, forest: Forest) -> DataFrame:
+    """As _answers(), without the numbers of links: nodes that are in one class already are not compared.
+
+    What shares a prefix of the floor's depth is all that can matter. Buckets of the full depth are worked off first, then those of the depth that the weakest link found asks for.
+    """
+    spark = rows.sparkSession
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text_id"))
+    nodes = sketched.where("size > 0").groupBy("content").agg(first.alias("first"), F.count("*").alias("n"), F.first("paths").alias("paths"))
+    nodes = staged(nodes.select(F.monotonically_increasing_id().alias("node"), "content", "first", "n", "paths"), "jaccard-nodes")
+    floor = forest.depth_for(forest.threshold)
+
+    def met(trie: DataFrame, depth: int) -> DataFrame:
+        placed = trie.select(forest.prefix(F.col("path"), depth).alias("bucket"), "node", "path")
+        found = running(placed, ["bucket"], ["node", "path"], {"head": ("first", "node")}, "jaccard-buckets", alone=False)
+        return found.where("NOT (head = node AND is_end)").select("bucket", "node", "head", "path")
+
+    trie = staged(met(nodes.select("node", F.explode("paths").alias("path")), floor), "jaccard-shared")
+    wanted = staged(trie.select("node").distinct().join(nodes.select("node", F.col("first.text_id").alias("text_id")), "node"), "jaccard-wanted")
+    cut = lambda texts: (lambda words, begins: [shingles(words[a:b], forest.width) for a, b in zip(begins[:-1], begins[1:], strict=True)])(*word_hashes(normalised(texts)))
+    sets = staged(whole_sets(rows, wanted, cut), "jaccard-sets")
+    depth, classes, weakest = forest.levels, None, None
+    while True:
+        with scratch(spark):
+            own = trie if depth == floor else staged(met(trie, depth), "jaccard-deep")
+            new, low = united(own.select("bucket", "node", "head"), sets, forest.threshold, classes)
+            classes = staged(new, "jaccard-united", keep=True)
+        weakest = low if weakest is None else weakest if low is None else min(low, weakest)
+        needed = max(floor, forest.depth_for(max(weakest, forest.threshold))) if weakest is not None else floor
+        if needed >= depth:
+            break
+        depth = needed
+    described = nodes.select("node", "content", "first", "n").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    described = staged(described, "jaccard-described")
+    least = staged(described.groupBy("component").agg(F.min("first").alias("least")), "jaccard-classes")
+    answers = described.join(least, "component").select("content", F.col("least.key").alias("class_id"), F.col("least.text_id").alias("head"), F.lit(None).cast("long").alias("n_links"), (F.col("n") - 1).alias("n_copies"))
+    return staged(answers, "jaccard-answers", keep=True)
+
+
+def _classes(docs: DataFrame, key: str, text: str, forest: Forest, links: bool = True) -> DataFrame:
+    """key, text_id, class_id, head (the text_id of the row that stands for the class), n_links (null if links are not asked for), n_copies: a row for each row of docs."""
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).alias("key"), content.alias("text"), row_id(F.col(key), content).alias("text_id"))
     sketched = staged(_sketches(rows, forest), "jaccard-sketches", keep=True)
     with scratch(docs.sparkSession):
-        answers = _answers(sketched, rows, forest)
+        answers = (_answers if links else _united)(sketched, rows, forest)
     zero = F.lit(0).cast("long")
     return (
         sketched.where("size > 0").join(answers, "content").select("key", "text_id", "class_id", "head", "n_links", "n_copies")
@@ -338,7 +349,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", forest
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     mark = fresh_name(docs, "row_id")
     with scratch(docs.sparkSession):
-        rows = _classes(docs, key, text, forest).groupBy("text_id").agg(F.bool_or(F.col("text_id") == F.col("head")).alias("stays"), F.count("*").alias("n"), F.max("n_copies").alias("copies"))
+        rows = _classes(docs, key, text, forest, links=False).groupBy("text_id").agg(F.bool_or(F.col("text_id") == F.col("head")).alias("stays"), F.count("*").alias("n"), F.max("n_copies").alias("copies"))
         rows = staged(rows, "jaccard-kept")
         gone = staged(rows.where("NOT stays OR (n > 1 AND copies > 0)").select(F.col("text_id").alias(mark)), "jaccard-gone", keep=True)
         more = staged(rows.where("stays AND n > 1 AND copies > 0").select(F.col("text_id").alias(mark)), "jaccard-repeated", keep=True)
