@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import constants as K
 from lacuna.functions import scalars, text, vectors
+from lacuna.staging import staged
 
 
 def scored_pairs(products: DataFrame, tables: DataFrame, paper: str = "inspire_id") -> DataFrame:
@@ -57,8 +60,22 @@ def readiness(papers: DataFrame, products: DataFrame, paper: str = "inspire_id")
     return papers.join(scores, paper, "left")
 
 
-def merge_duplicates(products: DataFrame, paper: str = "inspire_id", similarity: float = K.DUPLICATE_SIMILARITY) -> DataFrame:
-    """products without those that a kept one of the same paper and type is as similar to, the most confident first; merged counts them.
+#: Groups of so many rows at most are walked in one task; larger ones are worked off in rounds of joins, by many.
+WALKED = 2000
+
+
+def _parted(rows: DataFrame, by: list[str], largest: int) -> tuple[DataFrame, DataFrame]:
+    """rows of groups of that size at most, and the others (null is a group as well)."""
+    large = rows.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") > largest).select(*[F.col(c).alias(f"__{c}") for c in by])
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    large = staged(large, "large-groups")
+    return rows.join(large, same, "left_anti"), rows.join(large, same, "left_semi")
+
+
+def merge_duplicates(products: DataFrame, paper: str = "inspire_id", similarity: float = K.DUPLICATE_SIMILARITY, walked: int = WALKED) -> DataFrame:
+    """products without those that a kept one of the same paper and type is as similar to, the most confident first, ties by ordinal; merged counts them.
 
     An item is held against kept ones alone, so what is merged depends on the order; a group is one paper's products of one type.
     """
@@ -77,14 +94,48 @@ def merge_duplicates(products: DataFrame, paper: str = "inspire_id", similarity:
         return group.iloc[kept].assign(merged=merged[kept])
 
     schema = products.withColumn("merged", F.lit(0).cast("long")).schema
-    return products.groupBy(paper, "product_type").applyInPandas(merge, schema)
-
-
-def assign_one_to_one(pairs: DataFrame, by: str, left: str, right: str, weight: str) -> DataFrame:
-    """The pairs that a greedy assignment takes: heaviest first, ties by left, then right, each left and right once. A group is one paper's pairs.
-
-    A pair that is the best of both its sides is taken whatever the others do; rounds of windows would find the same, but need as many
-    rounds as a chain of ties is long, so each small group is walked in order.
+    small, large = _parted(products, [paper, "product_type"], walked)
+    done = small.groupBy(paper, "product_type").applyInPandas(merge, schema)
+    if large.isEmpty():
+        return done
+    return done.unionByName(_merged_in_rounds(large, paper, similarity).select(*[c.name for c in schema]))
+
+
+def _merged_in_rounds(products: DataFrame, paper: str, similarity: float) -> DataFrame:
+    """As the walk, for groups of any size: an item is kept as soon as all better ones that are similar to it are merged, and merged as soon as one of them is kept."""
+    rows = products.withColumns({"__id": F.monotonically_increasing_id(), "__group": F.to_json(F.struct(paper, "product_type"))})
+    rows = staged(rows, "merge-rows")
+    order = F.struct(F.coalesce(-F.col("confidence").cast("double"), F.lit(float("inf"))).alias("c"), "ordinal", "__id")
+    places = staged(rows.select("__id", order.alias("place")), "merge-places")
+    of = lambda c: places.select(F.col("__id").alias(c), F.col("place").alias(f"place_{c}"))
+    pairs = similar_pairs(rows, "__group", "__id", "embedding", similarity).select("a", "b").join(of("a"), "a").join(of("b"), "b")
+    first = F.col("place_a") < F.col("place_b")
+    either = lambda c: F.when(first, F.col(c.format("a"))).otherwise(F.col(c.format("b")))
+    edges = staged(pairs.select(either("{}").alias("better"), either("place_{}").alias("place"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("worse")), "merge-edges")
+    left, kept, merged = edges.select("better", "worse"), [], []
+    while not left.isEmpty():
+        now = staged(left.select(F.col("better").alias("id")).distinct().join(left.select(F.col("worse").alias("id")), "id", "left_anti"), "merge-kept")
+        gone = staged(left.join(now.withColumnRenamed("id", "better"), "better", "left_semi").select(F.col("worse").alias("id")).distinct(), "merge-gone")
+        left = left.join(gone.withColumnRenamed("id", "worse"), "worse", "left_anti").join(gone.withColumnRenamed("id", "better"), "better", "left_anti")
+        left = staged(left.select("better", "worse"), "merge-left")
+        kept.append(now)
+        merged.append(gone)
+    if not merged:
+        return rows.drop("__id", "__group").withColumn("merged", F.lit(0).cast("long"))
+    every = lambda parts: functools.reduce(DataFrame.union, parts)
+    # What all better ones were taken from later was kept too; an item counts for the best kept one that it is similar to.
+    gone = staged(every(merged), "merge-all-gone")
+    owners = edges.join(gone.withColumnRenamed("id", "worse"), "worse", "left_semi").join(gone.withColumnRenamed("id", "better"), "better", "left_anti")
+    owned = owners.groupBy("worse").agg(F.min_by("better", "place").alias("__id")).groupBy("__id").agg(F.count("*").alias("merged"))
+    stay = rows.join(gone.withColumnRenamed("id", "__id"), "__id", "left_anti").join(owned, "__id", "left")
+    return stay.withColumn("merged", F.coalesce("merged", F.lit(0)).cast("long")).drop("__id", "__group")
+
+
+def assign_one_to_one(pairs: DataFrame, by: str, left: str, right: str, weight: str, walked: int = WALKED) -> DataFrame:
+    """The pairs that a greedy assignment takes: heaviest first, ties by left, then right, each left and right once. A group is one paper's pairs; they do not repeat.
+
+    A pair that is the best of both its sides is taken whatever the others do. Groups that are large are worked off by rounds of that; what a round leaves of a group is walked
+    in order as soon as it is small, so chains of pairs of which each waits for the next cost no round each.
     """
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
@@ -97,7 +148,21 @@ def assign_one_to_one(pairs: DataFrame, by: str, left: str, right: str, weight:
                 taken.append(place)
         return group.iloc[taken]
 
-    return pairs.groupBy(by).applyInPandas(walk, pairs.schema)
+    small, large = _parted(pairs, [by], walked)
+    done = small.groupBy(by).applyInPandas(walk, pairs.schema)
+    names = pairs.columns
+    while not large.isEmpty():
+        # A group without a paper is one as well.
+        rows = staged(large.select(*names, F.to_json(F.struct(by)).alias("__by")), "assign-rows")
+        least = F.min(F.struct((-F.col(weight).cast("double")).alias("w"), F.col(left).alias("l"), F.col(right).alias("r"))).alias("best")
+        of_left = rows.groupBy("__by", left).agg(least).select("__by", F.col("best.l").alias("l"), F.col("best.r").alias("r"))
+        of_right = rows.groupBy("__by", right).agg(least).select("__by", F.col("best.l").alias("l"), F.col("best.r").alias("r"))
+        taken = staged(of_left.intersect(of_right), "assign-taken")
+        done = done.unionByName(rows.join(taken.withColumnsRenamed({"l": left, "r": right}), ["__by", left, right], "left_semi").select(*names))
+        rest = rows.join(taken.select("__by", F.col("l").alias(left)), ["__by", left], "left_anti").join(taken.select("__by", F.col("r").alias(right)), ["__by", right], "left_anti")
+        small, large = _parted(staged(rest.select(*names), "assign-rest"), [by], walked)
+        done = done.unionByName(small.groupBy(by).applyInPandas(walk, pairs.schema))
+    return done
 
 
 def nearest(products: DataFrame, one: DataFrame, k: int = 10) -> DataFrame:
