@@ -6,11 +6,12 @@ The pages come from files of a folder that stands for the service (page URLs are
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+import operator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 from urllib.parse import urlsplit
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 MAX_TOTAL = 10_000
 FIELDS = ["control_number", "titles", "arxiv_eprints", "collaborations", "earliest_date", "external_system_identifiers"]
@@ -40,21 +41,52 @@ def pages(first: str, fetch: Callable[[str], dict], origin: str = "") -> Iterato
         raise ValueError(f"{seen} hits came, {total} were announced")
 
 
+def parsed(text: str) -> dict:
+    """A page's JSON. Keys that hold the word email, whatever their case and depth, are left out as it is read."""
+    return json.loads(text, object_pairs_hook=lambda pairs: dict(p for p in pairs if "email" not in p[0].lower()))
+
+
 class Slice(InputPartition):
-    def __init__(self, year: int):
+    def __init__(self, year: int | None):
         self.year = year
 
 
 class SearchReader(DataSourceReader):
+    """A partition for each year from startYear to endYear that the query's filters leave."""
+
     def __init__(self, options: dict):
         self.folder, self.start, self.end = options["path"], int(options["startYear"]), int(options["endYear"])
         self.fields = [f for f in options.get("fields", ",".join(FIELDS)).split(",") if f]
+        self.years = range(self.start, self.end + 1)
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Conditions on the year decide which slices are asked for; the others are left to Spark. Used where spark.sql.python.filterPushdown.enabled is set."""
+        for f in filters:
+            holds = self._holds(f)
+            if holds is None:
+                yield f
+            else:
+                self.years = [y for y in self.years if holds(y)]
+
+    @staticmethod
+    def _holds(f: Filter) -> Callable[[int], bool] | None:
+        if getattr(f, "attribute", None) != ("year",):
+            return None
+        if isinstance(f, IsNotNull):
+            return lambda y: True
+        if isinstance(f, In):
+            return lambda y: y in f.value
+        compare = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le}.get(type(f))
+        return (lambda y: compare(y, f.value)) if compare else None
 
     def partitions(self) -> list[InputPartition]:
-        return [Slice(year) for year in range(self.start, self.end + 1)]
+        # Of no year at all there is a partition too, that reads nothing.
+        return [Slice(year) for year in self.years] or [Slice(None)]
 
     def read(self, partition: Slice) -> Iterator[tuple]:
-        fetch = lambda url: json.loads((Path(self.folder) / url).read_text())
+        if partition.year is None:
+            return
+        fetch = lambda url: parsed((Path(self.folder) / url).read_text())
         for hit in pages(f"{partition.year}-1.json", fetch, origin=f"{partition.year}-"):
             kept = {k: v for k, v in hit.get("metadata", {}).items() if k in self.fields}
             yield partition.year, json.dumps({"id": hit.get("id"), "metadata": kept})
