@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions import constants as K
-from lacuna.operators import bucketed, matching, runs, serve, stages
+from lacuna.operators import bucketed, cells, matching, runs, serve, stages
 from lacuna.operators.bucketed import Bucketed
 from lacuna.operators.store import Tables
 from lacuna.plans.registry import query, table
@@ -134,3 +134,17 @@ def scored_words_and_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = rows.where("vec_id % 2 = 1").select("label", F.col("vec_id").alias("ordinal"), F.col("vec_id").cast("string").alias("table_doi"), F.concat(F.lit("cut"), pick(_NAMES)).alias("name"), F.lit("").alias("description"), F.lit("").alias("resource_type"), words.alias("words"), "embedding")
     best = matching.best_matches(matching.scored_pairs(products, parts, "label"), ["product"])
     return best.select("product", F.col("best.table_doi").cast("long").alias("part"), "best.score", "best.overlap", "best.bonus", F.col("typed.table_doi").cast("long").alias("typed_part"))
+
+
+@query(f"""
+    WITH v AS (SELECT vec_id, embedding, sqrt({_dotted('embedding', 'embedding')}) AS norm FROM embeddings), q AS (SELECT * FROM v ORDER BY vec_id LIMIT 1),
+    d AS (SELECT v.vec_id, 1 - {_dotted('v.embedding', 'q.embedding')} / (v.norm * q.norm) AS distance FROM v, q WHERE v.vec_id <> q.vec_id)
+    SELECT vec_id, round(distance, 6) AS distance FROM d ORDER BY d.distance, vec_id LIMIT 10
+""")
+def knn_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest to the first vector, by an index of cells."""
+    rows, place = table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), _place(spark, "vectors")
+    cells.build(rows, place, "vec_id")
+    first = rows.orderBy("vec_id").first()
+    found = cells.nearest(spark, place, rows.schema, list(first["embedding"]), 10, "vec_id", without=first["vec_id"])
+    return found.rows.select("vec_id", F.round("distance", 6).alias("distance"))
