@@ -147,11 +147,16 @@ def evidence_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.holding(texts, quotes, "squashed", "quote").select("doc_id", "item_id").distinct()
 
 
-@query("""
-    WITH d AS (SELECT doc_id, string_split(regexp_replace(text, '[\\s]+', '', 'g'), '') AS t FROM documents WHERE text <> ''),
-    b AS (SELECT item_id, string_split(regexp_replace(text, '[\\s]+', '', 'g'), '') AS q FROM benchmark WHERE text <> ''),
-    w AS (SELECT doc_id, i, hash(array_to_string(t[i : i + 39], '')) AS h FROM (SELECT doc_id, t, unnest(range(1, len(t) - 38)) AS i FROM d WHERE len(t) >= 40)),
-    v AS (SELECT item_id, j, hash(array_to_string(q[j : j + 39], '')) AS h FROM (SELECT item_id, q, unnest(range(1, len(q) - 38)) AS j FROM b WHERE len(q) >= 40)),
+def _windows(name: str, rows: str, key: str, place: str) -> str:
+    """CTEs: the hashes of all runs of 40 characters of a text without white space, cut out of blocks so that no long text is walked for each."""
+    return rf"""
+    {name}_t AS (SELECT {key}, regexp_replace(text, '[\s]+', '', 'g') AS t FROM {rows} WHERE text <> ''),
+    {name}_b AS (SELECT {key}, b, substr(t, b * 1000 + 1, 1039) AS s FROM (SELECT {key}, t, unnest(range(0, (length(t) - 40) // 1000 + 1)) AS b FROM {name}_t WHERE length(t) >= 40)),
+    {name} AS (SELECT {key}, b * 1000 + k AS {place}, hash(substr(s, k, 40)) AS h FROM (SELECT {key}, b, s, unnest(range(1, least(1000, length(s) - 39) + 1)) AS k FROM {name}_b))"""
+
+
+@query(f"""
+    WITH {_windows('w', 'documents', 'doc_id', 'i')}, {_windows('v', 'benchmark', 'item_id', 'j')},
     m AS (SELECT doc_id, item_id, i, i - j AS diagonal FROM w JOIN v USING (h)),
     r AS (SELECT doc_id, item_id, i - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY i) AS run, diagonal FROM m)
     SELECT doc_id, item_id, max(n) + 39 AS overlap FROM (SELECT doc_id, item_id, count(*) AS n FROM r GROUP BY doc_id, item_id, diagonal, run) GROUP BY 1, 2
