@@ -318,7 +318,8 @@ def _classes(docs: DataFrame, key: str, text: str, forest: Forest, links: bool =
     """key, text_id, class_id, head (the text_id of the row that stands for the class), n_links (null if links are not asked for), n_copies: a row for each row of docs."""
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).alias("key"), content.alias("text"), row_id(F.col(key), content).alias("text_id"))
-    sketched = staged(_sketches(rows, forest), "jaccard-sketches", keep=True)
+    # join() reads them when its result is read.
+    sketched = staged(_sketches(rows, forest), "jaccard-sketches", keep=links)
     with scratch(docs.sparkSession):
         answers = (_answers if links else _united)(sketched, rows, forest)
     zero = F.lit(0).cast("long")
@@ -344,7 +345,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", forest
 
     Rows are told apart by key and text, so rows that share a key, null and empty keys among them, each stand for themselves; of rows with the
     same key and text one stays. Texts without words all stay.
-    What goes, and rows that are repeated, are the smaller parts, so the texts that stay are shuffled only where those do not fit a broadcast.
+    Texts that stay are not shuffled: a filter tells which rows may be among those that go, and only these are joined with them.
     """
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     mark = fresh_name(docs, "row_id")
@@ -355,4 +356,11 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", forest
         more = staged(rows.where("stays AND n > 1 AND copies > 0").select(F.col("text_id").alias(mark)), "jaccard-repeated", keep=True)
     named = docs.withColumn(mark, row_id(F.col(key), content))
     repeated = named.join(more, mark, "left_semi").dropDuplicates([mark])
-    return named.join(gone, mark, "left_anti").drop(mark).unionByName(repeated.drop(mark))
+    spread = docs.sparkSession.sparkContext.broadcast(bloom.build(gone.select(F.xxhash64(mark).alias("hash")), "hash"))
+
+    def may_go(hashes: pa.Array) -> pa.Array:
+        return pa.array(bloom.may_hold(spread.value, hashes.to_numpy().view(np.uint64)), pa.bool_())
+
+    asked = F.arrow_udf(may_go, "boolean", F.ArrowUDFType.SCALAR)(F.xxhash64(mark))
+    stays = named.where(~asked).unionByName(named.where(asked).join(gone, mark, "left_anti"))
+    return stays.drop(mark).unionByName(repeated.drop(mark))
