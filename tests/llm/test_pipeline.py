@@ -33,8 +33,9 @@ def test_stages_take_empty_tables(spark):
 
 def test_names(spark):
     names = list(queries.queries())
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
 
 
-def test_topk_sql(spark):
-    assert not differences(spark, connect(SF), "op9_topk", queries.op9_topk, queries.oracle_sql()["op9_topk"], SF)
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, name):
+    assert not differences(spark, connect(SF), name, queries.queries()[name], queries.oracle_sql()[name], SF)
