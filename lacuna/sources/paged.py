@@ -52,15 +52,31 @@ class Slice(InputPartition):
 
 
 class SearchReader(DataSourceReader):
-    """A partition for each year from startYear to endYear that the query's filters leave."""
+    """A partition for each year from startYear to endYear."""
 
     def __init__(self, options: dict):
         self.folder, self.start, self.end = options["path"], int(options["startYear"]), int(options["endYear"])
         self.fields = [f for f in options.get("fields", ",".join(FIELDS)).split(",") if f]
         self.years = range(self.start, self.end + 1)
 
+    def partitions(self) -> list[InputPartition]:
+        # Of no year at all there is a partition too, that reads nothing.
+        return [Slice(year) for year in self.years] or [Slice(None)]
+
+    def read(self, partition: Slice) -> Iterator[tuple]:
+        if partition.year is None:
+            return
+        fetch = lambda url: parsed((Path(self.folder) / url).read_text())
+        for hit in pages(f"{partition.year}-1.json", fetch, origin=f"{partition.year}-"):
+            kept = {k: v for k, v in hit.get("metadata", {}).items() if k in self.fields}
+            yield partition.year, json.dumps({"id": hit.get("id"), "metadata": kept})
+
+
+class FilteredReader(SearchReader):
+    """A partition for each of these years that the query's filters leave. Spark asks for it that spark.sql.python.filterPushdown.enabled is set."""
+
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Conditions on the year decide which slices are asked for; the others are left to Spark. Used where spark.sql.python.filterPushdown.enabled is set."""
+        """Conditions on the year decide which slices are asked for; the others are left to Spark."""
         for f in filters:
             holds = self._holds(f)
             if holds is None:
@@ -79,21 +95,9 @@ class SearchReader(DataSourceReader):
         compare = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le}.get(type(f))
         return (lambda y: compare(y, f.value)) if compare else None
 
-    def partitions(self) -> list[InputPartition]:
-        # Of no year at all there is a partition too, that reads nothing.
-        return [Slice(year) for year in self.years] or [Slice(None)]
-
-    def read(self, partition: Slice) -> Iterator[tuple]:
-        if partition.year is None:
-            return
-        fetch = lambda url: parsed((Path(self.folder) / url).read_text())
-        for hit in pages(f"{partition.year}-1.json", fetch, origin=f"{partition.year}-"):
-            kept = {k: v for k, v in hit.get("metadata", {}).items() if k in self.fields}
-            yield partition.year, json.dumps({"id": hit.get("id"), "metadata": kept})
-
 
 class Search(DataSource):
-    """format("paged_search"), options path, startYear, endYear and fields."""
+    """format("paged_search"), options path, startYear, endYear, fields and pushYears (true: conditions on the year reach the source)."""
 
     @classmethod
     def name(cls) -> str:
@@ -103,4 +107,4 @@ class Search(DataSource):
         return "year int, value string"
 
     def reader(self, schema) -> DataSourceReader:
-        return SearchReader(self.options)
+        return FilteredReader(self.options) if self.options.get("pushYears", "").lower() == "true" else SearchReader(self.options)

@@ -17,7 +17,7 @@ def source(spark, tmp_path):
             (tmp_path / f"{year}-{n}.json").write_text(json.dumps(page))
     spark.dataSource.register(paged.Search)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    yield spark.read.format("paged_search").option("path", str(tmp_path)).option("startYear", 2018).option("endYear", 2023).load(), tmp_path
+    yield spark.read.format("paged_search").option("path", str(tmp_path)).option("startYear", 2018).option("endYear", 2023).option("pushYears", "true").load(), tmp_path
     spark.conf.unset("spark.sql.python.filterPushdown.enabled")
 
 
