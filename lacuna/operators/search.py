@@ -7,33 +7,75 @@ stands in, damped by repeats; they order like a weighted text rank, but their va
 
 from __future__ import annotations
 
+import functools
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.functions.stems import stem, stemmed
+from lacuna.functions.stems import stem
+from lacuna.staging import small_batches
 
 WEIGHTS = {"description": 1.0, "title": 0.4, "evidence": 0.2}
 STOP = "a an and are as at be by for from in is it its of on or that the their this to was were which with".split()
 
 
-def postings(products: DataFrame, key: str = "id", fields: dict[str, float] = WEIGHTS, terms: list[str] | None = None) -> DataFrame:
-    """term, key, field, weight, positions (sorted): a row for each term of a product's field; stop words keep their positions but give no rows.
+@functools.lru_cache(1 << 18)
+def _stem(word: str) -> str:
+    """stem(), once for each word that a worker still knows."""
+    return stem(word)
+
+
+def documents(products: DataFrame, key: str = "id", fields: dict[str, float] = WEIGHTS, terms: list[str] | None = None) -> DataFrame:
+    """key, field, weight, postings (array of term and sorted positions): a row for each field of each row of products that holds any term. Rows are not put together.
 
-    terms: those that are wanted, all if None. All but the last two letters of a stem begin its words, so other words are dropped before they are stemmed.
+    terms: those that are wanted, all if None. All but the last two letters of a stem begin its words, so other words are dropped before they are stemmed. A word is stemmed
+    once for each batch of rows, and no row of a word carries its text.
     """
-    parts = [F.struct(F.lit(f).alias("field"), F.lit(w).alias("weight"), F.split(F.lower(F.col(f)), "[^a-z0-9]+").alias("words")) for f, w in fields.items()]
-    rows = products.select(key, F.explode(F.array(*parts)).alias("p")).select(key, "p.field", "p.weight", F.posexplode("p.words").alias("position", "word"))
-    rows = rows.where((F.col("word") != "") & ~F.col("word").isin(*STOP))
-    if terms is not None:
-        rows = rows.where(F.col("word").rlike("^(?:" + "|".join(sorted({re.escape(t[: max(1, len(t) - 2)]) for t in terms})) + ")") if terms else F.lit(False))
-    # A word is stemmed once for each time it stands in a field.
-    words = rows.groupBy(key, "field", "weight", "word").agg(F.collect_list("position").alias("positions")).withColumn("term", stemmed(F.col("word")))
-    if terms is not None:
-        words = words.where(F.col("term").isin(*terms))
-    return words.groupBy("term", key, "field", "weight").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+    parts = [F.struct(F.lit(f).alias("field"), F.lit(w).cast("double").alias("weight"), F.lower(F.col(f)).alias("text")) for f, w in fields.items()]
+    rows = products.select(key, F.explode(F.array(*parts)).alias("p")).select(key, "p.field", "p.weight", "p.text").where("text IS NOT NULL")
+    begins = None if terms is None else re.compile("|".join(sorted({re.escape(t[: max(1, len(t) - 2)]) for t in terms})) or "(?!)")
+    wanted = None if terms is None else set(terms)
+
+    def term(word: str) -> str | None:
+        if not word or word in STOP or (begins and not begins.match(word)):
+            return None
+        found = _stem(word)
+        return found if wanted is None or found in wanted else None
+
+    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = pc.split_pattern_regex(batch.column(3), "[^a-z0-9]+")
+            row, words = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64), pc.list_flatten(lists).dictionary_encode()
+            names = pa.array([term(w) for w in words.dictionary.to_pylist()], pa.string()).dictionary_encode()
+            of_word = names.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            of_place = of_word[words.indices.to_numpy(zero_copy_only=False)] if len(row) else row
+            place = np.arange(len(row)) - np.searchsorted(row, np.arange(batch.num_rows))[row]
+            kept = np.flatnonzero(of_place >= 0)
+            group = row[kept] * max(1, len(names.dictionary)) + of_place[kept]
+            order = np.argsort(group, kind="stable")
+            group, kept = group[order], kept[order]
+            first = np.flatnonzero(np.diff(group, prepend=-1))
+            positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(kept)), pa.int32()), pa.array(place[kept], pa.int32()))
+            found = pa.StructArray.from_arrays([names.dictionary.take(pa.array(of_place[kept[first]])), positions], ["term", "positions"])
+            rows, starts = np.unique(row[kept[first]], return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(first)), pa.int32()), found)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(pa.array(rows)) for i in range(3)], lists], names=[key, "field", "weight", "postings"])
+
+    small_batches(products.sparkSession)
+    kind = products.schema[key].dataType.simpleString()
+    return rows.mapInArrow(posted, f"`{key}` {kind}, field string, weight double, postings array<struct<term:string,positions:array<int>>>")
+
+
+def postings(products: DataFrame, key: str = "id", fields: dict[str, float] = WEIGHTS, terms: list[str] | None = None) -> DataFrame:
+    """term, key, field, weight, positions (sorted): a row for each term of a product's field; stop words keep their positions but give no rows. terms: as for documents()."""
+    rows = documents(products, key, fields, terms).select(key, "field", "weight", F.explode("postings").alias("p")).select("p.term", key, "field", "weight", "p.positions")
+    return rows.groupBy("term", key, "field", "weight").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
 
 
 @dataclass(frozen=True)

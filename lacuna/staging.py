@@ -24,3 +24,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A batch of rows that goes to Python holds so many bytes at most, or one row.
+BATCH_BYTES = 16 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have Arrow batches end after BATCH_BYTES, as texts have any length. A session setting; one that is smaller already stays."""
+    size = spark.conf.get(_BATCH_SETTING, None)
+    if size is None or not size.rstrip("b").isdigit() or int(size.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))

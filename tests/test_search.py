@@ -116,3 +116,21 @@ def test_a_broken_run_is_not_seen(spark, tmp_path, monkeypatch):
     assert [r["id"] for r in text_index.search(spark, index, "limit").collect()] == [1]
     text_index.update(frame(spark, [(2, "limit", None), (None, "limit", "x")]), index)
     assert [r["id"] for r in text_index.search(spark, index, "limit").collect()] == [2]
+
+
+def test_a_long_text_is_not_carried_by_its_words(spark):
+    """One text of 40000 words: a row of a word that carries its text would make 12 GB of them. Places, stems and stop words are those of a walk."""
+    words = [f"limit{i % 997}s" if i % 3 else "of" for i in range(40_000)]
+    rows = frame(spark, [(1, " ".join(words), None), (2, "--Masses, mass!", "The mass"), (2, "mass", None), (3, None, "")])
+    found = search.postings(rows, "id", FIELDS)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Generate .*words", plan) and "MapInArrow" in plan
+    got = {(r["term"], r["id"], r["field"]): r["positions"] for r in found.collect()}
+    want = {}
+    for i, w in enumerate(words):
+        if w != "of":
+            want.setdefault((stem(w), 1, "description"), []).append(i)
+    want |= {("mass", 2, "description"): [0, 1, 2], ("mass", 2, "title"): [1]}
+    assert got == want
+    assert [tuple(r) for r in search.postings(rows, "id", FIELDS, ["mass"]).orderBy("field").collect()] == [("mass", 2, "description", 1.0, [0, 1, 2]), ("mass", 2, "title", 0.4, [1])]
+    assert search.postings(rows, "id", FIELDS, []).count() == 0
