@@ -45,6 +45,136 @@ def best_matches(pairs: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+#: Rows of a side that a task holds against as many of the other, and those of them that it works on at once.
+BLOCK, STRIP = 4096, 256
+
+
+def best_of(products: DataFrame, tables: DataFrame, by: list[str], paper: str = "inspire_id", block: int = BLOCK) -> DataFrame:
+    """best_matches(scored_pairs(products, tables, paper), by), without a row for each pair. by: columns of products.
+
+    Blocks of a paper's products meet blocks of its parts, one task each. A matrix product rules out what is too far below a row's best for the rounding of either to matter; the
+    others are scored as pairs are, term by term. A block gives two rows at most for a product. Parts that are alike but for their number are held against products once.
+    """
+    flaw = lambda: F.coalesce(F.exists("embedding", lambda x: x.isNull()), F.lit(True)).alias("__flaw")
+    named = F.concat_ws(" ", "name", "description", "resource_type")
+    fits = F.array_compact(F.array(*[F.when(named.rlike(pattern), F.lit(name)) for name, pattern in K.TYPE_PATTERNS.items()]))
+    if "fits" in tables.columns:
+        fits = F.col("fits")
+    keys = list(dict.fromkeys([paper, *by]))
+    left = products.select(*keys, "product_type", "span_words", "embedding", flaw(), F.monotonically_increasing_id().alias("__row"))
+    right = tables.select(paper, "ordinal", "table_doi", "words", "embedding", flaw(), fits.alias("fits"))
+    counts = lambda rows, name: rows.groupBy(paper).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = staged(counts(products, "__ps").join(counts(tables, "__ts"), paper), "match-sizes")
+    deal = lambda rows, key, own, others: (
+        rows.join(sizes, paper).withColumn(f"__{own}", F.pmod(F.xxhash64(*key), F.col(f"__{own}s")).cast("int")).withColumn(f"__{others}", F.explode(F.sequence(F.lit(0), F.col(f"__{others}s") - 1))).drop("__ps", "__ts")
+    )
+    left, right = deal(left, by, "p", "t"), deal(right, ["ordinal", "table_doi"], "t", "p")
+    # Both may come from one table: the parts' columns are told apart.
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
+    dealt = [paper, "__p", "__t"]
+
+    def scored(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        found = _best_in_block(one.reset_index(drop=True), other.sort_values("ordinal", kind="stable").reset_index(drop=True))
+        return pd.concat([one[by].take(found.pop("__i")).reset_index(drop=True), found], axis=1)
+
+    kind = lambda rows, c: f"`{c}` {rows.schema[c].dataType.simpleString()}"
+    schema = ", ".join([*[kind(products, c) for c in by], kind(tables, "ordinal"), kind(tables, "table_doi"), "similarity double, overlap double, bonus double, score double, raw double, grade int, typed boolean"])
+    pairs = left.groupBy(*dealt).cogroup(right.groupBy(*dealt)).applyInPandas(scored, schema)
+    match, earlier = F.struct("table_doi", "similarity", "overlap", "bonus", "score"), -F.col("ordinal")
+    return pairs.groupBy(*by).agg(
+        F.max_by(F.when(~F.col("typed"), match), F.when(~F.col("typed"), F.struct("score", earlier))).alias("best"),
+        F.max_by(F.when(F.col("typed"), match), F.when(F.col("typed"), F.struct("grade", "raw", earlier))).alias("typed"),
+    )
+
+
+def _matrix(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors, filled up with zeros to one length, and the length of each; -1 where it is null or holds a null."""
+    found = [np.zeros(0) if flaw else np.asarray(v, np.float64) for v, flaw in zip(rows["embedding"], rows["__flaw"], strict=True)]
+    sizes = np.array([len(v) for v in found])
+    out = np.zeros((len(found), max(1, sizes.max(initial=0))))
+    for row, v in zip(out, found, strict=True):
+        row[: len(v)] = v
+    return out, np.where(rows["__flaw"].to_numpy(bool), -1, sizes)
+
+
+def _best_in_block(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+    """one: products; other: parts by ordinal -> __i (place in one) with the block's best match of it, and its best that fits the type (typed)."""
+    names = ["__i", "ordinal", "table_doi", "similarity", "overlap", "bonus", "score", "raw", "grade", "typed"]
+    bag = lambda words: frozenset() if words is None else frozenset(words)
+    marks = [(bytes(np.asarray(v, np.float64)) if v is not None else None, flaw, tuple(w) if w is not None else None, tuple(f)) for v, flaw, w, f in zip(other["embedding"], other["__flaw"], other["words"], other["fits"], strict=True)]
+    other = other[~pd.Series(marks, dtype=object).duplicated().to_numpy()].reset_index(drop=True) if len(other) else other
+    if not len(one) or not len(other):
+        return pd.DataFrame(columns=names)
+    (a, a_size), (b, b_size) = _matrix(one), _matrix(other)
+    wide = max(a.shape[1], b.shape[1])
+    a, b = (np.pad(m, ((0, 0), (0, wide - m.shape[1]))) for m in (a, b))
+    a_words, b_words = [bag(w) for w in one["span_words"]], [bag(w) for w in other["words"]]
+    # Null words against others have no overlap, not one of 0.
+    a_many, b_many = (np.array([-1 if w is None else len(w) for w in c]) for c in (one["span_words"], other["words"]))
+    shared = {w: i for i, w in enumerate(set().union(*a_words) & set().union(*b_words))}
+
+    def common(rows: list[frozenset]) -> np.ndarray:
+        """How many words each of these products has in common with each part; words are taken some at a time."""
+        out = np.zeros((len(rows), len(other)), np.float32)
+        for begin in range(0, len(shared), 1024):
+            flags = []
+            for bags in (rows, b_words):
+                m = np.zeros((len(bags), 1024), np.float32)
+                for i, words in enumerate(bags):
+                    m[i, [shared[w] - begin for w in words if begin <= shared.get(w, -1) < begin + 1024]] = 1
+                flags.append(m)
+            out += flags[0] @ flags[1].T
+        return out
+
+    of_type = {t: np.array([t in f for f in other["fits"]]) for t in set(one["product_type"])}
+    reach = np.sqrt((b * b).sum(axis=1)).max()
+    top, out = np.finfo(np.float64).max, []
+    for begin in range(0, len(one), STRIP):
+        rows = np.arange(begin, min(len(one), begin + STRIP))
+        with np.errstate(all="ignore"):
+            raw = a[rows] @ b.T
+            slack = 1e-10 * (1 + np.nan_to_num(np.sqrt((a[rows] * a[rows]).sum(axis=1)) * reach, nan=0, posinf=0))[:, None]
+        null = (a_size[rows][:, None] != b_size[None, :]) | (a_size[rows][:, None] < 0)
+        fewer = np.minimum(a_many[rows][:, None], b_many[None, :])
+        overlap = np.divide(common([a_words[i] for i in rows]), fewer, out=np.zeros(fewer.shape), where=fewer > 0)
+        overlap[(fewer < 0) & (np.maximum(a_many[rows][:, None], b_many[None, :]) > 0)] = np.nan
+        typed = np.stack([of_type[t] for t in one["product_type"].iloc[rows]])
+        with np.errstate(all="ignore"):
+            score = 0.5 * raw + 0.5 * overlap + np.where(typed, K.TYPE_BONUS, 0.0)
+        # Null and NaN scores are below all; a raw NaN is above all, a raw null below.
+        score = np.where(null, -np.inf, np.nan_to_num(score, nan=-np.inf, posinf=top, neginf=-top))
+        raw = np.where(null, -np.inf, np.nan_to_num(raw, nan=np.inf, posinf=top, neginf=-top))
+        for which, value, room in ((False, score, slack + 1.0001e-4), (True, np.where(typed, raw, np.nan), slack)):
+            held = ~np.isnan(value)
+            best = np.where(held, value, -np.inf).max(axis=1, keepdims=True)
+            with np.errstate(all="ignore"):
+                near = held & (value >= np.where(np.isfinite(best), best - room, best))
+            # Of parts whose value is none or no number the first stands for all.
+            first = near & ~np.isfinite(best)
+            near &= ~first | (np.cumsum(first, axis=1) == 1)
+            i, j = np.nonzero(near)
+            out.append(_exact(a, b, rows[i], j, null[i, j], overlap[i, j], typed[i, j], other, which))
+    found = pd.concat(out, ignore_index=True)
+    found = found.sort_values(["__i", "typed", "grade", "__value", "__j"], ascending=[True, True, False, False, True], kind="stable").drop_duplicates(["__i", "typed"])
+    return found[names].reset_index(drop=True)
+
+
+def _exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, null: np.ndarray, overlap: np.ndarray, typed: np.ndarray, other: pd.DataFrame, which: bool) -> pd.DataFrame:
+    """These pairs as scored_pairs() has them: products of components are added one after the other."""
+    raw = np.zeros(len(i))
+    with np.errstate(all="ignore"):
+        for k in range(a.shape[1]):
+            raw += a[i, k] * b[j, k]
+    raw = np.where(null, np.nan, raw)
+    four = lambda values: np.array([round(x, 4) for x in values.tolist()], np.float64)
+    bonus = np.where(typed, K.TYPE_BONUS, 0.0)
+    score = four(0.5 * raw + 0.5 * overlap + bonus)
+    grade = np.where(null, 0, np.where(np.isnan(raw), 2, 1)) if which else np.where(np.isnan(score), 0, 1)
+    value = np.nan_to_num(raw if which else score, nan=0.0, posinf=np.inf, neginf=-np.inf)
+    rows = other.iloc[j]
+    return pd.DataFrame({"__i": i, "__j": j, "ordinal": rows["ordinal"].to_numpy(), "table_doi": rows["table_doi"].to_numpy(), "similarity": four(raw), "overlap": four(overlap), "bonus": bonus, "score": score, "raw": raw, "grade": grade, "typed": which, "__value": value})
+
+
 def gaps(products: DataFrame, matches: DataFrame, records: DataFrame, paper: str = "inspire_id") -> DataFrame:
     """products with status, match and severity. records: the papers that have a record."""
     joined = products.join(matches, [paper, "product"], "left").join(records.select(paper).distinct().withColumn("__record", F.lit(True)), paper, "left")

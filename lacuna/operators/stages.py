@@ -51,7 +51,7 @@ def reconciled(products: DataFrame, parts: DataFrame, records: DataFrame, embed:
     t = t.withColumns({"embedding": embed(F.col("__clean")), "words": text.content_words(F.col("__words"))})
     t = t.select(paper, "ordinal", "table_doi", "name", "description", "resource_type", "words", "embedding")
     asked = p.withColumn("__words", text.clean_text(F.col("evidence_span"))).select(paper, "product", "product_type", "embedding", text.content_words(F.col("__words")).alias("span_words"))
-    best = matching.best_matches(matching.scored_pairs(asked, t, paper), [paper, "product"])
+    best = matching.best_of(asked, t, [paper, "product"], paper)
     return matching.gaps(p, best, records, paper).drop("product")
 
 

@@ -132,7 +132,7 @@ def scored_words_and_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     products = rows.where("vec_id % 2 = 0").select("label", F.col("vec_id").alias("product"), pick(_KINDS).alias("product_type"), F.array_distinct(F.array(word(7), word(5), word(3))).alias("span_words"), "embedding")
     words = F.when(F.col("vec_id") % 11 == 1, F.array().cast("array<string>")).otherwise(F.array_distinct(F.array(word(6), word(4))))
     parts = rows.where("vec_id % 2 = 1").select("label", F.col("vec_id").alias("ordinal"), F.col("vec_id").cast("string").alias("table_doi"), F.concat(F.lit("cut"), pick(_NAMES)).alias("name"), F.lit("").alias("description"), F.lit("").alias("resource_type"), words.alias("words"), "embedding")
-    best = matching.best_matches(matching.scored_pairs(products, parts, "label"), ["product"])
+    best = matching.best_of(products, parts, ["product"], "label")
     return best.select("product", F.col("best.table_doi").cast("long").alias("part"), "best.score", "best.overlap", "best.bonus", F.col("typed.table_doi").cast("long").alias("typed_part"))
 
 

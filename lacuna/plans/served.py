@@ -203,7 +203,7 @@ def scored_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").withColumns({"label": F.col("label"), "none": F.array().cast("array<string>")})
     products = rows.where("vec_id % 2 = 0").select("label", F.col("vec_id").alias("product"), F.lit("other").alias("product_type"), F.col("none").alias("span_words"), "embedding")
     parts = rows.where("vec_id % 2 = 1").select("label", F.col("vec_id").alias("ordinal"), F.col("vec_id").cast("string").alias("table_doi"), F.lit("").alias("name"), F.lit("").alias("description"), F.lit("").alias("resource_type"), F.col("none").alias("words"), "embedding")
-    best = matching.best_matches(matching.scored_pairs(products, parts, "label"), ["product"])
+    best = matching.best_of(products, parts, ["product"], "label")
     return best.select("product", F.col("best.table_doi").cast("long").alias("part"), "best.score")
 
 

@@ -225,11 +225,11 @@ def knn_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT a.vec_id, arg_max(b.vec_id, ({_dotted('a.embedding', 'b.embedding')}, -b.vec_id)) AS best FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 GROUP BY 1")
 def best_match_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings")
-    products = rows.where("vec_id % 2 = 0")
-    parts = rows.where("vec_id % 2 = 1").select("label", F.col("vec_id").alias("part"), F.col("embedding").alias("other"))
-    pairs = products.join(parts, "label").withColumn("score", vectors.dot(F.col("embedding"), F.col("other")))
-    return pairs.groupBy("vec_id").agg(F.max_by("part", F.struct("score", -F.col("part"))).alias("best"))
+    rows, none = table(spark, sf_dir, "embeddings"), F.array().cast("array<string>")
+    products = rows.where("vec_id % 2 = 0").select("label", "vec_id", F.lit("any").alias("product_type"), none.alias("span_words"), "embedding")
+    parts = rows.where("vec_id % 2 = 1").select("label", F.col("vec_id").alias("ordinal"), F.col("vec_id").alias("table_doi"), *[F.lit("").alias(c) for c in ("name", "description", "resource_type")], none.alias("words"), F.array(F.lit("any")).alias("fits"), "embedding")
+    # All parts fit, so what counts is the product of vectors as it is, not a rounded score.
+    return matching.best_of(products, parts, ["vec_id"], "label").select("vec_id", F.col("typed.table_doi").alias("best"))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS norm, 1.0::DOUBLE AS unit_norm FROM embeddings")

@@ -193,3 +193,24 @@ def test_nearest_percentile_of_every_group_size(spark):
         want = {n: sorted(v for g, v in rows if g == n)[round(q * (n - 1))] for n in sizes}
         for accuracy in (10_000, 20):
             assert dict(map(tuple, relations.nearest_percentile(df, ["g"], "v", q, "p", accuracy).collect())) == want
+
+
+def test_best_of_blocks_is_the_best_of_all_pairs(spark):
+    """Ties by rounding and by copies, words, types, vectors with nulls, of other lengths and not of numbers; no plan has a row for each pair."""
+    import random
+
+    rng = random.Random(5)
+    vector = lambda: rng.choice([None, [], [1.0, None], [float("nan"), 1.0], [3e38, 3e38], [1.0, 0.0], [round(rng.uniform(-1, 1), 1) for _ in range(2)], [rng.uniform(-1, 1) for _ in range(3)], *[[rng.uniform(-1, 1) for _ in range(2)] for _ in range(3)]])
+    words = lambda: rng.choice([None, [], [f"w{rng.randrange(6)}" for _ in range(4)]])
+    products = spark.createDataFrame([(i % 4, i, rng.choice(["cutflow", "upper_limit", "other"]), words(), vector()) for i in range(60)], "inspire_id int, product int, product_type string, span_words array<string>, embedding array<float>")
+    tables = spark.createDataFrame([(i % 3, i, f"d/{i}", rng.choice(["cut flow", "upper limit", "x"]), "", "", words(), vector()) for i in range(90)], "inspire_id int, ordinal int, table_doi string, name string, description string, resource_type string, words array<string>, embedding array<float>")
+    told = lambda rows: sorted(map(str, rows.select("inspire_id", "product", "best", "typed").collect()))
+    want = told(matching.best_matches(matching.scored_pairs(products, tables), ["inspire_id", "product"]))
+    for block in (7, 4096):
+        found = matching.best_of(products, tables, ["inspire_id", "product"], block=block)
+        assert told(found) == want
+        assert "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert matching.best_of(products.limit(0), tables, ["product"]).count() == 0
+    many = spark.range(6000).select(F.lit(1).alias("inspire_id"), F.col("id").alias("ordinal"), F.lit("d").alias("table_doi"), *[F.lit("").alias(c) for c in ("name", "description", "resource_type")], F.array().cast("array<string>").alias("words"), F.array(F.lit(1.0), F.lit(0.5)).alias("embedding"))
+    asked = many.select("inspire_id", F.col("ordinal").alias("product"), F.lit("other").alias("product_type"), F.col("words").alias("span_words"), "embedding")
+    assert matching.best_of(asked, many.withColumn("table_doi", F.col("ordinal").cast("string")), ["product"]).groupBy("best.table_doi").count().collect() == [("0", 6000)]
