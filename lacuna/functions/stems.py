@@ -53,6 +53,9 @@ RULES = [
 ]
 
 
+_COMPILED = [re.compile(rule.pattern()) for rule in RULES]
+
+
 def stem(word: str) -> str:
     """The stem of one word of letters and digits in lower case."""
     if len(word) <= 2 or word in EXCEPTIONS:
@@ -81,8 +84,8 @@ def stem(word: str) -> str:
         elif first >= len(word) and re.search(SHORT, word):
             word += "e"
     word = re.sub(f"(?<=.[^{VOWELS}])[yY]$", "i", word)
-    for rule in RULES:
-        if m := re.search(rule.pattern(), word):
+    for rule, pattern in zip(RULES, _COMPILED, strict=True):
+        if m := pattern.search(word):
             if len(word) - len(m[0]) >= (first, second)[rule.regions.get(m[0], rule.region) - 1]:
                 word = word[: -len(m[0])] + rule.endings[m[0]]
     at = len(word) - 1

@@ -62,12 +62,18 @@ def _of(rows: DataFrame, counted: list[int]) -> DataFrame:
 
 
 def _known(spark: SparkSession, index: Index, counted: list[int]) -> DataFrame:
-    """The latest row of each product that is there."""
+    """key, print and segment of the latest row of each product that is there; terms are read by _terms() where they are wanted."""
     rows = _of(_read(spark, index, "products"), counted)
-    last = rows.groupBy(index.key).agg(F.max_by(F.struct("print", "terms", "there"), "segment").alias("last")).select(index.key, "last.*")
+    last = rows.groupBy(index.key).agg(F.max(F.struct("segment", "print", "there")).alias("last")).select(index.key, "last.*")
     return last.where("there").drop("there")
 
 
+def _terms(spark: SparkSession, index: Index, counted: list[int], known: DataFrame) -> DataFrame:
+    """known with the terms of each product."""
+    rows = _of(_read(spark, index, "products"), counted).select(index.key, "segment", "terms")
+    return rows.join(known, [index.key, "segment"])
+
+
 def _write(rows: DataFrame, index: Index, name: str, segment: int) -> None:
     """A folder of the segment's own, so that a run that broke off is written over. By bucket, large buckets in several files."""
     place = f"{index.folder}/{name}/segment={segment}"
@@ -93,17 +99,23 @@ def update(products: DataFrame, index: Index, whole: bool = True) -> dict[str, i
     gone = known.join(given.select(key), key, "left_anti") if whole else known.limit(0)
     gone = staged(gone.select(key), "index-gone")
 
-    made = staged(text_search.postings(changed, key, index.fields).withColumn("bucket", index.bucket(F.col("term"))), "index-postings")
-    terms = changed.select(key, "print").join(made.groupBy(key).agg(F.array_sort(F.collect_set("term")).alias("terms")), key, "left")
+    # A row for each text, so that a product's terms need no second pass over single postings.
+    made = staged(text_search.documents(changed, key, index.fields), "index-postings")
+    listed = made.select(key, F.array_sort("postings.term").alias("terms"))
+    # Keys do not repeat here, so with one field there is nothing to put together.
+    own = listed if len(index.fields) == 1 else listed.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms"))
+    terms = changed.select(key, "print").join(own, key, "left")
+    single = made.select(key, "field", "weight", F.explode("postings").alias("p")).select("p.term", key, "field", "weight", "p.positions")
     there = terms.select(key, "print", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"), F.lit(True).alias("there"))
     away = gone.select(key, F.lit("").alias("print"), F.array().cast("array<string>").alias("terms"), F.lit(False).alias("there"))
     dead = changed.where("again").select(key).unionByName(gone)
-    lost = known.join(dead, key, "left_semi").select(F.explode("terms").alias("term"), F.lit(-1).alias("n"))
-    came = there.select(F.explode("terms").alias("term"), F.lit(1).alias("n"))
+    lost = _terms(spark, index, counted, known.join(dead, key, "left_semi")).select(F.explode("terms").alias("term"), F.lit(-1).alias("n"))
+    # Written first, and read back, so that terms are put together once.
+    _write(there.unionByName(away), index, "products", segment)
+    came = _of(_read(spark, index, "products"), [segment]).where("there").select(F.explode("terms").alias("term"), F.lit(1).alias("n"))
     change = lost.unionByName(came).groupBy("term").agg(F.sum("n").alias("change")).where("change <> 0")
 
-    _write(made, index, "postings", segment)
-    _write(there.unionByName(away), index, "products", segment)
+    _write(single.withColumn("bucket", index.bucket(F.col("term"))), index, "postings", segment)
     _write(change.withColumn("bucket", index.bucket(F.col("term"))), index, "frequencies", segment)
     _write(dead, index, "dead", segment)
     _point(spark, index, [*counted, segment])
@@ -121,7 +133,7 @@ def compact(spark: SparkSession, index: Index) -> int:
     if len(counted) < 2:
         return counted[0] if counted else 0
     segment = max(counted) + 1
-    products = _known(spark, index, counted).withColumn("there", F.lit(True))
+    products = _terms(spark, index, counted, _known(spark, index, counted)).select(index.key, "print", "terms", F.lit(True).alias("there"))
     _write(_live(spark, index, counted, None).drop("segment"), index, "postings", segment)
     _write(products, index, "products", segment)
     _write(_of(_read(spark, index, "frequencies"), counted).groupBy("bucket", "term").agg(F.sum("change").alias("change")).where("change <> 0"), index, "frequencies", segment)

@@ -134,3 +134,21 @@ def test_a_long_text_is_not_carried_by_its_words(spark):
     assert got == want
     assert [tuple(r) for r in search.postings(rows, "id", FIELDS, ["mass"]).orderBy("field").collect()] == [("mass", 2, "description", 1.0, [0, 1, 2]), ("mass", 2, "title", 0.4, [1])]
     assert search.postings(rows, "id", FIELDS, []).count() == 0
+
+
+def test_a_run_stages_a_row_for_each_text(spark, tmp_path, monkeypatch):
+    """Not one for each posting, which were written and shuffled once more than the index needs."""
+    made, plain = {}, text_index.staged
+
+    def kept(rows, name):
+        made[name] = plain(rows, name)
+        return made[name]
+
+    monkeypatch.setattr(text_index, "staged", kept)
+    index = text_index.Index(str(tmp_path / "index"), fields={"description": 1.0})
+    text_index.update(frame(spark, [(k, "limit mass section", None) for k in range(20)]), index)
+    assert made["index-postings"].count() == 20
+    text_index.update(frame(spark, [(k, "limit mass section" if k else "likelihood", None) for k in range(19)]), index)
+    assert "terms" not in made["index-known"].columns
+    assert {r["term"]: r["n"] for r in text_index.frequencies(spark, index).collect()} == {"limit": 18, "mass": 18, "section": 18, "likelihood": 1}
+    assert [tuple(r) for r in text_index.search(spark, index, "likelihood").select("id").collect()] == [(0,)]
