@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -112,53 +113,73 @@ def _best_in_block(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
     # Null words against others have no overlap, not one of 0.
     a_many, b_many = (np.array([-1 if w is None else len(w) for w in c]) for c in (one["span_words"], other["words"]))
     shared = {w: i for i, w in enumerate(set().union(*a_words) & set().union(*b_words))}
+    # Rows whose words are alike are counted once.
+    (a_bag, a_bags), (b_bag, b_bags) = _alike(zip(a_words, a_many.tolist(), strict=True)), _alike(zip(b_words, b_many.tolist(), strict=True))
 
-    def common(rows: list[frozenset]) -> np.ndarray:
-        """How many words each of these products has in common with each part; words are taken some at a time."""
-        out = np.zeros((len(rows), len(other)), np.float32)
+    def overlaps(rows: list[tuple[frozenset, int]]) -> np.ndarray:
+        """The overlap of each of these bags with each of the parts; words are taken some at a time."""
+        common = np.zeros((len(rows), len(b_bags)), np.float32)
         for begin in range(0, len(shared), 1024):
             flags = []
-            for bags in (rows, b_words):
-                m = np.zeros((len(bags), 1024), np.float32)
-                for i, words in enumerate(bags):
+            for bags in (rows, b_bags):
+                m = np.zeros((len(bags), min(1024, len(shared) - begin)), np.float32)
+                for i, (words, _) in enumerate(bags):
                     m[i, [shared[w] - begin for w in words if begin <= shared.get(w, -1) < begin + 1024]] = 1
                 flags.append(m)
-            out += flags[0] @ flags[1].T
+            common += flags[0] @ flags[1].T
+        own, others = np.array([n for _, n in rows])[:, None], np.array([n for _, n in b_bags])[None, :]
+        fewer = np.minimum(own, others)
+        out = np.divide(common, fewer, out=np.zeros(fewer.shape), where=fewer > 0)
+        out[(fewer < 0) & (np.maximum(own, others) > 0)] = np.nan
         return out
 
     of_type = {t: np.array([t in f for f in other["fits"]]) for t in set(one["product_type"])}
-    reach = np.sqrt((b * b).sum(axis=1)).max()
+    with np.errstate(all="ignore"):
+        a_long, reach = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1)).max()
     top, out = np.finfo(np.float64).max, []
+    # Vectors of one length and of common numbers, and words without nulls, are ruled out in single precision; its error is within the slack.
+    sizes = np.concatenate([a_size, b_size])
+    plain = sizes.min() == sizes.max() >= 0 and min(a_many.min(), b_many.min()) >= 0 and bool(a_long.max() < 1e10 and reach < 1e10)
+    single, error, least, rounding = (np.float32, (wide + 8) * 2.0**-22, 1e-25, 1.02e-4) if plain else (np.float64, 1e-10, 1e-10, 1.0001e-4)
+    of_a, of_b = a.astype(single), b.astype(single)
     for begin in range(0, len(one), STRIP):
         rows = np.arange(begin, min(len(one), begin + STRIP))
-        with np.errstate(all="ignore"):
-            raw = a[rows] @ b.T
-            slack = 1e-10 * (1 + np.nan_to_num(np.sqrt((a[rows] * a[rows]).sum(axis=1)) * reach, nan=0, posinf=0))[:, None]
-        null = (a_size[rows][:, None] != b_size[None, :]) | (a_size[rows][:, None] < 0)
-        fewer = np.minimum(a_many[rows][:, None], b_many[None, :])
-        overlap = np.divide(common([a_words[i] for i in rows]), fewer, out=np.zeros(fewer.shape), where=fewer > 0)
-        overlap[(fewer < 0) & (np.maximum(a_many[rows][:, None], b_many[None, :]) > 0)] = np.nan
+        bags, bag = np.unique(a_bag[rows], return_inverse=True)
+        table = overlaps([a_bags[i] for i in bags])
         typed = np.stack([of_type[t] for t in one["product_type"].iloc[rows]])
+        null = (a_size[rows][:, None] != b_size[None, :]) | (a_size[rows][:, None] < 0)
         with np.errstate(all="ignore"):
-            score = 0.5 * raw + 0.5 * overlap + np.where(typed, K.TYPE_BONUS, 0.0)
-        # Null and NaN scores are below all; a raw NaN is above all, a raw null below.
-        score = np.where(null, -np.inf, np.nan_to_num(score, nan=-np.inf, posinf=top, neginf=-top))
-        raw = np.where(null, -np.inf, np.nan_to_num(raw, nan=np.inf, posinf=top, neginf=-top))
-        for which, value, room in ((False, score, slack + 1.0001e-4), (True, np.where(typed, raw, np.nan), slack)):
-            held = ~np.isnan(value)
-            best = np.where(held, value, -np.inf).max(axis=1, keepdims=True)
+            raw = of_a[rows] @ of_b.T
+            slack = (least + error * np.nan_to_num(a_long[rows] * reach, nan=0, posinf=0))[:, None].astype(single)
+            score = 0.5 * raw + (0.5 * table).astype(single)[bag].take(b_bag, axis=1)
+            score += typed * single(K.TYPE_BONUS)
+        if not plain:
+            # Null and NaN scores are below all; a raw NaN is above all, a raw null below.
+            score = np.where(null, -np.inf, np.nan_to_num(score, nan=-np.inf, posinf=top, neginf=-top))
+            raw = np.where(null, -np.inf, np.nan_to_num(raw, nan=np.inf, posinf=top, neginf=-top))
+        for which, held, value, room in ((False, None, score, slack + single(rounding)), (True, typed, raw, slack)):
+            best = value.max(axis=1, keepdims=True) if held is None else np.where(held, value, -np.inf).max(axis=1, keepdims=True)
             with np.errstate(all="ignore"):
-                near = held & (value >= np.where(np.isfinite(best), best - room, best))
-            # Of parts whose value is none or no number the first stands for all.
-            first = near & ~np.isfinite(best)
-            near &= ~first | (np.cumsum(first, axis=1) == 1)
-            i, j = np.nonzero(near)
-            out.append(_exact(a, b, rows[i], j, null[i, j], overlap[i, j], typed[i, j], other, which))
+                near = value >= np.where(np.isfinite(best), best - room, best)
+            if held is not None:
+                near &= held
+            if not plain:
+                # Of parts whose value is none or no number the first stands for all.
+                first = near & ~np.isfinite(best)
+                near &= ~first | (np.cumsum(first, axis=1) == 1)
+            i, j = np.divmod(np.flatnonzero(near), len(other))
+            out.append(_exact(a, b, rows[i], j, null[i, j], table[bag[i], b_bag[j]], typed[i, j], other, which))
     found = pd.concat(out, ignore_index=True)
     found = found.sort_values(["__i", "typed", "grade", "__value", "__j"], ascending=[True, True, False, False, True], kind="stable").drop_duplicates(["__i", "typed"])
     return found[names].reset_index(drop=True)
 
 
+def _alike(rows: Iterable) -> tuple[np.ndarray, list]:
+    """For each row the number of its value, and the values."""
+    numbers: dict = {}
+    return np.array([numbers.setdefault(x, len(numbers)) for x in rows], np.int64), list(numbers)
+
+
 def _exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, null: np.ndarray, overlap: np.ndarray, typed: np.ndarray, other: pd.DataFrame, which: bool) -> pd.DataFrame:
     """These pairs as scored_pairs() has them: products of components are added one after the other."""
     raw = np.zeros(len(i))

@@ -214,3 +214,24 @@ def test_best_of_blocks_is_the_best_of_all_pairs(spark):
     many = spark.range(6000).select(F.lit(1).alias("inspire_id"), F.col("id").alias("ordinal"), F.lit("d").alias("table_doi"), *[F.lit("").alias(c) for c in ("name", "description", "resource_type")], F.array().cast("array<string>").alias("words"), F.array(F.lit(1.0), F.lit(0.5)).alias("embedding"))
     asked = many.select("inspire_id", F.col("ordinal").alias("product"), F.lit("other").alias("product_type"), F.col("words").alias("span_words"), "embedding")
     assert matching.best_of(asked, many.withColumn("table_doi", F.col("ordinal").cast("string")), ["product"]).groupBy("best.table_doi").count().collect() == [("0", 6000)]
+
+
+@pytest.mark.parametrize("worded", [True, False])
+def test_a_block_of_pairs_takes_the_work_of_its_vectors(worded):
+    """Few words make narrow matrices, and usual vectors are ruled out in single precision: a block's arrays stay small."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    n, rng = 4096, np.random.default_rng(1)
+    bag = lambda i, ways: [f"w{i % w}" for w in ways] if worded else []
+    one = pd.DataFrame({"product_type": "other", "span_words": [bag(i, (7, 5)) for i in range(n)], "embedding": list(rng.normal(size=(n, 64))), "__flaw": False})
+    other = pd.DataFrame({"ordinal": range(n), "table_doi": "d", "words": [bag(i, (6, 4)) for i in range(n)], "embedding": list(rng.normal(size=(n, 64))), "__flaw": False, "fits": [[]] * n})
+    tracemalloc.start()
+    try:
+        found = matching._best_in_block(one, other)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found) == n and peak < 60e6, peak
