@@ -235,3 +235,16 @@ def test_a_block_of_pairs_takes_the_work_of_its_vectors(worded):
     finally:
         tracemalloc.stop()
     assert len(found) == n and peak < 60e6, peak
+
+
+def test_parts_that_single_precision_cannot_tell_apart(spark):
+    """The best of all pairs is that of double precision, whatever the vectors' length: near ties are scored as they are."""
+    import math
+    import random
+
+    rng = random.Random(3)
+    near = lambda size: [size * math.cos(1 + rng.uniform(-1, 1) * 1e-8), size * math.sin(1 + rng.uniform(-1, 1) * 1e-8)]
+    products = spark.createDataFrame([(1, i, "cutflow", ["a", "b"], near(s)) for i, s in enumerate([1.0, 1e-20, 1e9, 0.0] * 5)], "inspire_id int, product int, product_type string, span_words array<string>, embedding array<double>")
+    tables = spark.createDataFrame([(1, i, f"d/{i}", "cut flow", "", "", ["a", f"w{i % 3}"], near(rng.choice([1.0, 0.99999999]))) for i in range(80)], "inspire_id int, ordinal int, table_doi string, name string, description string, resource_type string, words array<string>, embedding array<double>")
+    told = lambda rows: sorted(map(str, rows.select("product", "best", "typed").collect()))
+    assert told(matching.best_of(products, tables, ["product"])) == told(matching.best_matches(matching.scored_pairs(products, tables), ["product"]))
