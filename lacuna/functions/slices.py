@@ -62,11 +62,12 @@ class Braces:
 
 
 def _arguments(text: str) -> tuple[str | None, list[tuple]]:
-    braces, found = Braces(text), []
+    braces, found = None, []
     spaces = re.compile(r"\s*")
     try:
         for m in re.finditer(COMMANDS, text):
-            at = m.end()
+            # Most texts have no command, and need no groups.
+            braces, at = braces or Braces(text), m.end()
             if text[at] == "[":
                 at = spaces.match(text, braces.end("[", at)).end()
                 if text[at : at + 1] != "{":

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,9 +90,11 @@ def documents(sources: DataFrame) -> DataFrame:
 def bodies(papers: DataFrame) -> DataFrame:
     """papers with body, body_tokens (without the bibliography) and the headers and captions of the body (arguments). An unbalanced group becomes the error of a paper
     that has none yet."""
-    body = F.regexp_extract("document", r"(?s)\\begin\{document\}(.*?)(?:\\end\{document\}|\z)", 1)
+    begin = F.instr("document", r"\begin{document}")
+    body = F.when(begin == 0, "").when(begin > 0, F.substring_index(F.substr("document", begin + len(r"\begin{document}")), r"\end{document}", 1))
     found = papers.withColumn("body", body).withColumn("body_tokens", scalars.approx_tokens(F.regexp_replace("body", f"(?s){_BIBLIOGRAPHY}", "")))
-    found = found.withColumn("arguments", slices.arguments("body"))
+    # Texts without a command need not be read in Python.
+    found = found.withColumn("arguments", slices.arguments(F.when(F.contains("body", F.lit("\\")), F.col("body"))))
     error = F.col("arguments.error") if "error" not in papers.columns else F.coalesce("error", "arguments.error")
     return found.withColumn("error", error).withColumn("arguments", F.col("arguments.found"))
 
@@ -139,7 +144,13 @@ def candidates(found: DataFrame) -> DataFrame:
     alone = lambda start, c: F.array(F.struct(F.col(start).alias("start"), F.col(c).alias("text")))
     weak = lambda c: F.col("setup_like") | c["text"].rlike(K.DIAGRAM)
     captions = F.filter("captions", lambda c: ~c["text"].rlike(K.FEYNMAN) & (~weak(c) | c["text"].rlike(K.CAPTION_DATA)))
-    paragraphs = slices.trimmed(slices.gaps(F.col("content"), f"(?s){_FLOAT}|{_BIBLIOGRAPHY}|{_PARAGRAPH_BREAK}"))
+    # Few paragraphs hold a word that what is wanted needs; others are not split off, trimmed or searched.
+    hints = list(dict.fromkeys(K.AVAILABILITY_HINTS + K.PRODUCT_HINTS))
+    hinted = lambda c: F.exists(F.array(F.lower(c)), lambda low: functools.reduce(operator.or_, [F.contains(low, F.lit(h)) for h in hints]))
+    # All separators begin with one of two characters.
+    split = slices.gaps(F.col("content"), rf"(?s)(?=[\\\n])(?:{_FLOAT}|{_BIBLIOGRAPHY}|{_PARAGRAPH_BREAK})")
+    paragraphs = slices.trimmed(F.filter(F.when(hinted(F.col("content")), split), lambda p: hinted(p["text"])))
+    paragraphs = F.coalesce(paragraphs, F.array().cast(slices.GAP))
     wanted = lambda p: p["text"].rlike(K.AVAILABILITY) | ((F.col("results_like") | F.col("in_appendix")) & p["text"].rlike(K.PRODUCT_WORDS))
     paragraphs = F.transform(F.filter(paragraphs, wanted), lambda p: F.struct((p["start"] + F.col("start")).alias("start"), p["text"].alias("text")))
     nothing = F.array().cast("array<struct<kind:string,start:int,text:string>>")

@@ -118,3 +118,28 @@ def test_gaps_and_trimmed(spark):
     row = spark.createDataFrame([("ab  \n\n  cd\n\n\n\n e ",)], "t string").select(slices.gaps(F.col("t"), "\n\n").alias("g"), slices.trimmed(slices.gaps(F.col("t"), "\n\n")).alias("t")).first()
     assert [tuple(x) for x in row["g"]] == [(0, "ab  "), (6, "  cd"), (12, ""), (14, " e ")]
     assert [tuple(x) for x in row["t"]] == [(0, "ab"), (8, "cd"), (15, "e")]
+
+
+def test_texts_without_commands_are_not_read_for_groups(monkeypatch):
+    def none(text):
+        raise AssertionError("groups of a text without commands")
+
+    monkeypatch.setattr(slices, "Braces", none)
+    assert slices._arguments("{ " * 9 + r"\emph{x} and [no command") == (None, [])
+
+
+def test_what_is_wanted_holds_a_hint(spark):
+    """Paragraphs and whole bodies are left out by hints alone, never one that a pattern would take; the cut at the document's ends is the pattern's."""
+    said = ["HEPDATA", "Rivet", "pyhf", "SimpleAnalysis", "Auxiliary\tfigures", "supplementary", "Additional  table", "are publicly available.", "Available from x", "provided at x", "can be found in the appendix", "HTTPS://x", r"\url{x}", r"\href{x}{y}",
+            "Cut-flows", "cutflow", "efficiency maps", "Covariance matrix", "CORRELATION matrices", "full likelihood", "likelihoods are released", "Upper Limits", "exclusion contour", "is excluded", "total cross-section", "CROSS sections were measured",
+            "unfolded data", "likelihood  scan", "acceptance × efficiency", r"Acceptance \times efficiency"]
+    other = ["the found word is alone", "a limit", "nothing of the kind", "  ", r"\begin{table} cutflow \end{table}"]
+    text = "\n\n".join(x for pair in zip(said, other * 6, strict=True) for x in pair)
+    documents = {"a": rf"x \end{{document}} \begin{{document}}{text}\end{{document}} cutflow \end{{document}}", "b": rf"\begin{{document}} {said[0]}", "c": "no document, cutflow", "d": rf"\begin{{document}}\end{{document}}", "e": r"\begin{document} 𝒳é nothing \end{document}"}
+    rows = spark.createDataFrame(list(documents.items()), "arxiv_id string, document string")
+    got = passages.bodies(rows)
+    cut = F.regexp_extract("document", r"(?s)\\begin\{document\}(.*?)(?:\\end\{document\}|\z)", 1)
+    assert got.where(~F.col("body").eqNullSafe(cut)).count() == 0
+    found = passages.candidates(passages.sections(got))
+    assert {(r["arxiv_id"], r["text"]) for r in found.collect()} == {*(("a", x.strip()) for x in said), ("b", said[0])}
+    assert passages.bodies(spark.createDataFrame([(None,)], "document string")).first()["body"] is None
