@@ -226,7 +226,8 @@ def longest_common(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
 
 def sharing(left: DataFrame, right: DataFrame, left_text: str, right_text: str, least: int, by: list[str], keys: tuple[str, str]) -> DataFrame:
     """keys of the pairs of rows (alike in by) that may share a passage of so many characters: all that do, and few others."""
-    a = winnowed(left.select(*by, keys[0], left_text), left_text, least).distinct()
-    b = winnowed(right.select(*by, keys[1], right_text), right_text, least).distinct()
+    # A text's anchors do not repeat; pairs are made distinct once, after the join, so that a side that is large need not move for it.
+    a = winnowed(left.select(*by, keys[0], left_text), left_text, least)
+    b = winnowed(right.select(*by, keys[1], right_text), right_text, least)
     return a.join(b, [*by, "anchor"]).select(*keys).distinct()
 

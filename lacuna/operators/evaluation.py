@@ -27,7 +27,9 @@ def overlaps(predicted: DataFrame, gold: DataFrame, paper: str = "inspire_id") -
     shared = anchors.sharing(long(spans, "span"), long(quotes, "quote"), "span", "quote", MIN_OVERLAP, [paper], ("__p", "__g"))
     short = quotes.where(F.length("quote") < MIN_OVERLAP).select(paper, "__g", "quote")
     within = anchors.containing(spans.select(paper, "__p", "span"), short, "span", "quote", [paper]).select("__p", "__g")
-    around = anchors.containing(quotes.select(paper, "__g", "quote"), spans.select(paper, "__p", "span"), "quote", "span", [paper]).select("__p", "__g")
+    # A longer span that stands in a quote shares so much with it, and has met it above.
+    brief = spans.where(F.length("span") < MIN_OVERLAP).select(paper, "__p", "span")
+    around = anchors.containing(quotes.select(paper, "__g", "quote"), brief, "quote", "span", [paper]).select("__p", "__g")
     pairs = staged(shared.unionByName(within).unionByName(around).distinct(), "overlap-pairs")
     near = pairs.join(spans, "__p").join(quotes.drop(paper), "__g").withColumn("overlap", anchors.longest_common("span", "quote"))
     enough = (F.col("overlap") >= F.least(F.lit(MIN_OVERLAP), F.length("quote"))) | (F.col("overlap") == F.length("span"))

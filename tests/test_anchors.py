@@ -98,3 +98,19 @@ def test_overlaps_are_those_of_all_pairs(spark):
                 if a and b and (n >= min(40, len(b)) or a in b):
                     want[p, i, g] = max(n, want.get((p, i, g), 0))
     assert {(r["inspire_id"], r["prediction"], r["gold_id"]): r["overlap"] for r in got.collect()} == want and len(want) > 30
+
+
+def test_long_spans_meet_quotes_by_shared_passages_alone(spark, monkeypatch):
+    """Whole texts are not sought in quotes, and are not moved for it; one that stands in a quote is found all the same."""
+    asked, real = [], anchors.containing
+
+    def noted(texts, quotes, text, quote, by=None):
+        asked.append(quotes.agg(F.max(F.length(quote))).first()[0])
+        return real(texts, quotes, text, quote, by)
+
+    monkeypatch.setattr(anchors, "containing", noted)
+    inner = "".join(chr(97 + i * 7 % 26) for i in range(40))
+    rows = [(1, 0, inner), (1, 1, inner[:39]), (1, 2, inner * 50), (1, 3, "zz")]
+    got = evaluation.overlaps(spark.createDataFrame(rows, "inspire_id int, prediction int, evidence_span string"), spark.createDataFrame([(1, "g", [f"before {inner}! after"])], "inspire_id int, gold_id string, quotes array<string>"))
+    assert sorted((r["prediction"], r["overlap"]) for r in got.collect()) == [(0, 40), (1, 39), (2, 40)]
+    assert asked == [None, 39]
