@@ -143,6 +143,7 @@ def pack_blocks(docs: DataFrame, text: str, keep: list[str], pattern: str, bucke
                     yield from _block_rows(block, held, counts, words, numbers, buckets, key_bytes, spread).to_batches()
                     block, begin = block + 1, row + 1
                     words, numbers, held, counts, chars = Numbering(), array("I"), [], [], 0
+                    release()
             if begin < batch.num_rows:
                 held.append(kept.slice(begin))
         if counts:
@@ -195,23 +196,29 @@ def per_distinct_word(
                 begin += len(w)
         return pa.Table.from_arrays([group.column("bucket"), group.column("block"), group.column("docs"), group.column("numbers"), pa.chunked_array([pa.array(answers, pa.binary())])], names=["bucket", "block", "docs", "numbers", "words"])
 
-    def assembled(group: pa.Table) -> pa.Table:
-        group = group.sort_by("bucket")
+    def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches).sort_by("bucket")
         answers = [unpack_numbers(x) for x in group.column("words").to_pylist() if x is not None]
         lengths = np.concatenate([x[0] for x in answers]) if answers else np.zeros(0, np.uint32)
         values = np.concatenate([x[1] for x in answers]).astype(np.int32) if answers else np.zeros(0, np.int32)
         offsets = np.concatenate([np.zeros(1, np.int32), np.cumsum(lengths, dtype=np.int32)])
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
         at = next(i for i, x in enumerate(group.column("docs").to_pylist()) if x is not None)
-        docs_ = pa.ipc.open_stream(group.column("docs")[at].as_py()).read_all()
+        docs_ = pa.ipc.open_stream(group.column("docs")[at].as_py()).read_all().combine_chunks()
         home, used = unpack_numbers(group.column("numbers")[at].as_py())
+        del group, answers
         # The answers came in order of bucket, and within a bucket in order of number.
         place = np.empty(len(home), np.uint32)
         place[np.argsort(home, kind="stable")] = np.arange(len(home), dtype=np.uint32)
-        numbers = place[used]
         begins = np.concatenate([[0], np.cumsum(docs_.column("__n").to_numpy())]).astype(np.int64)
-        made = docs_.drop_columns(["__n"]).append_column(out, assemble(lists, numbers, begins))
+        docs_ = docs_.drop_columns(["__n"])
+        # The answers of a block are put together, and leave, some documents at a time.
+        begin = 0
+        while begin < docs_.num_rows:
+            end = max(begin + 1, int(np.searchsorted(begins, begins[begin] + PIECES_AT_ONCE, "right")) - 1)
+            numbers = place[used[begins[begin] : begins[end]]]
+            yield from docs_.slice(begin, end - begin).append_column(out, assemble(lists, numbers, begins[begin : end + 1] - begins[begin])).combine_chunks().to_batches()
+            begin = end
         release()
-        return made
 
     return packed.groupBy("bucket").applyInArrow(resolved, PACKED).groupBy("block").applyInArrow(assembled, schema)
