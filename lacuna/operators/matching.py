@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,7 +47,7 @@ def best_matches(pairs: DataFrame, by: list[str]) -> DataFrame:
 
 
 #: Rows of a side that a task holds against as many of the other, and those of them that it works on at once.
-BLOCK, STRIP = 4096, 256
+BLOCK, STRIP = 8192, 256
 
 
 def best_of(products: DataFrame, tables: DataFrame, by: list[str], paper: str = "inspire_id", block: int = BLOCK) -> DataFrame:
@@ -136,42 +136,85 @@ def _best_in_block(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
     of_type = {t: np.array([t in f for f in other["fits"]]) for t in set(one["product_type"])}
     with np.errstate(all="ignore"):
         a_long, reach = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1)).max()
-    top, out = np.finfo(np.float64).max, []
-    # Vectors of one length and of common numbers, and words without nulls, are ruled out in single precision; its error is within the slack.
+    # Vectors of one length and of common numbers, and words without nulls, are ruled out by runs of parts.
     sizes = np.concatenate([a_size, b_size])
     plain = sizes.min() == sizes.max() >= 0 and min(a_many.min(), b_many.min()) >= 0 and bool(a_long.max() < 1e10 and reach < 1e10)
-    single, error, least, rounding = (np.float32, (wide + 8) * 2.0**-22, 1e-25, 1.02e-4) if plain else (np.float64, 1e-10, 1e-10, 1.0001e-4)
-    of_a, of_b = a.astype(single), b.astype(single)
+    runs = _runs(_alike(zip(b_bag.tolist(), map(tuple, other["fits"]), strict=True))[0]) if plain else None
+    of_a, of_b = (a.astype(np.float32), b[runs[0]].astype(np.float32)) if plain else (a, b)
+    none = lambda i, j: (a_size[i] != b_size[j]) | (a_size[i] < 0)
+    out = []
     for begin in range(0, len(one), STRIP):
         rows = np.arange(begin, min(len(one), begin + STRIP))
         bags, bag = np.unique(a_bag[rows], return_inverse=True)
         table = overlaps([a_bags[i] for i in bags])
         typed = np.stack([of_type[t] for t in one["product_type"].iloc[rows]])
-        null = (a_size[rows][:, None] != b_size[None, :]) | (a_size[rows][:, None] < 0)
+        if plain:
+            slack = (1e-25 + (wide + 8) * 2.0**-22 * a_long[rows] * reach).astype(np.float32)
+            first = runs[0][runs[1]]
+            near = _near_runs(of_a[rows], of_b, runs, table[bag[:, None], b_bag[first]].T, typed[:, first].T, slack)
+        else:
+            near = _near(of_a[rows], of_b, table[bag[:, None], b_bag], typed, none(rows[:, None], np.arange(len(b))), a_long[rows] * reach)
+        for which, i, j in near:
+            out.append(_exact(a, b, rows[i], j, none(rows[i], j), table[bag[i], b_bag[j]], typed[i, j], which))
+    found = pd.DataFrame({c: np.concatenate([x[c] for x in out]) for c in out[0]})
+    rows = other.iloc[found.pop("__j")]
+    found[["similarity", "overlap"]] = np.stack([_four(found["raw"]), _four(found["overlap"])], axis=1)
+    return found.assign(ordinal=rows["ordinal"].to_numpy(), table_doi=rows["table_doi"].to_numpy())[names]
+
+
+#: Parts of a run at most.
+RUN = 64
+
+
+def _runs(kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parts put together by kind (what but their vectors is alike) -> their order, and where in it runs of one kind begin and end."""
+    order = np.argsort(kinds, kind="stable")
+    of = kinds[order]
+    edges = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    begins = np.concatenate([np.arange(x, y, RUN) for x, y in zip(edges, [*edges[1:], len(of)], strict=True)])
+    return order, begins, np.append(begins[1:], len(of))
+
+
+def _near_runs(a: np.ndarray, b: np.ndarray, runs: tuple[np.ndarray, np.ndarray, np.ndarray], overlap: np.ndarray, typed: np.ndarray, slack: np.ndarray) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """a: products; b: parts in the order of runs; overlap, typed: of runs and products -> the pairs that may be a product's best, and its best of the type (True).
+
+    Within a run the nearest is the best, so all pairs are but multiplied, in single precision, and of a run the most is taken; slack is within what that may be wrong by.
+    """
+    order, begins, ends = runs
+    raw = b @ a.T
+    nearest = np.stack([raw[x:y].max(axis=0) for x, y in zip(begins, ends, strict=True)])
+    beside = 0.5 * overlap.astype(np.float32) + typed * np.float32(K.TYPE_BONUS)
+    for which in (False, True):
+        value, room = (np.where(typed, nearest, -np.inf), slack) if which else (0.5 * nearest + beside, slack + np.float32(1.02e-4))
+        least = value.max(axis=0) - room
+        run, i = np.nonzero(value >= np.where(np.isfinite(least), least, np.inf))
+        long = ends[run] - begins[run]
+        run, i, j = np.repeat(run, long), np.repeat(i, long), np.arange(long.sum()) + np.repeat(begins[run] - np.cumsum(long) + long, long)
+        own = raw[j, i]
+        kept = (own if which else 0.5 * own + beside[run, i]) >= least[i]
+        yield which, i[kept], order[j[kept]]
+
+
+def _near(a: np.ndarray, b: np.ndarray, overlap: np.ndarray, typed: np.ndarray, null: np.ndarray, reach: np.ndarray) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """As _near_runs(), for vectors and words of any kind: overlap, typed and null (whether there is no product of the two) are of products and parts."""
+    top = np.finfo(np.float64).max
+    with np.errstate(all="ignore"):
+        raw = a @ b.T
+        slack = (1e-10 + 1e-10 * np.nan_to_num(reach, nan=0, posinf=0))[:, None]
+        score = 0.5 * raw + 0.5 * overlap + typed * K.TYPE_BONUS
+    # Null and NaN scores are below all; a raw NaN is above all, a raw null below.
+    score = np.where(null, -np.inf, np.nan_to_num(score, nan=-np.inf, posinf=top, neginf=-top))
+    raw = np.where(null, -np.inf, np.nan_to_num(raw, nan=np.inf, posinf=top, neginf=-top))
+    for which, held, value, room in ((False, None, score, slack + 1.0001e-4), (True, typed, raw, slack)):
+        best = value.max(axis=1, keepdims=True) if held is None else np.where(held, value, -np.inf).max(axis=1, keepdims=True)
         with np.errstate(all="ignore"):
-            raw = of_a[rows] @ of_b.T
-            slack = (least + error * np.nan_to_num(a_long[rows] * reach, nan=0, posinf=0))[:, None].astype(single)
-            score = 0.5 * raw + (0.5 * table).astype(single)[bag].take(b_bag, axis=1)
-            score += typed * single(K.TYPE_BONUS)
-        if not plain:
-            # Null and NaN scores are below all; a raw NaN is above all, a raw null below.
-            score = np.where(null, -np.inf, np.nan_to_num(score, nan=-np.inf, posinf=top, neginf=-top))
-            raw = np.where(null, -np.inf, np.nan_to_num(raw, nan=np.inf, posinf=top, neginf=-top))
-        for which, held, value, room in ((False, None, score, slack + single(rounding)), (True, typed, raw, slack)):
-            best = value.max(axis=1, keepdims=True) if held is None else np.where(held, value, -np.inf).max(axis=1, keepdims=True)
-            with np.errstate(all="ignore"):
-                near = value >= np.where(np.isfinite(best), best - room, best)
-            if held is not None:
-                near &= held
-            if not plain:
-                # Of parts whose value is none or no number the first stands for all.
-                first = near & ~np.isfinite(best)
-                near &= ~first | (np.cumsum(first, axis=1) == 1)
-            i, j = np.divmod(np.flatnonzero(near), len(other))
-            out.append(_exact(a, b, rows[i], j, null[i, j], table[bag[i], b_bag[j]], typed[i, j], other, which))
-    found = pd.concat(out, ignore_index=True)
-    found = found.sort_values(["__i", "typed", "grade", "__value", "__j"], ascending=[True, True, False, False, True], kind="stable").drop_duplicates(["__i", "typed"])
-    return found[names].reset_index(drop=True)
+            near = value >= np.where(np.isfinite(best), best - room, best)
+        if held is not None:
+            near &= held
+        # Of parts whose value is none or no number the first stands for all.
+        first = near & ~np.isfinite(best)
+        near &= ~first | (np.cumsum(first, axis=1) == 1)
+        yield which, *np.nonzero(near)
 
 
 def _alike(rows: Iterable) -> tuple[np.ndarray, list]:
@@ -180,20 +223,31 @@ def _alike(rows: Iterable) -> tuple[np.ndarray, list]:
     return np.array([numbers.setdefault(x, len(numbers)) for x in rows], np.int64), list(numbers)
 
 
-def _exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, null: np.ndarray, overlap: np.ndarray, typed: np.ndarray, other: pd.DataFrame, which: bool) -> pd.DataFrame:
-    """These pairs as scored_pairs() has them: products of components are added one after the other."""
+def _four(values: Iterable) -> np.ndarray:
+    return np.array([round(x, 4) for x in np.asarray(values).tolist()], np.float64)
+
+
+#: Pairs whose vectors are multiplied term by term at once.
+PAIRS = 8192
+
+
+def _exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, null: np.ndarray, overlap: np.ndarray, typed: np.ndarray, which: bool) -> dict[str, np.ndarray]:
+    """The best of these pairs for each i, as scored_pairs() has them: products of components are added one after the other."""
     raw = np.zeros(len(i))
     with np.errstate(all="ignore"):
-        for k in range(a.shape[1]):
-            raw += a[i, k] * b[j, k]
+        for begin in range(0, len(i), PAIRS):
+            at = slice(begin, begin + PAIRS)
+            for term in np.ascontiguousarray((a[i[at]] * b[j[at]]).T):
+                raw[at] += term
     raw = np.where(null, np.nan, raw)
-    four = lambda values: np.array([round(x, 4) for x in values.tolist()], np.float64)
     bonus = np.where(typed, K.TYPE_BONUS, 0.0)
-    score = four(0.5 * raw + 0.5 * overlap + bonus)
+    score = _four(0.5 * raw + 0.5 * overlap + bonus)
     grade = np.where(null, 0, np.where(np.isnan(raw), 2, 1)) if which else np.where(np.isnan(score), 0, 1)
     value = np.nan_to_num(raw if which else score, nan=0.0, posinf=np.inf, neginf=-np.inf)
-    rows = other.iloc[j]
-    return pd.DataFrame({"__i": i, "__j": j, "ordinal": rows["ordinal"].to_numpy(), "table_doi": rows["table_doi"].to_numpy(), "similarity": four(raw), "overlap": four(overlap), "bonus": bonus, "score": score, "raw": raw, "grade": grade, "typed": which, "__value": value})
+    order = np.lexsort((j, -value, -grade, i))
+    best = order[np.flatnonzero(np.diff(i[order], prepend=-1))]
+    found = {"__i": i, "__j": j, "overlap": overlap, "bonus": bonus, "score": score, "raw": raw, "grade": grade}
+    return {**{c: v[best] for c, v in found.items()}, "typed": np.full(len(best), which)}
 
 
 def gaps(products: DataFrame, matches: DataFrame, records: DataFrame, paper: str = "inspire_id") -> DataFrame:

@@ -248,3 +248,25 @@ def test_parts_that_single_precision_cannot_tell_apart(spark):
     tables = spark.createDataFrame([(1, i, f"d/{i}", "cut flow", "", "", ["a", f"w{i % 3}"], near(rng.choice([1.0, 0.99999999]))) for i in range(80)], "inspire_id int, ordinal int, table_doi string, name string, description string, resource_type string, words array<string>, embedding array<double>")
     told = lambda rows: sorted(map(str, rows.select("product", "best", "typed").collect()))
     assert told(matching.best_of(products, tables, ["product"])) == told(matching.best_matches(matching.scored_pairs(products, tables), ["product"]))
+
+
+def test_near_ties_of_a_whole_block_leave_a_row_for_each_product():
+    """Pairs that may be the best are settled strip by strip, not kept until the block ends."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    n, rng = 1024, np.random.default_rng(2)
+    vectors = 1 + 1e-7 * rng.normal(size=(2, n, 4))
+    one = pd.DataFrame({"product_type": "cutflow", "span_words": [["a"]] * n, "embedding": list(vectors[0]), "__flaw": False})
+    other = pd.DataFrame({"ordinal": range(n), "table_doi": "d", "words": [["a"]] * n, "embedding": list(vectors[1]), "__flaw": False, "fits": [["cutflow"]] * n})
+    tracemalloc.start()
+    try:
+        found = matching._best_in_block(one, other)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    exact = sum(vectors[0][:, None, k] * vectors[1][None, :, k] for k in range(4))
+    assert found[~found["typed"]]["ordinal"].tolist() == [0] * n and found[found["typed"]]["ordinal"].tolist() == exact.argmax(axis=1).tolist()
+    assert peak < 100e6, peak
