@@ -270,3 +270,24 @@ def test_near_ties_of_a_whole_block_leave_a_row_for_each_product():
     exact = sum(vectors[0][:, None, k] * vectors[1][None, :, k] for k in range(4))
     assert found[~found["typed"]]["ordinal"].tolist() == [0] * n and found[found["typed"]]["ordinal"].tolist() == exact.argmax(axis=1).tolist()
     assert peak < 100e6, peak
+
+
+def test_runs_of_parts_hold_each_once_and_near_ones_are_found_across_them():
+    """Kinds of many parts are several runs; what may be best is sought in the runs that can hold it."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    kinds = np.concatenate([np.zeros(150, int), np.ones(64, int), np.arange(2, 12), np.zeros(3, int)])
+    order, begins, ends = matching._runs(kinds)
+    assert sorted(order.tolist()) == list(range(len(kinds))) and begins[0] == 0 and ends[-1] == len(kinds) and (begins[1:] == ends[:-1]).all()
+    assert (ends - begins).max() <= matching.RUN and all(len(set(kinds[order[x:y]])) == 1 for x, y in zip(begins, ends))
+    a, b = rng.normal(size=(20, 8)).astype(np.float32), rng.normal(size=(len(kinds), 8)).astype(np.float32)
+    overlap, fits = rng.integers(0, 3, size=(12, 20)) / 2, rng.random(size=(12, 20)) < 0.3
+    of_run = kinds[order[begins]]
+    found = {which: (i, j) for which, i, j in matching._near_runs(a, b[order], (order, begins, ends), overlap[of_run], fits[of_run], np.full(20, 1e-5, np.float32))}
+    raw, typed = a @ b.T, fits[kinds].T
+    score = 0.5 * raw + 0.5 * overlap[kinds].T + 0.1 * typed
+    for which, value in ((False, score), (True, np.where(typed, raw, -np.inf))):
+        pairs = set(zip(*map(np.ndarray.tolist, found[which])))
+        assert len(pairs) == len(found[which][0]) < 40
+        assert {(i, int(j)) for i, j in enumerate(value.argmax(axis=1)) if np.isfinite(value[i, j])} <= pairs
