@@ -2,7 +2,7 @@
 
 In a bucket (sets that a filter brought together) all members are first compared with one of them, and what is linked is united over all buckets. A bucket whose members are in
 one class by then is done, so a group of n near copies costs a multiple of n, not its square. In the others, what is outside a bucket's largest class is compared with all
-members of other classes, tile by tile: blocks of bounded size of the one against blocks of the other. Each pair of a bucket is compared or found to be in one class
+members of other classes, tile by tile: blocks of bounded size of the one against blocks of the other. A bucket's first member takes no part: it was held against all. Each pair of a bucket is compared or found to be in one class
 already, so no link between classes is lost.
 """
 
@@ -92,21 +92,24 @@ def compared(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def tiled(placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """placed: bucket, node, of (its class), main (the bucket's largest class), and in how many blocks what is outside main (across) and all (down) is cut.
-    -> x, v, similarity: of each tile enough links to unite what is linked in it, and not in one class before."""
+    """placed: bucket, node, head (which all were held against before), of (its class), main (the largest class of what is no head), and in how many blocks what is outside main
+    (across) and all (down) is cut. -> x, v, similarity: of each tile enough links to unite what is linked in it, and not in one class before."""
+    placed = placed.where("node <> head")
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = placed.where("of <> main").select("bucket", "node", "of", block("across").alias("a"), every("down").alias("b"), F.lit(True).alias("asks"))
-    right = placed.select("bucket", "node", "of", every("across").alias("a"), block("down").alias("b"), F.lit(False).alias("asks"))
-    rows = left.unionByName(right).join(sets.select("node", "shingles"), "node")
+    # What is outside main asks and answers in one tile; its set is sent there once.
+    left = placed.where("of <> main").select("bucket", "node", "of", block("across").alias("a"), every("down").alias("b"), block("down").alias("own"))
+    left = left.select("bucket", "node", "of", "a", "b", F.lit(True).alias("asks"), (F.col("b") == F.col("own")).alias("answers"))
+    right = placed.select("bucket", "node", "of", "main", every("across").alias("a"), block("down").alias("b"), block("across").alias("own")).where("of = main OR a <> own")
+    rows = left.unionByName(right.select("bucket", "node", "of", "a", "b", F.lit(False).alias("asks"), F.lit(True).alias("answers"))).join(sets.select("node", "shingles"), "node")
 
     def compare(group: pa.Table) -> pa.Table:
-        node, of, asks = (group.column(c).to_numpy(zero_copy_only=False) for c in ("node", "of", "asks"))
-        if not asks.any() or asks.all():
+        node, of, asks, answers = (group.column(c).to_numpy(zero_copy_only=False) for c in ("node", "of", "asks", "answers"))
+        if not asks.any() or not answers.any():
             return _links([], [], [])
         own = [np.frombuffer(s, np.uint64) for s in group.column("shingles").to_pylist()]
         sizes = np.array([len(s) for s in own], np.float64)
-        rows, cols = np.flatnonzero(asks), np.flatnonzero(~asks)
+        rows, cols = np.flatnonzero(asks), np.flatnonzero(answers)
         near = np.minimum(sizes[rows][:, None], sizes[cols]) >= threshold * np.maximum(sizes[rows][:, None], sizes[cols]) - 1e-6
         near &= of[rows][:, None] != of[cols]
         rows, cols = rows[near.any(axis=1)], cols[near.any(axis=0)]
@@ -154,11 +157,12 @@ def united(met: DataFrame, sets: DataFrame, threshold: float, before: DataFrame
         # A bucket whose head is in one class with each of its members is done.
         apart = staged(_across(pairs.join(links, ["x", "v"], "left_anti"), classes), "stars-apart")
         buckets = met.join(apart.select(F.col("x").alias("head"), F.col("v").alias("node")), ["head", "node"], "left_semi").select("bucket").distinct()
-        rows = met.join(staged(buckets, "stars-open"), "bucket", "left_semi").select("bucket", "node")
+        rows = met.join(staged(buckets, "stars-open"), "bucket", "left_semi").select("bucket", "node", "head")
         weight = F.greatest(F.lit(1), F.ceil(F.col("size") * BLOCK / ROOM).cast("long"))
-        placed = rows.join(sets.select("node", weight.alias("weight")), "node").join(classes, "node", "left").select("bucket", "node", "weight", F.coalesce("component", "node").alias("of"))
+        placed = rows.join(sets.select("node", weight.alias("weight")), "node").join(classes, "node", "left").select("bucket", "node", "head", "weight", F.coalesce("component", "node").alias("of"))
         placed = staged(placed, "stars-placed")
-        sums = placed.groupBy("bucket", "of").agg(F.sum("weight").alias("w"))
+        # Heads were held against all of their buckets: what is left to compare is among the others.
+        sums = placed.where("node <> head").groupBy("bucket", "of").agg(F.sum("weight").alias("w"))
         blocks = lambda w: F.ceil(w / BLOCK).cast("int")
         largest = sums.groupBy("bucket").agg(F.max_by(F.struct("of", "w"), F.struct("w", "of")).alias("main"), F.sum("w").alias("w"), F.count("*").alias("classes")).where("classes > 1")
         largest = staged(largest.select("bucket", F.col("main.of").alias("main"), blocks(F.col("w") - F.col("main.w")).alias("across"), blocks(F.col("w")).alias("down")), "stars-largest")

@@ -163,3 +163,31 @@ def test_stars_lose_no_link_and_cost_no_square(spark, monkeypatch):
     assert 0.8 <= weakest < 0.99
     # Members of the first two buckets alone are compared with each other: the near copies are in one class by then.
     assert counted["compared"] == [29 + 40 + 399] and counted["tiled"] == [30 + 41]
+
+
+def test_a_bucket_sends_no_set_to_tiles_that_was_compared_already(spark, monkeypatch):
+    """A head is not compared again, a bucket of two is done by its head, and a set goes to a tile once."""
+    rng = np.random.default_rng(7)
+    base = {n: np.unique(rng.integers(0, 2**63, 100).astype(np.uint64)) for n in (0, 2, 5)}
+    sets = {0: base[0], 1: base[5], 2: base[2], 3: base[2][:95], 4: base[5][:90], 5: base[5]}
+    # The bucket of three holds a link that its head has no part in; that of two holds none.
+    rows = [(10, 0, 0), (10, 2, 0), (10, 3, 0), (11, 0, 0), (11, 1, 0), (12, 1, 1), (12, 4, 1), (12, 5, 1), (13, 2, 2), (13, 4, 2)]
+    met = spark.createDataFrame(rows, "bucket long, node long, head long")
+    table = spark.createDataFrame([(n, len(s), bytearray(s.tobytes())) for n, s in sets.items()], "node long, size long, shingles binary")
+    placed, sent = [], []
+    tiled, group_by = stars.tiled, type(met).groupBy
+
+    def counted(df, *args):
+        if args == ("bucket", "a", "b"):
+            sent.extend(map(tuple, df.select("bucket", "node").collect()))
+        return group_by(df, *args)
+
+    def noted(df, *args):
+        placed.extend(r["bucket"] for r in df.collect())
+        monkeypatch.setattr(type(df), "groupBy", counted)
+        return tiled(df, *args)
+
+    monkeypatch.setattr(stars, "tiled", noted)
+    classes, _ = stars.united(met, table, 0.8)
+    assert dict(map(tuple, classes.collect())) == {1: 1, 4: 1, 5: 1, 2: 2, 3: 2}
+    assert set(placed) == {10} and sorted(sent) == [(10, 2), (10, 3)]
