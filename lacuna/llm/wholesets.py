@@ -15,7 +15,7 @@ from lacuna.llm.textvec import text_slices
 
 
 def whole_sets(rows: DataFrame, wanted: DataFrame, cut: Callable[[pa.Array], list[np.ndarray]]) -> DataFrame:
-    """rows: text_id, text; wanted: text_id, node; cut: sets of 64-bit hashes of texts -> node, size, shingles (bytes of the set), one row for each node.
+    """rows: text_id, text; wanted: text_id, node, each node once; cut: sets of 64-bit hashes of texts -> node, size, shingles (bytes of the set), one row for each node.
 
     A filter of what is wanted keeps other texts from being cut into shingles; the join is exact.
     """
@@ -30,4 +30,5 @@ def whole_sets(rows: DataFrame, wanted: DataFrame, cut: Callable[[pa.Array], lis
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["text_id", "size", "shingles"])
 
     cut_rows = map_in_arrow(rows.select("text_id", "text", F.xxhash64("text_id").alias("hash")), made, "text_id binary, size long, shingles binary")
-    return cut_rows.join(wanted, "text_id").select("node", "size", "shingles").dropDuplicates(["node"])
+    # Rows may repeat; they are told by what the join has dealt them out by, so the sets are not shuffled again.
+    return cut_rows.join(wanted, "text_id").dropDuplicates(["text_id", "node"]).select("node", "size", "shingles")
