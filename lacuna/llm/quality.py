@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lacuna.llm.common import map_in_arrow, scratch, small_batches, staged
+from lacuna.llm.common import map_in_arrow, release, scratch, small_batches, staged
 from lacuna.llm.samples import hash_sample
 from lacuna.llm.textvec import bytes_of, hash_runs, mix, text_slices
 
@@ -249,12 +249,20 @@ def _unpacked(packed: pa.Array, options: Training) -> tuple[np.ndarray, np.ndarr
     return text, one_hot(np.ascontiguousarray(rows[:, cut:]).view("<u2").astype(np.int64).reshape(len(rows), -1), options.values)
 
 
-#: Groups that the sums of tasks are added up in, level by level, so that no task holds many of them and the driver one.
-SUM_LEVELS = (4096, 64, 1)
+#: The sums of about so many tasks are added up by one, level by level, so that no task holds many of them and the driver one.
+SUMS = 64
 
 
-def _summed(features: DataFrame, make: Callable[[np.ndarray, np.ndarray], np.ndarray], options: Training) -> np.ndarray | None:
-    """The sum of make(text features, metadata features) over all rows of features; None of no rows."""
+def sum_levels(tasks: int) -> list[int]:
+    """The groups of each level: as many levels as so many tasks ask for, the last of one group."""
+    groups = [-(-tasks // SUMS)]
+    while groups[-1] > 1:
+        groups.append(-(-groups[-1] // SUMS))
+    return groups if tasks else [1]
+
+
+def _summed(features: DataFrame, make: Callable[[np.ndarray, np.ndarray], np.ndarray], options: Training, levels: list[int]) -> np.ndarray | None:
+    """The sum of make(text features, metadata features) over all rows of features, added up in levels; None of no rows."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -271,7 +279,7 @@ def _summed(features: DataFrame, make: Callable[[np.ndarray, np.ndarray], np.nda
 
     schema = "part long, sums binary"
     rows = map_in_arrow(features.select("x"), task, schema)
-    for groups in SUM_LEVELS:
+    for groups in levels:
         rows = rows.withColumn("part", F.pmod("part", F.lit(groups))).groupBy("part").applyInArrow(add, schema)
     one = rows.first()
     return np.frombuffer(one["sums"], np.float64) if one else None
@@ -284,7 +292,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     with a null text (which counts as empty) too, is a row without label.
     """
     with scratch(docs.sparkSession):
-        return _trained(docs, labels, key, text, label, metadata, options)
+        model = _trained(docs, labels, key, text, label, metadata, options)
+    # The driver held the sample's rows.
+    release()
+    return model
 
 
 def _trained(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, metadata: tuple[str, ...], options: Training) -> Model | None:
@@ -299,7 +310,8 @@ def _trained(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
     if len(np.unique(y)) < 2 or len(y) < 8:
         return None
     x, m = _unpacked(rows.column("x").combine_chunks(), options)
-    moments = _summed(features, lambda t, _: np.concatenate([[float(len(t))], t.sum(axis=0), (t * t).sum(axis=0)]), options)
+    levels = sum_levels(features.rdd.getNumPartitions())
+    moments = _summed(features, lambda t, _: np.concatenate([[float(len(t))], t.sum(axis=0), (t * t).sum(axis=0)]), options, levels)
     n, width = moments[0], options.width
     mean = moments[1 : width + 1] / n
     scale = np.maximum(np.sqrt(np.maximum(moments[width + 1 :] / n - mean * mean, 0)), 1e-3)
@@ -307,7 +319,7 @@ def _trained(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
 
     def handed(models: list[np.ndarray], sureness: list[np.ndarray]) -> np.ndarray:
         spread = docs.sparkSession.sparkContext.broadcast((models, sureness))
-        total = _summed(pool, lambda t, places: handed_over((t - mean) / scale, places, *spread.value, options), options)
+        total = _summed(pool, lambda t, places: handed_over((t - mean) / scale, places, *spread.value, options), options, levels)
         return total if total is not None else np.zeros(sum(2 * (1 + len(w) + len(w) ** 2) for w in models))
 
     return cotrain((x, m, y), (mean, scale), handed, options)

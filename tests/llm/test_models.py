@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lacuna.llm import langid, quality, queries
 from lacuna.llm.textvec import normalised, word_hashes
@@ -214,3 +215,8 @@ def test_a_labelled_key_may_stand_in_any_number_of_rows(spark):
     assert max(calls) <= 400
     scores = {r["doc_id"]: r["quality_score"] for r in quality.score(docs, model, keep=["doc_id"], options=options).collect()}
     assert model is None or min(scores[i] for i in (0, 2, 4)) > max(scores[i] for i in (1, 3, 5))
+
+
+def test_sums_of_few_tasks_take_one_level():
+    """A level is a shuffle of all partitions; more of them come as tasks get more."""
+    assert [quality.sum_levels(n) for n in (0, 1, 32, 64, 65, 5000)] == [[1], [1], [1], [1], [2, 1], [79, 2, 1]]

@@ -139,6 +139,24 @@ def test_components(spark):
     assert got == {k: v for k, v in root.items() if k in {x for a, b in edges if a != b for x in (a, b)}}
 
 
+def test_components_that_are_stars_already_take_no_round(spark, monkeypatch):
+    """Each round is a dozen stages, all of which the driver keeps track of; none is needed to see that nothing is left to do."""
+    from lacuna.llm import components as module
+
+    written = []
+    real = module.staged
+    monkeypatch.setattr(module, "staged", lambda df, name, **more: written.append(name) or real(df, name, **more))
+    stars = [(1, x) for x in range(2, 9)] + [(x, 20) for x in range(21, 25)]
+    got = sorted(map(tuple, components(spark.createDataFrame(stars, "u long, v long")).collect()))
+    assert got == [(x, 1) for x in range(1, 9)] + [(x, 20) for x in range(20, 25)]
+    assert written == ["edges", "large-least"]
+    # A star whose centre is not its least node takes one round.
+    written.clear()
+    assert sorted(map(tuple, components(spark.createDataFrame([(5, x) for x in (3, 4, 6, 7)], "u long, v long")).collect())) == [(x, 3) for x in range(3, 8)]
+    assert written.count("stars") == 1
+    assert components(spark.createDataFrame([(1, 1)], "u long, v long")).count() == 0
+
+
 def test_decontamination(spark):
     item = "Today Alice bought 12 apples and 5 pears for Bob on Monday, how many kg of fruit does Alice have now?"
     changed = "Today Carol bought 99 apples and 7 pears for Dan on Friday, how many miles of fruit does Carol have now?"
